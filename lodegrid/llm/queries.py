@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import exact_dedup, mixing, sentence_pieces, sharding
+from lodegrid.llm import exact_dedup, mixing, sentence_pieces, sharding, simhash
 
 PIECE_MODEL = "piece_bpe_32k.model"
 N_SHARDS = 40
@@ -23,6 +23,10 @@ def piece_model_path() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
