@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import exact_dedup, mixing, sentence_pieces, sharding, simhash
+from lodegrid.llm import exact_dedup, mixing, sentence_pieces, sharding, simhash, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 N_SHARDS = 40
@@ -43,6 +43,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_totals(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
 
