@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import exact_dedup, mixing, sentence_pieces, sharding, simhash, toxicity
+from lodegrid.llm import exact_dedup, mixing, neighbours, sentence_pieces, sharding, simhash, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 N_SHARDS = 40
@@ -47,6 +47,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_of_every(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_neighbours": op9_neighbours,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
 
