@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import exact_dedup, mixing, neighbours, sentence_pieces, sharding, simhash, toxicity
+from lodegrid.llm import exact_dedup, mixing, neighbours, repeats, sentence_pieces, sharding, simhash, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 N_SHARDS = 40
@@ -31,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law rows: the shuffle keeps nothing together, so shard counts are at most one apart."""
     text = F.coalesce("text", F.lit(""))
@@ -58,6 +62,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_repeats": op4_repeats,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
