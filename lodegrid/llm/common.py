@@ -56,6 +56,16 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
+def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(key, text) with unique keys in the order of documents, and their doc_ids where these can't be the keys: if any is null or repeated."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if slim.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return slim.select(F.col("doc_id").alias("key"), "text").filter("key is not null"), None
+    ordered = slim.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    rows = stored(ordered.withColumn("key", F.monotonically_increasing_id()))
+    return rows.select("key", "text"), rows.select("key", "doc_id")
+
+
 def draw_without_replacement(rng: np.random.Generator, colors: np.ndarray, n: int) -> np.ndarray:
     """Multivariate hypergeometric counts: how often each colour is among n items drawn without replacement."""
     colors, total = np.asarray(colors, dtype=np.int64), int(np.sum(colors))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import exact_dedup, mixing, neighbours, repeats, sentence_pieces, sharding, simhash, toxicity
+from lodegrid.llm import exact_dedup, line_dedup, mixing, neighbours, repeats, sentence_pieces, sharding, simhash, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 N_SHARDS = 40
@@ -27,6 +27,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_repeats": op4_repeats,
     "op6_sharding": op6_sharding,

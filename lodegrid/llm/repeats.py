@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import stored
+from lodegrid.llm.common import keyed_documents
 
 WIDTH = 100
 GRAM = 24
@@ -319,16 +319,6 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(key, text) with unique keys in the order of documents, and their doc_ids where these can't be the keys: if any is null or repeated."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if slim.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        return slim.select(F.col("doc_id").alias("key"), "text").filter("key is not null"), None
-    ordered = slim.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    rows = stored(ordered.withColumn("key", F.monotonically_increasing_id()))
-    return rows.select("key", "text"), rows.select("key", "doc_id")
-
-
 def find_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, partitions: int | None = None) -> DataFrame:
     """key, spans (array of begin, end; in no order, may overlap) of documents with removed bytes. ``docs`` has unique keys in the order of documents."""
     runs = _run_rows(docs, width, gram)
@@ -344,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first, and rows that share a doc_id are documents of their own, in the order of their texts' hashes. What is
     kept may begin or end within a character, so it is binary. Columns but the two named are not read.
     """
-    keyed, ids = _keyed(docs, id_col, text_col)
+    keyed, ids = keyed_documents(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
