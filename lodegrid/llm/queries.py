@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import exact_dedup, line_dedup, mixing, neighbours, repeats, sentence_pieces, sharding, simhash, toxicity
+from lodegrid.llm import exact_dedup, line_dedup, mixing, neighbours, quality, repeats, sentence_pieces, sharding, simhash, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 N_SHARDS = 40
@@ -39,6 +39,10 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law rows: the shuffle keeps nothing together, so shard counts are at most one apart."""
     text = F.coalesce("text", F.lit(""))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_repeats": op4_repeats,
+    "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
