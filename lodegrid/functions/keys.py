@@ -90,13 +90,13 @@ def _folding() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 _FROM, _TO, _SEVERAL = _folding()
-_LIGATURES = [(a, b) for a, b in _SEVERAL if a in "ﬀﬁﬂﬃﬄﬅﬆĲĳ"]
+_DIGRAPHS = [(a, b) for a, b in _SEVERAL if ord(a) < 0x250 or a >= "\ufb00"]
 
 
 def fold_accents(c: Column) -> Column:
-    """Letters without their marks, on the JVM: Latin, Greek, Cyrillic, full-width forms and ligatures."""
+    """Letters without their marks, on the JVM: Latin, Greek, Cyrillic, full-width forms, digraphs and ligatures."""
     out = F.translate(_blank(c), _FROM, _TO)
-    for a, b in _LIGATURES:
+    for a, b in _DIGRAPHS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.regexp_replace(out, r"\p{Mn}+", "")
 
