@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegrid.functions.keys import na_to_null
+from lodegrid.functions.keys import na_to_null, trimmed
 
 
 def csv(spark: SparkSession, path: str, columns: list[str] | None = None, blanks: bool = False, missing_tokens: bool = False, required: list[str] = ()) -> DataFrame:
@@ -73,7 +73,7 @@ def passages(spark: SparkSession, path: str) -> DataFrame:
 def passage_blocks(df: DataFrame, file: str, text: str) -> DataFrame:
     parts = F.filter(F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=## P\d)"), lambda b: b.rlike(r"^## P\d"))
     blocks = df.select(F.col(file).alias("file"), F.explode(parts).alias("b"))
-    return blocks.select("file", F.regexp_extract("b", r"^## (P\d+)", 1).alias("passage"), F.trim(F.regexp_replace("b", r"^## P\d+[^\n]*\n?", "")).alias("text"))
+    return blocks.select("file", F.regexp_extract("b", r"^## (P\d+)", 1).alias("passage"), trimmed(F.regexp_replace("b", r"^## P\d+[^\n]*\n?", "")).alias("text"))
 
 
 def sections(df: DataFrame, file: str, text: str, level: int = 2) -> DataFrame:
@@ -81,12 +81,12 @@ def sections(df: DataFrame, file: str, text: str, level: int = 2) -> DataFrame:
     mark = "#" * level
     parts = F.filter(F.split(F.concat(F.lit("\n"), F.col(text)), rf"\n(?={mark} )"), lambda b: b.startswith(f"{mark} "))
     out = df.select(F.col(file).alias("file"), F.posexplode(parts).alias("at", "b"))
-    return out.select("file", "at", F.trim(F.regexp_extract("b", rf"^{mark} ([^\n]*)", 1)).alias("title"), F.trim(F.regexp_replace("b", r"^[^\n]*\n?", "")).alias("body"))
+    return out.select("file", "at", F.trim(F.regexp_extract("b", rf"^{mark} ([^\n]*)", 1)).alias("title"), trimmed(F.regexp_replace("b", r"^[^\n]*\n?", "")).alias("body"))
 
 
 def bold_field(body: Column, name: str) -> Column:
     """What follows "**name:**" up to the next bold field or heading."""
-    return F.trim(F.regexp_extract(body, rf"(?s)\*\*{name}:?\*\*:?\s*(.*?)(?=\n\*\*|\n#|\z)", 1))
+    return trimmed(F.regexp_extract(body, rf"(?s)\*\*{name}:?\*\*:?\s*(.*?)(?=\n\*\*|\n#|\z)", 1))
 
 
 def table_labels(sections_: DataFrame) -> DataFrame:
