@@ -18,37 +18,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import keyed_documents
+from lodegrid.llm.common import keyed_documents, lookup, stored
 
 WIDTH = 100
 GRAM = 24
 #: Bytes of text or of runs that are hashed together; positions in them fit 21 bits.
 CHUNK = 1 << 20
+#: Runs with their bytes among which a task looks for equal ones before it sends them.
+HELD_RUNS = 100_000
 _BITS = np.uint64((1 << 21) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _TOP = 1 << 21
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64, up and down: a hash of bytes i .. j is comparable wherever it starts."""
+_powers = np.ones(1, dtype=np.uint64)
 
-    up: np.ndarray | None = None
-    down: np.ndarray | None = None
 
-    @classmethod
-    def get(cls) -> tuple[np.ndarray, np.ndarray]:
-        if cls.up is None:
-            up = np.full(_TOP + 1, _BASE, dtype=np.uint64)
-            up[0] = 1
-            cls.up = np.multiply.accumulate(up)
-            cls.down = cls.up[::-1]
-        return cls.up, cls.down
+def powers(n: int) -> np.ndarray:
+    """Powers 0 .. n of an odd base modulo 2**64."""
+    global _powers
+    if len(_powers) <= n:
+        _powers = np.full(n + 1, _BASE, dtype=np.uint64)
+        _powers[0] = 1
+        _powers = np.multiply.accumulate(_powers)
+    return _powers[: n + 1]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    up, _ = _Powers.get()
+    """Times a falling power, the difference of two of these is a hash of the bytes between, wherever they stand."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[:-1], out=out[1:])
     return out
 
 
@@ -61,7 +60,7 @@ def runs_of(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[n
     """Of texts with up to CHUNK bytes together: for each run of windows the hash of its least k-gram, text, first window, windows, and the k-gram's offset from the first."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     w = width - gram + 1
-    _, down = _Powers.get()
+    down = powers(_TOP)[::-1]
     prefix = prefix_hashes(data)
     n = max(0, len(data) - gram + 1)
     h = _mixed((prefix[gram:] - prefix[:-gram]) * down[:n]) if n else np.zeros(0, dtype=np.uint64)
@@ -143,7 +142,7 @@ def _with_bytes(docs: DataFrame, runs: DataFrame, width: int) -> DataFrame:
                             rows[k], row = row, rows[k]
                         row = (*row[:4], None)
                     rows.append(row)
-                    if len(rows) >= 50_000:
+                    if len(rows) >= HELD_RUNS:
                         yield _batch(rows)
                         rows, earliest = [], {}
             if rows:
@@ -162,7 +161,7 @@ class SuffixSorter:
 
     def __init__(self, data: np.ndarray, width: int):
         self.data, self.width, self.prefix = data, width, prefix_hashes(data)
-        _, self.down = _Powers.get()
+        self.down = powers(len(data))[::-1]
         self.steps = [1 << k for k in range(width.bit_length() - 1, -1, -1)]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -319,11 +318,24 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _later_copies(docs: DataFrame) -> DataFrame:
+    """key, end: documents whose whole text is an earlier one's, and their numbers of bytes."""
+    slim = stored(docs.select("key", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("end")))
+    groups = stored(slim.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    return stored(lookup(slim, groups, ["digest"], "n", max(1, slim.count())).filter("key > first").select("key", "end"))
+
+
 def find_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, partitions: int | None = None) -> DataFrame:
-    """key, spans (array of begin, end; in no order, may overlap) of documents with removed bytes. ``docs`` has unique keys in the order of documents."""
-    runs = _run_rows(docs, width, gram)
+    """key, spans (array of begin, end; in no order, may overlap) of documents with removed bytes. ``docs`` has unique keys in the order of documents.
+
+    Whole copies are found first: all their windows are in the earliest copy, so they neither need runs nor
+    make those of others repeat. All joins need the texts by key, and one exchange of them serves all.
+    """
+    copies = _later_copies(docs)
+    runs = _run_rows(docs.join(copies, "key", "left_anti"), width, gram)
     together = runs.withColumn("n", F.expr("count(*) over (partition by gram)")).filter("n > 1").drop("n")
     spans = _spans(_with_bytes(docs, together, width), width, partitions)
+    spans = spans.unionByName(copies.filter(F.col("end") >= width).select("key", F.lit(0).cast("long").alias("begin"), "end"))
     return spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
@@ -349,7 +361,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, type=pa.int64()), pa.array(removed, type=kind), pa.array(kept, type=pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    # Both joins need the texts by key: one exchange of them serves both.
     found = keyed.join(find_repeats(keyed, width), "key", "left").select("key", "text", "spans")
     out = found.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<begin: long, end: long>>, kept binary")
     if ids is None:
