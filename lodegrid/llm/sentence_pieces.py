@@ -237,11 +237,8 @@ class PieceModel:
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             parts = [self._surface(ids[k : min(k + CHUNK_CHARS, b)]) for k in range(a, b, CHUNK_CHARS)]
             raw = b"".join(parts)
-            if self.is_byte[ids[a:b]].any():
-                try:
-                    raw.decode()
-                except UnicodeDecodeError:
-                    raw = self._repaired(ids[a:b])
+            if self.is_byte[ids[a:b]].any() and (not self.lengths[ids[a:b]].all() or not _is_text(raw)):
+                raw = self._repaired(ids[a:b])  # ids without a surface part bytes too
             if b > a and self.starts_with_space[ids[a]]:
                 raw = raw[1:]
             out.append(raw)
@@ -271,11 +268,16 @@ class PieceModel:
         return b"".join(out)
 
 
-def _is_char(raw: bytes) -> bool:
+def _is_text(raw: bytes) -> bool:
     try:
-        return len(raw.decode()) == 1
+        raw.decode()
     except UnicodeDecodeError:
         return False
+    return True
+
+
+def _is_char(raw: bytes) -> bool:
+    return _is_text(raw) and len(raw.decode()) == 1
 
 
 _models: dict[str, PieceModel] = {}
