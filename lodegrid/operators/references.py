@@ -65,3 +65,33 @@ def chosen_references(numbered: DataFrame, by_author: DataFrame, manual: DataFra
     counts = all_.groupBy("doc", "k").agg(F.count("*").alias("n"))
     best = counts.groupBy("doc").agg(F.coalesce(F.min(F.when(F.col("n") >= enough, F.col("k"))), F.max_by("k", F.struct("n", -F.col("k")))).alias("k"))
     return all_.join(best, ["doc", "k"]).drop("k")
+
+
+def column_gap(words: DataFrame, least: float = 20.0) -> DataFrame:
+    """page, split: the middle of the widest gap between line starts (page, x0) if it is wide enough: where a second column begins."""
+    from pyspark.sql import Window
+
+    before = F.lag("x0").over(Window.partitionBy("page").orderBy("x0"))
+    gaps = words.select("page", "x0").distinct().withColumn("left", before).filter(F.col("left").isNotNull()).withColumn("gap", F.col("x0") - F.col("left"))
+    widest = gaps.groupBy("page").agg(F.max_by(F.struct("gap", ((F.col("x0") + F.col("left")) / 2).alias("split")), "gap").alias("g"))
+    return widest.filter(F.col("g.gap") >= least).select("page", F.col("g.split").alias("split"))
+
+
+def chunk_references(found: DataFrame) -> DataFrame:
+    """References of overlapping chunks (doc, chunk, at, title, year), each once: the first with the same beginning of the title and year."""
+    keyed = found.withColumn("__title", F.lower(F.substring(F.trim("title"), 1, 80)))
+    first = keyed.groupBy("doc", "__title", "year").agg(F.min_by(F.struct(*found.columns), F.struct("chunk", "at")).alias("r"))
+    return first.select("r.*")
+
+
+def rewritten_citekeys(texts: DataFrame, id_col: str, text: str, mapping: DataFrame) -> DataFrame:
+    """id, text, replaced: keys in citation brackets, one or several, exchanged by mapping (old, new); others stay."""
+    bracket = r"\[[a-z][a-z0-9_;\s]+\]"
+    pieces = texts.select(F.col(id_col), F.posexplode(F.split(F.col(text), rf"(?={bracket})|(?<=\])")).alias("at", "piece"))
+    is_cited = F.col("piece").rlike(f"^{bracket}$")
+    inner = F.when(is_cited, F.split(F.expr("substring(piece, 2, length(piece) - 2)"), ";"))
+    words = pieces.select(id_col, "at", "piece", F.posexplode_outer(inner).alias("k", "key")).withColumn("key", F.trim("key"))
+    joined = words.join(mapping.select(F.col("old").alias("key"), "new"), "key", "left")
+    whole = joined.groupBy(id_col, "at").agg(F.first("piece").alias("piece"), F.sort_array(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", F.coalesce("new", "key").alias("w"))))).alias("ws"), F.count("new").alias("n"))
+    shown = F.when(F.size("ws") > 0, F.concat(F.lit("["), F.array_join(F.transform("ws", lambda x: x["w"]), "; "), F.lit("]"))).otherwise(F.col("piece"))
+    return whole.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", shown.alias("s")))), lambda x: x["s"]), "").alias("text"), F.sum("n").alias("replaced"))

@@ -150,3 +150,43 @@ def bibtex(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file", "at", "type", "citekey", "raw", "fields"])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.bib").load(path).select("path", "content").mapInPandas(run, BIBTEX_SCHEMA)
+
+
+def file_fields(entries: DataFrame) -> DataFrame:
+    """citekey, file of entries that name attached files; the last entry of a key counts."""
+    return entries.filter("fields['file'] is not null").groupBy("citekey").agg(F.max_by(F.col("fields")["file"], F.struct("file", "at")).alias("attached"))
+
+
+def from_mark(text: Column, mark: str) -> Column:
+    """The text from a mark on; empty without it."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise("")
+
+
+def paged_source(fetch, schema: str, page_rows: int, name: str = "paged"):
+    """A data source over a service that answers by pages: fetch(offset, rows) gives (list of tuples, number of all rows).
+
+    Pages are partitions, read in parallel. Register it with spark.dataSource.register and read with format(name).
+    """
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            _, total = fetch(0, 1)
+            return [InputPartition(k) for k in range(0, total, page_rows)]
+
+        def read(self, partition):
+            yield from fetch(partition.value, page_rows)[0]
+
+    class Paged(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return schema
+
+        def reader(self, schema):
+            return Reader()
+
+    return Paged

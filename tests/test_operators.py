@@ -186,3 +186,40 @@ def test_streams(spark, tmp_path):
     q = streams.windowed_counts(events, "ts", "label").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").count() == 6
+
+
+def test_definitions_of_done(spark):
+    from lodegrid.plans import done
+
+    papers = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "paper_id string")
+    decisions = spark.createDataFrame([("p1", "include", None, "validation"), ("p2", "exclude", "EC9", None), ("p2", "defer", None, None)], "paper_id string, decision string, criterion string, class string")
+    found = {(r["rule"], r["item"]) for r in done.screening(papers, decisions).collect()}
+    assert found == {("decided once", "p2"), ("decided once", "p3"), ("exclusion has a criterion", "p2"), ("deferred", "p2")}
+    refs = spark.createDataFrame([("r1", "s1|s2", "new_include", "10.1/a"), ("r2", "s1", "odd", "10.1/a"), ("r3", "s1", None, "")], "ref_id string, source_seed string, status string, doi string")
+    assert {r["rule"] for r in done.snowballing(refs, spark.createDataFrame([("s1",), ("s3",)], "seed string")).collect()} == {"status present", "known status", "DOI once", "seed seen"}
+    curve = spark.createDataFrame([(1, 2, False), (2, 1, True)], "rank int, cumulative_count int, in_final_window boolean")
+    assert {r["rule"] for r in done.saturation(curve, 1).collect()} == {"never falls", "total"}
+    stages = spark.createDataFrame([(1, "a", 10, 8, 2), (2, "b", 7, 7, 1)], "at int, stage string, n_in int, n_out int, removed int")
+    assert {(r["rule"], r["item"]) for r in done.funnel(stages).collect()} == {("adds up", "b"), ("follows", "b")}
+    codes, clusters = spark.createDataFrame([("c1",), ("c2",)], "code string"), spark.createDataFrame([("Two words", '["c1"]', '["doi:10.1/x:P001"]', "me"), ("misc", '["c1"]', '["bad"]', "")], "canonical_label string, codes string, passage_ids string, confirmed_by string")
+    assert {(r["rule"], r["item"]) for r in done.consolidation(codes, clusters).collect()} == {("code in one cluster", "c1"), ("code in one cluster", "c2"), ("label well formed", "misc"), ("passage id valid", "bad"), ("confirmed", "misc")}
+    texts = spark.createDataFrame([("x [k1; k2] y [Z] [k9]",)], "text string")
+    assert {r["item"] for r in done.bibliography(texts, spark.createDataFrame([("k1",), ("k2",)], "citekey string"), 1).collect()} == {"k9"}
+
+
+def test_citekeys_chunks_and_pages(spark):
+    texts = spark.createDataFrame([(1, "see [k1; k2] and [k2], not [K1] or [x y"), (2, "none")], "i int, t string")
+    mapping = spark.createDataFrame([("k1", "n1"), ("k2", "n2")], "old string, new string")
+    out = {r["i"]: (r["text"], r["replaced"]) for r in R.rewritten_citekeys(texts, "i", "t", mapping).collect()}
+    assert out == {1: ("see [n1; n2] and [n2], not [K1] or [x y", 3), 2: ("none", 0)}
+    found = spark.createDataFrame([("d", 0, 1, "A title", "2020"), ("d", 1, 0, "a TITLE ", "2020"), ("d", 1, 1, "Other", "2020")], "doc string, chunk int, at int, title string, year string")
+    assert sorted(r["title"] for r in R.chunk_references(found).collect()) == ["A title", "Other"]
+    starts = spark.createDataFrame([(1, 50.0), (1, 51.0), (1, 300.0), (2, 50.0), (2, 55.0)], "page int, x0 double")
+    assert [tuple(r) for r in R.column_gap(starts).collect()] == [(1, 175.5)]
+
+    def fetch(offset, rows, total=23):
+        return [(k, f"r{k}") for k in range(offset, min(total, offset + rows))], total
+
+    spark.dataSource.register(readers.paged_source(fetch, "id int, name string", 10))
+    df = spark.read.format("paged").load()
+    assert df.count() == 23 and df.rdd.getNumPartitions() == 3
