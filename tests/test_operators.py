@@ -223,3 +223,13 @@ def test_citekeys_chunks_and_pages(spark):
     spark.dataSource.register(readers.paged_source(fetch, "id int, name string", 10))
     df = spark.read.format("paged").load()
     assert df.count() == 23 and df.rdd.getNumPartitions() == 3
+
+
+def test_classification_state(spark):
+    labels = spark.createDataFrame([("a",), ("b",), ("c",)], "canonical_label string")
+    state = L.classification_state(labels, spark.createDataFrame([("a", "M1"), ("b", "?")], "canonical_label string, mode string"))
+    said = L.with_suggestions(state, spark.createDataFrame([("a", "M2"), ("b", "M1"), ("c", "bad")], "canonical_label string, suggested string"), ["M1", "M2"])
+    assert {r["canonical_label"]: (r["suggested"], r["note"]) for r in said.collect()} == {"a": ("M2", "overrides M2"), "b": ("M1", ""), "c": (None, "")}
+    assert [tuple(r) for r in L.emitted_modes(state).collect()] == [("a", "M1")]
+    items = spark.createDataFrame([("a", "M1"), ("x", "M1"), ("b", "M9"), ("c", None)], "canonical_label string, mode string")
+    assert {r["canonical_label"] for r in L.unusable_items(items, labels, ["M1"]).collect()} == {"x", "b", "c"}
