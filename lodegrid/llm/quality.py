@@ -11,7 +11,6 @@ The training rows and the pool are bounded samples, chosen by hash; every docume
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,60 +36,71 @@ META_FEATURES = 1 << 12
 STEPS = 40
 REMEMBERED = 200_000
 
-_CLASSES = [(re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ]{2,}[^\W\d_]*"), "U"), (re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]*"), "C"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0")]
+def _character_classes() -> np.ndarray:
+    """By code point, what a character looks like in a shape: U, a, 0, a blank, or itself. The last place stands for all further ones."""
+    table = np.full(0x251, ord("a"), dtype=np.uint8)
+    for code in range(0x250):
+        c = chr(code)
+        table[code] = ord("U" if c.isupper() else "0" if c.isdigit() else " " if c.isspace() else "a" if c.isalpha() or code >= 128 else c)
+    return table
 
 
-def shape(word: str) -> str:
-    """Letters in capitals to U, capitalised ones to C, other letters to a, digits to 0; all else stays."""
-    out, at = [], 0
-    while at < len(word):
-        for pattern, name in _CLASSES:
-            if m := pattern.match(word, at):
-                out.append(name)
-                at = m.end()
-                break
-        else:
-            out.append(word[at])
-            at += 1
-    return "".join(out)
+_LOOKS = _character_classes()
+_MARKS = np.array([chr(c) not in "Ua0 " for c in range(128)])
 
 
-def _hash(feature: str, size: int) -> int:
-    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass")) % size
+def looks(text: str) -> np.ndarray:
+    """The class of each character."""
+    return _LOOKS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0x250)]
 
 
-class _Words(dict):
-    """Word to its two features."""
+def shapes(seen: np.ndarray) -> set[bytes]:
+    """Distinct shapes of words: classes of characters, of letters and digits one for each run. A word in capitals is U, a capitalised one Ua."""
+    same = np.concatenate([[False], seen[1:] == seen[:-1]]) & ~_MARKS[seen]
+    return set(seen[~same].tobytes().split(b" ")) - {b""}
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        found = (_hash("w" + word.lower(), CONTENT_FEATURES), _hash("s" + shape(word), CONTENT_FEATURES))
-        if len(self) < REMEMBERED:
-            self[word] = found
-        return found
 
+def _hash(feature: bytes | str, size: int) -> int:
+    return xxhash.xxh64_intdigest(feature if isinstance(feature, bytes) else feature.encode("utf-8", "surrogatepass")) % size
 
-_words = _Words()
 
+_known: dict[str | bytes, int] = {}
 
-def content_features(text: str | None) -> np.ndarray:
-    """Distinct features of the whole text."""
-    words = set((text or "").split())
-    return np.unique(np.array([f for w in words for f in _words[w]], dtype=np.int32))
 
+def _numbers(kind: str, features: set) -> np.ndarray:
+    """Feature numbers; a bounded number of them is remembered between texts."""
+    global _known
+    if len(_known) > REMEMBERED:
+        _known = {}
+    for f in features.difference(_known):
+        _known[f] = _hash(kind.encode() + (f if isinstance(f, bytes) else f.encode("utf-8", "surrogatepass")), CONTENT_FEATURES)
+    return np.fromiter(map(_known.__getitem__, features), dtype=np.int32, count=len(features))
 
-def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+
+def content_features(text: str | None, seen: np.ndarray | None = None) -> np.ndarray:
+    """Distinct features of the whole text: its words in lower case (text) and their shapes (bytes)."""
+    text = text or ""
+    seen = looks(text) if seen is None else seen
+    return np.unique(np.concatenate([_numbers("w", set(text.lower().split())), _numbers("s", shapes(seen))]))
+
+
+def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None, seen: np.ndarray | None = None) -> np.ndarray:
     """Language, source, length, and the layout: lines, their length, shares of kinds of characters. Nulls are a value of their own."""
     text = text or ""
-    length = max(1, len(text))
-    lines = text.count("\n") + 1
-    upper = sum(map(str.isupper, text)) / length if len(text) < 1 << 22 else 0.0
-    plain = len(re.sub(r"[\w\s]", "", text)) / length
-    digits = len(re.findall(r"\d", text)) / length
+    seen = looks(text) if seen is None else seen
+    length, lines = max(1, len(text)), text.count("\n") + 1
+    count = np.bincount(seen, minlength=128)
+    upper, digits, marks = count[ord("U")] / length, count[ord("0")] / length, count[:128][_MARKS].sum() / length
     level = lambda x: int(math.log2(1 + x) * 2)
-    values = {"lang": lang, "source": source, "chars": level(n_chars) if n_chars and n_chars > 0 else n_chars, "lines": level(lines), "line": level(length / lines), "upper": level(upper * 100), "marks": level(plain * 100), "digits": level(digits * 100)}
+    values = {"lang": lang, "source": source, "chars": level(n_chars) if n_chars and n_chars > 0 else n_chars, "lines": level(lines), "line": level(length / lines), "upper": level(upper * 100), "marks": level(marks * 100), "digits": level(digits * 100)}
     return np.unique(np.array([_hash(f"{k}={v}", META_FEATURES) for k, v in values.items()], dtype=np.int32))
 
 
+def both_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+    seen = looks(text or "")
+    return content_features(text, seen), meta_features(text, lang, source, n_chars, seen)
+
+
 def _logit(p: np.ndarray | float):
     return np.log(p) - np.log1p(-p)
 
@@ -200,8 +210,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = [content_features(t.as_py()).tobytes() for t in batch.column(0)]
-            meta = [meta_features(*(x.as_py() for x in row)).tobytes() for row in zip(*batch.columns[:4], strict=True)]
+            found = [both_features(*(x.as_py() for x in row)) for row in zip(*batch.columns[:4], strict=True)]
+            content, meta = [c.tobytes() for c, _ in found], [m.tobytes() for _, m in found]
             yield pa.RecordBatch.from_arrays([pa.array(content, type=pa.binary()), pa.array(meta, type=pa.binary()), batch.column(4)], ["content", "meta", "quality"])
 
     return docs.select("text", "lang", "source", "n_chars", "quality").mapInArrow(run, "content binary, meta binary, quality int")
@@ -243,7 +253,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 rows = list(zip(*[c.to_pylist() for c in part.columns[1:]], strict=True))
-                score = m.scores([content_features(r[0]) for r in rows], [meta_features(*r) for r in rows]) if m else np.full(len(rows), 0.5)
+                found = [both_features(*r) for r in rows] if m else []
+                score = m.scores([c for c, _ in found], [x for _, x in found]) if m else np.full(len(rows), 0.5)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
 
     slim = docs.select("doc_id", "text", "lang", "source", "n_chars")
