@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_table(spark: SparkSession, rows: list[dict], columns: str) -> DataFrame:
+    """A few figures of the driver as a table, without RDDs: ``columns`` like "a: int, b: array<bigint>"."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{columns}>>")))
+
+
 def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one row per key of ``groups``, where few keys may hold most rows.
 

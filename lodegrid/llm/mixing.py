@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import WORD, draw_without_replacement, stored
+from lodegrid.llm.common import WORD, draw_without_replacement, small_table, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     blocks = stored(blocks.withColumn("partial", F.col("before") < F.col("rest")))
     quotas = blocks.groupBy("sid").agg(F.count("*").alias("n"), F.first("passes").alias("passes"), F.count_if("partial").alias("more")).orderBy("sid").collect()
     matrix = split_quotas([r["n"] * r["passes"] + r["more"] for r in quotas], n_shards, seed)
-    leaves = docs.sparkSession.createDataFrame([(r["sid"], r["n"], [int(x) for x in np.cumsum(matrix[:, k])]) for k, r in enumerate(quotas)], "sid int, n_filled long, ends array<long>")
+    leaves = small_table(docs.sparkSession, [{"sid": r["sid"], "n_filled": r["n"], "ends": np.cumsum(matrix[:, k]).tolist()} for k, r in enumerate(quotas)], "sid: int, n_filled: bigint, ends: array<bigint>")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes") + F.col("partial").cast("long")))
     units = blocks.filter("passes > 0 or partial").withColumn("copy", copies).join(F.broadcast(leaves), "sid")
     units = units.withColumn("unit", (F.col("copy") - 1) * F.col("n_filled") + F.col("place")).select(
