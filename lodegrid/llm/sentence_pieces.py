@@ -312,6 +312,8 @@ def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", ids_col
                 offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*names, ids_col])
+        m.remembered = {}  # workers are used again, for other stages too
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, _schema(df, **{ids_col: T.ArrayType(T.IntegerType())}))
 
