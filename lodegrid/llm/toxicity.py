@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,40 +36,65 @@ TOXIC_SHARE = 0.2
 LEAST_COUNT = 5
 #: A segment is significant if chance gives less than so many like it in a document of clean text.
 MOST_EXPECTED = 0.05
-TOKEN = re.compile(r"\w+")
+#: A token is a run of ASCII letters, digits and underscores, and of all characters beyond ASCII, in lower case and UTF-8.
+TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
+_APART = bytes(c if TOKEN.match(bytes([c])) else 32 for c in range(256))
 REMEMBERED = 300_000
 STEMS = (4, 5)
+#: Rows of an Arrow batch whose tokens are held at once.
+SLICE_ROWS = 256
 
 
-class _Features(dict):
-    """Token to a row of ``rows``: the buckets of the token and of its first STEMS characters, so that inflected forms share what is learnt."""
+class _Features:
+    """Token to a row of ``rows``: the buckets of the token and of its first STEMS bytes, so that inflected forms share what is learnt."""
 
     def __init__(self):
-        super().__init__()
+        self.row: dict[bytes, int] = {}
         self.rows = np.zeros((1024, 1 + len(STEMS)), dtype=np.int32)
 
-    def __missing__(self, token: str) -> int:
-        if (row := len(self)) == len(self.rows):
+    def learn(self, tokens: list[bytes]) -> None:
+        first = len(self.row)
+        while first + len(tokens) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        parts = [token, *[f"{token[:n]}*" if len(token) > n else token for n in STEMS]]
-        self.rows[row] = [xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for p in parts]
-        self[token] = row
-        return row
+        bucket = lambda s: xxhash.xxh64_intdigest(s) & (BUCKETS - 1)
+        self.rows[first : first + len(tokens)] = [[bucket(t), *[bucket(t[:n] + b"*") if len(t) > n else bucket(t) for n in STEMS]] for t in tokens]
+        self.row.update(zip(tokens, range(first, first + len(tokens)), strict=True))
 
 
 _features = _Features()
 
 
-def token_buckets(text: str | None) -> np.ndarray:
-    """[token, feature] of the whole text. Between texts a bounded number of tokens is remembered."""
+def token_rows(text: str | None) -> np.ndarray:
+    """Rows of _features, one a token of the whole text. Between texts a bounded number of tokens is remembered."""
     global _features
-    if len(_features) > REMEMBERED:
+    if len(_features.row) > REMEMBERED:
         _features = _Features()
-    tokens = TOKEN.findall((text or "").lower())
-    at = np.fromiter(map(_features.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    tokens = (text or "").lower().encode("utf-8", "surrogatepass").translate(_APART).split()
+    at = np.fromiter(map(_features.row.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+    unknown = np.flatnonzero(at < 0).tolist()
+    if unknown:
+        _features.learn(list(dict.fromkeys([tokens[k] for k in unknown])))
+        at[unknown] = [_features.row[tokens[k]] for k in unknown]
+    return at
+
+
+def token_buckets(text: str | None) -> np.ndarray:
+    """[token, feature]."""
+    at = token_rows(text)
     return _features.rows[at]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SLICE_ROWS rows at a time; at the end the tokens of the task are forgotten."""
+    global _features
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+    _features = _Features()
+    _row_scores.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score), in order: the linear-time scan of Ruzzo and Tompa.
 
@@ -95,6 +121,10 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, after - before) for a, b, before, after in found]
 
 
+#: For a scorer's table: the table, the features that its row scores belong to, these scores, and how many are filled.
+_row_scores: dict[int, tuple[np.ndarray, _Features, np.ndarray, int]] = {}
+
+
 @dataclass(frozen=True)
 class Scorer:
     """Scores by bucket (of BUCKETS: a fixed size) and log K: in clean text, K n exp(-s) segments of a score over s are to be expected.
@@ -105,14 +135,24 @@ class Scorer:
     scores: np.ndarray
     log_k: float = 0.0
 
-    def tokens(self, buckets: np.ndarray) -> np.ndarray:
-        return self.scores[buckets].max(axis=1) if len(buckets) else np.zeros(0, dtype=np.float32)
+    def of_text(self, text: str | None) -> np.ndarray:
+        """A score a token: the highest of its features. Scores of remembered tokens are looked up once."""
+        at = token_rows(text)
+        scores, features, known, filled = _row_scores.get(id(self.scores), (None, None, np.zeros(0, dtype=np.float32), 0))
+        if scores is not self.scores or features is not _features or len(known) != len(_features.rows):
+            known, filled = np.zeros(len(_features.rows), dtype=np.float32), 0
+            if len(_row_scores) > 3:
+                _row_scores.clear()
+        if filled < len(_features.row):
+            known[filled : len(_features.row)] = self.scores[_features.rows[filled : len(_features.row)]].max(axis=1)
+        _row_scores[id(self.scores)] = (self.scores, _features, known, len(_features.row))
+        return known[at]
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """The best segment's, and all significant segments', scores beyond what chance gives in a text this long."""
-        buckets = token_buckets(text)
-        segments = maximal_segments(self.tokens(buckets))
-        chance = self.log_k + math.log(max(1, len(buckets)))
+        scores = self.of_text(text)
+        segments = maximal_segments(scores)
+        chance = self.log_k + math.log(max(1, len(scores)))
         beyond = [s - chance for _, _, s in segments]
         significant = [b for b in beyond if b > -math.log(MOST_EXPECTED)]
         return max([0.0, *beyond]), math.log1p(sum(significant))
@@ -132,14 +172,16 @@ class Model:
         """Characters (from, to) and expected number by chance of each significant segment."""
         text = text or ""
         # Lower-casing may change lengths, so offsets are found in the original text token by token.
-        spans = [m.span() for m in TOKEN.finditer(text)]
-        buckets = np.concatenate([np.zeros((0, 1 + len(STEMS)), dtype=np.int32), *[token_buckets(text[a:b])[:1] for a, b in spans]])
+        raw = text.encode("utf-8", "surrogatepass")
+        spans = [m.span() for m in TOKEN.finditer(raw)]
+        scores = np.concatenate([np.zeros(0, dtype=np.float32), *[self.scorer.of_text(raw[a:b].decode("utf-8", "surrogatepass"))[:1] for a, b in spans]])
+        place = lambda k: len(raw[:k].decode("utf-8", "surrogatepass"))
         chance = self.scorer.log_k + math.log(max(1, len(spans)))
         out = []
-        for a, b, s in maximal_segments(self.scorer.tokens(buckets)):
+        for a, b, s in maximal_segments(scores):
             expected = math.exp(min(50.0, chance - s))
             if expected < MOST_EXPECTED:
-                out.append((spans[a][0], spans[b][1], expected))
+                out.append((place(spans[a][0]), place(spans[b][1]), expected))
         return out
 
 
@@ -161,14 +203,14 @@ def _counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((5, BUCKETS), dtype=np.int32)
-        for batch in batches:
-            part: list[list[np.ndarray]] = [[] for _ in names]
-            for text, toxic, fold in zip(*batch.columns, strict=True):
+        for part in _slices(batches):
+            found: list[list[np.ndarray]] = [[] for _ in names]
+            for text, toxic, fold in zip(*part.columns, strict=True):
                 b = token_buckets(text.as_py()).ravel()
-                part[0].append(b)
+                found[0].append(b)
                 if toxic.as_py() is not None:
-                    part[1 + 2 * toxic.as_py() + fold.as_py()].append(b)
-            for k, lists in enumerate(part):
+                    found[1 + 2 * toxic.as_py() + fold.as_py()].append(b)
+            for k, lists in enumerate(found):
                 if lists:
                     counts[k] += np.bincount(np.concatenate(lists), minlength=BUCKETS).astype(np.int32)
         bucket = np.flatnonzero(counts[0])
@@ -211,12 +253,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(t.as_py(), by_fold[f.as_py()], y.as_py()) for t, y, f in zip(*batch.columns, strict=True)]
-            rows = [(y, *s.evidence(t), math.log(max(1, len(token_buckets(t))))) for t, s, y in found]
-            yield pa.RecordBatch.from_pylist([dict(zip(("toxic", "best", "total", "length"), r, strict=True)) for r in rows], schema=pa.schema([("toxic", pa.int32()), ("best", pa.float64()), ("total", pa.float64()), ("length", pa.float64())]))
+            rows = [(y, *s.evidence(t)) for t, s, y in found]
+            yield pa.RecordBatch.from_pylist([dict(zip(("toxic", "best", "total"), r, strict=True)) for r in rows], schema=pa.schema([("toxic", pa.int32()), ("best", pa.float64()), ("total", pa.float64())]))
 
     few = F.broadcast(sample.orderBy(F.xxhash64(F.lit(6), "__id"), "__id").limit(MOST_CALIBRATED))
-    fitted = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).select("text", "toxic", "fold").mapInArrow(run, "toxic int, best double, total double, length double").collect()
-    y, best, total, length = (np.array([r[k] for r in fitted], dtype=np.float64) for k in range(4))
+    fitted = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).select("text", "toxic", "fold").mapInArrow(run, "toxic int, best double, total double").collect()
+    y, best, total = (np.array([r[k] for r in fitted], dtype=np.float64) for k in range(3))
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
         return Model(whole, (math.log(share / (1 - share)), 0.0, 0.0))
@@ -247,9 +289,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS scores of 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = pa.array([shared.value.score(t.as_py()) for t in batch.column(at)], type=pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*names, "score"])
+        for part in _slices(batches):
+            score = pa.array([shared.value.score(t.as_py()) for t in part.column(at)], type=pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns, score], [*names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
