@@ -1,10 +1,16 @@
 """Line de-duplication by pairwise alignment of overlapping documents.
 
-A line that at least two documents hold links each of them to the first one that holds it: one link per
-holder, so a frequent line needs no cap and no line gives all pairs of its holders. Linked documents
-are aligned by patience diff: lines unique in both are matched in order by a longest increasing subsequence,
-and between such anchors equal ends are matched and the rest is split again. The matched lines are deleted
-from the later document. All is judged on the input, not on what is left.
+A line is deleted from a document if the alignment with any earlier document that shares a line with it
+matches it. Documents are aligned by patience diff: lines unique in both are matched in order by a longest
+increasing subsequence, and between such anchors equal ends are matched and the rest is split again. All is
+judged on the input, not on what is left.
+
+Not all pairs need to be aligned for that. First each document is aligned with the first holder of each of its
+lines: one link per holder. Only documents with a shared line that is still there are aligned further: a copy with the
+first document of equal lines, any other with all holders of its rare lines, and with one document for each class
+of those that hold the frequent line. A class has equal sequences of frequent and blank lines and of gaps in between. Where no
+rare line is shared its members match the same lines, and where the class's first document does share
+one, all members are aligned.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,14 +30,20 @@ from lodegrid.llm.common import keyed_documents, lookup, stored
 #: Links of one first holder that are aligned in one task; more are spread.
 LINKS_A_TASK = 2000
 
+#: A line with more holders is frequent: its holders are dealt with by classes.
+RARE = 64
+
 BLANK = (0, 0)
+GAP = (0, 1)
 
 
 def line_hash(line: str) -> tuple[int, int]:
     """128 bits of the line without surrounding white space, as two signed longs; BLANK if nothing is left."""
     raw = line.strip().encode("utf-8", "surrogatepass")
-    if not raw:
-        return BLANK
+    return _two_longs(raw) if raw else BLANK
+
+
+def _two_longs(raw: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(raw)
     high, low = h >> 64, h & (1 << 64) - 1
     return high - (1 << 64) * (high >> 63), low - (1 << 64) * (low >> 63)
@@ -82,32 +95,27 @@ def patience_matches(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _digest(lines: list[tuple[int, int]]) -> tuple[int, int]:
+    return _two_longs(np.array(lines, dtype=np.int64).tobytes())
+
+
 def _sequences(docs: DataFrame) -> DataFrame:
-    """key, high, low: the hashes of all lines, in order."""
+    """key, high, low: the hashes of all lines, in order; all_high, all_low: the hash of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
         for batch in batches:
             lines = [[line_hash(x) for x in t.as_py().split("\n")] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[h for h, _ in x] for x in lines], type=longs), pa.array([[h for _, h in x] for x in lines], type=longs)], ["key", "high", "low"])
+            whole = [_digest(x) for x in lines]
+            columns = [pa.array([[h for h, _ in x] for x in lines], type=longs), pa.array([[h for _, h in x] for x in lines], type=longs), pa.array([h for h, _ in whole], type=pa.int64()), pa.array([h for _, h in whole], type=pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "high", "low", "all_high", "all_low"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, high array<long>, low array<long>")
+    return docs.select("key", "text").mapInArrow(run, "key long, high array<long>, low array<long>, all_high long, all_low long")
 
 
-def _links(sequences: DataFrame) -> DataFrame:
-    """first, key: each document with the first holders of its lines."""
-    lines = sequences.select("key", F.explode(F.array_distinct(F.arrays_zip("high", "low"))).alias("line")).select("key", "line.high", "line.low").filter("high != 0 or low != 0")
-    lines = stored(lines)
-    holders = stored(lines.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1"))
-    total = max(1, lines.count())
-    return stored(lookup(lines, holders, ["high", "low"], "n", total).filter("first < key").select("first", "key").distinct())
-
-
-def find_repeated_lines(docs: DataFrame) -> DataFrame:
-    """key, line (number from 0), first (the earlier document): the lines of each document to be deleted. ``docs`` has unique keys in the order of documents, and text."""
-    sequences = stored(_sequences(docs))
-    links = _links(sequences)
-    # A first holder of very many links is sent to several tasks.
+def _aligned(links: DataFrame, sequences: DataFrame) -> DataFrame:
+    """key, line, first: the lines of ``key`` that are matched in the alignment with ``first``."""
+    # A first document of very many links is sent to several tasks.
     sizes = stored(links.groupBy("first").agg(F.count("*").alias("n")).withColumn("tasks", F.ceil(F.col("n") / LINKS_A_TASK).cast("int")))
     spread = lookup(links, sizes, ["first"], "n", max(1, links.count())).withColumn("task", F.pmod(F.xxhash64("key"), F.col("tasks")).cast("int"))
     earlier = sequences.join(sizes, F.col("key") == F.col("first")).select("first", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("high").alias("a_high"), F.col("low").alias("a_low"))
@@ -126,8 +134,75 @@ def find_repeated_lines(docs: DataFrame) -> DataFrame:
     return pairs.select("key", "first", "a_high", "a_low", "high", "low").mapInArrow(run, "key long, line int, first long")
 
 
+def _classes(sequences: DataFrame, frequent: DataFrame) -> DataFrame:
+    """key, c_high, c_low: the hash of each document's frequent and blank lines and the gaps between them. ``frequent`` has key, high, low."""
+    held = frequent.groupBy("key").agg(F.collect_list(F.struct("high", "low")).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for high, low, held in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                seen, kept = {(x["high"], x["low"]) for x in held} | {BLANK}, []
+                for line in zip(high, low, strict=True):
+                    if line in seen:
+                        kept.append(line)
+                    elif not kept or kept[-1] != GAP:
+                        kept.append(GAP)
+                found.append(_digest(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in found], type=pa.int64()), pa.array([h for _, h in found], type=pa.int64())], ["key", "c_high", "c_low"])
+
+    return sequences.join(held, "key").select("key", "high", "low", "held").mapInArrow(run, "key long, c_high long, c_low long")
+
+
+def _further_links(sequences: DataFrame, lines: DataFrame, holders: DataFrame, shared: DataFrame, left: DataFrame, rare: int) -> DataFrame:
+    """first, key: what the documents of ``left`` (key, high, low, n: lines that are shared and still there) are to be aligned with."""
+    line = ["high", "low"]
+    equal = stored(sequences.groupBy("all_high", "all_low").agg(F.min("key").alias("first"), F.count("*").alias("n")))
+    open_keys = stored(left.select("key").distinct())
+    whole = lookup(sequences.select("key", "all_high", "all_low"), equal, ["all_high", "all_low"], "n", max(1, sequences.count()))
+    copies = stored(whole.filter("first < key").select("first", "key"))
+    of_copies = copies.join(open_keys, "key", "left_semi").select("first", "key")
+    open_keys = stored(open_keys.join(copies, "key", "left_anti"))
+    left = stored(left.join(open_keys, "key", "left_semi"))
+    lines = stored(lines.join(copies, "key", "left_anti"))
+    wanted = shared.filter(F.col("n") <= rare).join(open_keys, "key", "left_semi").select("key", *line)
+    partners = stored(wanted.join(lines.withColumnRenamed("key", "first"), line).filter("first < key").select("first", "key").distinct())
+    frequent = stored(lookup(lines, holders.filter(F.col("n") > rare), line, "n", max(1, lines.count())).select("key", *line))
+    classes = stored(_classes(sequences, frequent))
+    firsts = stored(classes.groupBy("c_high", "c_low").agg(F.min("key").alias("first")))
+    by_line = frequent.join(firsts, F.col("key") == F.col("first"), "left_semi").groupBy(*line).agg(F.collect_set("key").alias("firsts"))
+    uses = left.filter(F.col("n") > rare).select("key", *line)
+    by_line = stored(by_line.join(uses.groupBy(*line).agg(F.count("*").alias("n")), line))
+    by_class = stored(lookup(uses, by_line, line, "n", max(1, uses.count())).select("key", F.explode("firsts").alias("first")).filter("first < key").select("first", "key").distinct())
+    # A partner doesn't stand for its class: all members are aligned.
+    doubtful = by_class.join(partners, ["first", "key"], "left_semi").join(firsts, "first").select("key", "c_high", "c_low")
+    members = doubtful.join(classes.withColumnRenamed("key", "first"), ["c_high", "c_low"]).filter("first < key").select("first", "key")
+    return of_copies.unionByName(partners).unionByName(by_class).unionByName(members).distinct()
+
+
+def find_repeated_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
+    """key, line (number from 0), first (an earlier document): the lines of each document to be deleted. ``docs`` has unique keys in the order of documents, and text."""
+    sequences = stored(_sequences(docs))
+    lines = stored(sequences.select("key", F.explode(F.array_distinct(F.arrays_zip("high", "low"))).alias("line")).select("key", "line.high", "line.low").filter("high != 0 or low != 0"))
+    holders = stored(lines.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1"))
+    shared = stored(lookup(lines, holders, ["high", "low"], "n", max(1, lines.count())).filter("first < key"))
+    links = stored(shared.select("first", "key").distinct())
+    found = stored(_aligned(links, sequences))
+    spots = sequences.join(links.select("key"), "key", "left_semi").select("key", F.posexplode(F.arrays_zip("high", "low")).alias("line", "at")).select("key", "line", "at.high", "at.low")
+    left = spots.join(found, ["key", "line"], "left_anti").join(shared.select("key", "high", "low", "n"), ["key", "high", "low"])
+    left = stored(left.select("key", "high", "low", "n").distinct())
+    if left.isEmpty():
+        return found
+    further = stored(_further_links(sequences, lines, holders, shared, left, rare).join(links, ["first", "key"], "left_anti"))
+    more = _aligned(further, sequences).join(found, ["key", "line"], "left_anti").groupBy("key", "line").agg(F.min("first").alias("first"))
+    return found.unionByName(more)
+
+
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_lines, removed (sorted line numbers), n_earlier (documents they were aligned with), kept (text).
+    """One row per input row: doc_id, n_lines, removed (sorted line numbers), n_earlier, kept (text).
+
+    n_earlier counts the first holders that removed lines are aligned with, and for each line that none of them
+    matches the first of the other documents looked at that does.
 
     Lines end at a newline. Blank lines are never deleted, and lines are equal if they are without
     surrounding white space. A null text counts as empty: one blank line. Rows with a null doc_id come first, and

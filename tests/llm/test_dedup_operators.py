@@ -155,6 +155,33 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
     assert sorted((str(r["doc_id"]), r["removed"]) for r in out) == [("4", [0, 1]), ("4", [0, 1]), ("None", [])]
 
 
+def brute_lines_of_all_pairs(rows):
+    texts, out = [(i, [x.strip() for x in (t or "").split("\n")]) for i, t in rows], {}
+    for k, (i, ls) in enumerate(texts):
+        out[i] = sorted({j for _, a in texts[:k] for _, j in line_dedup.patience_matches(a, ls) if ls[j]})
+    return out
+
+
+def boilerplate(seed, n=120):
+    """Few lines that many documents hold in several orders and numbers, some rare ones, blank ones and copies."""
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        t = [rng.choice("pqrstuvw") for _ in range(rng.randint(1, 6))]
+        t = [x for y in t for x in ([y] if rng.random() < 0.7 else [rng.choice([f"own {k}", "", f"rare {rng.randrange(30)}"]), y])]
+        rows.append((k * 2, rng.choice(rows)[1] if rows and rng.random() < 0.2 else "\n".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("rare", [3, 20, 1000])
+@pytest.mark.parametrize("rows", [[(1, "p\nq\nr"), (2, "r\nq\np"), (3, "r\nq\np")], boilerplate(1), boilerplate(2), corpus(4)], ids=["copy", "boilerplate 1", "boilerplate 2", "corpus"])
+def test_lines_of_all_pairs(spark, rows, rare):
+    keyed = spark.createDataFrame(rows, "key long, text string")
+    gone = {i: set() for i, _ in rows}
+    for r in line_dedup.find_repeated_lines(keyed, rare).collect():
+        gone[r["key"]].add(r["line"])
+    assert {i: sorted(x) for i, x in gone.items()} == brute_lines_of_all_pairs(rows)
+
+
 def test_patience_matches_rise_and_agree():
     rng = random.Random(5)
     for _ in range(200):
