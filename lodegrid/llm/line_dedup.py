@@ -2,8 +2,8 @@
 
 A line is deleted from a document if the alignment with any earlier document that shares a line with it
 matches it. Documents are aligned by patience diff: lines unique in both are matched in order by a longest
-increasing subsequence, and between such anchors equal ends are matched and the rest is split again. All is
-judged on the input, not on what is left.
+increasing subsequence, and between such anchors equal ends are matched and the rest is split again; what has no
+line unique in both is aligned by a longest common subsequence. All is judged on the input, not on what is left.
 
 Not all pairs need to be aligned for that. First each document is aligned with the first holder of each of its
 lines: one link per holder. Only documents with a shared line that is still there are aligned further: a copy with the
@@ -18,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,42 @@ def _longest_rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _longest_common(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a longest common subsequence, by rows of bits; one row in the root of their number is kept and the others are made again."""
+    places: dict = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full, width = (1 << len(b)) - 1, isqrt(len(a)) + 1
+
+    def step(row: int, x) -> int:
+        hit = row & places.get(x, 0)
+        return ((row + hit) | (row - hit)) & full
+
+    marks = [row := full]
+    for i, x in enumerate(a, 1):
+        row = step(row, x)
+        if i % width == 0:
+            marks.append(row)
+    out, i, j, block, rows = [], len(a), len(b), -1, []
+    while i and j:
+        for at in (i, i - 1):
+            if at // width != block:
+                block = at // width
+                rows = [marks[block]]
+                for x in a[block * width : (block + 1) * width - 1]:
+                    rows.append(step(rows[-1], x))
+            if rows[at - block * width] >> (j - 1) & 1:  # the column adds nothing to the row
+                if at == i:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+                break
+        else:
+            i -= 1
+    return out[::-1]
+
+
 def patience_matches(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs (i, j), rising in both, of lines that patience diff aligns."""
     out: list[tuple[int, int]] = []
@@ -88,6 +125,9 @@ def patience_matches(a: list, b: list) -> list[tuple[int, int]]:
         anchors = [(i, place[x]) for i, x in enumerate(a[a0:a1], a0) if x in place]
         anchors = [anchors[k] for k in _longest_rising([j for _, j in anchors])]
         if not anchors:
+            left = [i for i in range(a0, a1) if a[i] in in_b]
+            right = [j for j in range(b0, b1) if b[j] in in_a]
+            out += [(left[i], right[j]) for i, j in _longest_common([a[i] for i in left], [b[j] for j in right])]
             continue
         # Each gap begins with its anchor, which the next round matches as an equal end.
         edges = [(a0, b0), *anchors, (a1, b1)]
@@ -113,6 +153,13 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key long, high array<long>, low array<long>, all_high long, all_low long")
 
 
+def _pairs_of_longs(high: pa.ListArray, low: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """The lines of each row."""
+    lines = list(zip(high.values.to_numpy().tolist(), low.values.to_numpy().tolist(), strict=True))
+    at = high.offsets.to_numpy().tolist()
+    return (lines[i:j] for i, j in zip(at, at[1:], strict=False))
+
+
 def _aligned(links: DataFrame, sequences: DataFrame) -> DataFrame:
     """key, line, first: the lines of ``key`` that are matched in the alignment with ``first``."""
     # A first document of very many links is sent to several tasks.
@@ -124,10 +171,9 @@ def _aligned(links: DataFrame, sequences: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[int, int, int]] = []
-            for key, first, *arrays in zip(*batch.columns, strict=True):
-                a_high, a_low, high, low = (x.as_py() for x in arrays)
-                b = list(zip(high, low, strict=True))
-                rows += [(key.as_py(), j, first.as_py()) for _, j in patience_matches(list(zip(a_high, a_low, strict=True)), b) if b[j] != BLANK]
+            keys, firsts, *arrays = batch.columns
+            for key, first, a, b in zip(keys.to_pylist(), firsts.to_pylist(), _pairs_of_longs(*arrays[:2]), _pairs_of_longs(*arrays[2:]), strict=True):
+                rows += [(key, j, first) for _, j in patience_matches(a, b) if b[j] != BLANK]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int64()), pa.array(columns[1], type=pa.int32()), pa.array(columns[2], type=pa.int64())], ["key", "line", "first"])
 

@@ -191,6 +191,20 @@ def test_patience_matches_rise_and_agree():
     assert line_dedup.patience_matches(list("xaby"), list("abz")) == [(1, 0), (2, 1)]
 
 
+def test_gaps_without_unique_lines_are_aligned():
+    a, b = ["a1", *"xyxy", "a2"], ["b1", *"xyxy", "b2"]
+    assert line_dedup.patience_matches(a, b) == [(k, k) for k in range(1, 5)]
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 15))] for _ in range(2))
+        length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                length[i + 1][j + 1] = length[i][j] + 1 if x == y else max(length[i][j + 1], length[i + 1][j])
+        m = line_dedup._longest_common(a, b)
+        assert len(m) == length[-1][-1] and all(a[i] == b[j] for i, j in m) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(m, m[1:], strict=False))
+
+
 # -- repeats ----------------------------------------------------------------------------------------------------------
 def brute_repeats(rows, width):
     seen, out = set(), []
