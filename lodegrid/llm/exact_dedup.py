@@ -12,7 +12,7 @@ themselves; otherwise the keys are drawn again with another salt.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegrid.llm.common import SPACE, lookup, stored
@@ -103,12 +103,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays."""
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows (equal ids and texts) the smallest stays."""
     rows = stored(exact_dedup(docs, id_col, text_col))
     kept = rows.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     sha = F.sha2(F.encode(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), "UTF-8"), 256)
     out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
-    if rows.groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
+    repeated = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).count().filter("count > 1").select("__id", "__sha")
+    if repeated.isEmpty():
         return out
-    first = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != id_col])
-    return out.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
+    repeated, same = stored(repeated), F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    many = out.join(repeated, same, "left_semi").select(F.col(id_col).alias("__id"), sha.alias("__sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    one = many.groupBy("__id", "__sha").agg(F.min("__row").alias("__row")).select("__row.*")
+    return out.join(repeated, same, "left_anti").unionByName(one)

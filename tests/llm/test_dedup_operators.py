@@ -64,6 +64,12 @@ def test_drop_copies_keeps_one_of_each(spark):
     assert sorted((r["doc_id"], (r["text"] or "").strip() == "") for r in kept.collect()) == [(2, True), (9, False)]
 
 
+def test_drop_copies_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "a"), (1, "a"), (None, "x"), (None, "y"), (None, "z"), (None, "z"), (1, "b"), (2, "b"), (1, "a "), (3, None), (3, "")]
+    kept = exact_dedup.drop_copies(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "")) for r in kept) == [("1", "a"), ("1", "a "), ("1", "b"), ("3", ""), ("None", "x"), ("None", "y"), ("None", "z")]
+
+
 # -- SimHash ----------------------------------------------------------------------------------------------------------
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
