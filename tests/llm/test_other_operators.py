@@ -182,6 +182,19 @@ def test_quality_on_held_out_rows(spark):
     assert accuracy(rows, {k: q for k, (q, _) in truth.items()}) > 0.95
 
 
+def test_all_unlabelled_documents_take_part(spark):
+    docs, labels, _ = labelled(spark, 300)
+    more = frame(spark, [(1000 + k, f"w{k} w{k + 1}", "rare") for k in range(8500)] + [(None, "w1 w2", None)])
+    rows = quality.featured(docs.unionByName(more), labels)
+    model = quality.train(rows)
+    assert model.pooled == 100 + 8501
+    counts = quality._histograms([], model.views, rows.filter("pooled"))
+    assert counts.sum(axis=1).tolist() == [8601, 8601]
+    cuts = [(quality._cut(c, 300), (quality.BINS, 0.0)) for c in counts]
+    handed = quality._handed([quality.Round(model.views, cuts)], rows.filter("pooled")).groupBy("view", "label").count().collect()
+    assert {r["view"] for r in handed} <= {0, 1} and {r["label"] for r in handed} <= {0} and all(0 < r["count"] <= 400 for r in handed)
+
+
 def test_classifiers_without_labels_or_texts(spark):
     odd, none = frame(spark, ODD), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one_class = spark.createDataFrame([(3, 1, 1), (4, 1, 1), (4, 0, 0), (None, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
