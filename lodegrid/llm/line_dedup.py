@@ -34,6 +34,9 @@ LINKS_A_TASK = 2000
 #: A line with more holders is frequent: its holders are dealt with by classes.
 RARE = 64
 
+#: Rows of a batch that are unpacked at once.
+UNPACKED = 256
+
 BLANK = (0, 0)
 GAP = (0, 1)
 
@@ -135,6 +138,10 @@ def patience_matches(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, UNPACKED) for batch in batches for k in range(0, batch.num_rows, UNPACKED))
+
+
 def _digest(lines: list[tuple[int, int]]) -> tuple[int, int]:
     return _two_longs(np.array(lines, dtype=np.int64).tobytes())
 
@@ -144,7 +151,7 @@ def _sequences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in _slices(batches):
             lines = [[line_hash(x) for x in t.as_py().split("\n")] for t in batch.column(1)]
             whole = [_digest(x) for x in lines]
             columns = [pa.array([[h for h, _ in x] for x in lines], type=longs), pa.array([[h for _, h in x] for x in lines], type=longs), pa.array([h for h, _ in whole], type=pa.int64()), pa.array([h for _, h in whole], type=pa.int64())]
@@ -154,10 +161,11 @@ def _sequences(docs: DataFrame) -> DataFrame:
 
 
 def _pairs_of_longs(high: pa.ListArray, low: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
-    """The lines of each row."""
-    lines = list(zip(high.values.to_numpy().tolist(), low.values.to_numpy().tolist(), strict=True))
-    at = high.offsets.to_numpy().tolist()
-    return (lines[i:j] for i, j in zip(at, at[1:], strict=False))
+    """The lines of each row, made one row at a time."""
+    highs, lows = high.values.to_numpy(), low.values.to_numpy()
+    starts, others = high.offsets.to_numpy().tolist(), low.offsets.to_numpy().tolist()
+    for i, j, k in zip(starts, starts[1:], others, strict=False):
+        yield list(zip(highs[i:j].tolist(), lows[k : k + j - i].tolist(), strict=True))
 
 
 def _aligned(links: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -169,7 +177,7 @@ def _aligned(links: DataFrame, sequences: DataFrame) -> DataFrame:
     pairs = spread.select("first", "key", "task").join(earlier, ["first", "task"]).join(sequences, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows: list[tuple[int, int, int]] = []
             keys, firsts, *arrays = batch.columns
             for key, first, a, b in zip(keys.to_pylist(), firsts.to_pylist(), _pairs_of_longs(*arrays[:2]), _pairs_of_longs(*arrays[2:]), strict=True):
@@ -185,7 +193,7 @@ def _classes(sequences: DataFrame, frequent: DataFrame) -> DataFrame:
     held = frequent.groupBy("key").agg(F.collect_list(F.struct("high", "low")).alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = []
             for high, low, held in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 seen, kept = {(x["high"], x["low"]) for x in held} | {BLANK}, []
