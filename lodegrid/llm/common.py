@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key with at least 1/HOT_SHARE of all rows is hot; so there are HOT_SHARE hot keys at most.
 HOT_SHARE = 1000
 
+#: Rows of an Arrow batch that the JVM hands over, and rows and bytes of the slices in which they are worked on.
+BATCH_ROWS = 2000
+SLICE_ROWS = 256
+SLICE_BYTES = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one in single-JVM local mode."""
@@ -43,6 +51,42 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(``docs`` written with a number for each row, the name of that column): rows keep their identity, whatever their ids are."""
+    rid = "__rid"
+    while rid in docs.columns:
+        rid += "_"
+    return stored(docs.withColumn(rid, F.monotonically_increasing_id())), rid
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of BATCH_ROWS rows at most, so that neither side holds many long ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def slices(batches: Iterator[pa.RecordBatch], most_rows: int = SLICE_ROWS, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of at most so many rows and bytes (or one row)."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(most_rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).get_total_buffer_size() > most_bytes and batch.slice(at, n).nbytes > most_bytes:
+                n //= 2
+            yield batch.slice(at, n)
+            at += n
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, for other stages too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        return
+
+
 def small_table(spark: SparkSession, rows: list[dict], columns: str) -> DataFrame:
     """A few figures of the driver as a table, without RDDs: ``columns`` like "a: int, b: array<bigint>"."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{columns}>>")))
