@@ -215,25 +215,36 @@ def brute_nearest(rows, every=50, k=5):
     return out
 
 
-def test_neighbours_recall_and_ties(spark):
+@pytest.mark.parametrize("block_rows", [100_000, 60])
+def test_neighbours_recall_and_ties(spark, block_rows):
     rng = np.random.default_rng(4)
     rows = [(k, rng.standard_normal(16).tolist()) for k in range(1200)] + [(k, [1.0] * 16) for k in range(1200, 1320)]
     df = spark.createDataFrame([(i, v, 0, 0.0) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double")
     exact = [(r["vec_id"], r["v"]) for r in neighbours.usable(df).collect()]
     want = brute_nearest(exact)
-    found = neighbours.nearest(neighbours.usable(df), neighbours.usable(df).filter("vec_id % 50 = 0"), block_rows=300, query_rows=10).collect()
+    found = neighbours.nearest(neighbours.usable(df), F.col("vec_id") % 50 == 0, block_rows=block_rows).collect()
     got = {}
     for r in sorted(found, key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
-    assert set(got) == set(want) and got[1200] == [1201, 1202, 1203, 1204, 1205]
+    assert set(got) == set(want) and got[1200] == [1201, 1202, 1203, 1204, 1205] and got[1300] == [1200, 1201, 1202, 1203, 1204]
     assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+    v = dict(exact)
+    for r in found:
+        x, y = np.array(v[r["query_id"]]), np.array(v[r["vec_id"]])
+        assert r["score"] == (x * y).sum() / (np.sqrt((y * y).sum()) * np.sqrt((x * x).sum()))
+
+
+def test_rows_that_share_an_id_are_neighbours_of_their_own(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [1.0, 0.1 * k]) for k in range(1, 7)] + [(9, [0.0, 1.0]), (11, [1.0, 0.01])]
+    out = [(r["rank"], r["vec_id"]) for r in neighbours.nearest_of_every(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(out) == [(1, 11), (2, 7), (3, 7), (4, 7), (5, 7)]
 
 
 def test_unusable_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, None), (100, []), (150, [0.0, 0.0]), (200, [float("nan"), 1.0]), (250, [None, 1.0]), (300, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     out = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest_of_every(df).collect()]
-    assert out == [(0, 1, 7)]
+    assert sorted(out) == [(0, 1, 0), (0, 1, 0), (0, 2, 7), (0, 2, 7)]  # a repeated row is another row
     assert neighbours.nearest_of_every(df.limit(0)).count() == 0
 
 
