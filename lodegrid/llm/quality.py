@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegrid.llm.common import stored
+from lodegrid.llm.common import give_back, short_batches, slices, stored
 
 #: Labelled rows that are learnt from, at most.
 MOST_LABELLED = 10_000
@@ -34,6 +34,8 @@ HANDED = 0.05
 CALIBRATION = 0.25
 CONTENT_FEATURES = 1 << 16
 META_FEATURES = 1 << 12
+#: Numbers of features fit two bytes.
+PACKED = np.dtype("<u2")
 STEPS = 40
 #: Steps over labelled and handed rows after each round; each is a pass over the handed rows.
 FURTHER_STEPS = 6
@@ -119,13 +121,13 @@ Packed = tuple[np.ndarray, np.ndarray]
 
 def pack(rows: list[np.ndarray]) -> Packed:
     """All features in a row, and how many each document has."""
-    return np.concatenate([np.zeros(0, dtype=np.int32), *rows]), np.array([len(r) for r in rows], dtype=np.int64)
+    return np.concatenate([np.zeros(0, dtype=PACKED), *rows]), np.array([len(r) for r in rows], dtype=np.int64)
 
 
 def packed_column(column: pa.BinaryArray) -> Packed:
-    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1] // 2
     data = column.buffers()[2]
-    return np.frombuffer(data, dtype=np.int32)[at[0] : at[-1]] if data and at[-1] else np.zeros(0, dtype=np.int32), np.diff(at).astype(np.int64)
+    return np.frombuffer(data, dtype=PACKED)[at[0] : at[-1]] if data and at[-1] else np.zeros(0, dtype=PACKED), np.diff(at).astype(np.int64)
 
 
 class Linear:
@@ -336,14 +338,16 @@ def training_part(id_col: str = "doc_id"):
 
 def _features(docs: DataFrame) -> DataFrame:
     """doc_id and the packed features of both views."""
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                found = [both_features(*row) for row in zip(*[c.to_pylist() for c in part.columns[1:]], strict=True)]
-                content, meta = [c.tobytes() for c, _ in found], [m.tobytes() for _, m in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, type=pa.binary()), pa.array(meta, type=pa.binary())], ["doc_id", "content", "meta"])
+        global _known
+        for part in slices(batches):
+            found = [both_features(*row) for row in zip(*[c.to_pylist() for c in part.columns[1:]], strict=True)]
+            content, meta = [c.astype(PACKED).tobytes() for c, _ in found], [m.astype(PACKED).tobytes() for _, m in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, type=pa.binary()), pa.array(meta, type=pa.binary())], ["doc_id", "content", "meta"])
+        _known = {}
+        give_back()
 
     slim = docs.select("doc_id", "text", "lang", "source", "n_chars")
     return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], T.StructField("content", T.BinaryType()), T.StructField("meta", T.BinaryType())]))
@@ -363,8 +367,10 @@ def featured(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
 
 def train(rows: DataFrame) -> Model | None:
     """Learn from rows of ``featured``. None if the labels of the training part have one class only, or there are none."""
-    found = rows.filter("quality is not null").select("content", "meta", "quality").collect()
-    unpack = lambda x: np.frombuffer(bytes(x), dtype=np.int32)
+    # Rows that share an id count once, so no more rows are collected than ids were chosen.
+    one = rows.filter("quality is not null").groupBy("doc_id").agg(F.min(F.struct("content", "meta", "quality")).alias("row"))
+    found = one.select("row.*").collect()
+    unpack = lambda x: np.frombuffer(bytes(x), dtype=PACKED)
     found.sort(key=lambda r: xxhash.xxh64_intdigest(bytes(r["content"]) + bytes(r["meta"])))
     y = np.array([r["quality"] for r in found], dtype=np.int64)
     n_kept = max(1, int(len(y) * CALIBRATION))
