@@ -7,6 +7,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The folders that tables are stored in at the moment, innermost last.
+_scopes: list[str] = []
+
+
+@contextmanager
+def scope(name: str) -> Iterator[str]:
+    """Tables that are stored meanwhile go to a folder of their own, which can be swept alone. Yields its name."""
+    _scopes.append(f"{name}-{uuid.uuid4().hex}")
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def _folder(spark: SparkSession, name: str = "") -> str:
+    return "/".join(x for x in (shared_dir(spark), "lodegrid", spark.sparkContext.applicationId, name) if x)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and losing executors loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodegrid/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_folder(spark, _scopes[-1] if _scopes else 'shared')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that ``stored`` has written for this application. Call it when results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodegrid/{spark.sparkContext.applicationId}")
+def sweep(spark: SparkSession, name: str = "") -> None:
+    """Delete the tables that were stored in a scope, or every one of this application. Call it when results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, name))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
