@@ -6,6 +6,7 @@ The six DOI rules differ on purpose: each belongs to one matching step, and mixi
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,9 +65,9 @@ def doi_for_reconciliation(c: Column) -> Column:
 
 
 def doi_for_bibliography(c: Column) -> Column:
-    """doi:, then https, in this case only; keys that stand in for a DOI are empty."""
-    out = F.regexp_replace(F.regexp_replace(trimmed(c), "^doi:", ""), "^https://doi\\.org/", "")
-    return F.when(trimmed(c).startswith("fallback:"), "").otherwise(out)
+    """doi:, then https, in this case only, then lower case; keys that stand in for a DOI are empty."""
+    bare = F.regexp_replace(trimmed(c), "^doi:", "")
+    return F.when(bare.startswith("fallback:"), "").otherwise(F.lower(F.regexp_replace(bare, "^https://doi\\.org/", "")))
 
 
 def doi_for_lookup(c: Column) -> Column:
@@ -239,8 +240,24 @@ def passage_is_valid(c: Column) -> Column:
     return _blank(c).rlike(r"^(doi|fallback):[^:]+:P\d{3}$")
 
 
-def file_safe(c: Column) -> Column:
-    return F.translate(_blank(c), ":/", "__")
+def file_safe(c: Column, ending: str = "") -> Column:
+    """An id as a name of a file: colons and slashes become underscores."""
+    return F.concat(F.translate(_blank(c), ":/", "__"), F.lit(ending))
+
+
+def seed_id(file: Column) -> Column:
+    """"Author et al. - 2025 - Title.pdf" as author, topic of the title and year; other names without marks, cut to 30 characters."""
+    stem = F.regexp_replace(_blank(file), r"(?<=.)\.[^.]*$", "")
+    named = lambda k: F.regexp_extract(stem, r"^([A-Za-z]+)\b.*?-\s*(\d{4})\s*-\s*(.+)$", k)
+    title = F.lower(named(3))
+    has = lambda *words: reduce(lambda x, y: x & y, [title.contains(w) for w in words])
+    # Topics, the most specific first.
+    topic = (
+        F.when(has("large language model") | has("llm-based"), "LLMAgents").when(has("agentic programming"), "AgenticProg").when(has("low-code") | has("no-code"), "LCNC")
+        .when(has("agentic software"), "AgenticSE").when(has("agents", "software"), "AgentsSE").otherwise("")
+    )
+    bare = F.substring(F.regexp_replace(stem, "[^A-Za-z0-9]+", ""), 1, 30)
+    return F.when(named(1) != "", F.concat(named(1), topic, named(2))).otherwise(F.coalesce(F.nullif(bare, F.lit("")), stem))
 
 
 def doi_in_url(c: Column) -> Column:
@@ -265,9 +282,47 @@ def first_match(c: Column, rules: list[tuple[str, str]], default: str) -> Column
     return out
 
 
-# Kinds of entries and venues.
-ENTRY_TYPES = [("(?i)^inproceedings$|^conference$", "conference"), ("(?i)^article$", "journal"), ("(?i)^(in)?book$|^incollection$", "book"), ("(?i)thesis$", "thesis")]
-VENUE_TYPES = [("(?i)conf|proceed|workshop|symposium", "inproceedings"), ("(?i)journal|article", "article"), ("(?i)book|chapter", "incollection")]
+# Kind of source and kind of document by type of entry, and entry and field by kind of venue, first hit first.
+ENTRY_TYPES = {
+    "inproceedings": ("p", "Conference Paper"),
+    "article": ("j", "Article"),
+    "inbook": ("p", "Book Chapter"),
+    "proceedings": ("p", "Proceedings"),
+    "incollection": ("p", "Book Chapter"),
+    "phdthesis": ("j", "Thesis"),
+    "mastersthesis": ("j", "Thesis"),
+    "misc": ("p", "Other"),
+}
+OTHER_ENTRY = ("p", "Other")
+VENUE_TYPES = [
+    (("journal",), ("@article", "journal")),
+    (("conference", "proceedings", "workshop"), ("@inproceedings", "booktitle")),
+    (("book",), ("@inbook", "booktitle")),
+    (("preprint", "arxiv"), ("@misc", "howpublished")),
+    (("thesis",), ("@phdthesis", "school")),
+]
+OTHER_VENUE = ("@misc", "howpublished")
+
+
+def _pair(names: tuple[str, str], values: tuple[str, str]) -> Column:
+    return F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)])
+
+
+def entry_kind(entry_type: Column) -> Column:
+    """source_type and doctype of a type of entry, as a struct."""
+    names, out = ("source_type", "doctype"), _pair(("source_type", "doctype"), OTHER_ENTRY)
+    for kind, values in ENTRY_TYPES.items():
+        out = F.when(_blank(entry_type) == kind, _pair(names, values)).otherwise(out)
+    return out
+
+
+def venue_entry(venue_type: Column) -> Column:
+    """entry and field of a kind of venue, as a struct: the first rule with a word that occurs."""
+    names, low = ("entry", "field"), F.lower(_blank(venue_type))
+    out = _pair(names, OTHER_VENUE)
+    for words, values in reversed(VENUE_TYPES):
+        out = F.when(reduce(lambda x, y: x | y, [low.contains(w) for w in words]), _pair(names, values)).otherwise(out)
+    return out
 
 
 def candidate_urls(*urls: Column) -> Column:

@@ -152,10 +152,23 @@ def flat(c: Column) -> Column:
     return F.trim(F.regexp_replace(_blank(c), r"\s+", " "))
 
 
-def between(c: Column, start: str, end: str) -> Column:
-    """Text between two marks, or to its end; empty without the first."""
-    after = F.when(_blank(c).contains(start), F.substring_index(c, start, -1)).otherwise("")
-    return F.trim(F.substring_index(after, end, 1))
+def between(c: Column, start: str, end: str, fallback: int = 3000) -> Column:
+    """From the first start mark, which stays, up to the first end mark of the text; its beginning if a mark is missing."""
+    first, last = F.instr(c, start), F.instr(c, end)
+    return F.when((first == 0) | (last == 0), F.substring(_blank(c), 1, fallback)).otherwise(trimmed(F.substring(c, first, F.greatest(F.lit(0), last - first))))
+
+
+def page_string(pages: Column, article: Column, number: Column) -> Column:
+    """Pages with one hyphen; without any, "art<article>:<number>pp" if both are known, else null."""
+    given = F.nullif(_blank(pages), F.lit(""))
+    both = (_blank(article) != "") & (_blank(number) != "")
+    fallback = F.when(both, F.concat(F.lit("art"), article, F.lit(":"), number, F.lit("pp")))
+    return F.when(given.isNotNull(), trimmed(F.replace(F.replace(given, F.lit("–"), F.lit("-")), F.lit("--"), F.lit("-")))).otherwise(fallback)
+
+
+def env_value(c: Column) -> Column:
+    """The value of a NAME=value line without blanks and quotes around it."""
+    return F.regexp_replace(F.regexp_replace(trimmed(F.regexp_extract(_blank(c), r"(?s)^[^=]*=(.*)$", 1)), r'^"+|"+$', ""), r"^'+|'+$", "")
 
 
 def escaped_for_bibtex(c: Column) -> Column:

@@ -131,6 +131,11 @@ def coverage(df: DataFrame, columns: list[str], subset: Column | None = None) ->
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled"), F.col("__total").alias("total")) for c in columns])))
 
 
+def lookup_coverage(df: DataFrame, source: str, differs: Column, status: str = "lookup") -> DataFrame:
+    """status, source, n, deltas: rows by outcome of a lookup and by source, and how many of the matched ones differ from what was found."""
+    return df.groupBy(status, source).agg(F.count("*").alias("n"), F.count_if((F.col(status) == "matched") & differs).alias("deltas"))
+
+
 def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, value, n for several columns at once, by grouping sets."""
     view = df.select(*[F.col(c).cast("string").alias(c) for c in columns])

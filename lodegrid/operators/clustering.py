@@ -99,7 +99,10 @@ def emitted(state: DataFrame) -> DataFrame:
 
 
 # Labels that say nothing, and words that don't make one.
-VAGUE = ("misc", "other", "general", "various", "unknown", "n/a")
+VAGUE = (
+    "general", "other", "misc", "miscellaneous", "uncategorized", "uncategorised", "general usage", "general pattern", "general interaction",
+    "various", "mixed", "usage", "pattern", "unlabeled", "unlabelled",
+)
 STOP_WORDS = ("with", "using", "from", "this", "that", "when", "into", "such", "about", "what", "code", "user")
 
 
@@ -110,12 +113,19 @@ def is_well_formed(label: Column) -> Column:
 
 
 def fallback_labels(texts: DataFrame, cluster: str, text: str, order: str) -> DataFrame:
-    """cluster, label: its three most common words of four letters or more, first come first among equals."""
+    """cluster, label: its three most common words of four letters or more, first come first among equals.
+
+    With fewer than two such words the first three words of its first text; with fewer than two of these, "Unlabeled Cluster".
+    """
     words = texts.select(cluster, F.posexplode(F.split(F.lower(text), r"[\s\-_/]+")).alias("at", "word"), F.col(order).alias("o"))
     words = words.filter(F.col("word").rlike(r"^\p{L}{4,}$") & ~F.col("word").isin(*STOP_WORDS))
     counts = words.groupBy(cluster, "word").agg(F.count("*").alias("n"), F.min(F.struct("o", "at")).alias("first"))
     top = counts.withColumn("k", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("n"), "first"))).filter("k <= 3")
-    return top.groupBy(cluster).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: F.initcap(x["word"])), " ").alias("label"))
+    common = top.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("common"))
+    first = texts.groupBy(cluster).agg(F.slice(F.split(F.trim(F.coalesce(F.min_by(text, order), F.lit(""))), r"\s+"), 1, 3).alias("begin"))
+    chosen = F.when(F.size("common") >= 2, F.col("common")).when(F.size(F.filter("begin", lambda w: w != "")) >= 2, F.col("begin")).otherwise(F.array(F.lit("Unlabeled"), F.lit("Cluster")))
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
+    return first.join(common, cluster, "left").select(cluster, F.array_join(F.transform(chosen, capital), " ").alias("label"))
 
 
 def classification_state(labels: DataFrame, placements: DataFrame) -> DataFrame:

@@ -121,10 +121,65 @@ def reconciled(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.withColumn("state", state).filter("state is not null").select(key, "state", "n_left", "n_right")
 
 
-def contained_keys(names: DataFrame, name: str, keys: DataFrame, key: str, pattern: str = r"[^A-Za-z0-9.]+") -> DataFrame:
-    """Pairs where the key is a whole part of the name: parts are exploded, so it is an equi-join and no nested loop."""
-    parts = names.withColumn("__part", F.explode(F.array_distinct(F.split(F.lower(name), pattern))))
-    return parts.join(keys.withColumn("__part", F.lower(key)).filter("__part != ''"), "__part").drop("__part")
+#: Characters of a key that are looked up in names before the whole key is.
+GRAM = 8
+
+
+def contained_keys(names: DataFrame, name: str, keys: DataFrame, key: str) -> DataFrame:
+    """Pairs where the key is a substring of the name; blank and null keys are in none.
+
+    No nested loop: the first GRAM characters of a key (all of a shorter one) are joined with the
+    substrings of that length of each name, and what meets is tested as a whole.
+    """
+    wanted = keys.filter(F.col(key) != "").withColumn("__gram", F.substring(key, 1, GRAM))
+    lengths = sorted(r[0] for r in wanted.select(F.length("__gram")).distinct().collect())  # GRAM at most
+    if not lengths:
+        return names.join(keys.filter("false"))
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda i: F.substring(F.col(name), i, F.lit(n)))
+    grams = names.withColumn("__gram", F.explode(F.array_distinct(F.concat(*[parts(n) for n in lengths]))))
+    return grams.join(wanted, "__gram").filter(F.col(name).contains(F.col(key))).drop("__gram")
+
+
+def chained(rows: DataFrame, steps: list[tuple[str, DataFrame, str]]) -> tuple[DataFrame, DataFrame]:
+    """(rows with the columns of each table in turn, unmatched keys). A step is (column, table, its unique key): left joins.
+
+    unmatched has column, value and n of every value that a table lacks; the caller decides whether that is an error.
+    """
+    out, lost = rows, []
+    for k, (column, table, key) in enumerate(steps):
+        side = table.withColumnRenamed(key, f"__k{k}").withColumn(f"__hit{k}", F.lit(True))
+        out = out.join(side, F.col(column) == F.col(f"__k{k}"), "left").drop(f"__k{k}")
+        lost.append(out.filter(F.col(f"__hit{k}").isNull() & F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(column).alias("column"), "value", "n"))
+    return out.drop(*[f"__hit{k}" for k in range(len(steps))]), reduce(DataFrame.unionByName, lost)
+
+
+def enriched_by_key(rows: DataFrame, records: DataFrame, values: list[str], row_id: str, missing: dict[str, str], rank: str = "rank", row_idx: str = "row_idx") -> DataFrame:
+    """rows plus ``values`` of the record with the same DOI, else the same title, and match_method (doi, title, unmatched).
+
+    Both sides have doi and title. Of records with one key the one with an abstract wins, then one whose venue
+    has a rank, then the first. Blanks and unmatched rows get the values of ``missing``.
+    """
+    from lodegrid.functions import keys as K
+
+    filled = lambda c: (F.coalesce(F.trim(F.col(c)), F.lit("")) != "").cast("int")
+    has_rank = (~F.coalesce(F.trim(F.col(rank)), F.lit("")).isin("", K.NOT_FOUND, "nan")).cast("int")
+    best = [filled("abstract").desc(), has_rank.desc(), F.col(row_idx)]
+
+    def index(key: Column) -> DataFrame:
+        return one_per_key(records.withColumn("key", F.nullif(key, F.lit(""))), ["key"], best).select("key", *values)
+
+    doi, title = K.doi_for_enrichment(F.col("doi")), K.title_key(F.col("title"))
+    found = cascade(rows.select(F.col(row_id).alias("__row"), F.array(doi).alias("__doi"), F.array(title).alias("__title")), "__row", [("doi", F.col("__doi"), index(doi)), ("title", F.col("__title"), index(title))], values)
+    shown = [F.coalesce(F.nullif(F.trim(v), F.lit("")), F.lit(missing[v])).alias(v) for v in values]
+    found = found.select("__row", *shown, F.when(F.col("method") == "none", "unmatched").otherwise(F.col("method")).alias("match_method"))
+    return rows.join(found, F.col(row_id) == F.col("__row")).drop("__row")
+
+
+def all_matched(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with a value by key, where every key must be known: a blank or missing one fails the job."""
+    out = rows.join(table.select(key, value), key, "left")
+    lost = F.raise_error(F.concat(F.lit(f"no {value} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return out.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value)).otherwise(lost.cast(table.schema[value].dataType)))
 
 
 def with_new_keys(state: DataFrame, wanted: DataFrame, key: str, defaults: dict[str, str]) -> DataFrame:

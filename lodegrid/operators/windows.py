@@ -62,13 +62,17 @@ def seeded_order(key: Column, seed: int | str) -> Column:
 ORDERS = ("doi", "recent", "rank", "random")
 
 
-def ordered(df: DataFrame, strategy: str, row_idx: str, doi: str = "doi", year: str = "year", rank: str = "rank", seed: int = 42) -> DataFrame:
+def order_keys(strategy: str, row_idx: str, doi: str = "doi", year: str = "year", rank: str = "rank", seed: int = 42) -> list[Column]:
     """By DOI; latest first; by venue rank; or at random, reproducibly. Ties keep the order of rows."""
     level = F.when(F.col(rank) == "A*", 0).when(F.col(rank) == "A", 1).when(F.col(rank) == "B", 2).otherwise(3)
-    keys = {"doi": [F.col(doi).asc_nulls_last()], "recent": [F.col(year).desc_nulls_last()], "rank": [level], "random": [seeded_order(F.col(row_idx), seed)]}
+    keys = {"doi": F.col(doi).asc_nulls_last(), "recent": F.col(year).desc_nulls_last(), "rank": level, "random": seeded_order(F.col(row_idx), seed)}
     if strategy not in keys:
         raise ValueError(f"order is one of {', '.join(ORDERS)}")
-    return df.orderBy(*keys[strategy], F.col(row_idx))
+    return [keys[strategy], F.col(row_idx)]
+
+
+def ordered(df: DataFrame, strategy: str, row_idx: str, **columns) -> DataFrame:
+    return df.orderBy(*order_keys(strategy, row_idx, **columns))
 
 
 def renumbered(df: DataFrame, by: list[Column], prefix: str, width: int = 5, name: str = "ref_id") -> DataFrame:

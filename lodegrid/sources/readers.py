@@ -135,8 +135,8 @@ def bibtex_entries(text: str) -> list[dict]:
     return out
 
 
-def bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all files, UTF-8 or else Latin-1. Balanced braces aren't regular, so files are parsed in Python, one by one."""
+def parsed_bibtex(files: DataFrame) -> DataFrame:
+    """Entries of files (path, content), UTF-8 or else Latin-1. Balanced braces aren't regular, so files are parsed in Python, one by one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,7 +149,12 @@ def bibtex(spark: SparkSession, path: str) -> DataFrame:
                 rows += [{"file": name.rsplit("/", 1)[-1], "at": k, **e} for k, e in enumerate(bibtex_entries(text))]
             yield pd.DataFrame(rows, columns=["file", "at", "type", "citekey", "raw", "fields"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.bib").load(path).select("path", "content").mapInPandas(run, BIBTEX_SCHEMA)
+    return files.select("path", "content").mapInPandas(run, BIBTEX_SCHEMA)
+
+
+def bibtex(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of all .bib files of a folder."""
+    return parsed_bibtex(spark.read.format("binaryFile").option("pathGlobFilter", "*.bib").load(path))
 
 
 def file_fields(entries: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ def quoted_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Add rows to a table of quoted files; each file has the header, which a reader of the folder skips."""
+    quoted_csv(df, path, "append")
+
+
 def code_version() -> str:
     try:
         return subprocess.run(["git", "rev-parse", "--short", "HEAD"], capture_output=True, text=True, timeout=10, check=True).stdout.strip()

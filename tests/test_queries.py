@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import lodegrid.record_queries  # noqa: F401  registers its queries
 from lodegrid.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
