@@ -8,6 +8,7 @@ sentencepiece library only hands over the model's vocabulary here.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodegrid.llm.common import give_back, short_batches, slices
+
 NONE = np.iinfo(np.int32).max
 SPACE = "▁"
-#: Rows of an Arrow batch that are encoded together, and segments that are remembered between batches.
-SLICE_ROWS = 256
-REMEMBERED = 300_000
-CHUNK_CHARS = 1 << 20
+#: Bytes of segments and their ids (about) that are remembered between slices of a batch.
+REMEMBERED_BYTES = 24 << 20
+#: Characters (about) and segments that are worked on together.
+CHUNK_CHARS = 1 << 18
 
 
 class PieceModel:
@@ -75,13 +78,17 @@ class PieceModel:
         # No piece has a space mark after another character, and characters outside of all longer pieces never merge.
         self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut = re.compile(f"{SPACE}*[{joined}]+|{SPACE}+|[^{joined}{SPACE}]+")
-        self.remembered: dict[str, bytes] = {}
+        self.forget()
         top = 0x110000
         self.char_symbol = np.full(top, -1, dtype=np.int32)
         for c, s in self.symbols.items():
             if len(c) == 1:
                 self.char_symbol[ord(c)] = s
 
+    def forget(self) -> None:
+        self.remembered: dict[str, bytes] = {}
+        self.remembered_bytes = 0
+
     # -- encoding ---------------------------------------------------------------------------------------------------
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes([text])[0], dtype=np.int32)
@@ -121,11 +128,13 @@ class PieceModel:
         known = self.remembered
         new = list(set().union(*[segments for _, segments in held]) - known.keys())
         if new:
-            known.update(zip(new, self._merge(new), strict=True))
+            merged = self._merge(new)
+            known.update(zip(new, merged, strict=True))
+            self.remembered_bytes += 200 * len(new) + sum(map(len, merged)) + 2 * sum(map(len, new))
         for k, segments in held:
             out[k].append(b"".join(map(known.__getitem__, segments)))
-        if len(known) > REMEMBERED:
-            self.remembered = {}
+        if self.remembered_bytes > REMEMBERED_BYTES:
+            self.forget()
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known = (left >= 0) & (right >= 0)
@@ -302,18 +311,17 @@ def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", ids_col
     """
     df = df.drop(ids_col)
     names = df.columns
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(k, SLICE_ROWS)
-                raw = m.encode_bytes([t or "" for t in part.column(names.index(text_col)).to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*names, ids_col])
-        m.remembered = {}  # workers are used again, for other stages too
-        pa.default_memory_pool().release_unused()
+        for part in slices(batches):
+            raw = m.encode_bytes([t or "" for t in part.column(names.index(text_col)).to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], [*names, ids_col])
+        m.forget()
+        give_back()
 
     return df.mapInArrow(run, _schema(df, **{ids_col: T.ArrayType(T.IntegerType())}))
 
@@ -322,27 +330,43 @@ def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: st
     """All columns of ``df`` and the text of each array of ids; null ids give an empty text."""
     df = df.drop(out_col)
     names = df.columns
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(k, SLICE_ROWS)
-                column = part.column(names.index(ids_col))
-                width = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], dtype=np.int64)
-                text = m.decode_many(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(width)]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, type=pa.binary()).cast(pa.string())], [*names, out_col])
+        for part in slices(batches):
+            column = part.column(names.index(ids_col))
+            width = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], dtype=np.int64)
+            text = m.decode_many(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(width)]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, type=pa.binary()).cast(pa.string())], [*names, out_col])
 
     return df.mapInArrow(run, _schema(df, **{out_col: T.StringType()}))
 
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, encoded and decoded again."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, encoded and decoded again.
+
+    One row per input row: null texts count as empty (no tokens, digests of empty strings), repeated rows get
+    equal results, null doc_ids stay. Columns but the two named are not read. An empty table gives an
+    empty result. One pass in one Python worker a task: only the digests leave it.
+    """
+    short_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    both = decode_ids(encode_texts(slim, model_path).drop("text"), model_path)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.encode(F.concat_ws(",", F.col("ids").cast("array<string>")), "UTF-8"), 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(model_path)
+        decimal = [b"%d" % i for i in range(len(m.lengths))]
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
+        for part in slices(batches):
+            n_tokens, of_ids, of_text = [], [], []
+            for raw in m.encode_bytes([t or "" for t in part.column(1).to_pylist()]):
+                ids = np.frombuffer(raw, dtype="<i4").astype(np.int64)
+                n_tokens.append(len(ids))
+                of_ids.append(sha(b",".join(map(decimal.__getitem__, ids.tolist()))))
+                of_text.append(sha(m.decode_many(ids, np.array([0, len(ids)]))[0]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_tokens, type=pa.int64()), pa.array(of_ids, type=pa.string()), pa.array(of_text, type=pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        m.forget()
+        give_back()
+
+    kinds = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], *[T.StructField(k, v) for k, v in kinds.items()]]))
