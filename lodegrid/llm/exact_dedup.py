@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import SPACE, lookup, stored
+from lodegrid.llm.common import SPACE, lookup, numbered, stored
 
 BLOCK_CHARS = 4096
 
@@ -52,15 +52,16 @@ def _join_names(rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame
     return lookup(rows, sizes, keys, "count", max(1, rows.count())).drop("count", *keys)
 
 
-def document_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per input row: rid (number of the row), doc_id, text_sha256, n_blocks, name.
+def document_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, rid_col: str | None = None) -> DataFrame:
+    """One row per input row: rid (number of the row, or rid_col), doc_id, text_sha256, n_blocks, name.
 
     Texts are equal after whitespace normalisation iff (n_blocks, name) are equal.
     """
-    norm = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ").alias("norm"))
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
+    norm = docs.select(F.col(id_col).alias("doc_id"), rid.alias("rid"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ").alias("norm"))
     names, salt = _block_names(norm, block_chars)
     occurrences = stored(
-        _blocks(norm.withColumn("rid", F.monotonically_increasing_id()).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256)), block_chars).select(
+        _blocks(norm.withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256)), block_chars).select(
             "rid", F.when(F.col("pos") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), "n_blocks", "pos", *_keys(F.col("block"), salt)
         )
     )
@@ -87,6 +88,14 @@ def document_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return facts.join(identity, "rid").select("rid", "doc_id", "text_sha256", "n_blocks", "name")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, block_chars: int, rid_col: str | None = None) -> DataFrame:
+    """rid, doc_id, text_sha256, group_size, first (of the group: null_last, id, first_rid), a row per input row."""
+    rows = stored(document_identities(docs, id_col, text_col, block_chars, rid_col))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_last"), F.col("doc_id").alias("id"), F.col("rid").alias("first_rid")))
+    groups = stored(rows.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), first.alias("first")))
+    return lookup(rows, groups, ["n_blocks", "name"], "group_size", max(1, rows.count()))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per input row, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -95,23 +104,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept. An empty table gives an empty result. Only id_col and text_col are read, so other
     columns, whatever their names, change nothing.
     """
-    rows = stored(document_identities(docs, id_col, text_col, block_chars))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_last"), F.col("doc_id").alias("id"), F.col("rid").alias("first_rid")))
-    groups = stored(rows.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), first.alias("first")))
-    out = lookup(rows, groups, ["n_blocks", "name"], "group_size", max(1, rows.count()))
+    out = _grouped(docs, id_col, text_col, block_chars)
     return out.select("doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.first_rid")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows (equal ids and texts) the smallest stays."""
-    rows = stored(exact_dedup(docs, id_col, text_col))
-    kept = rows.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.encode(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), "UTF-8"), 256)
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
-    repeated = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).count().filter("count > 1").select("__id", "__sha")
-    if repeated.isEmpty():
-        return out
-    repeated, same = stored(repeated), F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    many = out.join(repeated, same, "left_semi").select(F.col(id_col).alias("__id"), sha.alias("__sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    one = many.groupBy("__id", "__sha").agg(F.min("__row").alias("__row")).select("__row.*")
-    return out.join(repeated, same, "left_anti").unionByName(one)
+    """One row of each group of equal texts, with all its columns: the one with the smallest id, of several such rows the first.
+
+    Rows are told apart by number, so different texts that share an id, or have none, all stay.
+    """
+    rows, rid = numbered(docs)
+    kept = _grouped(rows, id_col, text_col, BLOCK_CHARS, rid).filter(F.col("rid") == F.col("first.first_rid")).select(F.col("rid").alias(rid))
+    kept = stored(kept).hint("merge")  # the same plan at every size
+    return rows.join(kept, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
