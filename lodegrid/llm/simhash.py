@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodegrid.llm.common import lookup, stored
+from lodegrid.llm.common import give_back, lookup, numbered, short_batches, slices, stored
 from lodegrid.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -54,16 +55,19 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), one row per input row."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The columns of ``docs`` but text, and fp (the 64 bits of its text as a signed long), one row per input row."""
+    short_batches(docs.sparkSession)
+    kept = [c for c in docs.columns if c != "text"]
+    slim = docs.select(*kept, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.array([fingerprint(t.as_py(), shingle_words) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+        for part in slices(batches):
+            values = np.array([fingerprint(t.as_py(), shingle_words) for t in part.column(len(kept))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values)], [*kept, "fp"])
+        give_back()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    return slim.mapInArrow(run, T.StructType([*[f for f in slim.schema.fields if f.name != "text"], T.StructField("fp", T.LongType())]))
 
 
 def _words(fp) -> list:
@@ -164,6 +168,18 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile_rows: int
     return pairs.groupBy("t0", "t1").applyInPandas(compare, "a long, b long")
 
 
+def _linked(docs: DataFrame, columns: list[str], id_col: str, text_col: str, radius: int, shingle_words: int) -> DataFrame:
+    """fp, ``columns`` of docs, component_id and component_size, a row per input row."""
+    rows = stored(fingerprints(docs.select(*columns, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shingle_words))
+    total = max(1, rows.count())
+    distinct = stored(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
+    roots = components(stored(link_fingerprints(distinct.select("fp"), radius)))
+    member = stored(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    whole = stored(member.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("__members")))
+    member = lookup(member, whole, ["root"], "__members", max(1, member.count()))
+    return lookup(rows, stored(member.select("fp", "n", "root", "component_id", "component_size")), ["fp"], "n", total)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), component_size.
 
@@ -171,19 +187,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other. Null doc_ids keep their rows and count only where a component has no other id; then
     component_id is null. Repeated rows share their component. Columns but the two named are not read.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, shingle_words))
-    total = max(1, rows.count())
-    distinct = stored(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
-    roots = components(stored(link_fingerprints(distinct.select("fp"), radius)))
-    member = stored(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    whole = stored(member.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("__members")))
-    member = lookup(member, whole, ["root"], "__members", max(1, member.count()))
-    out = lookup(rows, stored(member.select("fp", "n", "component_id", "component_size")), ["fp"], "n", total)
+    out = _linked(docs, [], id_col, text_col, radius, shingle_words)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component; rows without an id stay."""
-    linked = near_duplicates(docs, id_col, text_col)
-    gone = linked.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of each component, with all its columns: the one with the smallest id (null ids last), of several such rows the first.
+
+    Rows are told apart by number, so rows that share an id go only with their own component.
+    """
+    rows, rid = numbered(docs)
+    linked = stored(_linked(rows.withColumnRenamed(rid, "rid"), ["rid"], id_col, text_col, RADIUS, SHINGLE_WORDS).select("rid", "root", "doc_id"))
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid").alias("rid"))).alias("first"))
+    kept = stored(first.select(F.col("first.rid").alias(rid))).hint("merge")  # the same plan at every size
+    return rows.join(kept, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

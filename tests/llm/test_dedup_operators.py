@@ -106,7 +106,17 @@ def test_near_duplicates(spark, rows):
 def test_null_ids_keep_their_rows(spark):
     out = simhash.near_duplicates(frame(spark, ODD)).collect()
     assert len(out) == len(ODD) and {r["component_id"] for r in out if r["doc_id"] is None} == {9}
-    assert sum(r["doc_id"] is None for r in simhash.drop_near_copies(frame(spark, ODD)).collect()) == 2
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(frame(spark, ODD)).collect()) == [2, 9]
+
+
+def test_stages_lose_no_text_that_shares_an_id(spark):
+    rows = [(5, "a"), (5, "b"), (8, "c"), (8, "c"), (None, "d"), (None, "e")]
+    kept = exact_dedup.drop_copies(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("5", "a"), ("5", "b"), ("8", "c"), ("None", "d"), ("None", "e")]
+    t, u = "one two three four five six seven", "completely other words stand in this one here"
+    near = simhash.drop_near_copies(frame(spark, [(1, t), (5, t), (5, u), (None, u), (None, "z z")])).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in near) == [("1", t), ("5", u), ("None", "z z")]
+    assert simhash.drop_near_copies(frame(spark, [])).count() == 0 and exact_dedup.drop_copies(frame(spark, [])).columns == frame(spark, []).columns
 
 
 @pytest.mark.parametrize("tile_rows", [7, 50, 10_000])
