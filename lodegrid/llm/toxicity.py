@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegrid.llm.common import stored
+from lodegrid.llm.common import give_back, short_batches, slices, stored
 
 BUCKETS = 1 << 20
 #: Labelled rows that are learnt from, at most: those with the smallest hashes.
@@ -41,8 +41,6 @@ TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 _APART = bytes(c if TOKEN.match(bytes([c])) else 32 for c in range(256))
 REMEMBERED = 300_000
 STEMS = (4, 5)
-#: Rows of an Arrow batch whose tokens are held at once.
-SLICE_ROWS = 256
 
 
 class _Features:
@@ -85,14 +83,12 @@ def token_buckets(text: str | None) -> np.ndarray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SLICE_ROWS rows at a time; at the end the tokens of the task are forgotten."""
+    """A bounded part of a batch at a time; at the end the tokens of the task are forgotten."""
     global _features
-    for batch in batches:
-        for k in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(k, SLICE_ROWS)
+    yield from slices(batches)
     _features = _Features()
     _row_scores.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -151,8 +147,10 @@ class Scorer:
     def evidence(self, text: str | None) -> tuple[float, float]:
         """The best segment's, and all significant segments', scores beyond what chance gives in a text this long."""
         scores = self.of_text(text)
-        segments = maximal_segments(scores)
         chance = self.log_k + math.log(max(1, len(scores)))
+        if scores[scores > 0].sum(dtype=np.float64) <= chance:
+            return 0.0, 0.0  # not even all positive scores together are beyond it, so no segment is
+        segments = maximal_segments(scores)
         beyond = [s - chance for _, _, s in segments]
         significant = [b for b in beyond if b > -math.log(MOST_EXPECTED)]
         return max([0.0, *beyond]), math.log1p(sum(significant))
@@ -194,25 +192,36 @@ def _labelled(labels: DataFrame) -> DataFrame:
     """id, toxic (0 or 1), fold; at most MOST_LABELLED rows, one per id; contradictory and null labels don't count."""
     one = labels.filter("doc_id is not null and toxic in (0, 1)").filter(training_part()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
     part = F.xxhash64(F.lit(5), "doc_id")
-    return one.orderBy(part, "doc_id").limit(MOST_LABELLED).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"), F.pmod(part, F.lit(2)).cast("int").alias("fold"))
+    return one.orderBy(part, "doc_id").limit(MOST_LABELLED).select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"), F.pmod(part, F.lit(2)).cast("int").alias("fold"))
 
 
 def _counts(docs: DataFrame) -> DataFrame:
     """bucket, seen (over all documents), and counts in clean and toxic rows of each fold: c0, c1, t0, t1."""
     names = ["seen", "c0", "c1", "t0", "t1"]
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((5, BUCKETS), dtype=np.int32)
+        found: list[list[np.ndarray]] = [[] for _ in names]
+        held = 0
+
+        def count() -> None:
+            for k, lists in enumerate(found):
+                if lists:
+                    counts[k] += np.bincount(np.concatenate(lists), minlength=BUCKETS).astype(np.int32)
+                    lists.clear()
+
         for part in _slices(batches):
-            found: list[list[np.ndarray]] = [[] for _ in names]
             for text, toxic, fold in zip(*part.columns, strict=True):
                 b = token_buckets(text.as_py()).ravel()
                 found[0].append(b)
                 if toxic.as_py() is not None:
                     found[1 + 2 * toxic.as_py() + fold.as_py()].append(b)
-            for k, lists in enumerate(found):
-                if lists:
-                    counts[k] += np.bincount(np.concatenate(lists), minlength=BUCKETS).astype(np.int32)
+                held += len(b)
+            if held > BUCKETS:  # adding up costs a pass over all buckets
+                count()
+                held = 0
+        count()
         bucket = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *[pa.array(counts[k][bucket]) for k in range(5)]], ["bucket", *names])
 
@@ -251,13 +260,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     by_fold = [_scorer(counts, "t1", "c1"), _scorer(counts, "t0", "c0")]  # a fold is scored by what the other one taught
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(t.as_py(), by_fold[f.as_py()], y.as_py()) for t, y, f in zip(*batch.columns, strict=True)]
-            rows = [(y, *s.evidence(t)) for t, s, y in found]
-            yield pa.RecordBatch.from_pylist([dict(zip(("toxic", "best", "total"), r, strict=True)) for r in rows], schema=pa.schema([("toxic", pa.int32()), ("best", pa.float64()), ("total", pa.float64())]))
+        for part in _slices(batches):
+            rows = [(i.as_py(), y.as_py(), *by_fold[f.as_py()].evidence(t.as_py())) for t, y, f, i in zip(*part.columns, strict=True)]
+            kinds = [("id", pa.int64()), ("toxic", pa.int32()), ("best", pa.float64()), ("total", pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
     few = F.broadcast(sample.orderBy(F.xxhash64(F.lit(6), "__id"), "__id").limit(MOST_CALIBRATED))
-    fitted = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).select("text", "toxic", "fold").mapInArrow(run, "toxic int, best double, total double").collect()
+    chosen = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).select("text", "toxic", "fold", "__id")
+    found = chosen.mapInArrow(run, "id long, toxic int, best double, total double")
+    # Rows that share an id count once, so no more rows are collected than ids were chosen.
+    fitted = found.groupBy("id").agg(F.min(F.struct("toxic", "best", "total")).alias("row")).select("row.*").collect()
     y, best, total = (np.array([r[k] for r in fitted], dtype=np.float64) for k in range(3))
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
@@ -285,6 +297,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` (a column named score is replaced) and the score of the whole text; null texts count as empty."""
     docs = docs.drop("score")
+    short_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS scores of 4 bytes
 
