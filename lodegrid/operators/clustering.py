@@ -42,10 +42,16 @@ def complete_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return label
 
 
+#: Rows of a block, at most: its distances take 8 bytes for each pair.
+MOST_BLOCK = 15_000
+
+
 def clusters(df: DataFrame, block: str, item: str, vector: str, threshold: float = 0.35) -> DataFrame:
-    """block, item, cluster (its least item): exact within each block. A block's distances need memory of the square of its rows, so blocks are keys of bounded groups."""
+    """block, item, cluster (its least item): exact within each block. A block's distances need memory of the square of its rows, so a block of more than MOST_BLOCK fails the job."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_BLOCK:
+            raise ValueError(f"block {pdf['block'].iloc[0]} has {len(pdf)} rows; complete linkage takes {MOST_BLOCK} at most")
         pdf = pdf.sort_values("item", kind="stable").reset_index(drop=True)
         label = complete_linkage(np.stack(pdf["v"].to_numpy()).astype(float), threshold)
         return pd.DataFrame({"block": pdf["block"], "item": pdf["item"], "cluster": pdf["item"].to_numpy()[label]})

@@ -83,6 +83,10 @@ def bibliography_matches(entries: DataFrame, known: DataFrame, least: float = 0.
 
     by = lambda c: one_per_key(known.withColumn("key", F.nullif(F.col(c), F.lit(""))), ["key"], [F.col("row_idx")]).select("key", F.col("id").alias("match"))
     near = entries.alias("e").join(known.alias("k"), (F.col("e.year") == F.col("k.year")) & (F.col("e.surname") == F.col("k.surname")) & (F.col("e.year") != "") & (F.col("e.surname") != "") & (F.col("e.title") != ""))
+    # Twice the shorter length by the sum of both is the most that the ratio can be.
+    size = lambda c: F.length(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", "")))
+    shorter, total = F.least(size(F.col("e.title")), size(F.col("k.title"))), size(F.col("e.title")) + size(F.col("k.title"))
+    near = near.filter((total == 0) | (2 * shorter >= (least - 1e-9) * total))
     scored = near.select(F.col("e.id").alias("key"), F.col("k.id").alias("match"), F.col("k.row_idx").alias("at"), sequence_ratio(F.col("e.title"), F.col("k.title")).alias("ratio")).filter(F.col("ratio") >= least)
     alike = one_per_key(scored, ["key"], [F.col("ratio").desc(), F.col("at")]).select("key", "match")
     return cascade(entries, "id", [("doi", F.array("doi"), by("doi")), ("arxiv", F.array("arxiv"), by("arxiv")), ("title", F.array(F.col("id")), alike)], ["match"])

@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegrid.functions import text as T
 
 
+#: Hashes of n-grams that are broadcast, 8 bytes each; more are shuffled.
+MOST_BROADCAST = 1_000_000
+
+
 def shared_ngrams(target: DataFrame, target_id: str, target_text: str, corpus: DataFrame, corpus_id: str, corpus_text: str, n: int = 15) -> DataFrame:
     """target_id, ngram, first_source: each n-gram of a target that occurs in the corpus, and the least corpus id that has it.
 
-    The n-grams of the target are reduced to distinct ones first and only meet corpus n-grams with the same 64-bit
-    hash; equality of the text is part of the join.
+    The target's n-grams are 64-bit hashes until one is found in the corpus; only then the text is made and compared.
     """
-    def grams(df: DataFrame, key: str, column: str) -> DataFrame:
-        words = df.select(F.col(key).alias("id"), T.tokens(F.col(column)).alias("words"))  # once, not for each n-gram
-        return words.select("id", F.explode(F.array_distinct(T.ngrams(F.col("words"), n))).alias("ngram")).withColumn("h", F.xxhash64("ngram"))
+    at = F.sequence(F.lit(1), F.size("words") - n + 1)
+    gram = lambda i: F.array_join(F.slice("words", i, n), " ")
 
-    wanted = grams(target, target_id, target_text).withColumnRenamed("id", "target_id")
-    source = grams(corpus, corpus_id, corpus_text).groupBy("h", "ngram").agg(F.min("id").alias("first_source"))
-    return wanted.join(source, ["h", "ngram"]).select("target_id", "ngram", "first_source")
+    def words(df: DataFrame, key: str, column: str) -> DataFrame:
+        return df.select(F.col(key).alias("id"), T.tokens(F.col(column)).alias("words")).filter(F.size("words") >= n)
+
+    source = words(corpus, corpus_id, corpus_text).select("id", F.explode(F.array_distinct(F.transform(at, gram))).alias("ngram"))
+    source = source.groupBy("ngram").agg(F.min("id").alias("first_source")).withColumn("h", F.xxhash64("ngram"))
+    known = source.select("h").distinct()
+    if known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
+    wanted = words(target, target_id, target_text)
+    hashed = wanted.select("id", F.posexplode(F.transform(at, lambda i: F.xxhash64(gram(i)))).alias("at", "h"))
+    hits = hashed.join(known, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("hits"))
+    found = wanted.join(hits, "id").select(F.col("id").alias("target_id"), F.explode(F.array_distinct(F.transform("hits", lambda i: gram(i + 1)))).alias("ngram"))
+    return found.distinct().join(source, "ngram").select("target_id", "ngram", "first_source")
 
 
 def overlap_lines(found: DataFrame, target: DataFrame, target_id: str, target_text: str) -> DataFrame:
@@ -29,15 +41,39 @@ def overlap_lines(found: DataFrame, target: DataFrame, target_id: str, target_te
     return found.join(target.select(F.col(target_id).alias("target_id"), F.col(target_text).alias("__t")), "target_id").withColumn("line", T.first_line_with(F.col("__t"), first)).drop("__t")
 
 
-def token_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_id, right_id, cosine for pairs with a common token. Inputs are (id, text); the join is on tokens, with counts summed before."""
-    def counts(df: DataFrame, name: str) -> DataFrame:
-        tf = df.select(F.col("id").alias(name), F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(name, "token").agg(F.count("*").cast("double").alias(f"n_{name}"))
-        norm = tf.groupBy(name).agg(F.sqrt(F.sum(F.col(f"n_{name}") ** 2)).alias(f"norm_{name}"))
-        return tf.join(norm, name)
+def token_cosine(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """left_id, right_id, cosine of all pairs with a cosine of ``least`` or more. Inputs are (id, text) with unique ids.
 
-    both = counts(left, "left_id").join(counts(right, "right_id"), "token")
-    return both.groupBy("left_id", "right_id").agg((F.sum(F.col("n_left_id") * F.col("n_right_id")) / F.first("norm_left_id") / F.first("norm_right_id")).alias("cosine"))
+    Tokens are ordered by rarity over both sides. In a vector's tail whose norm is below ``least`` times its own no pair's
+    first common token can be, so only tokens before it are joined; the frequent ones are hardly ever among them.
+    """
+    def counts(df: DataFrame) -> DataFrame:
+        return df.select("id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").cast("double").alias("n"))
+
+    a, b = counts(left), counts(right)
+    rarity = a.select("token").unionByName(b.select("token")).groupBy("token").agg(F.count("*").alias("rarity"))
+
+    def vectors(tf: DataFrame, name: str) -> DataFrame:
+        items = F.array_sort(F.collect_list(F.struct("rarity", "token", "n")))
+        return tf.join(rarity, "token").groupBy(F.col("id").alias(name)).agg(items.alias(f"v_{name}"))
+
+    def leading(df: DataFrame, name: str) -> DataFrame:
+        v = F.col(f"v_{name}")
+        whole = F.aggregate(v, F.lit(0.0), lambda s, x: s + x["n"] * x["n"])
+        steps = df.withColumn("__whole", whole).select(name, "__whole", F.posexplode(v).alias("at", "x"))
+        before = Window.partitionBy(name).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        steps = steps.withColumn("__rest", F.col("__whole") - F.coalesce(F.sum(F.col("x.n") * F.col("x.n")).over(before), F.lit(0.0)))
+        return steps.filter(F.col("__rest") >= (least * least - 1e-9) * F.col("__whole")).select(name, F.col("x.token").alias("token"))
+
+    va, vb = vectors(a, "left_id"), vectors(b, "right_id")
+    pairs = leading(va, "left_id").join(leading(vb, "right_id"), "token").select("left_id", "right_id").distinct()
+    amount = lambda v, f: F.aggregate(v, F.lit(0.0), lambda s, x: s + f(x))
+    as_map = lambda v: F.map_from_arrays(F.transform(v, lambda x: x["token"]), F.transform(v, lambda x: x["n"]))
+    of_right = as_map(F.col("v_right_id"))
+    both = pairs.join(va, "left_id").join(vb.select("right_id", "v_right_id", of_right.alias("__map")), "right_id")
+    dot = amount(F.col("v_left_id"), lambda x: x["n"] * F.coalesce(F.element_at(F.col("__map"), x["token"]), F.lit(0.0)))
+    norm = lambda v: F.sqrt(amount(v, lambda x: x["n"] * x["n"]))
+    return both.select("left_id", "right_id", (dot / norm(F.col("v_left_id")) / norm(F.col("v_right_id"))).alias("cosine")).filter(F.col("cosine") >= least)
 
 
 def best_candidates(refs: DataFrame, candidates: DataFrame, threshold: float = 0.85, boost: float = 0.03) -> DataFrame:

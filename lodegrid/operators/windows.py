@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegrid.session import scratch
 
-def ranked(order: DataFrame, by: list[Column], name: str = "rank", buckets: str | None = None) -> DataFrame:
-    """Number rows from 1. ``order`` holds one row per entity; the numbering is one ordered task unless ``buckets`` names a column that the order starts with.
 
-    With buckets, each is numbered apart and shifted by the sizes of those before it, so the order is spread.
-    """
+def numbered(df: DataFrame, by: list[Column], name: str, first: int = 1) -> DataFrame:
+    """Number rows from ``first`` in a total order: a distributed sort, written once; a partition's numbers start after those before it."""
+    spark, part, at = df.sparkSession, f"__part_{name}", f"__at_{name}"
+    path = scratch(spark)
+    sorted_ = df.orderBy(*by).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id())
+    sorted_.write.parquet(path)
+    rows = spark.read.schema(sorted_.schema).parquet(path)
+    starts, before = [], first
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part).count().collect()):  # a number per partition
+        starts.append((p, before))
+        before += n
+    start = spark.createDataFrame(starts, f"{part} int, __start long")
+    return rows.join(F.broadcast(start), part).withColumn(name, (F.col("__start") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).select(*[c for c in df.columns if c != name], name)
+
+
+def ranked(order: DataFrame, by: list[Column], name: str = "rank", buckets: str | None = None) -> DataFrame:
+    """Number rows from 1. With ``buckets``, a column that the order starts with, each bucket is numbered apart and shifted by the sizes of those before it."""
     if buckets is None:
-        return order.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)))
+        return numbered(order, by, name)
     sizes = order.groupBy(buckets).agg(F.count("*").alias("__size"))
     before = Window.partitionBy(F.lit(0)).orderBy(buckets).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(F.col(buckets).alias("__b"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
@@ -20,6 +34,10 @@ def ranked(order: DataFrame, by: list[Column], name: str = "rank", buckets: str
     return order.withColumn("__own", own).join(shifts, F.col(buckets).eqNullSafe(F.col("__b"))).withColumn(name, (F.col("__own") + F.col("__shift")).cast("int")).drop("__own", "__shift", "__b")
 
 
+#: Ranks whose running sum is made in one task.
+RANKS_A_TASK = 10_000
+
+
 def saturation(pairs: DataFrame, order: DataFrame, entity: str, label: str, window: float = 0.1) -> DataFrame:
     """rank, entity, new_count, cumulative_count, in_final_window.
 
@@ -30,9 +48,14 @@ def saturation(pairs: DataFrame, order: DataFrame, entity: str, label: str, wind
     new = first.groupBy("rank").agg(F.count("*").alias("new_count"))
     curve = order.join(new, "rank", "left").withColumn("new_count", F.coalesce("new_count", F.lit(0)))
     n = order.agg(F.count("*").alias("__n"))
-    so_far = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Running sums by blocks of ranks, shifted by the sums of the blocks before.
+    curve = curve.withColumn("__block", F.floor((F.col("rank") - 1) / RANKS_A_TASK))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = curve.groupBy("__block").agg(F.sum("new_count").alias("__sum")).withColumn("__shift", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum")
+    within = Window.partitionBy("__block").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    curve = curve.withColumn("__within", F.sum("new_count").over(within)).join(shift, "__block").withColumn("cumulative_count", F.col("__within") + F.col("__shift"))
     start = F.ceil((F.lit(1.0) - F.lit(float(window))) * F.col("__n")) + 1
-    return curve.withColumn("cumulative_count", F.sum("new_count").over(so_far)).crossJoin(n).select("rank", entity, "new_count", "cumulative_count", (F.col("rank") >= start).alias("in_final_window"))
+    return curve.crossJoin(n).select("rank", entity, "new_count", "cumulative_count", (F.col("rank") >= start).alias("in_final_window"))
 
 
 def saturation_verdict(curve: DataFrame) -> DataFrame:
@@ -43,9 +66,10 @@ def saturation_verdict(curve: DataFrame) -> DataFrame:
 
 
 def order_violations(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Rows whose value is below the one before."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order)
-    return df.withColumn("before", F.lag(value).over(w)).filter(F.col(value) < F.col("before"))
+    """Rows whose value is below the one before, and that one as ``before``. Neighbours meet by their numbers, so no task has all rows."""
+    rows = numbered(df, [F.col(order), F.col(value)], "__n")
+    before = rows.select((F.col("__n") + 1).alias("__n"), F.col(value).alias("before"))
+    return rows.join(before, "__n").filter(F.col(value) < F.col("before")).drop("__n")
 
 
 def top_per_group(df: DataFrame, keys: list[str], score: Column, tie: str) -> DataFrame:
@@ -77,14 +101,18 @@ def ordered(df: DataFrame, strategy: str, row_idx: str, **columns) -> DataFrame:
 
 def renumbered(df: DataFrame, by: list[Column], prefix: str, width: int = 5, name: str = "ref_id") -> DataFrame:
     """Ids like snow_00000 in the given order."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)) - 1
-    return df.withColumn(name, F.concat(F.lit(prefix), F.lpad(place.cast("string"), width, "0")))
+    out = numbered(df, by, "__n", 0)
+    return out.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("__n").cast("string"), width, "0"))).drop("__n")
 
 
 def simple_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_order(F.col(key), seed), key).limit(n)
 
 
+#: Parts of a stratum whose first rows are found apart.
+PARTS = 64
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, rates: list[tuple[str, float]], budget: int, seed: int = 42) -> DataFrame:
     """From each stratum its rate of rows, at least one, in the order of the list until the budget is used up; later strata may get nothing."""
     axis = df.sparkSession.createDataFrame([(k, s, float(r)) for k, (s, r) in enumerate(rates)], f"__at int, {stratum} string, __rate double")
@@ -92,5 +120,9 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, rates: list[tuple[s
     sizes = sizes.withColumn("__want", F.least(F.col("__size"), F.greatest(F.lit(1), F.floor(F.col("__size") * F.col("__rate")))))
     before = F.coalesce(F.sum("__want").over(Window.partitionBy(F.lit(0)).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     takes = sizes.withColumn("__take", F.least(F.col("__want"), F.greatest(F.lit(0), F.lit(budget) - before))).select(stratum, "__take")
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded_order(F.col(key), seed), key))
-    return df.join(F.broadcast(takes.filter("__take > 0")), stratum).withColumn("__place", place).filter("__place <= __take").select(*df.columns)
+    # The first rows of each part of a stratum, then of the stratum: no task sorts a whole one.
+    rows = df.join(F.broadcast(takes.filter("__take > 0")), stratum).withColumn("__part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    for part in ([stratum, "__part"], [stratum]):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy(seeded_order(F.col(key), seed), key))
+        rows = rows.withColumn("__place", place).filter("__place <= __take")
+    return rows.select(*df.columns)

@@ -5,9 +5,6 @@ A record's columns are expressions that both engines read alike, so the SQL stat
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +23,7 @@ from lodegrid.plans import decisions as X
 from lodegrid.plans import done as Z
 from lodegrid.plans import gaps as G
 from lodegrid.queries import query, table
+from lodegrid.session import scratch
 from lodegrid.sources import readers as I
 from lodegrid.sources import records as N
 from lodegrid.sources import writers as O
@@ -41,16 +39,6 @@ def sql_of(name: str, columns: Columns) -> str:
     return f"(SELECT {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM {name})"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder's path that all executors share; in single-JVM local mode without a checkpoint folder a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='lodegrid-')}"
-    return f"{shared.rstrip('/')}/files/{uuid.uuid4().hex}"
-
-
 # -- files: CSV ---------------------------------------------------------------------------------------------------------
 _PAPER: Columns = {
     "id": "CAST(c_custkey AS STRING)",
@@ -422,7 +410,7 @@ def falling_values(spark, sf_dir):
 
 _STRATEGIES = """SELECT 'doi' AS strategy, id, row_number() OVER (ORDER BY doi NULLS LAST, row_idx) AS place FROM r UNION ALL SELECT 'recent', id, row_number() OVER (ORDER BY year DESC NULLS LAST, row_idx) FROM r
     UNION ALL SELECT 'rank', id, row_number() OVER (ORDER BY CASE rank WHEN 'A*' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END, row_idx) FROM r UNION ALL SELECT 'random', id, row_number() OVER (ORDER BY md5('42:' || row_idx), row_idx) FROM r"""
-_ORDERED: Columns = {"id": "c_custkey", "row_idx": "c_custkey * 7 % 1009", "doi": "CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END", "year": "CASE WHEN c_custkey % 6 > 0 THEN 2000 + c_nationkey END", "rank": "CASE c_custkey % 4 WHEN 0 THEN 'A*' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'A' END"}
+_ORDERED: Columns = {"id": "c_custkey", "row_idx": "c_custkey * 7 % 1000003", "doi": "CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END", "year": "CASE WHEN c_custkey % 6 > 0 THEN 2000 + c_nationkey END", "rank": "CASE c_custkey % 4 WHEN 0 THEN 'A*' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'A' END"}
 
 
 @query(f"WITH r AS {sql_of('customer', _ORDERED)} {_STRATEGIES}")
@@ -448,3 +436,414 @@ def united_sources(spark, sf_dir):
 def kept_unknown(spark, sf_dir):
     k = F.col("doc_id") % 4
     return P.screenable(table(spark, sf_dir, "documents").select("doc_id", F.when(k == 0, "fail").when(k == 1, "pass").when(k == 2, "manual_review").alias("page_status")))
+
+
+# -- keys and names -------------------------------------------------------------------------------------------------------
+_RAW: Columns = {
+    "id": "c_custkey",
+    "issn": "' 12' || CAST(c_nationkey AS STRING) || '-34 5x'",
+    "acronym": "CASE c_custkey % 4 WHEN 0 THEN 'icse' WHEN 1 THEN ' nan ' WHEN 2 THEN '' ELSE 'Tse' END",
+    "name": "CASE WHEN c_custkey % 8 = 2 THEN ' ' ELSE 'International Conference on ' || c_name END",
+    "title": "'{A {Large}-Scale}   Study of ' || c_name",
+    "authors": "'Smith, ' || c_mktsegment || ' and van Roe, B and Lee ' || CAST(c_nationkey AS STRING)",
+    "single": "CASE WHEN c_custkey % 2 = 0 THEN 'Doe, Jane and Roe, B' ELSE 'Jane Q Public and Roe, B' END",
+    "keywords": "c_mktsegment || ', ' || ',testing , ' || CAST(c_nationkey AS STRING)",
+    "url": "CASE c_custkey % 3 WHEN 0 THEN 'https://doi-org.proxy.edu/10.1145/' || CAST(c_custkey AS STRING) || '.99?x=1' WHEN 1 THEN 'see arXiv:2401.' || CAST(10000 + c_custkey AS STRING) ELSE 'none' END",
+    "kind": "CASE c_custkey % 5 WHEN 0 THEN 'inproceedings' WHEN 1 THEN 'article' WHEN 2 THEN 'phdthesis' WHEN 3 THEN 'inbook' ELSE 'online' END",
+    "venue": "CASE c_custkey % 7 WHEN 0 THEN 'Journal of Book Proceedings' WHEN 1 THEN 'Workshop' WHEN 2 THEN 'Bookish' WHEN 3 THEN 'arXiv' WHEN 4 THEN 'PhD Thesis' WHEN 5 THEN '' ELSE 'Conference' END",
+    "seed": "CASE c_custkey % 6 WHEN 0 THEN 'Wang et al. - 2025 - LLM-based Agents in Software.pdf' WHEN 1 THEN 'Li et al. - 2024 - A survey of low-code tools.pdf' WHEN 2 THEN 'Roe - 2023 - Agents for software.pdf' WHEN 3 THEN 'Kim - 2022 - Other.pdf' WHEN 4 THEN 'some file-name of ' || c_name || ' and more words.pdf' ELSE 'Doe et al. - 2021 - Agentic programming.pdf' END",
+}
+
+
+@query(rf"""SELECT id, replace(replace(lower(trim(issn)), '-', ''), ' ', '') AS issn, upper(trim(acronym)) AS acronym,
+        CASE WHEN lower(trim(acronym)) NOT IN ('', 'nan', 'none', 'n/a') THEN trim(acronym) WHEN trim(name) <> '' THEN left(trim(name), 30) ELSE '(no acronym)' END AS shown,
+        trim(regexp_replace(replace(replace(title, '{{', ''), '}}', ''), '\s+', ' ', 'g')) AS title, regexp_replace(authors, ' and ', '; ', 'g') AS authors, CASE WHEN id % 2 = 0 THEN 'doe' ELSE 'public' END AS surname,
+        replace(split_part(keywords, ',', 1) || '; testing; ' || trim(split_part(keywords, ',', 4)), ',', '') AS keywords,
+        CASE WHEN id % 3 = 0 THEN '10.1145/' || id || '.99' END AS doi, CASE WHEN id % 3 = 1 THEN '2401.' || (10000 + id) ELSE '' END AS arxiv,
+        CASE kind WHEN 'inproceedings' THEN 'p/Conference Paper' WHEN 'article' THEN 'j/Article' WHEN 'phdthesis' THEN 'j/Thesis' WHEN 'inbook' THEN 'p/Book Chapter' ELSE 'p/Other' END AS entry,
+        CASE id % 7 WHEN 0 THEN '@article/journal' WHEN 1 THEN '@inproceedings/booktitle' WHEN 2 THEN '@inbook/booktitle' WHEN 3 THEN '@misc/howpublished' WHEN 4 THEN '@phdthesis/school' WHEN 5 THEN '@misc/howpublished' ELSE '@inproceedings/booktitle' END AS venue,
+        CASE id % 6 WHEN 0 THEN 'WangLLMAgents2025' WHEN 1 THEN 'LiLCNC2024' WHEN 2 THEN 'RoeAgentsSE2023' WHEN 3 THEN 'Kim2022' WHEN 4 THEN left(regexp_replace(replace(seed, '.pdf', ''), '[^A-Za-z0-9]+', '', 'g'), 30) ELSE 'DoeAgenticProg2021' END AS seed,
+        'doi_10.1_' || id || '.pdf' AS file FROM {sql_of('customer', _RAW)}""")
+def names_and_kinds(spark, sf_dir):
+    r = made(spark, sf_dir, "customer", _RAW)
+    entry, venue = K.entry_kind(F.col("kind")), K.venue_entry(F.col("venue"))
+    return r.select(
+        "id", K.issn_key(F.col("issn")).alias("issn"), K.acronym_key(F.col("acronym")).alias("acronym"), K.acronym_shown(F.col("acronym"), F.col("name")).alias("shown"), K.unbraced(F.col("title")).alias("title"),
+        K.authors_from_bibtex(F.col("authors")).alias("authors"), K.surname_of_bibtex(F.col("single")).alias("surname"), K.keywords_to_semicolons(F.col("keywords")).alias("keywords"),
+        K.doi_in_url(F.col("url")).alias("doi"), K.arxiv_id(F.col("url")).alias("arxiv"), F.concat_ws("/", entry["source_type"], entry["doctype"]).alias("entry"), F.concat_ws("/", venue["entry"], venue["field"]).alias("venue"),
+        K.seed_id(F.col("seed")).alias("seed"), K.file_safe(F.concat(F.lit("doi:10.1/"), F.col("id").cast("string")), ".pdf").alias("file"),
+    )
+
+
+_PEOPLE: Columns = {
+    "id": "s_suppkey",
+    "ours": "CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Roe, A; Doe, B' WHEN 2 THEN 'Roe, A' WHEN 3 THEN '' ELSE 'Müller, J; Roe, A' END",
+    "theirs": "CASE s_suppkey % 5 WHEN 0 THEN ' ; ' WHEN 1 THEN 'B Doe; A Roe' WHEN 2 THEN 'Poe, A' WHEN 3 THEN 'Roe, A' ELSE '' END",
+    "given": "CASE WHEN s_suppkey % 3 = 0 THEN 'J.' END",
+    "family": "CASE WHEN s_suppkey % 3 < 2 THEN s_name END",
+    "whole": "CASE WHEN s_suppkey % 2 = 0 THEN 'The ' || s_name ELSE ' ' END",
+}
+
+
+@query(f"""SELECT id, CASE id % 5 WHEN 0 THEN 'both_empty' WHEN 1 THEN 'same' WHEN 2 THEN 'different' WHEN 3 THEN 'ours_empty' ELSE 'theirs_empty' END AS delta,
+        CASE id % 5 WHEN 1 THEN 'a roe' WHEN 2 THEN 'a roe' WHEN 4 THEN 'j muller' ELSE '' END AS first_key, CASE WHEN id % 5 IN (0, 3) THEN '' WHEN id % 5 = 1 THEN 'Roe, A and Doe, B' WHEN id % 5 = 2 THEN 'Roe, A' ELSE 'Müller, J and Roe, A' END AS bibtex,
+        CASE WHEN family IS NOT NULL THEN concat_ws(', ', family, given) WHEN given IS NOT NULL THEN given WHEN trim(whole) <> '' THEN whole ELSE 'D ' || id END AS person FROM {sql_of('supplier', _PEOPLE)}""")
+def people(spark, sf_dir):
+    """Author lists: which of five ways they differ, keys, formats, names from services' objects."""
+    r = made(spark, sf_dir, "supplier", _PEOPLE)
+    return r.select(
+        "id", K.author_delta(F.col("ours"), F.col("theirs")).alias("delta"), K.name_set_key(F.split_part("ours", F.lit(";"), F.lit(1))).alias("first_key"), K.authors_to_bibtex(F.col("ours")).alias("bibtex"),
+        K.person_name(F.col("given"), F.col("family"), F.col("whole"), F.concat(F.lit("D "), F.col("id").cast("string"))).alias("person"),
+    )
+
+
+@query("""SELECT p_brand AS brand, sha1(string_agg(DISTINCT p_name, chr(10) ORDER BY p_name)) AS digest, 'https://a/' || min(p_partkey) || ' https://b/' || p_brand AS urls FROM part GROUP BY 1""")
+def digests_and_urls(spark, sf_dir):
+    a = F.concat(F.lit("https://a/"), F.min("p_partkey").cast("string"))
+    out = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.collect_set("p_name").alias("names"), a.alias("a"))
+    return out.select("brand", K.list_digest(F.col("names")).alias("digest"), F.array_join(K.candidate_urls(F.col("a"), F.lit(" "), F.concat(F.lit("https://b/"), "brand"), F.col("a")), " ").alias("urls"))
+
+
+# -- text -----------------------------------------------------------------------------------------------------------------
+_CELLS: Columns = {
+    "id": "p_partkey",
+    "pages": "CASE p_size % 4 WHEN 0 THEN ' 45–' || CAST(p_size AS STRING) WHEN 1 THEN '7--9 ' WHEN 2 THEN '' END",
+    "article": "CASE WHEN p_size % 3 > 0 THEN CAST(p_size AS STRING) END",
+    "date": "CASE WHEN p_size % 5 = 0 THEN 'n.d.' ELSE CAST(1990 + p_size AS STRING) || '-05-01' END",
+    "flag": "CASE p_size % 6 WHEN 0 THEN ' TRUE' WHEN 1 THEN 'yes' WHEN 2 THEN '1' WHEN 3 THEN 'no' WHEN 4 THEN NULL ELSE 'Y ' END",
+    "mismatch": "CASE WHEN p_size % 7 = 0 THEN 'x' ELSE ' ' END",
+    "answer": "'Sure: {\"label\": \"' || p_brand || '\", \"n\": ' || CAST(p_size AS STRING) || '} ok'",
+    "env": "'NAME = \"' || p_name || '\" '",
+    "why": "p_brand || ' x ' || p_type || ': ' || CAST(p_size AS STRING) || ' of the 2.50 that are usual; named by 3 sources.'",
+    "joined": "'Smith, J.A study.In ' || p_brand || ',Vol   2'",
+    "pipe": "p_name || '|' || p_brand",
+}
+
+
+@query(rf"""SELECT id, CASE WHEN p IN (0, 1) THEN trim(replace(replace(pages, '–', '-'), '--', '-')) WHEN article IS NOT NULL THEN 'art' || article || ':12pp' END AS pages, CASE WHEN date = 'n.d.' THEN NULL ELSE left(date, 4)::INT END AS year,
+        coalesce(lower(trim(flag)), '') IN ('true', '1', 'yes', 'y') AS truthy, CASE WHEN coalesce(lower(trim(flag)), '') IN ('true', '1') OR trim(mismatch) <> '' THEN 'preprint' ELSE 'published' END AS kind,
+        json_extract_string(regexp_extract(answer, '(\{{.*\}})', 1), '$.label') AS label, trim(split_part(env, '"', 2)) AS env, regexp_extract(why, '^(.+) x (.+): (\d+) of the', 2) AS gap_column, regexp_extract(why, ': (\d+) of', 1)::INT AS gap_n,
+        regexp_replace(regexp_replace(regexp_replace(joined, '\.([A-Z])', '. \1', 'g'), ',([A-Z])', ', \1', 'g'), '\s{{2,}}', ' ', 'g') AS spaced, replace(pipe, '|', '\|') AS escaped
+    FROM (SELECT c.*, p_size % 4 AS p FROM {sql_of('part', _CELLS)} c JOIN part ON id = p_partkey)""")
+def cells_and_marks(spark, sf_dir):
+    r = made(spark, sf_dir, "part", _CELLS)
+    gap = G.parsed_rationale(F.col("why"))
+    return r.select(
+        "id", T.page_string(F.col("pages"), F.col("article"), F.lit("12")).alias("pages"), T.year_of_date(F.col("date")).alias("year"), T.truthy(F.col("flag")).alias("truthy"), T.preprint_default(F.col("flag"), F.col("mismatch")).alias("kind"),
+        T.json_object_in(F.col("answer"), "label string, n int").getField("label").alias("label"), T.env_value(F.col("env")).alias("env"), gap["column"].alias("gap_column"), gap["n"].alias("gap_n"),
+        T.spaced(F.col("joined")).alias("spaced"), T.escaped_for_table(F.col("pipe")).alias("escaped"),
+    )
+
+
+@query(r"""WITH b AS (SELECT item_id, text, regexp_extract_all(lower(text), '([a-z0-9]+)', 1)[9] AS word, string_split(lower(text || chr(10) || text), chr(10)) AS lines FROM benchmark)
+    SELECT item_id, CASE WHEN word IS NOT NULL THEN list_position(list_transform(lines, lambda x: contains(x, word)), true) END::INT AS line FROM b""")
+def line_of_word(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    word = F.try_element_at(T.tokens(F.col("text")), F.lit(9))
+    return b.select("item_id", T.first_line_with(F.concat("text", F.lit("\n"), "text"), word).alias("line"))
+
+
+@query(r"""SELECT conv_id, turn, 'see [' || CASE WHEN turn % 2 = 0 THEN 'new' || (conv_id % 5) ELSE 'k' || (conv_id % 5 + 5) END || '; other] and [Fig 1]' AS text, (turn % 2 = 0)::BIGINT AS replaced FROM conversations""")
+def citekeys_rewritten(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    key = F.when(F.col("turn") % 2 == 0, F.col("conv_id") % 5).otherwise(F.col("conv_id") % 5 + 5).cast("string")
+    texts = c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.concat(F.lit("see [k"), key, F.lit("; other] and [Fig 1]")).alias("text"))
+    mapping = spark.createDataFrame([(f"k{k}", f"new{k}") for k in range(5)], "old string, new string")
+    out = R.rewritten_citekeys(texts, "id", "text", mapping)
+    return out.select(F.split_part("id", F.lit("/"), F.lit(1)).cast("long").alias("conv_id"), F.split_part("id", F.lit("/"), F.lit(2)).cast("long").alias("turn"), "text", "replaced")
+
+
+_REF_LINES = "'Smith, J. 20' || lpad(CAST(item_id % 25 AS STRING), 2, '0') || '. Title of number ' || CAST(item_id AS STRING)"
+
+
+@query(f"""SELECT item_id % 4 AS doc, row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id)::INT AS ref, {_REF_LINES} || ' goes on' AS raw FROM benchmark""")
+def author_references(spark, sf_dir):
+    """A line that begins with surname and initials begins a reference; the next ones belong to it."""
+    b = made(spark, sf_dir, "benchmark", {"doc": "item_id % 4", "item_id": "item_id", "l": _REF_LINES})
+    lines = b.select("doc", F.explode(F.array(F.struct((F.col("item_id") * 3).alias("at"), F.col("l").alias("line")), F.struct((F.col("item_id") * 3 + 1).alias("at"), F.lit(" goes on ").alias("line")), F.struct((F.col("item_id") * 3 + 2).alias("at"), F.lit("17").alias("line")))).alias("x"))
+    return R.author_references(lines.select("doc", "x.at", "x.line"))
+
+
+@query(r"""WITH l AS (SELECT doc_id AS doc, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, unnest(string_split(text, chr(10))) AS line FROM documents)
+    SELECT doc, k::INT AS ref, trim('[' || k || '] 2001 ' || line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS raw FROM l WHERE k <= 999 AND length(trim('[' || k || '] 2001 ' || line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 30""")
+def numbered_lines(spark, sf_dir):
+    """Numbers that rise one by one: each line is a reference; short ones are dropped."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "l"))
+    return R.numbered_references(lines.select("doc", "at", F.concat(F.lit("["), (F.col("at") + 1).cast("string"), F.lit("] 2001 "), F.col("l")).alias("line")))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS doc, n_nationkey AS numbered, (n_nationkey * 7) % 30 AS author, 5 AS manual FROM nation)
+    SELECT doc, CASE WHEN numbered >= 20 THEN 'numbered' WHEN author >= 20 THEN 'author' WHEN numbered >= author AND numbered >= manual THEN 'numbered' WHEN author >= manual THEN 'author' ELSE 'manual' END AS strategy,
+        CASE WHEN numbered >= 20 THEN numbered WHEN author >= 20 THEN author ELSE greatest(numbered, author, manual) END::BIGINT AS n FROM n""")
+def reference_strategy(spark, sf_dir):
+    """The first way that gives 20 references, else the one with most; a table by hand comes last."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc"))
+    refs = lambda size: n.withColumn("n", size).filter("n > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("ref"), F.lit("r").alias("raw"))
+    return R.chosen_references(refs(F.col("doc")), refs((F.col("doc") * 7 % 30).cast("int")), refs(F.lit(5))).groupBy("doc", "strategy").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_nationkey AS page, 50.0 + (n_nationkey + 100) / 2.0 AS split FROM nation WHERE n_nationkey % 3 < 2""")
+def page_columns(spark, sf_dir):
+    """Line starts near two margins: the middle of the widest gap is where the second column begins."""
+    n = table(spark, sf_dir, "nation")
+    far = F.when(F.col("n_nationkey") % 3 < 2, F.col("n_nationkey") + 150).otherwise(55)
+    words = n.select(F.col("n_nationkey").alias("page"), F.explode(F.array(F.lit(48.0), F.lit(50.0), far.cast("double"), (far + 3).cast("double"))).alias("x0"))
+    return R.column_gap(words)
+
+
+# -- decisions ------------------------------------------------------------------------------------------------------------
+_ANSWER: Columns = {
+    "doi": "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '10.1/' || CAST(o_orderkey AS STRING) END", "title": "'T' || CAST(o_orderkey AS STRING)", "year": "CAST(1990 + o_orderkey % 30 AS STRING)",
+    "decision": "CASE o_orderstatus WHEN 'F' THEN 'include' WHEN 'O' THEN 'defer' ELSE 'exclude' END", "criterion": "CASE WHEN o_orderkey % 5 = 0 THEN 'EC2' END", "f1_provisional": "''",
+    "preprint_paper": "CASE WHEN o_orderkey % 4 = 0 THEN 'preprint' END", "rationale": "CASE WHEN o_orderkey % 7 = 0 THEN '[manual] r' ELSE 'r' END",
+}
+
+
+@query(f"""WITH a AS {sql_of('orders', _ANSWER)}, b AS (SELECT *, CASE WHEN decision = 'defer' THEN '[snowball-forced-exclude] LLM deferred due to insufficient context (abstract unavailable from seed citation). ' || rationale ELSE rationale END AS r FROM a)
+    SELECT CASE WHEN doi <> '' THEN 'doi:' || doi ELSE 'hash:' || left(md5(title || year), 12) END AS paper_id, CASE WHEN decision = 'defer' THEN 'exclude' ELSE decision END AS decision,
+        CASE WHEN criterion IS NULL AND decision = 'defer' THEN 'EC4' ELSE coalesce(criterion, '') END AS criterion, coalesce(preprint_paper, 'unknown') AS preprint_paper, CASE WHEN starts_with(r, '[') THEN r ELSE '[LLM-snowball] ' || r END AS rationale, 'snowball' AS pass_number, 16 AS n_columns FROM b""")
+def decisions_from_answers(spark, sf_dir):
+    out = X.from_answers(made(spark, sf_dir, "orders", _ANSWER), "s1", "AB", "2026-01-01")
+    return out.select("paper_id", "decision", "criterion", "preprint_paper", "rationale", "pass_number", F.lit(len(out.columns)).alias("n_columns"))
+
+
+@query("""SELECT 'p' || o_orderkey AS paper_id, CASE WHEN o_orderkey % 2 = 0 THEN '[rater-override] why' ELSE 'why' END AS rationale, 'llm-approved' AS pass_number, 't' || o_orderkey AS first_decision_timestamp, '' AS doi FROM orders""")
+def decisions_from_reviews(spark, sf_dir):
+    rows = made(spark, sf_dir, "orders", {"paper_id": "'p' || CAST(o_orderkey AS STRING)", "rater_override": "CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE '' END", "rationale": "'why'", "timestamp": "'t' || CAST(o_orderkey AS STRING)"})
+    return X.from_reviews(rows, "s1", "AB", "2026-01-01").select("paper_id", "rationale", "pass_number", "first_decision_timestamp", "doi")
+
+
+@query("""SELECT 'T' || p_partkey AS title, CAST(p_size AS STRING) AS year, '(not available — snowball reference from seed PDF)' AS abstract, '' AS source, '' AS paratext_flag FROM part""")
+def shown_references(spark, sf_dir):
+    rows = made(spark, sf_dir, "part", {"title": "'T' || CAST(p_partkey AS STRING)", "year": "CAST(p_size AS STRING)", "doi": "''"})
+    return X.shown_reference(rows).select("title", "year", "abstract", "source", "paratext_flag")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'exclude' ELSE o_orderstatus END AS decision, CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'EC1' ELSE 'EC4' END WHEN o_orderkey % 2 = 0 THEN 'EC1' ELSE '' END AS criterion,
+    CASE WHEN o_orderstatus = 'O' THEN '[forced exclude] ' ELSE '' END || 'r' AS rationale FROM orders""")
+def forced_exclusions(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "defer").otherwise(F.col("o_orderstatus")).alias("decision"), F.when(F.col("o_orderkey") % 2 == 0, "EC1").otherwise("").alias("criterion"), F.lit("r").alias("rationale"))
+    return S.forced_exclusions(rows)
+
+
+# -- codes, clusters, modes -------------------------------------------------------------------------------------------------
+@query("""SELECT DISTINCT p_name || ' ' || p_type AS code, 256 AS dims, 1.0::DOUBLE AS norm, true AS cached FROM part""")
+def embedded_codes(spark, sf_dir):
+    """Made once; asked again for the same texts they come from where they were kept; another text makes them anew."""
+    path = scratch(spark)
+    codes = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("c"))
+    first = E.embedded(codes.filter("c > 'm'"), "c", path)
+    again = E.embedded(codes, "c", path)
+    if not first.filter("cached").isEmpty() or not again.filter("cached").isEmpty():
+        raise ValueError("taken from another input's embeddings")
+    out = E.embedded(codes, "c", path)
+    return out.select("code", F.size("embedding").alias("dims"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), "cached")
+
+
+@query("""SELECT p_type AS cluster, count(*) AS size, md5(string_agg(CAST(p_partkey AS STRING), ',' ORDER BY p_partkey)) AS items_md5, (SELECT string_agg(b, ',' ORDER BY k) FROM (SELECT p_brand AS b, min(p_partkey) AS k FROM part q WHERE q.p_type = part.p_type GROUP BY 1)) AS brands FROM part GROUP BY 1""")
+def cluster_contents(spark, sf_dir):
+    """Members in order, and another column's distinct values in the order in which members have them."""
+    out = L.members(table(spark, sf_dir, "part").select(F.col("p_type").alias("cluster"), "p_partkey", "p_brand"), "cluster", "p_partkey", "p_brand")
+    return out.select("cluster", "size", F.md5(F.encode(F.array_join(F.col("items").cast("array<string>"), ","), "UTF-8")).alias("items_md5"), F.array_join("p_brands", ",").alias("brands"))
+
+
+_EDITS = """(SELECT n_nationkey AS cluster_id, CASE WHEN n_nationkey % 6 = 0 THEN 'split' WHEN n_nationkey % 6 = 1 AND (n_nationkey + 1) % 6 <> 0 THEN 'merged' WHEN n_nationkey % 6 = 2 THEN 'approved' WHEN n_nationkey % 6 = 3 THEN 'approved' ELSE 'pending' END AS status FROM nation)"""
+
+
+@query(f"""SELECT cluster_id, CASE WHEN cluster_id % 6 = 3 THEN 'Renamed' ELSE n_name END AS label, status, CASE WHEN status = 'merged' THEN cluster_id + 1 END AS target FROM {_EDITS} e JOIN nation ON n_nationkey = cluster_id""")
+def cluster_edits(spark, sf_dir):
+    """split and merge end a cluster; merging into an ended one is refused; reopening undoes an approval."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cluster_id"), F.col("n_name").alias("label"))
+    k = F.col("cluster_id") % 6
+    event = lambda seq, when, action, target=None, label=None: n.filter(when).select(F.lit(seq).alias("seq"), "cluster_id", F.lit(action).alias("action"), (target if target is not None else F.lit(None)).cast("int").alias("target"), F.lit(label).cast("string").alias("label"))
+    events = P.united([
+        event(1, k == 0, "split"), event(2, k == 1, "merge", F.col("cluster_id") + 1), event(3, k == 2, "approve"), event(4, k == 3, "approve"), event(5, k == 3, "rename", None, "Renamed"),
+        event(6, k == 4, "approve"), event(7, k == 4, "reopen"), event(8, k == 5, "merge", F.col("cluster_id") - 5), event(9, k == 0, "approve"),
+    ])
+    return L.edited(n, events)
+
+
+@query("""SELECT n_nationkey AS cluster_id, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN 'Label ' || n_regionkey ELSE 'Label ' || n_regionkey || ' (' || n_nationkey || ')' END AS label FROM nation WHERE n_nationkey % 4 > 1""")
+def cluster_labels(spark, sf_dir):
+    k = F.col("n_nationkey") % 4
+    state = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cluster_id"), F.concat(F.lit("Label "), F.col("n_regionkey").cast("string")).alias("label"), F.when(k == 0, "split").when(k == 1, "pending").otherwise("approved").alias("status"))
+    return L.emitted(state)
+
+
+@query("""SELECT n_name AS canonical_label, CASE WHEN n_nationkey % 3 = 0 THEN 'explore' WHEN n_nationkey % 3 = 1 THEN '?' ELSE '' END AS choice, CASE WHEN n_nationkey % 2 = 0 THEN 'repair' END AS suggested, CASE WHEN n_nationkey % 6 = 0 THEN 'overrides repair' ELSE '' END AS note FROM nation""")
+def mode_choices(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("canonical_label"), F.col("n_nationkey").alias("k"))
+    placed = n.filter("k % 3 < 2").select("canonical_label", F.when(F.col("k") % 3 == 0, "explore").otherwise("?").alias("mode"))
+    suggested = n.select("canonical_label", F.when(F.col("k") % 2 == 0, "repair").otherwise("no such mode").alias("suggested"))
+    return L.with_suggestions(L.classification_state(n, placed), suggested, ["explore", "repair"])
+
+
+@query("""SELECT n_name AS canonical_label, 'explore' AS mode FROM nation WHERE n_nationkey % 3 = 0""")
+def mode_partition(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    choice = F.when(F.col("n_nationkey") % 3 == 0, "explore").when(F.col("n_nationkey") % 3 == 1, "?")
+    return L.emitted_modes(n.select(F.col("n_name").alias("canonical_label"), choice.alias("choice")))
+
+
+@query("""SELECT n_name AS canonical_label, CASE WHEN n_nationkey % 2 = 0 THEN 'explore' WHEN n_nationkey % 3 = 0 THEN 'bogus' END AS mode FROM nation WHERE n_regionkey = 0 OR n_nationkey % 2 = 1""")
+def unusable_answers(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    items = n.select(F.col("n_name").alias("canonical_label"), F.when(F.col("n_nationkey") % 2 == 0, "explore").when(F.col("n_nationkey") % 3 == 0, "bogus").alias("mode"))
+    return L.unusable_items(items, n.filter("n_regionkey > 0").select(F.col("n_name").alias("canonical_label")), ["explore"])
+
+
+_LABELS: Columns = {"id": "p_partkey", "label": "CASE p_size % 8 WHEN 0 THEN 'General Usage' WHEN 1 THEN ' General Pattern ' WHEN 2 THEN 'Misc' WHEN 3 THEN p_name WHEN 4 THEN p_name || ' one two three four' WHEN 5 THEN '' WHEN 6 THEN 'Code  Review' END"}
+
+
+@query(f"SELECT id, coalesce(p_size % 8 IN (3, 6), false) AS well_formed FROM {sql_of('part', _LABELS)} JOIN part ON id = p_partkey")
+def label_form(spark, sf_dir):
+    return made(spark, sf_dir, "part", _LABELS).select("id", F.coalesce(L.is_well_formed(F.col("label")), F.lit(False)).alias("well_formed"))
+
+
+@query("""WITH w AS (SELECT p_brand AS brand, p_partkey, unnest(string_split(lower(p_name), ' ')) AS word, unnest([0, 1]) AS place FROM part WHERE p_size > 2),
+    c AS (SELECT brand, word, count(*) AS n, min(p_partkey * 10 + place) AS first FROM w WHERE length(word) >= 4 GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY n DESC, first) AS k FROM c)
+    SELECT brand, string_agg(upper(left(word, 1)) || substring(word, 2), ' ' ORDER BY k) AS label FROM t WHERE k <= 3 GROUP BY 1 UNION ALL SELECT 'short', 'A B C' UNION ALL SELECT 'none', 'Unlabeled Cluster'""")
+def fallback_labels(spark, sf_dir):
+    """The most common words; without two of them the first text's beginning, else a fixed label."""
+    rows = table(spark, sf_dir, "part").filter("p_size > 2").select(F.col("p_brand").alias("brand"), "p_name", "p_partkey")
+    more = spark.createDataFrame([("short", "a b c d", 1), ("short", "about", 2), ("none", "x", 1)], "brand string, p_name string, p_partkey long")
+    return L.fallback_labels(rows.unionByName(more), "brand", "p_name", "p_partkey")
+
+
+# -- definitions of done ------------------------------------------------------------------------------------------------------
+_DECIDED: Columns = {
+    "paper_id": "'p' || CAST(c_custkey AS STRING)", "decision": "CASE c_custkey % 5 WHEN 0 THEN 'include' WHEN 1 THEN 'exclude' WHEN 2 THEN 'defer' WHEN 3 THEN 'maybe' ELSE 'exclude' END",
+    "criterion": "CASE WHEN c_custkey % 10 = 1 THEN 'EC1' WHEN c_custkey % 10 = 4 THEN 'EC4' WHEN c_custkey % 10 = 6 THEN 'bad' END", "class": "CASE WHEN c_custkey % 3 = 0 THEN 'Evaluation' END",
+}
+
+
+@query(f"""WITH d AS {sql_of('customer', _DECIDED)} SELECT 'decided once' AS rule, 'p' || s_suppkey * 1000 AS item, '0' AS detail FROM supplier WHERE 'p' || s_suppkey * 1000 NOT IN (SELECT paper_id FROM d)
+    UNION ALL SELECT 'known decision', paper_id, decision FROM d WHERE decision = 'maybe' UNION ALL SELECT 'exclusion has a criterion', paper_id, '' FROM d WHERE decision = 'exclude' AND coalesce(criterion, '') NOT IN ('EC1', 'EC2', 'EC3', 'EC4', 'EC5', 'EC6')
+    UNION ALL SELECT 'class is given', paper_id, '' FROM d WHERE (decision = 'include' OR criterion = 'EC1') AND class IS NULL UNION ALL SELECT 'deferred', paper_id, '' FROM d WHERE decision = 'defer'""")
+def done_screening(spark, sf_dir):
+    candidates = table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), (F.col("s_suppkey") * 1000).cast("string")).alias("paper_id"))
+    return Z.screening(candidates, made(spark, sf_dir, "customer", _DECIDED))
+
+
+@query("""WITH r AS (SELECT 'r' || n_nationkey AS ref_id, CASE n_nationkey % 4 WHEN 0 THEN 'new_include' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'odd' END AS status, CASE WHEN n_nationkey % 3 > 0 THEN '10.1/' || n_nationkey % 7 END AS doi, n_nationkey AS k FROM nation)
+    SELECT 'status present' AS rule, ref_id AS item, 'status' AS detail FROM r WHERE status IS NULL UNION ALL SELECT 'known status', ref_id, 'odd' FROM r WHERE status = 'odd'
+    UNION ALL SELECT 'DOI once', doi, count(*)::VARCHAR FROM r WHERE doi IS NOT NULL GROUP BY doi HAVING count(*) > 1 UNION ALL SELECT 'seed seen', r_name, '' FROM region WHERE r_regionkey > 2""")
+def done_snowballing(spark, sf_dir):
+    k = F.col("n_nationkey")
+    seeds = F.concat(F.lit("REGION_0| REGION_1 |"), F.lit("REGION_2"))
+    names = {r["r_regionkey"]: r["r_name"] for r in table(spark, sf_dir, "region").collect()}
+    seeds = F.lit(f"{names[0]}| {names[1]} |{names[2]}")
+    refs = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), k.cast("string")).alias("ref_id"), F.when(k % 4 == 0, "new_include").when(k % 4 == 1, "unresolved").when(k % 4 == 2, "odd").alias("status"), F.when(k % 3 > 0, F.concat(F.lit("10.1/"), (k % 7).cast("string"))).otherwise(" ").alias("doi"), seeds.alias("source_seed"))
+    return Z.snowballing(refs, table(spark, sf_dir, "region").select(F.col("r_name").alias("seed")))
+
+
+@query("""SELECT 'match rate' AS rule, '' AS item, CAST((SELECT count(*) FROM labels)::DOUBLE / count(*) AS VARCHAR) AS detail FROM documents""")
+def done_match_rate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("k"))
+    rows = J.lookup_with_status(docs, "k", table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("lk"), "toxic"), "lk", ["toxic"])
+    return Z.match_rate(rows.withColumn("doi", F.concat(F.lit("https://doi.org/10.1/"), "k")))
+
+
+@query("""SELECT 'facets filled' AS rule, 'doi:10.1/' || p_partkey AS item, CASE WHEN p_size % 2 = 0 THEN 'a,b' ELSE 'b' END AS detail FROM part WHERE p_size % 5 = 0 UNION ALL SELECT 'passages exist', 'doi_10.1_' || p_partkey, '' FROM part WHERE p_size % 7 = 0""")
+def done_extraction(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    matrix = p.select(F.concat(F.lit("doi:10.1/"), F.col("p_partkey").cast("string")).alias("paper_id"), F.when((F.col("p_size") % 5 == 0) & (F.col("p_size") % 2 == 0), " ").otherwise("x").alias("a"), F.when(F.col("p_size") % 5 > 0, "y").alias("b"))
+    files = p.filter("p_size % 7 > 0").select(F.concat(F.lit("doi_10.1_"), F.col("p_partkey").cast("string")).alias("file"))
+    return Z.extraction(matrix, ["a", "b"], files)
+
+
+@query("""SELECT 'original columns unchanged' AS rule, CAST(p_partkey AS STRING) AS item, '' AS detail FROM part WHERE p_size = 3 OR p_partkey % 50 = 1 OR p_partkey % 60 = 2""")
+def done_enrichment(spark, sf_dir):
+    """A changed cell, a lost row and an added one all show."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    before = p.filter("p_size = 3 or p_partkey % 60 != 2")
+    after = p.filter("p_size = 3 or p_partkey % 60 = 2 or p_partkey % 50 != 1").withColumn("p_name", F.when(F.col("p_size") == 3, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))).withColumn("rank", F.lit("A"))
+    return Z.enrichment(before, after, "p_partkey")
+
+
+@query("""SELECT 'code in one cluster' AS rule, n_name AS item, CASE WHEN n_nationkey % 4 = 0 THEN '2' ELSE '0' END AS detail FROM nation WHERE n_nationkey % 4 < 2 UNION ALL SELECT 'label once', 'Same Label', '2'
+    UNION ALL SELECT 'label well formed', 'other', '' UNION ALL SELECT 'passage id valid', 'doi:10.1:P1', '' UNION ALL SELECT 'confirmed', 'other', 'confirmed_by'""")
+def done_consolidation(spark, sf_dir):
+    codes = table(spark, sf_dir, "nation").select(F.col("n_name").alias("code"), "n_nationkey")
+    listed = lambda when: codes.filter(when).agg(F.to_json(F.collect_list("code")).alias("codes"))
+    row = lambda when, label, passages, who: listed(when).select(F.lit(label).alias("canonical_label"), "codes", F.lit(passages).alias("passage_ids"), F.lit(who).alias("confirmed_by"))
+    clusters = P.united([row("n_nationkey % 4 != 1", "Same Label", '["doi:10.1:P001"]', "AB"), row("n_nationkey % 4 = 0", "Same Label", '["doi:10.1:P1"]', "AB"), row("false", "other", "[]", " ")])
+    return Z.consolidation(codes, clusters)
+
+
+@query("""SELECT 'label has one mode' AS rule, n_name AS item, '0' AS detail FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'known mode', n_name, 'odd' FROM nation WHERE n_nationkey % 5 = 1
+    UNION ALL SELECT 'modes to labels', '', CAST(2.0::DOUBLE / count(*) AS VARCHAR) FROM nation WHERE n_nationkey % 5 > 0""")
+def done_classification(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("canonical_label"), F.col("n_nationkey").alias("k"))
+    return Z.classification(n, n.filter("k % 5 > 0").withColumn("mode", F.when(F.col("k") % 5 == 1, "odd").otherwise("explore")), ["explore"])
+
+
+@query("""SELECT 'entities in band' AS rule, n_name AS item, CAST(n AS STRING) AS detail FROM (SELECT n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) WHERE n NOT BETWEEN 5 AND 7""")
+def done_crosstabs(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return Z.crosstabs(rows.groupBy(F.col("n_name").alias("name")).agg(F.count("c_custkey").alias("unique_entities")), 5, 7)
+
+
+@query("""SELECT 'cells' AS rule, '' AS item, CAST(count(*)::DOUBLE AS VARCHAR) AS detail FROM nation UNION ALL SELECT 'empty or gap', n_name || ' x ' || n_regionkey, '' FROM nation WHERE n_nationkey % 6 = 0
+    UNION ALL SELECT 'gaps logged', CAST(count(*) FILTER (n_nationkey % 3 = 0) AS VARCHAR), '2' FROM nation""")
+def done_gap_matrix(spark, sf_dir):
+    k = F.col("n_nationkey")
+    matrix = table(spark, sf_dir, "nation").select("n_name", "n_regionkey", F.lit(1).alias("n"), (k % 3 == 0).alias("is_gap"), (k % 6 == 0).alias("is_empty"), F.lit(1.0).alias("threshold"))
+    register = S.events(spark.range(2), kind="gap_identified").unionByName(S.events(spark.range(3), kind="other"))
+    return Z.gap_matrix(matrix, 171, register)
+
+
+@query("""SELECT 'never falls' AS rule, CAST(n_nationkey AS STRING) AS item, '' AS detail FROM nation WHERE n_nationkey % 10 = 9 UNION ALL SELECT 'total', '', CAST(max(n_nationkey)::DOUBLE AS VARCHAR) FROM nation WHERE n_nationkey % 10 < 9 UNION ALL SELECT 'final window', '', '0.0'""")
+def done_saturation(spark, sf_dir):
+    k = F.col("n_nationkey")
+    curve = table(spark, sf_dir, "nation").select(k.alias("rank"), F.when(k % 10 == 9, k - 5).otherwise(k).alias("cumulative_count"), F.lit(False).alias("in_final_window"))
+    return Z.saturation(curve, 20)
+
+
+@query("""SELECT 'key defined' AS rule, 'k' || n_nationkey AS item, '' AS detail FROM nation WHERE n_nationkey % 2 = 1 UNION ALL SELECT 'entries', '', CAST(count(*)::DOUBLE AS VARCHAR) FROM nation WHERE n_nationkey % 2 = 0""")
+def done_bibliography(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("citekey"), "n_nationkey")
+    texts = n.select(F.concat(F.lit("As [k0; "), "citekey", F.lit("] and [Fig] say")).alias("text"))
+    return Z.bibliography(texts, n.filter("n_nationkey % 2 = 0"), 20)
+
+
+@query("""SELECT 'passages a mode' AS rule, n_name AS item, CAST(n AS STRING) AS detail FROM (SELECT n_name, count(DISTINCT s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) WHERE n < 2
+    UNION ALL SELECT 'mentioned', n_name, '' FROM nation WHERE n_regionkey > 1""")
+def done_trust(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    passages = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("mode"), F.col("s_suppkey").alias("passage"))
+    texts = n.filter("n_regionkey <= 1").select(F.concat(F.lit("we found <"), F.lower("n_name"), F.lit(">")).alias("text"))
+    phrases = n.select(F.concat(F.lit("<"), "n_name", F.lit(">")).alias("phrase"))
+    return Z.trust(passages, n.select(F.col("n_name").alias("mode")), texts, phrases).withColumn("item", F.translate("item", "<>", ""))
+
+
+@query("""SELECT 'adds up' AS rule, 'three' AS item, '' AS detail UNION ALL SELECT 'follows', 'two', ''""")
+def done_funnel(spark, sf_dir):
+    stages = spark.createDataFrame([("one", 1, 10, 3, 7), ("two", 2, 8, 2, 6), ("three", 3, 6, 1, 4)], "stage string, at int, n_in int, removed int, n_out int")
+    return Z.funnel(stages)
+
+
+@query("""SELECT 'columns' AS rule, 'abstract' AS item, 'missing column' AS detail UNION ALL SELECT 'columns', 'doi', 'missing column'""")
+def done_search_output(spark, sf_dir):
+    return Z.search_output(table(spark, sf_dir, "nation").withColumnRenamed("n_name", "title"), ["title", "abstract", "doi"])
+
+
+@query("""SELECT 'b.pdf' AS item, '20' AS detail UNION ALL SELECT 'c.pdf', '12000'""")
+def valid_files(spark, sf_dir):
+    """Files of 10 kB at least that begin with the format's mark."""
+    head = lambda name, text: F.struct(F.lit(name).alias("path"), F.length(text).cast("long").alias("length"), F.encode(text, "UTF-8").alias("content"))
+    files = spark.range(1).select(F.inline(F.array(head("a.pdf", F.rpad(F.lit("%PDF-1.7"), 12_000, "x")), head("b.pdf", F.rpad(F.lit("%PDF"), 20, "x")), head("c.pdf", F.rpad(F.lit("<html>"), 12_000, "x")))))
+    from lodegrid.operators import checks as Q
+
+    return Q.file_is_valid(files, "valid").select("item", "detail")
+
+
+# -- reports ----------------------------------------------------------------------------------------------------------------
+@query(r"""SELECT md5(concat_ws(chr(10), '# Evidence', '', '## Sizes', '', '| label | n |', '| --- | --- |', string_agg('| ' || label || ' | ' || n || ' |', chr(10) ORDER BY n DESC, label), '', '')) AS report_md5 FROM (SELECT p_name || '\|x' AS label, count(*) AS n FROM part GROUP BY 1)""")
+def markdown_report(spark, sf_dir):
+    """A heading, a section and its table in Markdown, with pipes escaped."""
+    from lodegrid.plans import reports
+
+    sizes = table(spark, sf_dir, "part").groupBy(F.concat("p_name", F.lit("|x")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
+    text = reports.report("Evidence", [("Sizes", sizes)])
+    return spark.range(1).select(F.md5(F.encode(F.lit(text), "UTF-8")).alias("report_md5"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegrid.functions.text import escaped_for_bibtex
+from lodegrid.operators.windows import numbered
 
 
 def quoted_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -58,8 +59,7 @@ def bibtex_text(kind: Column, citekey: Column, fields: dict[str, Column]) -> Col
 
 def batched(df: DataFrame, size: int, order: list[Column]) -> DataFrame:
     """df plus batch (from 0) of so many rows in the given order."""
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-    return df.withColumn("batch", F.floor((n - 1) / size).cast("int"))
+    return numbered(df, order, "__n", 0).withColumn("batch", F.floor(F.col("__n") / size).cast("int")).drop("__n")
 
 
 def request_lines(df: DataFrame, id_col: str, system: str, user: Column, model: str) -> DataFrame:
