@@ -22,7 +22,7 @@ SHARE = 1.5
 MOST_PASSES = 2
 N_SHARDS = 16
 #: Rows of a block, about, and the least and most blocks of a source: a larger source has larger blocks.
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 200
 LEAST_BLOCKS = 32
 MOST_BLOCKS = 1 << 16
 #: The tree's draws are made for so many groups of sources at most; up to this number each source is a group.
