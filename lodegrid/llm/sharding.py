@@ -64,6 +64,10 @@ def shuffle_into_shards(df: DataFrame, key: str, n_shards: int, seed: int = 17)
 
 
 def write_shards(df: DataFrame, key: str, n_shards: int, path: str, seed: int = 17) -> None:
-    """Shard ``df`` and write one folder a shard, rows in the order of their slots."""
-    out = shuffle_into_shards(df, key, n_shards, seed)
-    out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Shard ``df`` and write one folder a shard, rows in the order of their slots within and across its files.
+
+    Rows are dealt out by ranges of (shard, slot), so a large shard is written by several tasks.
+    """
+    out = stored(shuffle_into_shards(df, key, n_shards, seed))
+    tasks = max(n_shards, -(-out.count() // PIECE_ROWS))
+    out.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
