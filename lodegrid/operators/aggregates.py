@@ -44,6 +44,14 @@ def threshold_sweep(counts: DataFrame, quantiles: list[float], name: str = "n")
     )
 
 
+def threshold_flips(counts: DataFrame, cells: list[str], base: float, other: float, name: str = "n") -> DataFrame:
+    """cells, n, was, now of what another quantile calls otherwise: gap or normal; empty cells stay empty."""
+    levels = counts.agg(F.percentile(F.when(F.col(name) > 0, F.col(name)), [float(base), float(other)]).alias("__v"))
+    state = lambda at: F.when(F.col(name) == 0, "empty").when(F.col(name) <= F.col("__v")[at], "gap").otherwise("normal")
+    out = counts.crossJoin(F.broadcast(levels)).select(*cells, name, state(0).alias("was"), state(1).alias("now"))
+    return out.filter("was != now")
+
+
 def prioritised(gaps: DataFrame, prevalence: str, name: str = "n") -> DataFrame:
     """shortfall = (threshold - n) / threshold, priority = shortfall * prevalence; 0 where the threshold is 0."""
     short = F.when(F.col("threshold") > 0, (F.col("threshold") - F.col(name)) / F.col("threshold")).otherwise(0.0)

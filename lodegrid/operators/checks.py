@@ -66,6 +66,20 @@ def mentions(texts: DataFrame, rule: str, text: str, wanted: DataFrame, key: str
     return rows_failing(found, rule, F.lit(True), key)
 
 
+def has_headings(texts: DataFrame, rule: str, item: str, text: str, headings: list[str]) -> DataFrame:
+    """Each text has a Markdown heading that begins with each of the titles."""
+    lost = [F.when(~F.coalesce(F.col(text), F.lit("")).rlike(rf"(?m)^#+ +\Q{h}\E"), F.lit(h)) for h in headings]
+    missing = F.array_compact(F.array(*lost))
+    return rows_failing(texts, rule, F.size(missing) > 0, item, F.array_join(missing, ","))
+
+
+def files_present(files: DataFrame, rule: str, wanted: DataFrame, least_bytes: int = 1) -> DataFrame:
+    """Each wanted name (name) is among the files (name, length), and no wanted one is shorter than so many bytes."""
+    found = wanted.select("name").distinct().join(files.groupBy("name").agg(F.max("length").alias("length")), "name", "left")
+    short = F.coalesce(F.col("length"), F.lit(-1)) < least_bytes
+    return rows_failing(found, rule, short, "name", F.when(F.col("length").isNull(), "missing").otherwise(F.col("length").cast("string")))
+
+
 def at_least(df: DataFrame, rule: str, group: str, entity: str, groups: DataFrame, least: int) -> DataFrame:
     """Each declared group has so many distinct entities."""
     n = groups.select(group).distinct().join(df.groupBy(group).agg(F.count_distinct(entity).alias("n")), group, "left")

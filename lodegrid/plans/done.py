@@ -82,6 +82,17 @@ def classification(labels: DataFrame, assigned: DataFrame, modes: list[str], low
     )
 
 
+def taxonomy(texts: DataFrame, headings: list[str], traces: DataFrame, passages: DataFrame, labels: DataFrame, assigned: DataFrame, modes: list[str], overlaps: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """classification, and: texts (file, text) have their headings, traces (passage) resolve, nothing is copied verbatim (overlaps: target_id, ngram), and no verdict (item, verdict) is a failure."""
+    return Q.violations(
+        classification(labels, assigned, modes),
+        Q.has_headings(texts, "headings", "file", "text", headings),
+        Q.resolves(traces, "trace resolves", "passage", passages, "passage"),
+        Q.rows_failing(overlaps, "verbatim", F.lit(True), "target_id", F.col("ngram")),
+        Q.rows_failing(verdicts, "verdict", F.col("verdict") == "fail", "item"),
+    )
+
+
 def crosstabs(footers: DataFrame, low: int = 150, high: int = 310) -> DataFrame:
     """Rows (name, unique_entities) lie in the band."""
     return Q.rows_failing(footers, "entities in band", ~F.col("unique_entities").between(low, high), "name", F.col("unique_entities"))
@@ -110,11 +121,38 @@ def bibliography(texts: DataFrame, entries: DataFrame, least: int = 15) -> DataF
     return Q.violations(Q.resolves(cited, "key defined", "citekey", entries, "citekey"), Q.measure(entries, "entries", F.count("*"), least))
 
 
+def bibliography_files(files: DataFrame, wanted: DataFrame, least_bytes: int, listed: DataFrame, archived: DataFrame) -> DataFrame:
+    """The wanted files (name) are there and large enough (files: name, length), and the archive's list (name) has all that belong in it."""
+    return Q.violations(Q.files_present(files, "file present", wanted, least_bytes), Q.resolves(listed, "in archive", "name", archived, "name"))
+
+
 def trust(mode_passages: DataFrame, modes: DataFrame, texts: DataFrame, phrases: DataFrame, least: int = 2) -> DataFrame:
     """Each mode is backed by passages, and each phrase (gap pairs, headings, thresholds, boundaries) is mentioned."""
     return Q.violations(Q.at_least(mode_passages, "passages a mode", "mode", "passage", modes, least), Q.mentions(texts, "mentioned", "text", phrases, "phrase"))
 
 
+def invariants(mode_passages: DataFrame, modes: DataFrame, gap_pairs: DataFrame, agenda: DataFrame, criteria: DataFrame, statements: dict[str, tuple[DataFrame, DataFrame]], least: int = 2) -> DataFrame:
+    """The six invariants apart: passages a mode; gap pairs (row, column) both named in one text of the agenda (text); each
+    criterion (phrase), threshold, boundary and survey, given as name to (texts, phrases), mentioned.
+    """
+    both = gap_pairs.join(agenda.select(F.lower("text").alias("__t")), F.expr("contains(__t, lower(`row`)) and contains(__t, lower(`column`))"), "left_anti")
+    parts = [Q.at_least(mode_passages, "passages a mode", "mode", "passage", modes, least), Q.rows_failing(both.withColumn("pair", F.concat_ws(" x ", "row", "column")), "gap pair named", F.lit(True), "pair")]
+    parts += [Q.mentions(texts, name, "text", phrases, "phrase") for name, (texts, phrases) in {"criterion": (agenda, criteria), **statements}.items()]
+    return Q.violations(*parts)
+
+
+def skeleton(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every file of the skeleton is there and isn't empty."""
+    return Q.files_present(files, "skeleton", wanted)
+
+
+def query_template(template: DataFrame, placeholders: list[str]) -> DataFrame:
+    """The query (name, text) names each placeholder, and its brackets are balanced."""
+    lost = F.array_compact(F.array(*[F.when(~F.col("text").contains(p), F.lit(p)) for p in placeholders]))
+    opened, closed = (F.regexp_count("text", F.lit(x)) for x in (r"\(", r"\)"))
+    return Q.violations(Q.rows_failing(template, "placeholder", F.size(lost) > 0, "name", F.array_join(lost, ",")), Q.rows_failing(template, "brackets", opened != closed, "name"))
+
+
 def funnel(stages: DataFrame) -> DataFrame:
     """What goes in is what comes out and what is removed, and a stage begins with what the one before left."""
     from pyspark.sql import Window

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from lodegrid.functions import keys as K
 from lodegrid.functions import text as T
 from lodegrid.operators import aggregates as A
+from lodegrid.operators import checks as Q
 from lodegrid.operators import clustering as L
 from lodegrid.operators import embedding as E
 from lodegrid.operators import joins as J
-from lodegrid.operators import overlap as V
 from lodegrid.operators import references as R
 from lodegrid.operators import state as S
 from lodegrid.operators import windows as W
@@ -22,11 +22,14 @@ from lodegrid.plans import corpus as P
 from lodegrid.plans import decisions as X
 from lodegrid.plans import done as Z
 from lodegrid.plans import gaps as G
+from lodegrid.plans import reports as M
+from lodegrid import queries as Y
 from lodegrid.queries import query, table
 from lodegrid.session import scratch
 from lodegrid.sources import readers as I
 from lodegrid.sources import records as N
 from lodegrid.sources import writers as O
+from lodegrid.streaming import streams
 
 Columns = dict[str, str]
 
@@ -730,7 +733,6 @@ def done_screening(spark, sf_dir):
     UNION ALL SELECT 'DOI once', doi, count(*)::VARCHAR FROM r WHERE doi IS NOT NULL GROUP BY doi HAVING count(*) > 1 UNION ALL SELECT 'seed seen', r_name, '' FROM region WHERE r_regionkey > 2""")
 def done_snowballing(spark, sf_dir):
     k = F.col("n_nationkey")
-    seeds = F.concat(F.lit("REGION_0| REGION_1 |"), F.lit("REGION_2"))
     names = {r["r_regionkey"]: r["r_name"] for r in table(spark, sf_dir, "region").collect()}
     seeds = F.lit(f"{names[0]}| {names[1]} |{names[2]}")
     refs = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), k.cast("string")).alias("ref_id"), F.when(k % 4 == 0, "new_include").when(k % 4 == 1, "unresolved").when(k % 4 == 2, "odd").alias("status"), F.when(k % 3 > 0, F.concat(F.lit("10.1/"), (k % 7).cast("string"))).otherwise(" ").alias("doi"), seeds.alias("source_seed"))
@@ -833,8 +835,6 @@ def valid_files(spark, sf_dir):
     """Files of 10 kB at least that begin with the format's mark."""
     head = lambda name, text: F.struct(F.lit(name).alias("path"), F.length(text).cast("long").alias("length"), F.encode(text, "UTF-8").alias("content"))
     files = spark.range(1).select(F.inline(F.array(head("a.pdf", F.rpad(F.lit("%PDF-1.7"), 12_000, "x")), head("b.pdf", F.rpad(F.lit("%PDF"), 20, "x")), head("c.pdf", F.rpad(F.lit("<html>"), 12_000, "x")))))
-    from lodegrid.operators import checks as Q
-
     return Q.file_is_valid(files, "valid").select("item", "detail")
 
 
@@ -842,8 +842,104 @@ def valid_files(spark, sf_dir):
 @query(r"""SELECT md5(concat_ws(chr(10), '# Evidence', '', '## Sizes', '', '| label | n |', '| --- | --- |', string_agg('| ' || label || ' | ' || n || ' |', chr(10) ORDER BY n DESC, label), '', '')) AS report_md5 FROM (SELECT p_name || '\|x' AS label, count(*) AS n FROM part GROUP BY 1)""")
 def markdown_report(spark, sf_dir):
     """A heading, a section and its table in Markdown, with pipes escaped."""
-    from lodegrid.plans import reports
-
     sizes = table(spark, sf_dir, "part").groupBy(F.concat("p_name", F.lit("|x")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
-    text = reports.report("Evidence", [("Sizes", sizes)])
+    text = M.report("Evidence", [("Sizes", sizes)])
     return spark.range(1).select(F.md5(F.encode(F.lit(text), "UTF-8")).alias("report_md5"))
+
+
+# -- more rules and files -----------------------------------------------------------------------------------------------------
+@query("""SELECT 'label has one mode' AS rule, n_name AS item, '0' AS detail FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'modes to labels', '', CAST(1.0::DOUBLE / count(*) AS VARCHAR) FROM nation WHERE n_nationkey % 5 > 0 HAVING 1.0::DOUBLE / count(*) > 0.05
+    UNION ALL SELECT 'headings', 'b.md', 'Sources' UNION ALL SELECT 'trace resolves', 'P' || n_nationkey, '' FROM nation WHERE n_nationkey % 4 = 1 UNION ALL SELECT 'verbatim', 'a.md', 'x y' UNION ALL SELECT 'verdict', n_name, '' FROM nation WHERE n_nationkey % 7 = 0""")
+def done_taxonomy(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("canonical_label"), F.col("n_nationkey").alias("k"), F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("passage"))
+    texts = spark.createDataFrame([("a.md", "# Modes\n\ntext\n\n## Sources of it\n"), ("b.md", "# Modes\nSources\n")], "file string, text string")
+    overlaps = spark.createDataFrame([("a.md", "x y")], "target_id string, ngram string")
+    verdicts = n.select(F.col("canonical_label").alias("item"), F.when(F.col("k") % 7 == 0, "fail").otherwise("pass").alias("verdict"))
+    return Z.taxonomy(texts, ["Modes", "Sources"], n, n.filter("k % 4 != 1"), n, n.filter("k % 5 > 0").withColumn("mode", F.lit("explore")), ["explore"], overlaps, verdicts)
+
+
+@query("""SELECT 'file present' AS rule, 'refs.bib' AS item, '99' AS detail UNION ALL SELECT 'file present', 'refs.zip', 'missing' UNION ALL SELECT 'in archive', p_brand, '' FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 3)""")
+def done_bibliography_files(spark, sf_dir):
+    files = spark.createDataFrame([("refs.bib", 99), ("style.csl", 5000)], "name string, length long")
+    wanted = spark.createDataFrame([("refs.bib",), ("refs.zip",), ("style.csl",)], "name string")
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), "p_size")
+    return Z.bibliography_files(files, wanted, 100, p, p.filter("p_size < 3"))
+
+
+@query("""SELECT 'passages a mode' AS rule, n_name AS item, CAST(n AS STRING) AS detail FROM (SELECT n_name, count(DISTINCT s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) WHERE n < 2
+    UNION ALL SELECT 'gap pair named', n_name || ' x ' || r_name, '' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 > 0
+    UNION ALL SELECT 'criterion', 'novelty', '' UNION ALL SELECT 'threshold', 'P40', '' UNION ALL SELECT 'survey', 'second survey', ''""")
+def done_invariants(spark, sf_dir):
+    t = lambda name: table(spark, sf_dir, name)
+    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    passages = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("mode"), F.col("s_suppkey").alias("passage"))
+    # A name is also part of longer ones, so all stand in marks.
+    marked = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    pairs = n.filter("n_nationkey % 2 = 0").select(marked("n_name").alias("row"), F.col("r_name").alias("column"))
+    agenda = n.filter("n_nationkey % 3 = 0").select(F.concat(F.lit("Validity: "), marked(F.lower("n_name")), F.lit(" and "), "r_name").alias("text"))
+    one = lambda *x: spark.createDataFrame([(y,) for y in x], "phrase string")
+    text = lambda x: spark.createDataFrame([(x,)], "text string")
+    found = Z.invariants(passages, t("nation").select(F.col("n_name").alias("mode")), pairs, agenda, one("validity", "novelty"), {"threshold": (text("P20 and p33"), one("P33", "P40")), "boundary": (text("limits: none"), one("Limits")), "survey": (text("first survey"), one("first survey", "second survey"))})
+    return found.withColumn("item", F.translate("item", "<>", ""))
+
+
+@query("""SELECT 'skeleton' AS rule, 'LICENSE' AS item, 'missing' AS detail UNION ALL SELECT 'skeleton', 'code/run.py', '0' UNION ALL SELECT 'placeholder', 'two', '{years}' UNION ALL SELECT 'brackets', 'two', ''""")
+def done_skeleton(spark, sf_dir):
+    files = spark.createDataFrame([("README.md", 10), ("code/run.py", 0)], "name string, length long")
+    wanted = spark.createDataFrame([("README.md",), ("code/run.py",), ("LICENSE",)], "name string")
+    queries = spark.createDataFrame([("one", "TITLE({terms}) AND ({years})"), ("two", "TITLE({terms}")], "name string, text string")
+    return Z.skeleton(files, wanted).unionByName(Z.query_template(queries, ["{terms}", "{years}"]))
+
+
+@query(f"""WITH {'{evidence}'}, t AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.5) AS b FROM cells WHERE n > 0)
+    SELECT brand, nation, n, 'normal' AS was, 'gap' AS now FROM cells, t WHERE n > a AND n <= b""".replace("{evidence}", Y._EVIDENCE.strip()))
+def threshold_flips(spark, sf_dir):
+    """Cells that a higher quantile calls a gap and the usual one doesn't."""
+    return A.threshold_flips(Y._matrix(spark, sf_dir).select("brand", "nation", "n"), ["brand", "nation"], 0.25, 0.5)
+
+
+@query("""SELECT 'k' || (p_partkey % 50) AS citekey, arg_max('files/' || p_partkey || '.pdf', p_partkey) AS attached FROM part WHERE p_size % 2 = 0 GROUP BY 1""")
+def attached_files(spark, sf_dir):
+    """The file of each entry that names one; the last entry of a key counts."""
+    p = table(spark, sf_dir, "part")
+    fields = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("file"), F.concat(F.lit("files/"), F.col("p_partkey").cast("string"), F.lit(".pdf")))).otherwise(F.create_map(F.lit("year"), F.lit("2000")))
+    return I.file_fields(p.select(F.concat(F.lit("k"), (F.col("p_partkey") % 50).cast("string")).alias("citekey"), F.lit("a.bib").alias("file"), F.col("p_partkey").alias("at"), fields.alias("fields")))
+
+
+@query("""SELECT 'seed_' || n_regionkey AS seed, n_name AS title, CAST(n_nationkey AS STRING) AS year FROM nation""")
+def seed_tables(spark, sf_dir):
+    folder = scratch(spark)
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), F.col("n_nationkey").cast("string").alias("year"), "n_regionkey")
+    for r in range(5):
+        O.quoted_csv(n.filter(F.col("n_regionkey") == r).select("title", "year"), f"{folder}/seed_{r}.csv")
+    return I.seed_tables(spark, folder, ["title", "year"])
+
+
+@query("""SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 1.0::DOUBLE WHEN n_nationkey = 1 THEN NULL ELSE 0.0::DOUBLE END AS ratio FROM nation WHERE n_nationkey <> 1""")
+def title_ratio(spark, sf_dir):
+    """The gestalt ratio of equal and of wholly different titles; case and marks don't count."""
+    n = table(spark, sf_dir, "nation").filter("n_nationkey != 1")
+    a, b = F.concat(F.lit("A: "), "n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("a "), F.translate(F.lower("n_name"), "_", "-"))).otherwise("zzzz")
+    return n.select(F.col("n_nationkey").alias("k"), T.sequence_ratio(a, b).alias("ratio"))
+
+
+@query("""WITH e AS (SELECT ts, event_type FROM events) SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM e GROUP BY ALL""")
+def streamed_counts(spark, sf_dir):
+    """A stream over the events in event-time windows, run to its end: what its table then holds."""
+    folder, name = scratch(spark), f"counts_{scratch(spark)[-8:]}"
+    table(spark, sf_dir, "events").select("ts", "event_type").repartition(3).write.parquet(folder)
+    counts = streams.windowed_counts(streams.events_stream(spark, folder, "ts timestamp, event_type string"), "ts", "event_type", late="3650 days")
+    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("""SELECT phase, kind, subject FROM (SELECT DISTINCT '1' AS phase, event_type AS kind, CAST(user_id AS STRING) AS subject FROM events)""")
+def streamed_register(spark, sf_dir):
+    """A stream into the register, then once more over the same files: each event's key is there once."""
+    folder, register = scratch(spark), scratch(spark)
+    S.events(table(spark, sf_dir, "events"), phase="1", kind=F.col("event_type"), subject=F.col("user_id")).repartition(3).write.parquet(folder)
+    for _ in range(2):
+        stream = streams.events_stream(spark, folder, S.REGISTER_SCHEMA)
+        stream.writeStream.foreachBatch(streams.append_new(register, ["phase", "kind", "subject"])).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(register).select("phase", "kind", "subject")

@@ -26,6 +26,12 @@ def csv(spark: SparkSession, path: str, columns: list[str] | None = None, blanks
     return df.na.fill("") if blanks else df
 
 
+def seed_tables(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """Tables kept by hand, one file or folder a seed (<seed>.csv): columns as strings, and the seed."""
+    rows = spark.read.option("recursiveFileLookup", True).option("header", True).option("multiLine", True).option("escape", '"').schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(folder)
+    return rows.select(F.regexp_extract(F.input_file_name(), r"/([^/]+)\.csv(/|$)", 1).alias("seed"), *columns)
+
+
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Columns renamed without regard to case."""
     low = {k.lower(): v for k, v in names.items()}

@@ -1,11 +1,11 @@
-"""Streams: counts in event-time windows, first sightings of labels, exactly-once appends to a register."""
+"""Streams: counts in event-time windows, first sightings of labels, appends to a register by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.operators.state import REGISTER, append
+from lodegrid.operators.state import REGISTER, REGISTER_SCHEMA
 
 
 def events_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -23,14 +23,20 @@ def first_sightings(labels: DataFrame, ts: str, label: str, horizon: str = "30 d
 
 
 def append_new(register: str, key: list[str]):
-    """A foreachBatch sink that appends only events whose key isn't in the register yet: a batch that is repeated adds nothing."""
+    """A foreachBatch sink that appends only events whose key isn't in the register yet.
 
-    def sink(batch: DataFrame, _: int) -> None:
+    Each batch has a folder of its own (batch=<number>), which is written as a whole: a batch that is repeated, also one that
+    stopped halfway, replaces its own rows and is only compared with those of other batches. One stream writes to a register;
+    a second one needs a register of its own. Each batch reads the register's keys.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(register)
-        rows = batch.dropDuplicates(key)
+        rows = batch.dropDuplicates(key).select(*REGISTER)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            rows = rows.join(spark.read.parquet(register).select(*key), key, "left_anti")
-        append(rows.select(*REGISTER), register)
+            known = spark.read.schema(f"{REGISTER_SCHEMA}, batch long").parquet(register).filter(F.col("batch") != number)
+            rows = rows.join(known.select(*key), key, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{register}/batch={number}")
 
     return sink
