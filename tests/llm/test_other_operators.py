@@ -47,6 +47,13 @@ def test_shards_of_odd_rows(spark):
     check_shards(out.collect(), len(ODD), 4)
 
 
+def test_shards_are_written(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 50)
+    sharding.write_shards(frame(spark, [(k, "t", "s") for k in range(403)]), "doc_id", 3, f"file://{tmp_path}/shards")
+    sizes = {r["shard"]: (r["n"], r["last"]) for r in spark.read.parquet(f"file://{tmp_path}/shards").groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()}
+    assert sorted(sizes.values()) == [(134, 133), (134, 133), (135, 134)]
+
+
 def test_matrix_margins_and_law():
     rows = [5, 0, 17, 30, 8]
     total = np.zeros((5, 4))
@@ -321,3 +328,26 @@ def test_pipeline_stage_by_stage(spark, library):
     assert all(r["n_tokens"] == len(library.encode(texts[r["doc_id"]])) for r in results[5].collect())
     key = lambda df: sorted(map(repr, df.collect()))
     assert key(P.run(spark, SF)) == key(results[5])
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls anywhere, repeated rows and ids, empty and long texts, clashing names, no rows at all: each stage has its result."""
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, name string, quality int, score double, __rid long, tags map<string, string>"
+    long = "long text of words " * 20_000
+    texts = [(None, "a b c"), (None, "d e f g h"), (3, None), (3, ""), (4, "x y z"), (4, "x y z"), (5, long), (6, "Ünï 🙂"), (4, "other words here")]
+    docs = spark.createDataFrame([(i, t, None, None if k % 2 else "s", None, "n", 1, None, None, {"k": "v"}) for k, (i, t) in enumerate(texts)], schema)
+    for rows in (docs, docs.limit(0)):
+        kept = rows
+        for k, (name, stage) in enumerate(P.STAGES):
+            out = stage(spark, kept, SF)
+            if k < len(P.STAGES) - 1:
+                assert out.columns == docs.columns
+            out.write.parquet(f"file://{tmp_path}/{rows is docs}/{name}")
+            kept = spark.read.parquet(f"file://{tmp_path}/{rows is docs}/{name}")
+            if rows is not docs:
+                assert kept.count() == 0
+            elif name == "exact_dedup":
+                assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in kept.collect()) == [("3", 0), ("4", 5), ("4", 16), ("5", len(long)), ("6", 5), ("None", 5), ("None", 9)]
+    assert kept.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
