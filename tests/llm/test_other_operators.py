@@ -47,6 +47,16 @@ def test_shards_of_odd_rows(spark):
     check_shards(out.collect(), len(ODD), 4)
 
 
+def test_sharding_query_against_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op6_sharding"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+    check_shards(rows, len(texts), 40)
+
+
 def test_shards_are_written(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(sharding, "PIECE_ROWS", 50)
     sharding.write_shards(frame(spark, [(k, "t", "s") for k in range(403)]), "doc_id", 3, f"file://{tmp_path}/shards")
@@ -189,6 +199,117 @@ def test_quality_on_held_out_rows(spark):
     assert accuracy(rows, {k: q for k, (q, _) in truth.items()}) > 0.95
 
 
+def brute_toxicity(model, text):
+    """Token by token, with segments by their definition."""
+    import math
+    import re
+
+    import xxhash
+
+    tokens = re.findall(rb"[0-9A-Za-z_\x80-\xff]+", (text or "").lower().encode())
+    best_of = lambda t: max(model.scorer.scores[xxhash.xxh64_intdigest(f) % toxicity.BUCKETS] for f in {t, *[t[:n] + b"*" for n in (4, 5) if len(t) > n]})
+    beyond = [s - model.scorer.log_k - math.log(max(1, len(tokens))) for _, _, s in brute_segments([float(best_of(t)) for t in tokens])]
+    total = math.log1p(sum(b for b in beyond if b > -math.log(0.05)))
+    z = model.weights[0] + model.weights[1] * max([0.0, *beyond]) + model.weights[2] * total
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_against_brute_force(spark):
+    docs, labels, _ = labelled(spark, 240)
+    docs = docs.unionByName(frame(spark, [(900, "Vile, NASTY foulx w1 w2 vile w3 vile!", None), (901, "", None), (902, None, None), (903, "nasty " * 30 + "w1 " * 20 + "vile nasty vile", None)]))
+    model = toxicity.train(docs.select("doc_id", "text"), labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.toxicity(docs, labels).collect():
+        assert r["score"] == pytest.approx(brute_toxicity(model, texts[r["doc_id"]]), abs=1e-6)
+
+
+def brute_quality(rows):
+    """Co-training in memory with dense matrices: rows of (content, meta, quality or None, pooled, u), the labelled ones in their order."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def matrix(of):
+        names = {f: k for k, f in enumerate(sorted(set().union(*[r[of] for r in rows])))}
+        x = np.zeros((len(rows), len(names) + 1))
+        for i, r in enumerate(rows):
+            x[i, [names[f] for f in r[of]]] = 1 / np.sqrt(max(1, len(r[of])))
+        return x
+
+    x = [matrix(0), matrix(1)]
+    known = [i for i, r in enumerate(rows) if r[2] is not None]
+    n_kept = max(1, int(len(known) * 0.25))
+    held, taught = known[:n_kept], known[n_kept:]
+    w, square = [np.zeros(m.shape[1]) for m in x], [np.full(m.shape[1], 1e-8) for m in x]
+    train = [[(i, rows[i][2]) for i in taught] for _ in x]  # by view
+    logits = lambda v: x[v][:, :-1] @ w[v][:-1] + w[v][-1]
+
+    def step(v):
+        i, y = np.array([a for a, _ in train[v]]), np.array([b for _, b in train[v]], dtype=float)
+        weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+        error = (sigmoid(logits(v)[i]) - y) * weight
+        g = np.append(x[v][i, :-1].T @ error + 1e-4 * w[v][:-1], error.sum())
+        square[v] += g * g
+        w[v] -= 0.5 * g / np.sqrt(square[v])
+
+    for v in (0, 1):
+        for _ in range(quality.STEPS):
+            step(v)
+    free = [i for i, r in enumerate(rows) if r[3]]
+    pooled, share = len(free), np.mean([rows[i][2] for i in taught])
+    for _ in range(quality.ROUNDS):
+        n = min(int(quality.HANDED * pooled), len(free) // 2)
+        if not n:
+            break
+        n_good, gone = round(n * share), set()
+        for v in (0, 1):
+            place = {i: int(np.floor((z + 30) * 1000)) for i, z in zip(free, logits(v)[free], strict=True)}
+            for many, sign, label in ((n - n_good, 1, 0), (n_good, -1, 1)):
+                levels = sorted(set(place.values()), key=lambda b: b * sign)
+                left = many
+                for b in levels:
+                    inside = [i for i in free if place[i] == b]
+                    taken = inside if len(inside) <= left else [i for i in inside if rows[i][4] < left / len(inside)]
+                    taken = [i for i in taken if (b >= 30_000) == bool(label)]
+                    train[1 - v] += [(i, label) for i in taken]
+                    gone |= set(taken)
+                    left -= len(inside)
+                    if left <= 0:
+                        break
+        free = [i for i in free if i not in gone]
+        for _ in range(quality.FURTHER_STEPS):
+            for v in (0, 1):
+                step(v)
+    y = np.array([rows[i][2] for i in held])
+
+    def fit(z):
+        a = np.zeros(z.shape[1])
+        penalty = np.diag([1e-9] + [0.1] * (z.shape[1] - 1))
+        for _ in range(200):
+            p = sigmoid(z @ a)
+            a += np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ a)
+        return a
+
+    one = np.ones(len(rows))
+    calibrated = []
+    for v in (0, 1):
+        z = np.stack([one, logits(v)], axis=1)
+        calibrated.append(z @ fit(z[held]))
+    both = np.stack([one, *calibrated], axis=1)
+    return sigmoid(both @ fit(both[held]))
+
+
+def test_quality_against_brute_force(spark):
+    import xxhash
+
+    docs, labels, _ = labelled(spark, 260)
+    docs = docs.unionByName(frame(spark, [(1000 + k, f"w{k} w{k + 1} W{k}!!", "rare") for k in range(60)]))
+    rows = quality.featured(docs, labels).collect()
+    rows.sort(key=lambda r: xxhash.xxh64_intdigest(bytes(r["content"]) + bytes(r["meta"])))
+    unpack = lambda raw: np.frombuffer(bytes(raw), dtype="<u2").tolist()
+    want = brute_quality([(unpack(r["content"]), unpack(r["meta"]), r["quality"], r["pooled"], r["u"]) for r in rows])
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels).collect()}
+    assert max(abs(got[r["doc_id"]] - x) for r, x in zip(rows, want, strict=True)) < 1e-6
+
+
 def test_all_unlabelled_documents_take_part(spark):
     docs, labels, _ = labelled(spark, 300)
     more = frame(spark, [(1000 + k, f"w{k} w{k + 1}", "rare") for k in range(8500)] + [(None, "w1 w2", None)])
