@@ -99,22 +99,23 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     positive = np.flatnonzero(scores > 0)
     if not len(positive):
         return []
-    total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
+    total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)]).tolist()
     fresh = np.concatenate([[True], positive[1:] != positive[:-1] + 1])
     first, last = positive[fresh], positive[np.append(fresh[1:], True)]
-    found: list[list] = []  # first, last, sum before, sum after
+    found: list[list] = []  # first, last, sum before, sum after, place of the nearest one to the left with a lower sum before
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        now = [a, b, total[a], total[b + 1]]
+        now = [a, b, total[a], total[b + 1], -1]
         while True:
             k = len(found) - 1
             while k >= 0 and found[k][2] >= now[2]:
-                k -= 1
+                k = found[k][4]  # all between have a sum before that is higher still
             if k < 0 or found[k][3] >= now[3]:
+                now[4] = k
                 found.append(now)
                 break
-            now = [found[k][0], now[1], found[k][2], now[3]]
+            now = [found[k][0], now[1], found[k][2], now[3], -1]
             del found[k:]
-    return [(a, b, after - before) for a, b, before, after in found]
+    return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 #: For a scorer's table: the table, the features that its row scores belong to, these scores, and how many are filled.
