@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodegrid.llm.common import SPACE, lookup, numbered, stored
 
-BLOCK_CHARS = 4096
+BLOCK_BYTES = 4096
 
 
 def _keys(block: Column, salt: int) -> list[Column]:
@@ -29,20 +29,25 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def _blocks(norm: DataFrame, block_chars: int) -> DataFrame:
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("norm") / block_chars).cast("int") - 1)),
-        lambda i: F.substring(F.col("norm"), i * block_chars + 1, F.lit(block_chars)),
-    )
-    return norm.select("*", F.size(cut).alias("n_blocks"), F.posexplode(cut).alias("pos", "block"))
+def _occurrences(docs: DataFrame, rid: Column, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """rid, n_blocks, pos, block, k1, k2 of every block, and doc_id and sha with the first. Blocks are cut from bytes, so each is found without counting characters."""
+    norm = F.encode(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), "UTF-8")
+    # Exploding an array of one keeps the planner from working the text out anew for each use.
+    once = docs.select(F.col(id_col).alias("doc_id"), rid.alias("rid"), F.explode(F.array(norm)).alias("norm"))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.octet_length("norm") / block_bytes).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: F.substring(F.col("norm"), i * block_bytes + 1, F.lit(block_bytes)))
+    rows = once.withColumn("n_blocks", n_blocks).select("doc_id", "rid", "norm", "n_blocks", F.posexplode(cut).alias("pos", "block"))
+    first = F.col("pos") == 0
+    return rows.select("rid", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.sha2("norm", 256)).alias("sha"), "n_blocks", "pos", "block", *_keys(F.col("block"), 0))
 
 
-def _block_names(docs: DataFrame, block_chars: int, max_salts: int = 8) -> tuple[DataFrame, int]:
+def _block_names(occurrences: DataFrame, max_salts: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(names by key, occurrences with the keys that tell all distinct blocks apart)."""
     for salt in range(max_salts):
-        distinct = _blocks(docs.select("norm"), block_chars).select("block", *_keys(F.col("block"), salt)).distinct()
-        names = stored(_named(distinct, ["block"]).select("k1", "k2", "name"))
+        keyed = occurrences if not salt else occurrences.drop("k1", "k2").select("*", *_keys(F.col("block"), salt))
+        names = stored(_named(keyed.select("block", "k1", "k2").distinct(), ["block"]).select("k1", "k2", "name"))
         if names.groupBy("k1", "k2").count().filter("count > 1").isEmpty():
-            return names, salt
+            return names, keyed.drop("block")
     raise RuntimeError("no salt gives each distinct block a key of its own")
 
 
@@ -52,19 +57,13 @@ def _join_names(rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame
     return lookup(rows, sizes, keys, "count", max(1, rows.count())).drop("count", *keys)
 
 
-def document_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, rid_col: str | None = None) -> DataFrame:
+def document_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, rid_col: str | None = None) -> DataFrame:
     """One row per input row: rid (number of the row, or rid_col), doc_id, text_sha256, n_blocks, name.
 
     Texts are equal after whitespace normalisation iff (n_blocks, name) are equal.
     """
     rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
-    norm = docs.select(F.col(id_col).alias("doc_id"), rid.alias("rid"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ").alias("norm"))
-    names, salt = _block_names(norm, block_chars)
-    occurrences = stored(
-        _blocks(norm.withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256)), block_chars).select(
-            "rid", F.when(F.col("pos") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), "n_blocks", "pos", *_keys(F.col("block"), salt)
-        )
-    )
+    names, occurrences = _block_names(stored(_occurrences(docs, rid, id_col, text_col, block_bytes)))
     facts = occurrences.filter("pos = 0").select("rid", "doc_id", F.col("sha").alias("text_sha256"), "n_blocks")
     level = stored(_join_names(occurrences.select("rid", "n_blocks", "pos", "k1", "k2"), names, ["k1", "k2"]))
     done = [level.filter("n_blocks = 1").select("rid", "name")]
@@ -88,15 +87,15 @@ def document_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return facts.join(identity, "rid").select("rid", "doc_id", "text_sha256", "n_blocks", "name")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, block_chars: int, rid_col: str | None = None) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, rid_col: str | None = None) -> DataFrame:
     """rid, doc_id, text_sha256, group_size, first (of the group: null_last, id, first_rid), a row per input row."""
-    rows = stored(document_identities(docs, id_col, text_col, block_chars, rid_col))
+    rows = stored(document_identities(docs, id_col, text_col, block_bytes, rid_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_last"), F.col("doc_id").alias("id"), F.col("rid").alias("first_rid")))
     groups = stored(rows.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), first.alias("first")))
     return lookup(rows, groups, ["n_blocks", "name"], "group_size", max(1, rows.count()))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty; empty texts are equal to each other. A null doc_id comes after all
@@ -104,7 +103,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept. An empty table gives an empty result. Only id_col and text_col are read, so other
     columns, whatever their names, change nothing.
     """
-    out = _grouped(docs, id_col, text_col, block_chars)
+    out = _grouped(docs, id_col, text_col, block_bytes)
     return out.select("doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.first_rid")).alias("kept"), "text_sha256")
 
 
@@ -114,6 +113,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are told apart by number, so different texts that share an id, or have none, all stay.
     """
     rows, rid = numbered(docs)
-    kept = _grouped(rows, id_col, text_col, BLOCK_CHARS, rid).filter(F.col("rid") == F.col("first.first_rid")).select(F.col("rid").alias(rid))
+    kept = _grouped(rows, id_col, text_col, BLOCK_BYTES, rid).filter(F.col("rid") == F.col("first.first_rid")).select(F.col("rid").alias(rid))
     kept = stored(kept).hint("merge")  # the same plan at every size
     return rows.join(kept, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
