@@ -5,6 +5,8 @@ A record's columns are expressions that both engines read alike, so the SQL stat
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from lodegrid.operators import joins as J
 from lodegrid.operators import references as R
 from lodegrid.operators import state as S
 from lodegrid.operators import windows as W
+from lodegrid.plans import charts as H
 from lodegrid.plans import corpus as P
 from lodegrid.plans import decisions as X
 from lodegrid.plans import done as Z
@@ -943,3 +946,28 @@ def streamed_register(spark, sf_dir):
         stream = streams.events_stream(spark, folder, S.REGISTER_SCHEMA)
         stream.writeStream.foreachBatch(streams.append_new(register, ["phase", "kind", "subject"])).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(register).select("phase", "kind", "subject")
+
+
+@query("""SELECT n_name AS name, CAST(n_regionkey AS STRING) AS region, NULL::VARCHAR AS note FROM nation UNION ALL SELECT r_name, CAST(r_regionkey AS STRING), 'a & <b>' FROM region""")
+def workbook_sheets(spark, sf_dir):
+    """Two sheets of a workbook, written and read: columns by their names, blanks as nulls, marks escaped."""
+    n = [[r["n_name"], str(r["n_regionkey"]), None] for r in table(spark, sf_dir, "nation").collect()]
+    r = [["a & <b>", r["r_name"], str(r["r_regionkey"])] for r in table(spark, sf_dir, "region").collect()]
+    path = f"{scratch(spark)}.xlsx"
+    O.write_bytes(spark, O.workbook_bytes({"Journals": [["name", "region", "note"], *n], "Conf & more": [["note", "name", "region"], *r]}), path)
+    found = I.sheets(spark, path, {"Journals": ["name", "region", "note"], "Conf & more": ["name", "region", "note"]})
+    return found["Journals"].unionByName(found["Conf & more"])
+
+
+_CHARTED = "(SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL)"
+
+
+@query(f"""SELECT 'bars' AS chart, count(*) AS marks, sum(n)::BIGINT AS total FROM (SELECT p_brand, sum(n) AS n FROM {_CHARTED} GROUP BY 1) UNION ALL SELECT 'stacked', count(*), NULL FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_type FROM part)
+    UNION ALL SELECT 'heatmap', count(*), sum(n)::BIGINT FROM {_CHARTED} UNION ALL SELECT 'bubbles', count(*), sum(n)::BIGINT FROM {_CHARTED}""")
+def charts(spark, sf_dir):
+    """Marks of each chart and the sum of the numbers written at them; the legend's marks don't count."""
+    counts = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    whole = counts.groupBy("p_brand").agg(F.sum("n").alias("n"))
+    drawn = {"bars": (H.bars(whole, "Brands"), '<rect x='), "stacked": (H.stacked_bars(counts, "Types"), 'height="15"'), "heatmap": (H.heatmap(counts, "Cells"), '<rect x='), "bubbles": (H.bubbles(counts, "Cells"), "<circle")}
+    rows = [(name, svg.count(mark), None if name == "stacked" else sum(int(x) for x in re.findall(r">(\d+)</text>", svg))) for name, (svg, mark) in drawn.items()]
+    return spark.createDataFrame(rows, "chart string, marks long, total long")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,9 +68,51 @@ def json_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
 
 
-def sheets(spark: SparkSession, path: str, names: list[str]) -> list[DataFrame]:
-    """Sheets of a workbook, read on the driver; needs a reader for pandas."""
-    return [spark.createDataFrame(pd.read_excel(path, sheet_name=n, dtype=str).astype(object).where(lambda d: d.notna(), None)) for n in names]
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def workbook_rows(content: bytes, sheet: str) -> list[list[str | None]]:
+    """The cells of a sheet of an .xlsx workbook as strings, row by row: shared and inline strings, numbers as written, blanks as None."""
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        part = lambda name: ElementTree.fromstring(z.read(name))
+        link = next((s.get(_LINK) for s in part("xl/workbook.xml").iter(f"{_MAIN}sheet") if s.get("name") == sheet), None)
+        if link is None:
+            raise ValueError(f"the workbook has no sheet {sheet}")
+        target = next(r.get("Target") for r in part("xl/_rels/workbook.xml.rels") if r.get("Id") == link)
+        text = lambda x: "".join(t.text or "" for t in x.iter(f"{_MAIN}t"))
+        shared = [text(x) for x in part("xl/sharedStrings.xml").iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []
+        rows = []
+        for row in part(target.lstrip("/") if target.startswith("/") else f"xl/{target}").iter(f"{_MAIN}row"):
+            cells: list[str | None] = []
+            for c in row.iter(f"{_MAIN}c"):
+                letters = re.match("[A-Z]+", c.get("r") or "")
+                at = reduce(lambda n, x: 26 * n + ord(x) - 64, letters.group(), 0) - 1 if letters else len(cells)
+                cells += [None] * (at + 1 - len(cells))
+                v = c.find(f"{_MAIN}v")
+                value = text(c) if c.get("t") == "inlineStr" else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
+                cells[at] = value or None
+            rows.append(cells)
+    return rows
+
+
+def sheets(spark: SparkSession, path: str, names: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """Sheets of a workbook by name, with the given columns as strings; the first row names the columns. A workbook is one file, parsed in one task."""
+    book = spark.read.format("binaryFile").load(path).select("content")
+
+    def reader(sheet: str, columns: list[str]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for content in pdf["content"]:
+                    header, *rows = workbook_rows(bytes(content), sheet) or [[]]
+                    at = [header.index(c) for c in columns]
+                    yield pd.DataFrame([[r[k] if k < len(r) else None for k in at] for r in rows], columns=columns, dtype=object)
+
+        return run
+
+    return {n: book.mapInPandas(reader(n, c), ", ".join(f"`{x}` string" for x in c)) for n, c in names.items()}
 
 
 def passages(spark: SparkSession, path: str) -> DataFrame:

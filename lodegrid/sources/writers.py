@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 import subprocess
+import zipfile
 from datetime import UTC, datetime
+from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegrid.functions.text import escaped_for_bibtex
@@ -17,6 +20,35 @@ def quoted_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+def workbook_bytes(tables: dict[str, list[list[str | None]]]) -> bytes:
+    """An .xlsx workbook of small tables (rows of strings, the first one the header) with inline strings."""
+    letter = lambda k: (letter(k // 26 - 1) if k > 25 else "") + chr(65 + k % 26)
+    main, rels = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/package/2006/relationships"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda r, k, v: "" if v is None else f'<c r="{letter(k)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        ns = range(1, len(tables) + 1)
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        types = "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="{kind}.worksheet+xml"/>' for n in ns)
+        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{types}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{rels}"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{rels}">' + "".join(f'<Relationship Id="r{n}" Type="{office}/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in ns) + "</Relationships>")
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name={quoteattr(name)} sheetId="{n}" r:id="r{n}"/>' for n, name in zip(ns, tables, strict=True)) + "</sheets></workbook>")
+        for n, rows in zip(ns, tables.values(), strict=True):
+            body = "".join(f'<row r="{r}">{"".join(cell(r, k, v) for k, v in enumerate(row))}</row>' for r, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def write_bytes(spark: SparkSession, content: bytes, path: str) -> None:
+    """A small file at any path that Spark can write to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(content))
+    stream.close()
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """Add rows to a table of quoted files; each file has the header, which a reader of the folder skips."""
     quoted_csv(df, path, "append")
