@@ -87,4 +87,15 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
+    "op4_repeats": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+        f AS (SELECT s, min({'doc_id': doc_id, 'p': p}) AS first FROM w GROUP BY s HAVING count(*) > 1),
+        later AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM w JOIN f USING (s) WHERE doc_id <> first.doc_id OR p <> first.p),
+        runs AS (SELECT doc_id, p, sum((step IS NULL OR step > 100)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM later),
+        spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY ALL),
+        pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM spans),
+        cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS head FROM pieces JOIN d USING (doc_id) GROUP BY 1)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+    """,
 }
