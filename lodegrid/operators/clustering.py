@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegrid.session import scratch
+
 
 def complete_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     """Labels (the least row of the cluster) by nearest-neighbour chains over cosine distances; merges at or above the threshold don't happen."""
@@ -61,6 +63,84 @@ def clusters(df: DataFrame, block: str, item: str, vector: str, threshold: float
     return rows.groupBy("block").applyInPandas(run, f"block {kinds['block']}, item {kinds['item']}, cluster {kinds['item']}")
 
 
+#: Rows of a tile: two of them are compared by one matrix product.
+TILE_ROWS = 4096
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the least row that the links i, j connect it to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near_links(df: DataFrame, item: str, vector: str, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """a, b: links whose components are those of all pairs with a cosine distance below the threshold.
+
+    Rows are dealt into tiles and each pair of tiles is compared as a whole: the work is the square of the rows, as exact linkage
+    asks for, but no task holds more than two tiles, and a pair of tiles returns a link a row at most.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    tiles = max(1, -(-rows.count() // tile_rows))
+    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("item"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    pairs = dealt.select("item", "v", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf["v"].to_numpy())
+        unit = v / np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-300)
+        found = []
+        for k in range(0, len(unit), 512):
+            i, j = np.nonzero(1 - unit[k : k + 512] @ unit.T < threshold)
+            found.append(np.stack([i + k, j])[:, i + k < j])
+        i, j = np.concatenate(found, axis=1)
+        label = _forest(i, j, len(unit))
+        tied = label != np.arange(len(unit))
+        items = pdf["item"].to_numpy()
+        return pd.DataFrame({"a": items[tied], "b": items[label[tied]]})
+
+    kind = rows.schema["item"].dataType.simpleString()
+    return pairs.repartition(max(1, min(5000, tiles * (tiles + 1) // 2)), "t0", "t1").groupBy("t0", "t1").applyInPandas(run, f"a {kind}, b {kind}")
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """item, component: the least item reachable, for each item of the links (a, b). Each round takes the least label around and then the label's label."""
+    spark, both = links.sparkSession, links.select(F.col("a").alias("item"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("item"), F.col("a").alias("near")))
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    both = kept(both.distinct())
+    label = kept(both.groupBy("item").agg(F.least(F.min("near"), F.first("item")).alias("component")))
+    while True:
+        around = both.join(label.select(F.col("item").alias("near"), "component"), "near").groupBy("item").agg(F.min("component").alias("around"))
+        lower = label.join(around, "item").select("item", F.col("component").alias("was"), F.least("component", "around").alias("component"))
+        further = lower.select(F.col("item").alias("component"), F.col("component").alias("further"))
+        new = kept(lower.join(further, "component").select("item", "was", F.col("further").alias("component")))
+        label = new.select("item", "component")
+        if new.filter("component != was").isEmpty():
+            return label
+
+
+def clusters_of_all(df: DataFrame, item: str, vector: str, threshold: float = 0.35) -> DataFrame:
+    """item, cluster (its least item) by complete linkage over all rows with a vector; items are unique.
+
+    No cluster reaches over two components of the pairs below the threshold, so each component is clustered apart, exactly.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), F.col(vector).alias("v"))
+    component = connected(near_links(rows, "item", "v", threshold))
+    tied = clusters(rows.join(component, "item"), "component", "item", "v", threshold).select("item", "cluster")
+    return rows.join(component, "item", "left_anti").select("item", F.col("item").alias("cluster")).unionByName(tied)
+
+
 def members(assigned: DataFrame, cluster: str, item: str, extra: str | None = None) -> DataFrame:
     """cluster, size, items (sorted) and, in the order of items, the distinct values of another column."""
     out = [F.count("*").alias("size"), F.sort_array(F.collect_set(item)).alias("items")]

@@ -233,3 +233,34 @@ def test_classification_state(spark):
     assert [tuple(r) for r in L.emitted_modes(state).collect()] == [("a", "M1")]
     items = spark.createDataFrame([("a", "M1"), ("x", "M1"), ("b", "M9"), ("c", None)], "canonical_label string, mode string")
     assert {r["canonical_label"] for r in L.unusable_items(items, labels, ["M1"]).collect()} == {"x", "b", "c"}
+
+
+def naive_linkage(vectors, threshold):
+    """Complete linkage by its definition: the nearest two clusters are merged as long as they are near enough."""
+    unit = vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    d = 1 - unit @ unit.T
+    groups = [[k] for k in range(len(vectors))]
+    while len(groups) > 1:
+        far, a, b = min((d[np.ix_(x, y)].max(), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups[:i]))
+        if far >= threshold:
+            break
+        groups[b] += groups.pop(a)
+    return {k: min(g) for g in groups for k in g}
+
+
+def test_clusters_of_all_against_the_definition(spark):
+    from lodegrid.operators import clustering as L
+
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((12, 6))
+    vectors = np.concatenate([c + 0.3 * rng.standard_normal((5, 6)) for c in centres])
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)] + [(99, None, 0)], "vec_id long, embedding array<double>, component int")
+    for tile_rows in (7, 1000):
+        links = L.connected(L.near_links(df, "vec_id", "embedding", 0.3, tile_rows)).collect()
+        d = 1 - (u := vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))) @ u.T
+        near = {(i, j) for i, j in zip(*np.nonzero(d < 0.3), strict=True) if i != j}
+        component = {r["item"]: r["component"] for r in links}
+        assert set(component) == {i for i, _ in near} and all(component[i] == component[j] for i, j in near)
+    out = {r["item"]: r["cluster"] for r in L.clusters_of_all(df, "vec_id", "embedding", 0.3).collect()}
+    assert out == naive_linkage(vectors, 0.3) and 1 < len(set(out.values())) < 60
+    assert L.clusters_of_all(df.limit(0), "vec_id", "embedding").count() == 0
