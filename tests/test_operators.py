@@ -264,3 +264,68 @@ def test_clusters_of_all_against_the_definition(spark):
     out = {r["item"]: r["cluster"] for r in L.clusters_of_all(df, "vec_id", "embedding", 0.3).collect()}
     assert out == naive_linkage(vectors, 0.3) and 1 < len(set(out.values())) < 60
     assert L.clusters_of_all(df.limit(0), "vec_id", "embedding").count() == 0
+
+
+def test_ngrams_are_found_with_and_without_a_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(rng.choice(list("abcdef"), n))
+    target = spark.createDataFrame([(k, words(40)) for k in range(12)] + [(90, None), (91, "a b")], "id long, text string")
+    corpus = spark.createDataFrame([(k, words(60)) for k in range(9)] + [(90, "")], "id long, text string")
+    grams = lambda t: {" ".join(t.split()[k : k + 4]) for k in range(len((t or "").split()) - 3)}
+    source = {}
+    for r in sorted(corpus.collect()):
+        for g in grams(r["text"]):
+            source.setdefault(g, r["id"])
+    want = sorted((r["id"], g, source[g]) for r in target.collect() for g in grams(r["text"]) if g in source)
+    for most in (10**6, 0):
+        monkeypatch.setattr(V, "MOST_BROADCAST", most)
+        assert sorted(tuple(r) for r in V.shared_ngrams(target, "id", "text", corpus, "id", "text", 4).collect()) == want and want
+
+
+def test_cosines_above_a_threshold(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefghijklmnop"), rng.integers(1, 9))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    count = np.array([[t.split().count(c) for c in "abcdefghijklmnop"] for t in texts], dtype=float)
+    unit = count / np.sqrt((count**2).sum(axis=1, keepdims=True))
+    for least in (0.3, 0.7, 0.99):
+        found = {(r["left_id"], r["right_id"]): r["cosine"] for r in V.token_cosine(df, df, least).collect()}
+        exact = unit @ unit.T
+        assert {(i, j) for i, j in zip(*np.nonzero(exact >= least + 1e-9), strict=True)} <= set(found)
+        assert all(x >= least and abs(x - exact[i, j]) < 1e-9 for (i, j), x in found.items())
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(k * 7 % 1000,) for k in range(1000)]
+    df = spark.createDataFrame(rows, "v int").repartition(6)
+    assert all(r["n"] == r["v"] + 5 for r in W.numbered(df, [F.col("v")], "n", 5).collect())
+    assert W.numbered(df.limit(0), [F.col("v")], "n").count() == 0
+    falls = W.order_violations(spark.createDataFrame([(1, 5), (2, 7), (3, 6), (4, 6), (5, 1)], "o int, v int"), "o", "v").collect()
+    assert sorted((r["o"], r["before"]) for r in falls) == [(3, 7), (5, 6)]
+
+
+def test_running_sums_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(W, "RANKS_A_TASK", 7)
+    order = spark.createDataFrame([(k, k + 1) for k in range(50)], "e int, rank int")
+    pairs = spark.createDataFrame([(k, (k * k) % 23) for k in range(50)] + [(99, 1)], "e int, l int")
+    curve = sorted(W.saturation(pairs, order, "e", "l").collect())
+    seen = set()
+    for r in curve:
+        seen.add((r["e"] ** 2) % 23)
+        assert r["cumulative_count"] == len(seen)
+
+
+def test_samples_by_stratum_are_the_first_of_each(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(300)], "k long, s string")
+    got = sorted(r["k"] for r in W.stratified_sample(df, "s", "k", [("a", 0.2), ("b", 0.1)], 40).collect())
+    order = lambda x: sorted((k for k in range(300) if "ab"[k % 2] == x), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+    assert got == sorted(order("a")[:30] + order("b")[:10])
+
+
+def test_keys_in_names(spark):
+    names = spark.createDataFrame([(1, "a 10.1234567890.pdf"), (2, "xy"), (3, ""), (4, None)], "n int, name string")
+    keys = spark.createDataFrame([("1234567890",), ("y",), ("xyz",), ("",), (None,), ("0.p",)], "key string")
+    assert sorted((r["n"], r["key"]) for r in J.contained_keys(names, "name", keys, "key").collect()) == [(1, "0.p"), (1, "1234567890"), (2, "y")]
+    assert J.contained_keys(names, "name", keys.limit(0), "key").count() == 0
