@@ -1,8 +1,8 @@
 """A corpus pipeline: toxicity, exact copies, near copies, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the columns of
-``documents``. Stages may be run one by one, each on the written result of the one before; a stage then
-deletes the intermediate tables of those before it.
+``documents``. Stages may be run one by one, each on the written result of the one before. A stage deletes the
+intermediate tables of those that were run before its documents were written.
 
 Null texts count as empty in every stage. Rows are told apart by number, so null and repeated doc_ids are rows like
 others; of equal rows the stages that remove copies keep one. Further columns pass through, whatever their names. An
@@ -11,6 +11,7 @@ empty table stays empty.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import wraps
 
@@ -23,20 +24,31 @@ from lodegrid.llm.queries import piece_model_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Scopes of intermediate tables of stages that have been run.
-_left: list[str] = []
+#: Scopes of intermediate tables of stages that have been run, and when they were.
+_left: list[tuple[str, float]] = []
+
+
+def _written(spark: SparkSession, files: list[str]) -> float:
+    """When the first of the files was written, in seconds; 0 without any."""
+    if not files:
+        return 0.0
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime() / 1000
 
 
 def _stage(f: Stage) -> Stage:
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        # What was written after a stage had been run can be its result; what stands longer can't, so nothing is deleted for it.
         read = docs.inputFiles() if _left else []
-        for name in [x for x in _left if not any(x in file for file in read)]:
+        since = _written(spark, read)
+        for name, at in [x for x in _left if x[1] < since and not any(x[0] in file for file in read)]:
             sweep(spark, name)
-            _left.remove(name)
+            _left.remove((name, at))
         with scope(f.__name__) as name:
-            _left.append(name)
-            return f(spark, docs, sf_dir)
+            out = f(spark, docs, sf_dir)
+        _left.append((name, time.time()))
+        return out
 
     return run
 
