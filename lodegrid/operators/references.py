@@ -67,14 +67,43 @@ def chosen_references(numbered: DataFrame, by_author: DataFrame, manual: DataFra
     return all_.join(best, ["doc", "k"]).drop("k")
 
 
-def column_gap(words: DataFrame, least: float = 20.0) -> DataFrame:
-    """page, split: the middle of the widest gap between line starts (page, x0) if it is wide enough: where a second column begins."""
+# When a page has two columns.
+ROW_HEIGHT = 3
+LEAST_WORDS, LEAST_ROWS, LEAST_STARTS = 30, 10, 3
+LEAST_GAP = 30.0
+MIDDLE = (0.20, 0.70)
+
+
+def _rows(words: DataFrame) -> DataFrame:
+    return words.withColumn("row", F.bround(F.col("top") / ROW_HEIGHT).cast("long") * ROW_HEIGHT)
+
+
+def column_gap(words: DataFrame) -> DataFrame:
+    """page, split: where the second column begins, for pages that have two. words: page, x0, top, width (of the page).
+
+    Words of about one height are a row. The widest gap between rows' beginnings that ends in the middle of the
+    page, the first of equals, parts two columns if it is wide enough and both have rows enough.
+    """
+    from pyspark.sql import Window
+
+    starts = _rows(words).groupBy("page", "row").agg(F.min("x0").alias("x0"), F.count("*").alias("n"), F.max("width").alias("width"))
+    page, order = Window.partitionBy("page"), Window.partitionBy("page").orderBy("x0", "row")
+    starts = starts.withColumns({"words": F.sum("n").over(page), "rows": F.count("*").over(page), "left": F.lag("x0").over(order)}).filter((F.col("words") >= LEAST_WORDS) & (F.col("rows") >= LEAST_ROWS))
+    inside = F.col("x0").between(F.col("width") * MIDDLE[0], F.col("width") * MIDDLE[1]) & F.col("left").isNotNull()
+    gap = F.when(inside, F.struct((F.col("x0") - F.col("left")).alias("gap"), (-F.col("x0")).alias("first"), ((F.col("x0") + F.col("left")) / 2).alias("split")))
+    found = starts.withColumn("g", F.max(gap).over(page)).filter(F.col("g.gap") >= LEAST_GAP)
+    sides = found.groupBy("page").agg(F.first("g.split").alias("split"), F.count_if(F.col("x0") < F.col("g.split")).alias("before"), F.count_if(F.col("x0") >= F.col("g.split")).alias("after"))
+    return sides.filter(F.least("before", "after") >= LEAST_STARTS).select("page", "split")
+
+
+def page_lines(words: DataFrame) -> DataFrame:
+    """page, at, line: the lines of each page, the left column before the right one. words: page, x0, top, width, text."""
     from pyspark.sql import Window
 
-    before = F.lag("x0").over(Window.partitionBy("page").orderBy("x0"))
-    gaps = words.select("page", "x0").distinct().withColumn("left", before).filter(F.col("left").isNotNull()).withColumn("gap", F.col("x0") - F.col("left"))
-    widest = gaps.groupBy("page").agg(F.max_by(F.struct("gap", ((F.col("x0") + F.col("left")) / 2).alias("split")), "gap").alias("g"))
-    return widest.filter(F.col("g.gap") >= least).select("page", F.col("g.split").alias("split"))
+    split = column_gap(words)
+    placed = _rows(words).join(split, "page", "left").withColumn("side", F.coalesce((F.col("x0") >= F.col("split")).cast("int"), F.lit(0)))
+    lines = placed.groupBy("page", "side", "row").agg(F.array_join(F.array_sort(F.collect_list(F.struct("x0", "text")))["text"], " ").alias("line"))
+    return lines.withColumn("at", F.row_number().over(Window.partitionBy("page").orderBy("side", "row")) - 1).select("page", "at", "line")
 
 
 def chunk_references(found: DataFrame) -> DataFrame:

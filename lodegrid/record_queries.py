@@ -588,13 +588,18 @@ def reference_strategy(spark, sf_dir):
     return R.chosen_references(refs(F.col("doc")), refs((F.col("doc") * 7 % 30).cast("int")), refs(F.lit(5))).groupBy("doc", "strategy").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_nationkey AS page, 50.0 + (n_nationkey + 100) / 2.0 AS split FROM nation WHERE n_nationkey % 3 < 2""")
+_WORDS = """(SELECT n_nationkey AS page, CASE WHEN col = 0 THEN 50.0 WHEN n_nationkey % 3 = 0 THEN 320.0 WHEN n_nationkey % 3 = 1 THEN 75.0 ELSE 480.0 END + 40 * w AS x0, 99 + 12 * r + 6 * col + 0.4 * w AS top, 600.0 AS width,
+    n_name || '.' || col || '.' || r || '.' || w AS text, r, col FROM nation CROSS JOIN (SELECT unnest(range(8)) AS r) CROSS JOIN (SELECT unnest(range(2)) AS col) CROSS JOIN (SELECT unnest(range(3)) AS w))"""
+
+
+@query(f"""SELECT page, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN page % 3 = 0 THEN col ELSE 0 END, r, col)::INT - 1 AS "at", string_agg(text, ' ' ORDER BY x0) AS line FROM {_WORDS} GROUP BY page, r, col""")
 def page_columns(spark, sf_dir):
-    """Line starts near two margins: the middle of the widest gap is where the second column begins."""
+    """Rows that begin at two margins: a wide gap in the middle of the page parts columns, which are read one after the other."""
     n = table(spark, sf_dir, "nation")
-    far = F.when(F.col("n_nationkey") % 3 < 2, F.col("n_nationkey") + 150).otherwise(55)
-    words = n.select(F.col("n_nationkey").alias("page"), F.explode(F.array(F.lit(48.0), F.lit(50.0), far.cast("double"), (far + 3).cast("double"))).alias("x0"))
-    return R.column_gap(words)
+    grid = n.select(F.col("n_nationkey").alias("page"), "n_name", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("r")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("col")).select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("w"))
+    margin = F.when(F.col("col") == 0, 50.0).when(F.col("page") % 3 == 0, 320.0).when(F.col("page") % 3 == 1, 75.0).otherwise(480.0)
+    words = grid.select("page", (margin + 40 * F.col("w")).alias("x0"), (99 + 12 * F.col("r") + 6 * F.col("col") + 0.4 * F.col("w")).alias("top"), F.lit(600.0).alias("width"), F.concat_ws(".", "n_name", *[F.col(c).cast("string") for c in ("col", "r", "w")]).alias("text"))
+    return R.page_lines(words)
 
 
 # -- decisions ------------------------------------------------------------------------------------------------------------

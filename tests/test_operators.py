@@ -214,8 +214,12 @@ def test_citekeys_chunks_and_pages(spark):
     assert out == {1: ("see [n1; n2] and [n2], not [K1] or [x y", 3), 2: ("none", 0)}
     found = spark.createDataFrame([("d", 0, 1, "A title", "2020"), ("d", 1, 0, "a TITLE ", "2020"), ("d", 1, 1, "Other", "2020")], "doc string, chunk int, at int, title string, year string")
     assert sorted(r["title"] for r in R.chunk_references(found).collect()) == ["A title", "Other"]
-    starts = spark.createDataFrame([(1, 50.0), (1, 51.0), (1, 300.0), (2, 50.0), (2, 55.0)], "page int, x0 double")
-    assert [tuple(r) for r in R.column_gap(starts).collect()] == [(1, 175.5)]
+    words = [(p, x + 30 * w, 10.0 * r + 5 * c, 600.0, f"{c}{r}{w}") for p, right in ((1, 300.0), (2, 60.0), (3, 460.0)) for c, x in enumerate((50.0, right)) for r in range(6) for w in range(3)]
+    few = [(4, x, 10.0 * r, 600.0, "w") for x in (50.0, 300.0) for r in range(6)]
+    df = spark.createDataFrame(words + few, "page int, x0 double, top double, width double, text string")
+    assert [tuple(r) for r in R.column_gap(df).collect()] == [(1, 175.0)]
+    first = [r["line"] for r in sorted(R.page_lines(df).filter("page = 1").collect(), key=lambda r: r["at"])]
+    assert first == [f"{c}{r}0 {c}{r}1 {c}{r}2" for c in (0, 1) for r in range(6)]
 
     def fetch(offset, rows, total=23):
         return [(k, f"r{k}") for k in range(offset, min(total, offset + rows))], total
