@@ -5,8 +5,13 @@ the same place. So each window of ``width`` bytes is dealt out by the hash of it
 runs of windows that share one; a run whose k-gram occurs nowhere else is done. The other
 runs bring their bytes along. In a task, the suffixes that start at windows with the same k-gram at the
 same offset are sorted by a merge sort whose comparisons find the length of the common extension by
-binary search over prefix polynomial hashes. Neighbours of equal hashes are verified byte by byte;
+binary search over prefix polynomial hashes. The order and the equalities found are verified byte by byte;
 the earliest of equal windows stays, the bytes of all others go.
+
+A k-gram of a third of all documents would bring all their runs to one task. So equal runs of a chunk of text collapse before
+they are dealt out: all but the earliest are removed for certain and go elsewhere. What is left of a hot k-gram is
+dealt out window by window, by the hash of the window: equal ones still meet, others spread. Which
+k-grams are hot is asked of a sample of documents; it only decides how rows are dealt out, never what is found.
 """
 
 from __future__ import annotations
@@ -15,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import keyed_documents, lookup, stored
+from lodegrid.llm.common import give_back, keyed_documents, lookup, short_batches, stored
 
 WIDTH = 100
 GRAM = 24
@@ -26,6 +32,11 @@ GRAM = 24
 CHUNK = 1 << 20
 #: Runs with their bytes among which a task looks for equal ones before it sends them.
 HELD_RUNS = 100_000
+#: Runs of one k-gram in a chunk from which on equal ones are looked for there.
+MANY = 4
+#: Documents that are asked for hot k-grams, about: those that have at least 1 / HOT_SHARE of the sample's runs.
+SAMPLED_DOCS = 20_000
+HOT_SHARE = 5000
 _BITS = np.uint64((1 << 21) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _TOP = 1 << 21
@@ -108,19 +119,74 @@ def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[lis
     yield keys, offsets, texts
 
 
-def _run_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """gram, key, first, shape (windows * 256 + offset of the k-gram) of every run."""
+def _elsewhere(key: int, first: int) -> int:
+    """A place in the exchange for a run that is removed for certain."""
+    return xxhash.xxh64_intdigest(b"%d/%d" % (key, first)) - (1 << 63)
+
+
+def _dealt(found: tuple[np.ndarray, ...], own: np.ndarray, at: np.ndarray, texts: list[bytes], width: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """gram, key, first, shape of the runs of a chunk. Equal runs of a frequent k-gram but the earliest are joined to rows with a negative shape; the windows of hot k-grams are runs of their own."""
+    m, t, first, n, d = found
+    gram, key, begin, shape = m.view(np.int64), own[t], first + at[t], n * 256 + d
+    order = np.argsort(gram, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])) if len(gram) else np.zeros(0, dtype=np.int64)
+    size = np.repeat(np.diff(np.append(cut, len(gram))), np.diff(np.append(cut, len(gram))))
+    is_hot = np.isin(gram, hot)
+    looked = np.zeros(len(gram), dtype=bool)
+    looked[order] = size >= MANY
+    earliest: dict[bytes, int] = {}
+    certain = np.zeros(len(gram), dtype=bool)
+    for k in np.flatnonzero(looked | is_hot).tolist():
+        content = texts[t[k]][first[k] : first[k] + n[k] + width - 1]
+        e = earliest.setdefault(content, k)
+        if e != k:
+            if (key[k], begin[k]) < (key[e], begin[e]):
+                earliest[content], k = k, e
+            certain[k] = True
+    more: list[tuple[int, int, int, int]] = []
+    single = [k for k in earliest.values() if is_hot[k]]
+    for k in single:
+        content = texts[t[k]][first[k] : first[k] + n[k] + width - 1]
+        more += [(xxhash.xxh64_intdigest(content[j : j + width]) - (1 << 63), int(key[k]), int(begin[k]) + j, 256 + int(d[k]) - j) for j in range(int(n[k]))]
+    gone = np.flatnonzero(certain)
+    if len(gone):  # runs that follow one another are one
+        cut = np.concatenate([[True], (np.diff(gone) != 1) | (np.diff(t[gone]) != 0)])
+        for a, b in zip(gone[cut].tolist(), gone[np.append(cut[1:], True)].tolist(), strict=True):
+            more.append((_elsewhere(int(key[a]), int(begin[a])), int(key[a]), int(begin[a]), -256 * int(begin[b] + n[b] - begin[a])))
+    whole = ~certain
+    whole[single] = False
+    added = np.array(more, dtype=np.int64).reshape(-1, 4)
+    return tuple(np.concatenate([x[whole], added[:, c]]) for c, x in enumerate((gram, key, begin, shape)))
+
+
+def _run_rows(docs: DataFrame, width: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """gram, key, first, shape (windows * 256 + offset of the k-gram; negative if the run is removed for certain) of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, offsets, texts in _pieces(batches, width):
-            m, t, first, n, d = runs_of(texts, width, gram)
             own, at = np.array(keys, dtype=np.int64), np.array(offsets, dtype=np.int64)
-            columns = [m.view(np.int64), own[t], first + at[t], (n * 256 + d).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "key", "first", "shape"])
+            columns = _dealt(runs_of(texts, width, gram), own, at, texts, width, hot)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns[:3]], pa.array(columns[3].astype(np.int32))], ["gram", "key", "first", "shape"])
+        give_back()
 
     return docs.select("key", "text").mapInArrow(run, "gram long, key long, first long, shape int")
 
 
+def _hot_grams(docs: DataFrame, width: int, gram: int) -> np.ndarray:
+    """k-grams that many runs of a sample of documents share; HOT_SHARE at most."""
+    every = max(1, docs.count() // SAMPLED_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in _pieces(batches, width):
+            kinds, n = np.unique(runs_of(texts, width, gram)[0].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], ["gram", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(8), "key"), F.lit(every)) == 0)
+    counts = stored(some.select("key", "text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return np.sort(np.array([r["gram"] for r in counts.filter(F.col("n") >= max(MANY, total / HOT_SHARE)).select("gram").collect()], dtype=np.int64))
+
+
 _BYTES = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("shape", pa.int32()), ("content", pa.binary())])
 
 
@@ -134,13 +200,16 @@ def _with_bytes(docs: DataFrame, runs: DataFrame, width: int) -> DataFrame:
             for key, text, found in zip(*batch.columns, strict=True):
                 raw, key = text.as_py().encode("utf-8", "surrogatepass"), key.as_py()
                 for r in found.as_py():
+                    if r["shape"] < 0:
+                        rows.append((r["gram"], key, r["first"], -r["shape"], None))
+                        continue
                     content = raw[r["first"] : r["first"] + r["shape"] // 256 + width - 1]
                     row = (r["gram"], key, r["first"], r["shape"], content)
                     k = earliest.setdefault(content, len(rows))
                     if k < len(rows):
                         if (key, r["first"]) < rows[k][1:3]:
                             rows[k], row = row, rows[k]
-                        row = (*row[:4], None)
+                        row = (_elsewhere(*row[1:3]), *row[1:4], None)
                     rows.append(row)
                     if len(rows) >= HELD_RUNS:
                         yield _batch(rows)
@@ -213,9 +282,18 @@ class SuffixSorter:
             order, run = new, 2 * run
         return order
 
-    def verified(self, a: np.ndarray, b: np.ndarray) -> bool:
-        span = np.arange(self.width)
-        return all(np.array_equal(self.data[a[k : k + 4096, None] + span], self.data[b[k : k + 4096, None] + span]) for k in range(0, len(a), 4096))
+    def verified(self, a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> bool:
+        """Whether each suffix of ``a`` is before that of ``b`` or, where ``equal`` says so and only there, equal to it: byte by byte."""
+        strings = np.lib.stride_tricks.sliding_window_view(self.data, self.width)
+        for k in range(0, len(a), 8192):
+            x, y = strings[a[k : k + 8192]], strings[b[k : k + 8192]]
+            differs = x != y
+            place = differs.argmax(axis=1)
+            rows = np.arange(len(x))
+            same = ~differs[rows, place]
+            if not ((same == equal[k : k + 8192]) & (same | (x[rows, place] < y[rows, place]))).all():
+                return False
+        return True
 
 
 def repeated_windows(rows: list[tuple[int, int, int, int, bytes]], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -239,10 +317,10 @@ def repeated_windows(rows: list[tuple[int, int, int, int, bytes]], width: int =
     by_text = sorter.sort(at, segment)
     a, b = by_text[:-1], by_text[1:]
     near = np.flatnonzero(segment[a] == segment[b])
-    near = near[sorter.common(at[a[near]], at[b[near]]) == width]
-    if not sorter.verified(at[a[near]], at[b[near]]):
+    equal = sorter.common(at[a[near]], at[b[near]]) == width
+    if not sorter.verified(at[a[near]], at[b[near]], equal):
         return _by_bytes(rows, row, window, segment, width)
-    later = b[near]
+    later = b[near[equal]]
     return row[later], window[later]
 
 
@@ -331,9 +409,10 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, partitio
     Whole copies are found first: all their windows are in the earliest copy, so they neither need runs nor
     make those of others repeat. All joins need the texts by key, and one exchange of them serves all.
     """
+    short_batches(docs.sparkSession)
     copies = _later_copies(docs)
-    runs = _run_rows(docs.join(copies, "key", "left_anti"), width, gram)
-    together = runs.withColumn("n", F.expr("count(*) over (partition by gram)")).filter("n > 1").drop("n")
+    runs = _run_rows(docs.join(copies, "key", "left_anti"), width, gram, _hot_grams(docs, width, gram))
+    together = runs.withColumn("n", F.expr("count(*) over (partition by gram)")).filter("n > 1 or shape < 0").drop("n")
     spans = _spans(_with_bytes(docs, together, width), width, partitions)
     spans = spans.unionByName(copies.filter(F.col("end") >= width).select("key", F.lit(0).cast("long").alias("begin"), "end"))
     return spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
