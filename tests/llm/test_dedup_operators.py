@@ -47,7 +47,7 @@ ODD = [(5, None), (2, ""), (None, "p q r s t"), (None, "p q r s t"), (9, "p q  r
 # -- exact copies ---------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("rows", [corpus(1), ODD, []], ids=["corpus", "odd", "empty"])
 def test_exact_dedup(spark, rows):
-    out = exact_dedup.exact_dedup(frame(spark, rows), block_chars=64).collect()
+    out = exact_dedup.exact_dedup(frame(spark, rows), block_bytes=64).collect()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
     for i, t in rows:
@@ -70,6 +70,13 @@ def test_drop_copies_keeps_different_texts_of_one_id(spark):
     assert sorted((str(r["doc_id"]), (r["text"] or "")) for r in kept) == [("1", "a"), ("1", "a "), ("1", "b"), ("3", ""), ("None", "x"), ("None", "y"), ("None", "z")]
 
 
+def test_very_long_texts_are_named(spark):
+    long = "wörd  " * 400_000  # 2.8 MB
+    out = exact_dedup.exact_dedup(frame(spark, [(1, long), (2, long.replace("  ", "\n")), (3, long + "x"), (4, "")])).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in out) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 1)]
+    assert {r["text_sha256"] for r in out if r["keep_id"] == 1} == {hashlib.sha256(("wörd " * 400_000).encode()).hexdigest()}
+
+
 # -- SimHash ----------------------------------------------------------------------------------------------------------
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
@@ -198,6 +205,20 @@ def test_lines_of_all_pairs(spark, rows, rare):
     assert {i: sorted(x) for i, x in gone.items()} == brute_lines_of_all_pairs(rows)
 
 
+def test_lines_of_documents_with_many_links(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LINKS_A_TASK", 3)
+    rows = boilerplate(5, 60)
+    out = line_dedup.remove_repeated_lines(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["removed"] for r in out} == brute_lines_of_all_pairs(rows)
+
+
+def test_very_long_documents_are_aligned(spark):
+    long = [f"line {k}" for k in range(30_000)]
+    rows = [(1, "\n".join(long)), (2, "\n".join([*long[:100], "new", *long[100:]])), (3, "line 7\nother\nline 29999")]
+    out = {r["doc_id"]: r for r in line_dedup.remove_repeated_lines(frame(spark, rows)).collect()}
+    assert (out[1]["removed"], out[2]["kept"], out[3]["kept"]) == ([], "new", "other") and out[2]["n_lines"] == 30_001
+
+
 def test_patience_matches_rise_and_agree():
     rng = random.Random(5)
     for _ in range(200):
@@ -250,6 +271,30 @@ def test_repeats_of_repeated_and_null_ids(spark):
     assert sorted((str(r["doc_id"]), len(r["kept"])) for r in out) == [("3", 0), ("3", 0), ("None", 150)]
 
 
+@pytest.mark.parametrize("share", [1, 10**9])
+def test_hot_grams_lose_nothing(spark, monkeypatch, share):
+    """A short line in most documents, repeated within them, and a long passage: with and without hot k-grams."""
+    monkeypatch.setattr(repeats, "HOT_SHARE", share)
+    rng = random.Random(11)
+    text = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    line, passage = " Is it so. ", text(180)
+    rows = []
+    for k in range(40):
+        t = text(rng.randint(0, 90)) + line * rng.randint(0, 30) + text(rng.randint(0, 60))
+        rows.append((k, t + passage + text(40) if k % 3 else t + line + text(120)))
+    out = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, rows)).collect()}
+    for (i, _), (kept, n_spans) in zip(rows, brute_repeats(rows, 100), strict=True):
+        assert bytes(out[i]["kept"]) == kept and len(out[i]["removed"]) == n_spans
+
+
+def test_wrong_orders_are_found():
+    data = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, dtype=np.uint8)
+    sorter = repeats.SuffixSorter(data, 100)
+    at = lambda *x: np.array(x)
+    assert sorter.verified(at(0, 0), at(200, 100), at(True, False))
+    assert not sorter.verified(at(100), at(0), at(False)) and not sorter.verified(at(0), at(200), at(False)) and not sorter.verified(at(0), at(100), at(True))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_suffixes_are_sorted(seed):
     rng = np.random.default_rng(seed)

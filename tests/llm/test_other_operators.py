@@ -472,3 +472,20 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
             elif name == "exact_dedup":
                 assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in kept.collect()) == [("3", 0), ("4", 5), ("4", 16), ("5", len(long)), ("6", 5), ("None", 5), ("None", 9)]
     assert kept.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_delete_what_is_no_longer_read(spark, tmp_path):
+    import time
+
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = P.without_copies(spark, docs, SF)
+    other = P.without_near_copies(spark, docs, SF)  # its documents are older than the first stage's tables, which stay
+    time.sleep(0.05)
+    first.write.parquet(f"file://{tmp_path}/first")
+    assert other.count() > 0
+    left = [n for n, _ in P._left]
+    time.sleep(0.05)
+    P.mixed(spark, spark.read.parquet(f"file://{tmp_path}/first"), SF).count()
+    assert len(P._left) == 1 and P._left[0][0] not in left
