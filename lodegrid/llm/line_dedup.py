@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from lodegrid.llm.common import keyed_documents, lookup, stored
 
-#: Links of one first holder that are aligned in one task; more are spread.
-LINKS_A_TASK = 2000
+#: Links of one document that are aligned in one task; more are spread.
+LINKS_A_TASK = 200
 
 #: A line with more holders is frequent: its holders are dealt with by classes.
 RARE = 64
@@ -168,24 +168,47 @@ def _pairs_of_longs(high: pa.ListArray, low: pa.ListArray) -> Iterator[list[tupl
         yield list(zip(highs[i:j].tolist(), lows[k : k + j - i].tolist(), strict=True))
 
 
+def _routed(links: DataFrame) -> DataFrame:
+    """host, task, guest, host_is_first: the end of a link that has more links is the host, to which the other one comes.
+
+    By that a document is guest no more often than the root of twice the number of links, and the lines of one with very many
+    links are sent once for LINKS_A_TASK of them.
+    """
+    ends = stored(links.select(F.explode(F.array("first", "key")).alias("end")).groupBy("end").agg(F.count("*").alias("n")))
+    total = max(1, 2 * links.count())
+    known = stored(lookup(links, ends.select(F.col("end").alias("first"), F.col("n").alias("of_first")), ["first"], "of_first", total))
+    known = lookup(known, ends.select(F.col("end").alias("key"), F.col("n").alias("of_key")), ["key"], "of_key", total)
+    host_is_first = F.col("of_first") >= F.col("of_key")
+    tasks = F.ceil(F.greatest("of_first", "of_key") / LINKS_A_TASK).cast("int")
+    host, guest = F.when(host_is_first, F.col("first")).otherwise(F.col("key")), F.when(host_is_first, F.col("key")).otherwise(F.col("first"))
+    return stored(known.select(host.alias("host"), F.pmod(F.xxhash64(guest), tasks).cast("int").alias("task"), guest.alias("guest"), host_is_first.alias("host_is_first")))
+
+
 def _aligned(links: DataFrame, sequences: DataFrame) -> DataFrame:
     """key, line, first: the lines of ``key`` that are matched in the alignment with ``first``."""
-    # A first document of very many links is sent to several tasks.
-    sizes = stored(links.groupBy("first").agg(F.count("*").alias("n")).withColumn("tasks", F.ceil(F.col("n") / LINKS_A_TASK).cast("int")))
-    spread = lookup(links, sizes, ["first"], "n", max(1, links.count())).withColumn("task", F.pmod(F.xxhash64("key"), F.col("tasks")).cast("int"))
-    earlier = sequences.join(sizes, F.col("key") == F.col("first")).select("first", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("high").alias("a_high"), F.col("low").alias("a_low"))
-    pairs = spread.select("first", "key", "task").join(earlier, ["first", "task"]).join(sequences, "key")
+    routed = _routed(links)
+    lines = lambda name: sequences.select(F.col("key").alias(name), "high", "low").hint("merge")  # noqa: E731  the same plan at every size
+    hosts = routed.select("host", "task").distinct().join(lines("host"), "host").select("host", "task", F.lit(None).cast("long").alias("guest"), F.lit(None).cast("boolean").alias("host_is_first"), "high", "low")
+    guests = routed.join(lines("guest"), "guest").select("host", "task", "guest", "host_is_first", "high", "low")
+    # The host's row, whose guest is null, comes first; its guests stream by.
+    dealt = hosts.unionByName(guests).repartition("host", "task").sortWithinPartitions("host", "task", F.col("guest").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[int, int]] = []
         for batch in _slices(batches):
-            rows: list[tuple[int, int, int]] = []
-            keys, firsts, *arrays = batch.columns
-            for key, first, a, b in zip(keys.to_pylist(), firsts.to_pylist(), _pairs_of_longs(*arrays[:2]), _pairs_of_longs(*arrays[2:]), strict=True):
-                rows += [(key, j, first) for _, j in patience_matches(a, b) if b[j] != BLANK]
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            found: list[tuple[int, int, int]] = []
+            hosts, guests, flags = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for host, guest, is_first, other in zip(hosts, guests, flags, _pairs_of_longs(*batch.columns[4:]), strict=True):
+                if guest is None:
+                    own = other
+                elif is_first:
+                    found += [(guest, j, host) for _, j in patience_matches(own, other) if other[j] != BLANK]
+                else:
+                    found += [(host, j, guest) for _, j in patience_matches(other, own) if own[j] != BLANK]
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int64()), pa.array(columns[1], type=pa.int32()), pa.array(columns[2], type=pa.int64())], ["key", "line", "first"])
 
-    return pairs.select("key", "first", "a_high", "a_low", "high", "low").mapInArrow(run, "key long, line int, first long")
+    return dealt.mapInArrow(run, "key long, line int, first long")
 
 
 def _classes(sequences: DataFrame, frequent: DataFrame) -> DataFrame:
