@@ -16,11 +16,23 @@ def session(app: str = "lodegrid", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder's path that all executors share: below spark.checkpoint.dir; in single-JVM local mode without one a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
+def _shared(spark: SparkSession) -> str:
+    """Where this application's files go: below spark.checkpoint.dir; in single-JVM local mode without one a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='lodegrid-')}"
-    return f"{shared.rstrip('/')}/files/{uuid.uuid4().hex}"
+        found = f"file://{tempfile.mkdtemp(prefix='lodegrid-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/files/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path that all executors share."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that was written to scratch paths by this application. Call it when results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -333,3 +333,14 @@ def test_keys_in_names(spark):
     keys = spark.createDataFrame([("1234567890",), ("y",), ("xyz",), ("",), (None,), ("0.p",)], "key string")
     assert sorted((r["n"], r["key"]) for r in J.contained_keys(names, "name", keys, "key").collect()) == [(1, "0.p"), (1, "1234567890"), (2, "y")]
     assert J.contained_keys(names, "name", keys.limit(0), "key").count() == 0
+
+
+def test_scratch_is_cleared(spark):
+    from lodegrid.session import clear_scratch, scratch
+
+    path = scratch(spark)
+    spark.range(3).write.parquet(path)
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and spark.read.parquet(path).count() == 3
+    clear_scratch(spark)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
