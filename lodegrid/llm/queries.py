@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrid.llm import exact_dedup, line_dedup, mixing, neighbours, quality, repeats, sentence_pieces, sharding, simhash, toxicity
+from lodegrid.llm.simhash_sql import simhash_sql
 
 PIECE_MODEL = "piece_bpe_32k.model"
 N_SHARDS = 40
@@ -81,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_simhash": simhash_sql(),
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
