@@ -112,6 +112,11 @@ class Cells:
         return node
 
 
+def sums(products: np.ndarray) -> np.ndarray:
+    """Sums of rows, added up from left to right: as any other engine gets them."""
+    return np.add.accumulate(products, axis=1)[:, -1] if products.shape[1] else np.zeros(len(products))
+
+
 def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """[point, box]: squared distances."""
     out = np.zeros((len(points), len(low)))
@@ -138,7 +143,7 @@ def search_block(queries: np.ndarray, q_points: np.ndarray, bound: np.ndarray, v
     tree = KdTree(points)
     starts, ends = np.array(tree.leaves).T
     vectors, ids_of = vectors[tree.order], ids[tree.order]
-    lengths, q_lengths = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+    lengths, q_lengths = np.sqrt(sums(vectors * vectors)), np.sqrt(sums(queries * queries))
     unit, q_unit = vectors / lengths[:, None], queries / q_lengths[:, None]
     worst = bound.astype(np.float64).copy()
     best_q, best_row, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -163,7 +168,7 @@ def search_block(queries: np.ndarray, q_points: np.ndarray, bound: np.ndarray, v
             new_q.append(group[i])
             new_row.append(starts[at] + j)
         q, row = np.concatenate(new_q), np.concatenate(new_row)
-        cosine = np.concatenate([(vectors[row[n : n + 8192]] * queries[q[n : n + 8192]]).sum(axis=1) for n in range(0, len(row), 8192)] or [np.zeros(0)]) / (lengths[row] * q_lengths[q])
+        cosine = np.concatenate([sums(vectors[row[n : n + 8192]] * queries[q[n : n + 8192]]) for n in range(0, len(row), 8192)] or [np.zeros(0)]) / (lengths[row] * q_lengths[q])
         q, row, cosine = np.concatenate([best_q, q]), np.concatenate([best_row, row]), np.concatenate([best, cosine])
         order = np.lexsort((ids_of[row], -cosine, q))
         q, row, cosine = q[order], row[order], cosine[order]

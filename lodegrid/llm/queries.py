@@ -89,6 +89,15 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
+    "op9_neighbours": """
+        WITH all_ AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        fine AS (SELECT vec_id, e FROM all_ WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        v AS (SELECT row_number() OVER () AS rid, vec_id, e, len(e) AS dims, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS length FROM fine),
+        near AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, c.rid AS other,
+            list_reduce(list_transform(range(1, q.dims + 1), lambda i: c.e[i] * q.e[i]), lambda a, b: a + b) / (c.length * q.length) AS score
+            FROM v q JOIN v c ON q.rid <> c.rid AND q.dims = c.dims WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other) AS rank FROM near) WHERE rank <= 5
+    """,
     "op4_repeats": r"""
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
         w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
