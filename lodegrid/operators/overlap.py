@@ -19,17 +19,20 @@ def shared_ngrams(target: DataFrame, target_id: str, target_text: str, corpus: D
     """
     at = F.sequence(F.lit(1), F.size("words") - n + 1)
     gram = lambda i: F.array_join(F.slice("words", i, n), " ")
+    digest = lambda i: F.xxhash64(F.slice("hashes", i, n))  # noqa: E731  of words' hashes: no text is made for it
 
     def words(df: DataFrame, key: str, column: str) -> DataFrame:
-        return df.select(F.col(key).alias("id"), T.tokens(F.col(column)).alias("words")).filter(F.size("words") >= n)
+        split = df.select(F.col(key).alias("id"), T.tokens(F.col(column)).alias("words")).filter(F.size("words") >= n)
+        # Exploding an array of one keeps the planner from working it out anew for each n-gram.
+        return split.select("id", "words", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("hashes"))
 
-    source = words(corpus, corpus_id, corpus_text).select("id", F.explode(F.array_distinct(F.transform(at, gram))).alias("ngram"))
-    source = source.groupBy("ngram").agg(F.min("id").alias("first_source")).withColumn("h", F.xxhash64("ngram"))
+    source = words(corpus, corpus_id, corpus_text).select("id", F.explode(F.transform(at, lambda i: F.struct(gram(i).alias("ngram"), digest(i).alias("h")))).alias("g"))
+    source = source.groupBy("g.ngram", "g.h").agg(F.min("id").alias("first_source"))
     known = source.select("h").distinct()
     if known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         known = F.broadcast(known)
     wanted = words(target, target_id, target_text)
-    hashed = wanted.select("id", F.posexplode(F.transform(at, lambda i: F.xxhash64(gram(i)))).alias("at", "h"))
+    hashed = wanted.select("id", F.posexplode(F.transform(at, digest)).alias("at", "h"))
     hits = hashed.join(known, "h", "left_semi").groupBy("id").agg(F.collect_set("at").alias("hits"))
     found = wanted.join(hits, "id").select(F.col("id").alias("target_id"), F.explode(F.array_distinct(F.transform("hits", lambda i: gram(i + 1)))).alias("ngram"))
     return found.distinct().join(source, "ngram").select("target_id", "ngram", "first_source")
