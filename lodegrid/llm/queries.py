@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import exact_dedup, line_dedup, mixing, neighbours, quality, repeats, sentence_pieces, sharding, simhash, toxicity
+from lodegrid.llm import exact_dedup, language, lexical, line_dedup, mixing, neighbours, quality, repeats, sentence_pieces, sharding, simhash, toxicity, whitening
 from lodegrid.llm.simhash_sql import simhash_sql
 
 PIECE_MODEL = "piece_bpe_32k.model"
 N_SHARDS = 40
+N_COMPONENTS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,18 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), N_COMPONENTS)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -79,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_sentence_pieces": op10_sentence_pieces,
+    "op11_language": op11_language,
+    "op12_whitening": op12_whitening,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,6 +114,17 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.rid <> c.rid AND q.dims = c.dims WHERE q.vec_id % 50 = 0)
         SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other) AS rank FROM near) WHERE rank <= 5
     """,
+    "op13_lexical": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        n AS (SELECT * FROM d WHERE len(t) > 0),
+        total AS (SELECT count(*)::BIGINT AS docs, sum(len(t))::BIGINT AS terms FROM n),
+        i AS (SELECT DISTINCT item, item_id, term FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+        tf AS (SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM n) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+        df AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+        impact AS (SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))) AS x FROM tf JOIN df USING (term), total),
+        score AS (SELECT item, item_id, rid, doc_id, sum(x)::BIGINT AS score FROM i JOIN impact USING (term) GROUP BY ALL HAVING sum(x) > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM score) WHERE rank <= 50
+    """,
     "op4_repeats": r"""
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
         w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
