@@ -1,8 +1,8 @@
 """A corpus pipeline: toxicity, exact copies, near copies, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the columns of
-``documents``. Stages may be run one by one, each on the written result of the one before. A stage deletes the
-intermediate tables of those that were run before its documents were written.
+``documents``. Stages may be run one by one, each on the written result of the one before. The intermediate tables of a
+stage stay as long as any DataFrame reads them (``lodegrid.llm.common.reclaim``); ``run`` deletes them when a result is written.
 
 Null texts count as empty in every stage. Rows are told apart by number, so null and repeated doc_ids are rows like
 others; of equal rows the stages that remove copies keep one. Further columns pass through, whatever their names. An
@@ -11,10 +11,6 @@ empty table stays empty.
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodegrid.llm import exact_dedup, mixing, sentence_pieces, simhash, toxicity
@@ -22,62 +18,26 @@ from lodegrid.llm.common import scope, stored, sweep
 from lodegrid.llm.queries import piece_model_path, table
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-#: Scopes of intermediate tables of stages that have been run, and when they were.
-_left: list[tuple[str, float]] = []
-
-
-def _written(spark: SparkSession, files: list[str]) -> float:
-    """When the first of the files was written, in seconds; 0 without any."""
-    if not files:
-        return 0.0
-    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime() / 1000
-
-
-def _stage(f: Stage) -> Stage:
-    @wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        # What was written after a stage had been run can be its result; what stands longer can't, so nothing is deleted for it.
-        read = docs.inputFiles() if _left else []
-        since = _written(spark, read)
-        for name, at in [x for x in _left if x[1] < since and not any(x[0] in file for file in read)]:
-            sweep(spark, name)
-            _left.remove((name, at))
-        with scope(f.__name__) as name:
-            out = f(spark, docs, sf_dir)
-        _left.append((name, time.time()))
-        return out
-
-    return run
-
-
-@_stage
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, learnt from the training part of ``labels``, is below one half. Empty texts stay."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-@_stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal up to white space, the one with the smallest doc_id; null ids come last."""
     return exact_dedup.drop_copies(docs)
 
 
-@_stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose SimHash fingerprints are linked, the one with the smallest doc_id; null ids come last."""
     return simhash.drop_near_copies(docs)
 
 
-@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the mixture of sources takes; a row that is taken twice is there twice. Texts without words are never taken."""
     return mixing.mixed_rows(docs)
 
 
-@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of the text that they decode to."""
     return sentence_pieces.piece_digests(docs, piece_model_path())
@@ -99,10 +59,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written before the next and deleted after it."""
     docs, before = table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES[:-1]:
-        kept = stage(spark, docs, sf_dir)
+        with scope(f"stage-{name}") as meanwhile:
+            kept = stage(spark, docs, sf_dir)
         with scope(f"result-{name}") as now:
             docs = stored(kept)
-        if before:
-            sweep(spark, before)
+        for done in filter(None, (meanwhile, before)):
+            sweep(spark, done)
         before = now
     return STAGES[-1][1](spark, docs, sf_dir)

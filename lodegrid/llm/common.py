@@ -8,10 +8,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The separators of words in every contract of this subpackage.
@@ -41,6 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
 #: The folders that tables are stored in at the moment, innermost last.
 _scopes: list[str] = []
 
+#: Stored tables: path, and a weak reference to the list of files that every plan over the table holds.
+_watched: list[tuple[str, Any]] = []
+
 
 @contextmanager
 def scope(name: str) -> Iterator[str]:
@@ -57,27 +61,66 @@ def _folder(spark: SparkSession, name: str = "") -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and losing executors loses nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut, and losing executors loses nothing.
+
+    The table is deleted by ``reclaim`` or ``sweep``.
+    """
     spark = df.sparkSession
+    reclaim(spark)
     path = f"{_folder(spark, _scopes[-1] if _scopes else 'shared')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _watched.append((path, spark._jvm.java.lang.ref.WeakReference(files)))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Delete the stored tables that no DataFrame reads any more: the JVM has collected what each plan over them refers to.
+
+    As Spark's own cleaner does with shuffles and checkpoints, by reachability, never by age. An RDD made of a DataFrame doesn't
+    keep its tables: keep the DataFrame.
+    """
+    gone = [x for x in _watched if x[1]._gateway_client is spark._jvm._gateway_client and x[1].get() is None]
+    for path, _ in gone:
+        _delete(spark, path)
+    _watched[:] = [x for x in _watched if x not in gone]
 
 
 def sweep(spark: SparkSession, name: str = "") -> None:
     """Delete the tables that were stored in a scope, or every one of this application. Call it when results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, name))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark, name))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with as many underscores as it takes to be no column's name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def own_columns(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The columns of that name, whatever characters are in it."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in names or df.columns]
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """(``docs`` written with a number for each row, the name of that column): rows keep their identity, whatever their ids are."""
-    rid = "__rid"
-    while rid in docs.columns:
-        rid += "_"
+    rid = free_name(docs, "__rid")
     return stored(docs.withColumn(rid, F.monotonically_increasing_id())), rid
 
 
+def with_plain_names(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: Python workers are handed no column whose name holds dots or backticks."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def short_batches(spark: SparkSession) -> None:
     """Hand texts to Python in batches of BATCH_ROWS rows at most, so that neither side holds many long ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

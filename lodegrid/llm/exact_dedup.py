@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import SPACE, lookup, numbered, stored
+from lodegrid.llm.common import SPACE, lookup, numbered, own_columns, stored
 
 BLOCK_BYTES = 4096
 
@@ -113,6 +113,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are told apart by number, so different texts that share an id, or have none, all stay.
     """
     rows, rid = numbered(docs)
-    kept = _grouped(rows, id_col, text_col, BLOCK_BYTES, rid).filter(F.col("rid") == F.col("first.first_rid")).select(F.col("rid").alias(rid))
+    slim = rows.select(F.col(rid).alias("rid"), *[c.alias(name) for c, name in zip(own_columns(rows, [id_col, text_col]), ("doc_id", "text"), strict=True)])
+    kept = _grouped(slim, "doc_id", "text", BLOCK_BYTES, "rid").filter(F.col("rid") == F.col("first.first_rid")).select(F.col("rid").alias(rid))
     kept = stored(kept).hint("merge")  # the same plan at every size
-    return rows.join(kept, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept, rid, "left_semi").select(*own_columns(docs))

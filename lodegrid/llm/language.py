@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodegrid.llm.common import give_back, short_batches, slices, small_table, stored
+from lodegrid.llm.common import give_back, short_batches, slices, small_table, stored, with_plain_names
 
 MAX_GRAM = 4
 #: Labelled rows that are learnt from, at most, in even shares of the languages; and those of them that are landmarks.
@@ -236,8 +237,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """All columns of ``docs`` that aren't named lang_pred or score, and lang_pred and score of the whole text."""
     docs = docs.drop("lang_pred", "score")
     short_batches(docs.sparkSession)
-    names = docs.columns
-    at = names.index(text_col)
+    plain, at = with_plain_names(docs), docs.columns.index(text_col)
+    names = plain.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the grams of LANDMARKS texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +247,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], [*names, "lang_pred", "score"])
         give_back()
 
-    out = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
-    return docs.mapInArrow(run, out)
+    kinds = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *kinds])).toDF(*docs.columns, "lang_pred", "score")
 
 
 def languages(docs: DataFrame) -> DataFrame:

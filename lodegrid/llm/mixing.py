@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import WORD, draw_without_replacement, lookup, numbered, small_table, stored
+from lodegrid.llm.common import WORD, draw_without_replacement, free_name, lookup, numbered, own_columns, small_table, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -142,7 +142,9 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by number, so null and repeated ids are rows like others.
     """
     rows, rid = numbered(docs)
-    _, drawn = mix(rows, id_col=id_col, text_col=text_col, source_col=source_col, rid_col=rid, **options)
-    taken = stored(drawn.groupBy("rid").agg(F.count("*").cast("int").alias("__n")).select(F.col("rid").alias("__taken"), "__n"))
-    out = rows.join(taken.hint("merge"), F.col(rid) == F.col("__taken"))  # the same plan at every size
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias(rid)).drop(rid)
+    slim = rows.select(F.col(rid).alias("rid"), *[c.alias(name) for c, name in zip(own_columns(rows, [id_col, text_col, source_col]), ("doc_id", "text", "source"), strict=True)])
+    _, drawn = mix(slim, rid_col="rid", **options)
+    times = free_name(rows, "__times")
+    taken = stored(drawn.groupBy("rid").agg(F.count("*").cast("int").alias(times)).withColumnRenamed("rid", rid))
+    out = rows.join(taken.hint("merge"), rid)  # the same plan at every size
+    return out.select(*own_columns(docs), F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(rid)).select(*own_columns(docs))

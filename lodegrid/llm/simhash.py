@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegrid.llm.common import give_back, lookup, numbered, short_batches, slices, stored
+from lodegrid.llm.common import give_back, lookup, numbered, own_columns, short_batches, slices, stored
 from lodegrid.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -197,7 +197,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are told apart by number, so rows that share an id go only with their own component.
     """
     rows, rid = numbered(docs)
-    linked = stored(_linked(rows.withColumnRenamed(rid, "rid"), ["rid"], id_col, text_col, RADIUS, SHINGLE_WORDS).select("rid", "root", "doc_id"))
+    slim = rows.select(F.col(rid).alias("rid"), *[c.alias(name) for c, name in zip(own_columns(rows, [id_col, text_col]), ("doc_id", "text"), strict=True)])
+    linked = stored(_linked(slim, ["rid"], "doc_id", "text", RADIUS, SHINGLE_WORDS).select("rid", "root", "doc_id"))
     first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid").alias("rid"))).alias("first"))
     kept = stored(first.select(F.col("first.rid").alias(rid))).hint("merge")  # the same plan at every size
-    return rows.join(kept, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept, rid, "left_semi").select(*own_columns(docs))

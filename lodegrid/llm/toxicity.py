@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegrid.llm.common import give_back, short_batches, slices, stored
+from lodegrid.llm.common import free_name, give_back, own_columns, short_batches, slices, stored, with_plain_names
 
 BUCKETS = 1 << 20
 #: Labelled rows that are learnt from, at most: those with the smallest hashes.
@@ -295,11 +295,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` (a column named score is replaced) and the score of the whole text; null texts count as empty."""
-    docs = docs.drop("score")
+def score_documents(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` (a column of that name in any case is replaced) and the score of the whole text; null texts count as empty."""
+    docs = docs.drop(score_col)
     short_batches(docs.sparkSession)
-    names, at = docs.columns, docs.columns.index("text")
+    plain, at = with_plain_names(docs), docs.columns.index("text")
+    names = plain.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS scores of 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +308,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             score = pa.array([shared.value.score(t.as_py()) for t in part.column(at)], type=pa.float64())
             yield pa.RecordBatch.from_arrays([*part.columns, score], [*names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])).toDF(*docs.columns, score_col)
 
 
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
@@ -339,5 +340,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with all their columns."""
     model = train(docs.select("doc_id", "text"), labels)
-    scored = score_documents(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, model)
-    return scored.filter(F.col("score") < threshold).drop("score").toDF(*docs.columns)
+    score = free_name(docs, "score")
+    return score_documents(docs, model, score).filter(F.col(score) < threshold).select(*own_columns(docs))

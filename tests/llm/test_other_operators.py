@@ -475,18 +475,28 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert kept.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
-def test_stages_delete_what_is_no_longer_read(spark, tmp_path):
-    import time
-
+def test_stages_of_two_corpora(spark, tmp_path):
+    """Results that aren't written yet keep their tables, whatever is run or written meanwhile."""
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first = P.without_copies(spark, docs, SF)
-    other = P.without_near_copies(spark, docs, SF)  # its documents are older than the first stage's tables, which stay
-    time.sleep(0.05)
-    first.write.parquet(f"file://{tmp_path}/first")
-    assert other.count() > 0
-    left = [n for n, _ in P._left]
-    time.sleep(0.05)
-    P.mixed(spark, spark.read.parquet(f"file://{tmp_path}/first"), SF).count()
-    assert len(P._left) == 1 and P._left[0][0] not in left
+    docs.limit(30).write.parquet(f"file://{tmp_path}/second")
+    second = P.without_copies(spark, spark.read.parquet(f"file://{tmp_path}/second"), SF).filter("doc_id >= 0")
+    spark._jvm.System.gc()
+    third = P.without_near_copies(spark, first, SF)
+    assert 0 < second.count() <= 30 < first.count() and 0 < third.count() <= first.count()
+
+
+def test_pipeline_of_clashing_columns(spark):
+    import corpus_pipeline as P
+
+    names = ["rid", "Score", "SLOT", "__n", "__RID", "__taken", "root", "FP", "first", "a.b", "c d", "__times", "Lang_pred", "n_blocks"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = common.stored(docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)]))
+    kept = docs
+    for _, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns
+        assert {tuple(r)[5:] for r in kept.collect()} == {tuple(range(len(names)))}
+    assert P.tokens(spark, kept, SF).count() == kept.count()
