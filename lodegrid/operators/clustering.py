@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lodegrid.session import scratch
 
+log = logging.getLogger(__name__)
+
 
 def complete_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     """Labels (the least row of the cluster) by nearest-neighbour chains over cosine distances; merges at or above the threshold don't happen."""
@@ -48,8 +53,14 @@ def complete_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
 MOST_BLOCK = 15_000
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clusters(df: DataFrame, block: str, item: str, vector: str, threshold: float = 0.35) -> DataFrame:
-    """block, item, cluster (its least item): exact within each block. A block's distances need memory of the square of its rows, so a block of more than MOST_BLOCK fails the job."""
+    """block, item, cluster (its least item): exact within each block. A block's distances need memory of the square of its rows, so a block of more than MOST_BLOCK fails the job; ``clusters_of_all`` has a way for these."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MOST_BLOCK:
@@ -63,8 +74,12 @@ def clusters(df: DataFrame, block: str, item: str, vector: str, threshold: float
     return rows.groupBy("block").applyInPandas(run, f"block {kinds['block']}, item {kinds['item']}, cluster {kinds['item']}")
 
 
-#: Rows of a tile: two of them are compared by one matrix product.
+#: Rows of a tile, about: two of them are compared by one matrix product.
 TILE_ROWS = 4096
+#: Vectors whose angles to all others tell which tiles can hold near pairs. Their number doesn't grow with the rows.
+PIVOTS = 24
+#: Angles come from arccosines, which near 0 are this exact.
+ANGLE_ROUNDING = 1e-6
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -81,64 +96,187 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def tiled(rows: DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows item, v with their tile; tile, others: the tiles that may hold a vector nearer than the threshold to one of its own).
+
+    Vectors go to the pivot of the smallest angle and, within its cell, into tiles by ranges of that angle. Angles on the unit
+    sphere keep the triangle inequality: where the angles of two tiles to any pivot are farther apart than the threshold's angle,
+    no pair of theirs can be near, and the tiles aren't compared. Nothing else is left out.
+    """
+    spark = rows.sparkSession
+    reach = float(np.arccos(np.clip(1 - threshold, -1, 1))) + ANGLE_ROUNDING
+    pivots = rows.filter(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64(F.lit(17), "item"), "item").limit(PIVOTS).collect()
+    if not pivots:
+        one = rows.withColumn("tile", F.lit(0).cast("long"))
+        return one, one.select("tile").distinct().withColumn("others", F.array(F.lit(0).cast("long")))
+    centres = spark.sparkContext.broadcast(_unit(np.array([r["v"] for r in pivots], dtype=float)))  # PIVOTS vectors
+
+    def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                v = np.stack(pdf["v"].to_numpy()).astype(float)
+                to = np.arccos(np.clip(_unit(v) @ centres.value.T, -1, 1))
+                zero = ~v.any(axis=1)  # a vector without direction is in no cell
+                near = to.argmin(axis=1)
+                yield pdf.assign(cell=np.where(zero, -1, near), near=np.where(zero, 0.0, to[np.arange(len(v)), near]), to=list(to))
+
+    kind = rows.schema["item"].dataType.simpleString()
+    placed = _kept(rows.mapInPandas(angles, f"item {kind}, v array<double>, cell int, near double, to array<double>"))
+    sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    most = max(1, -(-max(sizes.values(), default=1) // tile_rows))
+    cuts = placed.groupBy("cell").agg(F.percentile_approx("near", [float(k + 1) / most for k in range(most)], 100 * most).alias("cuts"), F.count("*").alias("n"))
+    # Of the cuts of the largest cell's fineness each cell uses as many as its own size asks for.
+    step = F.greatest(F.lit(1), F.floor(F.lit(most) * tile_rows / F.col("n")))
+    used = cuts.select("cell", F.filter(F.transform("cuts", lambda c, k: F.when((k + 1) % step == 0, c)), lambda c: c.isNotNull()).alias("cuts"))
+    ranged = placed.join(F.broadcast(used), "cell").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("near")))).drop("cuts")
+    # Equal angles can't be cut: a range that is too large is dealt out by hash.
+    parts = ranged.groupBy("cell", "range").agg(F.ceil(F.count("*") / (2 * tile_rows)).alias("parts"))
+    dealt = ranged.join(F.broadcast(parts), ["cell", "range"]).withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")))
+    dealt = _kept(dealt.withColumn("tile", F.xxhash64("cell", "range", "part")))
+    low, high = ([f(F.col("to")[k]) for k in range(len(pivots))] for f in (F.min, F.max))
+    bounds = _kept(dealt.groupBy("tile").agg(F.max(F.col("cell") < 0).alias("free"), F.array(*low).alias("low"), F.array(*high).alias("high")))
+    facts = bounds.collect()  # PIVOTS intervals for each TILE_ROWS vectors
+    names = np.array([r["tile"] for r in facts], dtype=np.int64)
+    lows, highs = (np.array([r[c] for r in facts]) for c in ("low", "high"))
+    free = np.array([r["free"] for r in facts])
+    lows[free], highs[free] = 0.0, np.pi
+    shared = spark.sparkContext.broadcast((names, lows, highs))
+
+    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, lows, highs = shared.value
+        for pdf in batches:
+            others = []
+            for t in pdf["tile"]:
+                k = int(np.flatnonzero(names == t)[0])
+                gap = np.maximum(lows - highs[k], lows[k] - highs).max(axis=1)
+                others.append(names[gap < reach].tolist())
+            yield pdf.assign(others=others)
+
+    return dealt.select("item", "v", "tile"), bounds.select("tile").mapInPandas(partners, "tile long, others array<long>")
+
+
+def _near_tiles(df: DataFrame, item: str, vector: str, threshold: float, tile_rows: int) -> tuple[DataFrame, str]:
+    """(item, v, t0, t1: each row once for each pair of tiles it is compared in; the type of items)."""
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    placed, others = tiled(rows, threshold, tile_rows)
+    others = _kept(others)
+    n_tiles, n_ends = others.agg(F.count("*"), F.coalesce(F.sum(F.size("others")), F.lit(0))).first()
+    compared = (n_ends + n_tiles) // 2
+    log.info("complete linkage compares %d of %d pairs of tiles", compared, n_tiles * (n_tiles + 1) // 2)
+    dealt = placed.join(others, "tile").withColumn("other", F.explode("others"))
+    pairs = dealt.select("item", "v", "tile", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"))
+    return pairs.repartition(max(1, min(5000, compared)), "t0", "t1"), rows.schema["item"].dataType.simpleString()
+
+
+def _close(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the near pairs i < j of a pair of tiles, or of one tile, some rows at a time; never two rows of one of two tiles."""
+    unit = _unit(np.stack(pdf["v"].to_numpy()))
+    tile, both = pdf["tile"].to_numpy(), pdf["t0"].iloc[0] != pdf["t1"].iloc[0]
+    for k in range(0, len(unit), 512):
+        d = 1 - unit[k : k + 512] @ unit.T
+        i, j = np.nonzero(d < threshold)
+        keep = i + k < j
+        if both:
+            keep &= tile[i + k] != tile[j]
+        i, j = i[keep], j[keep]
+        yield i + k, j, d[i, j]
+
+
 def near_links(df: DataFrame, item: str, vector: str, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """a, b: links whose components are those of all pairs with a cosine distance below the threshold.
 
-    Rows are dealt into tiles and each pair of tiles is compared as a whole: the work is the square of the rows, as exact linkage
-    asks for, but no task holds more than two tiles, and a pair of tiles returns a link a row at most.
+    Pairs of tiles that can hold such a pair (``tiled``) are compared as a whole. No task holds more than two tiles, and a pair of
+    tiles returns a link a row at most.
     """
-    rows = df.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
-    tiles = max(1, -(-rows.count() // tile_rows))
-    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("item"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    pairs = dealt.select("item", "v", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"))
+    pairs, kind = _near_tiles(df, item, vector, threshold, tile_rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["v"].to_numpy())
-        unit = v / np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-300)
-        found = []
-        for k in range(0, len(unit), 512):
-            i, j = np.nonzero(1 - unit[k : k + 512] @ unit.T < threshold)
-            found.append(np.stack([i + k, j])[:, i + k < j])
-        i, j = np.concatenate(found, axis=1)
-        label = _forest(i, j, len(unit))
-        tied = label != np.arange(len(unit))
+        found = list(_close(pdf, threshold))
+        label = _forest(np.concatenate([i for i, _, _ in found]), np.concatenate([j for _, j, _ in found]), len(pdf))
+        tied = label != np.arange(len(pdf))
         items = pdf["item"].to_numpy()
         return pd.DataFrame({"a": items[tied], "b": items[label[tied]]})
 
-    kind = rows.schema["item"].dataType.simpleString()
-    return pairs.repartition(max(1, min(5000, tiles * (tiles + 1) // 2)), "t0", "t1").groupBy("t0", "t1").applyInPandas(run, f"a {kind}, b {kind}")
+    return pairs.groupBy("t0", "t1").applyInPandas(run, f"a {kind}, b {kind}")
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """item, component: the least item reachable, for each item of the links (a, b). Each round takes the least label around and then the label's label."""
-    spark, both = links.sparkSession, links.select(F.col("a").alias("item"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("item"), F.col("a").alias("near")))
+def near_pairs(df: DataFrame, item: str, vector: str, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """a < b, distance: all pairs with a cosine distance below the threshold."""
+    pairs, kind = _near_tiles(df, item, vector, threshold, tile_rows)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = pdf["item"].to_numpy()
+        i, j, d = (np.concatenate(x) for x in zip(*_close(pdf, threshold), strict=True))
+        return pd.DataFrame({"a": np.minimum(items[i], items[j]), "b": np.maximum(items[i], items[j]), "distance": d})
+
+    return pairs.groupBy("t0", "t1").applyInPandas(run, f"a {kind}, b {kind}, distance double")
 
-    def kept(df: DataFrame) -> DataFrame:
-        path = scratch(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
-    both = kept(both.distinct())
-    label = kept(both.groupBy("item").agg(F.least(F.min("near"), F.first("item")).alias("component")))
+def connected(links: DataFrame) -> DataFrame:
+    """item, component: the least item reachable, for each item of the links (a, b). Each round takes the least label around and then the label's label."""
+    both = links.select(F.col("a").alias("item"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("item"), F.col("a").alias("near")))
+    both = _kept(both.distinct())
+    label = _kept(both.groupBy("item").agg(F.least(F.min("near"), F.first("item")).alias("component")))
     while True:
         around = both.join(label.select(F.col("item").alias("near"), "component"), "near").groupBy("item").agg(F.min("component").alias("around"))
         lower = label.join(around, "item").select("item", F.col("component").alias("was"), F.least("component", "around").alias("component"))
         further = lower.select(F.col("item").alias("component"), F.col("component").alias("further"))
-        new = kept(lower.join(further, "component").select("item", "was", F.col("further").alias("component")))
+        new = _kept(lower.join(further, "component").select("item", "was", F.col("further").alias("component")))
         label = new.select("item", "component")
         if new.filter("component != was").isEmpty():
             return label
 
 
-def clusters_of_all(df: DataFrame, item: str, vector: str, threshold: float = 0.35) -> DataFrame:
+def linked_by_rounds(pairs: DataFrame) -> DataFrame:
+    """item, cluster (its least item) by complete linkage from all pairs below the threshold (a < b, distance), for any number of rows.
+
+    In each round all pairs of clusters that are each other's nearest (ties to the least names) are merged: complete linkage is
+    reducible, so no merge can bring two others nearer, and the rounds end where one merge after the other would. The distance of
+    merged clusters is the largest of their parts'; a pair of clusters stays a pair only if all of its parts have one.
+    """
+    edges = _kept(pairs.select("a", "b", F.col("distance").alias("d")))
+    label = _kept(edges.select(F.explode(F.array("a", "b")).alias("item")).distinct().withColumn("cluster", F.col("item")))
+    while not edges.isEmpty():
+        link = F.struct("d", "a", "b").alias("link")
+        nearest = edges.select(F.explode(F.array("a", "b")).alias("node"), link).groupBy("node").agg(F.min("link").alias("link"))
+        merged = _kept(nearest.groupBy("link").agg(F.count("*").alias("ends")).filter("ends = 2").select("link.a", "link.b"))
+        into, heads = merged.select(F.col("b").alias("old"), F.col("a").alias("new")), merged.select(F.col("a").alias("head"))
+        moved = edges
+        for end in ("a", "b"):
+            moved = moved.join(into, F.col(end) == F.col("old"), "left").withColumn(end, F.coalesce("new", end)).drop("old", "new")
+        moved = moved.filter("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"))
+        for end in ("a", "b"):
+            moved = moved.join(heads.withColumnRenamed("head", f"head_{end}"), F.col(end) == F.col(f"head_{end}"), "left")
+        parts = (1 + F.col("head_a").isNotNull().cast("int")) * (1 + F.col("head_b").isNotNull().cast("int"))
+        edges = _kept(moved.filter(F.col("n") == parts).select("a", "b", "d"))
+        label = _kept(label.join(into, F.col("cluster") == F.col("old"), "left").select("item", F.coalesce("new", "cluster").alias("cluster")))
+    return label
+
+
+def clusters_of_all(df: DataFrame, item: str, vector: str, threshold: float = 0.35, tile_rows: int = TILE_ROWS) -> DataFrame:
     """item, cluster (its least item) by complete linkage over all rows with a vector; items are unique.
 
-    No cluster reaches over two components of the pairs below the threshold, so each component is clustered apart, exactly.
+    Equal vectors are one, whose cluster all share. No cluster reaches over two components of the pairs below the threshold, so
+    each component is clustered apart, exactly: one of up to MOST_BLOCK rows in one task, a larger one by rounds over all executors.
     """
-    rows = df.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), F.col(vector).alias("v"))
-    component = connected(near_links(rows, "item", "v", threshold))
-    tied = clusters(rows.join(component, "item"), "component", "item", "v", threshold).select("item", "cluster")
-    return rows.join(component, "item", "left_anti").select("item", F.col("item").alias("cluster")).unionByName(tied)
+    all_ = df.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    same = _kept(all_.groupBy("v").agg(F.min("item").alias("first"), F.count("*").alias("n")))
+    rows = same.select(F.col("first").alias("item"), "v")
+    component = _kept(connected(near_links(rows, "item", "v", threshold, tile_rows)))
+    sizes = component.groupBy("component").agg(F.count("*").alias("n"))
+    large = _kept(sizes.filter(F.col("n") > MOST_BLOCK).select("component"))
+    found = clusters(rows.join(component.join(large, "component", "left_anti"), "item"), "component", "item", "v", threshold).select("item", "cluster")
+    if not large.isEmpty():
+        held = rows.join(component.join(large, "component"), "item").select("item", "v")
+        by_rounds = linked_by_rounds(near_pairs(held, "item", "v", threshold, tile_rows))
+        found = found.unionByName(by_rounds)
+    out = rows.select("item").join(found, "item", "left").select("item", F.coalesce("cluster", "item").alias("cluster"))
+    repeated = all_.join(same.filter("n > 1"), "v").filter(F.col("item") != F.col("first")).select("item", "first")
+    return out.unionByName(repeated.join(out.withColumnRenamed("item", "first"), "first").select("item", "cluster"))
 
 
 def members(assigned: DataFrame, cluster: str, item: str, extra: str | None = None) -> DataFrame:
