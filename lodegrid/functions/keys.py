@@ -175,20 +175,21 @@ def keywords_to_semicolons(c: Column) -> Column:
 
 
 def name_set_key(c: Column) -> Column:
-    """Sorted words of ASCII letters: one key for all orders of a name."""
-    return F.array_join(F.array_sort(_parts(F.regexp_replace(F.lower(fold_accents(c)), "[^a-z]+", " "), r"\s+")), " ")
+    """Sorted words of ASCII letters: one key for all orders of a name. Other characters vanish, and the first comma parts words."""
+    letters = F.regexp_replace(F.regexp_replace(fold_accents(c), r"[^a-zA-Z ,]", ""), r"^([^,]*),", "$1 ")
+    return F.array_join(F.array_sort(_parts(F.lower(letters), r"\s+")), " ")
 
 
 def author_delta(ours: Column, theirs: Column) -> Column:
-    """How two lists "A; B" differ: 5 states, by sets of name keys."""
+    """How the authorities' list "A; B" changes ours, by sets of name keys: the five states that reports name."""
     keys = lambda c: F.array_sort(F.array_distinct(F.transform(_parts(c, ";"), name_set_key)))
     a, b = keys(ours), keys(theirs)
     return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), "both_empty")
-        .when(F.size(a) == 0, "ours_empty")
-        .when(F.size(b) == 0, "theirs_empty")
-        .when(a == b, "same")
-        .otherwise("different")
+        F.when((F.size(a) == 0) & (F.size(b) == 0), "still_blank")
+        .when(F.size(a) == 0, "blank_filled")
+        .when(F.size(b) == 0, "no_change")
+        .when(a == b, "confirmed")
+        .otherwise("updated")
     )
 
 
@@ -261,7 +262,8 @@ def seed_id(file: Column) -> Column:
 
 
 def doi_in_url(c: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(_blank(c), r"(?i)(10\.\d{4,9}/[^\s?#]+)", 1)), F.lit(""))
+    """The first DOI in a text, in its own letters: up to white space or a closing mark, without full stops at its end."""
+    return F.nullif(F.rtrim(F.regexp_extract(_blank(c), r"(10\.\d{4,}/[^\s,;}{)>\]]+)", 1), F.lit(".")), F.lit(""))
 
 
 def arxiv_id(*fields: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodegrid.functions.gestalt import ratios
+
 from lodegrid.functions.keys import _blank, trimmed
 
 
@@ -29,7 +30,7 @@ def json_object_in(c: Column, schema: str) -> Column:
 
 
 def page_count(c: Column) -> Column:
-    """Pages of "45-55", "art7:17pp", "12"; null for anything else. A number of pages in words has priority, then ranges."""
+    """Pages (long) of "45-55", "art7:17pp", "12"; null for anything else, numbers beyond 64 bits too. A number of pages in words has priority, then ranges."""
     s = trimmed(c)
     stated = F.regexp_extract(s, r"(?i)(\d+)\s*pp\b", 1)
     plain = F.regexp_replace(F.translate(s, "–—", "--"), "-+", "-")
@@ -38,7 +39,6 @@ def page_count(c: Column) -> Column:
         F.when(stated != "", stated.try_cast("long"))
         .when(first.isNotNull(), F.when(last >= first, last - first + 1))
         .when(plain.rlike(r"^\s*\d+\s*$"), F.lit(1).cast("long"))
-        .cast("int")
     )
 
 
@@ -200,7 +200,7 @@ def capitalised(c: Column) -> Column:
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Gestalt ratio of two titles without marks. For pairs that equal keys have brought together; the JVM has no such measure."""
     clean = lambda t: re.sub("[^a-z0-9 ]", "", (t or "").lower()).strip()
-    return pd.Series([difflib.SequenceMatcher(None, clean(x), clean(y)).ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series(ratios([clean(x) for x in a], [clean(y) for y in b]))
 
 
 def preprint_default(preprint: Column, mismatch: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegrid.operators.selection import at_ranks, percentiles
+
 
 def distinct_per_group(df: DataFrame, keys: list[str], entity: str, name: str = "n") -> DataFrame:
     return df.dropna(subset=keys).groupBy(*keys).agg(F.count_distinct(entity).alias(name))
@@ -22,7 +24,11 @@ def zero_filled(counts: DataFrame, rows: DataFrame, columns: DataFrame, name: st
 def threshold(counts: DataFrame, quantile: float, name: str = "n", by: list[str] | None = None) -> DataFrame:
     """Linear-interpolated quantile of the non-zero cells, 0.0 if there are none; a row, or a row per group."""
     cells = F.when(F.col(name) > 0, F.col(name))
-    return counts.groupBy(*(by or [])).agg(F.coalesce(F.percentile(cells, quantile), F.lit(0.0)).alias("threshold"))
+    found = percentiles(counts, cells, [quantile], by)
+    if not by:
+        return found.agg(F.coalesce(F.max("percentile"), F.lit(0.0)).alias("threshold"))
+    groups = counts.select(*by).distinct()
+    return groups.join(found, by, "left").select(*by, F.coalesce("percentile", F.lit(0.0)).alias("threshold"))
 
 
 def flagged(counts: DataFrame, thresholds: DataFrame, name: str = "n", by: list[str] | None = None) -> DataFrame:
@@ -33,9 +39,7 @@ def flagged(counts: DataFrame, thresholds: DataFrame, name: str = "n", by: list[
 
 def threshold_sweep(counts: DataFrame, quantiles: list[float], name: str = "n") -> DataFrame:
     """quantile, threshold, gaps, empties, normals: one pass over the cells for all quantiles."""
-    cells = F.when(F.col(name) > 0, F.col(name))
-    values = counts.agg(F.percentile(cells, [float(q) for q in quantiles]).alias("v"))
-    levels = values.select(F.posexplode("v").alias("i", "threshold")).withColumn("quantile", F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("i") + 1))
+    levels = percentiles(counts, F.when(F.col(name) > 0, F.col(name)), quantiles).select(F.col("fraction").alias("quantile"), F.col("percentile").alias("threshold"))
     cell = F.col(name)
     return (
         counts.crossJoin(F.broadcast(levels.select("quantile", "threshold")))
@@ -46,7 +50,8 @@ def threshold_sweep(counts: DataFrame, quantiles: list[float], name: str = "n")
 
 def threshold_flips(counts: DataFrame, cells: list[str], base: float, other: float, name: str = "n") -> DataFrame:
     """cells, n, was, now of what another quantile calls otherwise: gap or normal; empty cells stay empty."""
-    levels = counts.agg(F.percentile(F.when(F.col(name) > 0, F.col(name)), [float(base), float(other)]).alias("__v"))
+    found = percentiles(counts, F.when(F.col(name) > 0, F.col(name)), [base, other])
+    levels = found.agg(F.array(*[F.max(F.when(F.col("fraction") == float(q), F.col("percentile"))) for q in (base, other)]).alias("__v"))
     state = lambda at: F.when(F.col(name) == 0, "empty").when(F.col(name) <= F.col("__v")[at], "gap").otherwise("normal")
     out = counts.crossJoin(F.broadcast(levels)).select(*cells, name, state(0).alias("was"), state(1).alias("now"))
     return out.filter("was != now")
@@ -89,9 +94,8 @@ def tally(df: DataFrame, column: str, kinds: list[str]) -> DataFrame:
 def summary(df: DataFrame, column: str) -> DataFrame:
     """lowest, highest, average, upper_median: the value at place n // 2 of the sorted ones."""
     v = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    counted = v.groupBy("v").agg(F.count("*").alias("n"))  # distinct values only go to the one ordered task
-    running = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v"))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
-    middle = running.filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("upper_median"))
+    place = v.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit("median").alias("target"), F.floor(F.col("n") / 2).alias("k"))
+    middle = at_ranks(v, "v", place, []).agg(F.max("found").alias("upper_median"))
     return v.agg(F.min("v").alias("lowest"), F.max("v").alias("highest"), F.avg("v").alias("average")).crossJoin(middle)
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegrid.operators import phrases
+
 
 def rows_failing(df: DataFrame, rule: str, fails: Column, item: str, detail: Column | None = None) -> DataFrame:
     return df.filter(F.coalesce(fails, F.lit(False))).select(F.lit(rule).alias("rule"), F.col(item).cast("string").alias("item"), (detail if detail is not None else F.lit("")).cast("string").alias("detail"))
@@ -61,9 +63,19 @@ def has_columns(df: DataFrame, rule: str, columns: list[str]) -> DataFrame:
 
 
 def mentions(texts: DataFrame, rule: str, text: str, wanted: DataFrame, key: str) -> DataFrame:
-    """Each wanted phrase is in at least one of the (few) texts."""
-    found = wanted.join(texts.select(F.col(text).alias("__t")), F.expr(f"contains(lower(__t), lower({key}))"), "left_anti")
-    return rows_failing(found, rule, F.lit(True), key)
+    """Each wanted phrase is in at least one of the texts, in any case of letters; a null phrase is in none."""
+    lower = F.lower(F.col(key))
+    there = phrases.found(texts.select(F.lower(F.col(text)).alias("t")), "t", wanted.select(lower.alias("p")), "p")
+    return rows_failing(wanted.join(there.toDF("__found"), lower == F.col("__found"), "left_anti"), rule, F.lit(True), key)
+
+
+def mentioned_together(texts: DataFrame, rule: str, text: str, pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """Each pair of phrases is in one and the same text, in any case of letters."""
+    low = lambda c: F.lower(F.col(c))
+    there = phrases.found_together(texts.select(low(text).alias("t")), "t", pairs.select(low(one).alias("a"), low(other).alias("b")), "a", "b")
+    there = there.toDF("__one", "__other")
+    lost = pairs.join(there, (low(one) == F.col("__one")) & (low(other) == F.col("__other")), "left_anti")
+    return rows_failing(lost.withColumn("__pair", F.concat_ws(" x ", one, other)), rule, F.lit(True), "__pair")
 
 
 def has_headings(texts: DataFrame, rule: str, item: str, text: str, headings: list[str]) -> DataFrame:

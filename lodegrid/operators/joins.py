@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegrid.session import scratch
+
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; rows with a null key are dropped."""
@@ -79,19 +81,53 @@ def bibliography_matches(entries: DataFrame, known: DataFrame, least: float = 0.
 
     Both have id, row_idx, doi, arxiv, year, surname, title. The first record wins among equal keys and equal ratios.
     """
-    from lodegrid.functions.text import sequence_ratio
 
     by = lambda c: one_per_key(known.withColumn("key", F.nullif(F.col(c), F.lit(""))), ["key"], [F.col("row_idx")]).select("key", F.col("id").alias("match"))
-    near = entries.alias("e").join(known.alias("k"), (F.col("e.year") == F.col("k.year")) & (F.col("e.surname") == F.col("k.surname")) & (F.col("e.year") != "") & (F.col("e.surname") != "") & (F.col("e.title") != ""))
-    # Twice the shorter length by the sum of both is the most that the ratio can be.
-    size = lambda c: F.length(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", "")))
-    shorter, total = F.least(size(F.col("e.title")), size(F.col("k.title"))), size(F.col("e.title")) + size(F.col("k.title"))
-    near = near.filter((total == 0) | (2 * shorter >= (least - 1e-9) * total))
-    scored = near.select(F.col("e.id").alias("key"), F.col("k.id").alias("match"), F.col("k.row_idx").alias("at"), sequence_ratio(F.col("e.title"), F.col("k.title")).alias("ratio")).filter(F.col("ratio") >= least)
+    scored = alike_titles(entries, known, least).select(F.col("entry").alias("key"), F.col("known").alias("match"), "at", "ratio")
     alike = one_per_key(scored, ["key"], [F.col("ratio").desc(), F.col("at")]).select("key", "match")
     return cascade(entries, "id", [("doi", F.array("doi"), by("doi")), ("arxiv", F.array("arxiv"), by("arxiv")), ("title", F.array(F.col("id")), alike)], ["match"])
 
 
+#: Pairs of titles that one task compares, about: blocks of one year and surname with more are dealt out.
+PAIRS_A_TASK = 1_000_000
+
+
+def alike_titles(entries: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """entry, known, at, ratio: pairs of equal year and surname whose titles have a gestalt ratio of ``least`` or more.
+
+    Bounds that no ratio can be beyond rule pairs out before one is made: by the lengths, as part of the join's key (one title can
+    be longer than the other by a fixed factor only), then by the characters that both have, as multisets.
+    """
+    from lodegrid.functions.text import sequence_ratio
+
+    clean = F.trim(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9 ]", ""))
+    # The characters that titles are compared by.
+    counted = F.transform(F.split(F.lit("abcdefghijklmnopqrstuvwxyz0123456789 "), ""), lambda c: F.length("clean") - F.length(F.replace(F.col("clean"), c, F.lit(""))))
+    factor = (2 - least) / least * (1 + 1e-9) if least > 0 else float("inf")
+    step = F.floor(F.log(F.length("clean")) / F.log(F.lit(factor))) if 1 < factor < float("inf") else F.lit(0)
+    bucket = F.when(F.length("clean") == 0, F.lit(-9)).otherwise(step).cast("long")  # empty titles are alike each other only
+
+    def slim(df: DataFrame) -> DataFrame:
+        one = df.filter((F.col("year") != "") & (F.col("surname") != "")).select("id", "row_idx", "year", "surname", "title", F.explode(F.array(clean)).alias("clean"))
+        return one.select("*", bucket.alias("bucket"), counted.alias("counted"))
+
+    keys = ["year", "surname", "bucket"]
+    e = slim(entries.withColumn("row_idx", F.lit(0))).filter("title != ''").withColumn("bucket", F.explode(F.array_distinct(F.when(F.col("bucket") < 0, F.array("bucket")).otherwise(F.sequence(F.greatest(F.lit(0), F.col("bucket") - 1), F.col("bucket") + 1)))))
+    k = slim(known)
+    sizes = e.groupBy(*keys).agg(F.count("*").alias("n")).join(k.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+    hot = sizes.withColumn("parts", F.least("m", F.ceil(F.col("n") * F.col("m") / PAIRS_A_TASK))).filter("parts > 1").select(*keys, "parts")
+    dealt = lambda df: df.join(hot, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    e = dealt(e).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    k = dealt(k).withColumn("part", F.pmod(F.xxhash64("id", "row_idx"), F.col("parts")))
+    left, right = (df.select(*keys, "part", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "row_idx", "clean", "counted")]) for df, side in ((e, "e"), (k, "k")))
+    near = left.join(right, [*keys, "part"])
+    total = F.length("clean_e") + F.length("clean_k")
+    common = F.aggregate(F.zip_with("counted_e", "counted_k", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+    near = near.filter((total == 0) | (2 * common >= (least - 1e-9) * total))
+    scored = near.select(F.col("id_e").alias("entry"), F.col("id_k").alias("known"), F.col("row_idx_k").alias("at"), sequence_ratio(F.col("clean_e"), F.col("clean_k")).alias("ratio"))
+    return scored.filter(F.col("ratio") >= least)
+
+
 def filled(rows: DataFrame, key: str, column: str, sources: list[tuple[str, DataFrame]], origin: str = "origin") -> DataFrame:
     """Fill blanks of a column from several tables (unique ``key`` and ``value``), the first that knows it; ``origin`` names it."""
     own = F.nullif(F.trim(column), F.lit(""))
@@ -125,23 +161,41 @@ def reconciled(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.withColumn("state", state).filter("state is not null").select(key, "state", "n_left", "n_right")
 
 
-#: Characters of a key that are looked up in names before the whole key is.
+#: Characters of the substrings that keys are looked up by.
 GRAM = 8
 
 
 def contained_keys(names: DataFrame, name: str, keys: DataFrame, key: str) -> DataFrame:
-    """Pairs where the key is a substring of the name; blank and null keys are in none.
+    """Pairs where the key is a substring of the name, with the columns of both; blank and null keys are in none.
 
-    No nested loop: the first GRAM characters of a key (all of a shorter one) are joined with the
-    substrings of that length of each name, and what meets is tested as a whole.
+    No nested loop: a key is looked up by that of its substrings of GRAM characters (or by itself, if it is shorter) that the
+    fewest names hold. A key with a substring that no name holds is dropped at once; what meets is tested as a whole.
     """
-    wanted = keys.filter(F.col(key) != "").withColumn("__gram", F.substring(key, 1, GRAM))
-    lengths = sorted(r[0] for r in wanted.select(F.length("__gram")).distinct().collect())  # GRAM at most
-    if not lengths:
-        return names.join(keys.filter("false"))
-    parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda i: F.substring(F.col(name), i, F.lit(n)))
-    grams = names.withColumn("__gram", F.explode(F.array_distinct(F.concat(*[parts(n) for n in lengths]))))
-    return grams.join(wanted, "__gram").filter(F.col(name).contains(F.col(key))).drop("__gram")
+    rows, wanted, candidates = _gram_candidates(names, name, keys, key)
+    return rows.join(candidates, "__n").join(wanted, F.col("__key") == F.col(key)).filter(F.col(name).contains(F.col(key))).select(*names.columns, *keys.columns)
+
+
+def _gram_candidates(names: DataFrame, name: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names with their number __n, keys that aren't blank, __n and __key of what is to be tested)."""
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch(df.sparkSession)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    rows, wanted = kept(names.withColumn("__n", F.monotonically_increasing_id())), keys.filter(F.col(key) != "")
+    parts = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))
+    of_keys = wanted.select(F.col(key).alias("__key")).distinct()
+    of_keys = kept(of_keys.select("__key", F.explode(F.array_distinct(parts(F.col("__key"), F.least(F.length("__key"), F.lit(GRAM))))).alias("__gram")))
+    lengths = sorted(r[0] for r in of_keys.select(F.length("__gram")).distinct().collect())  # GRAM at most
+    empty = F.array().cast("array<string>")
+    each = [F.when(F.length(name) >= n, parts(F.col(name), F.lit(n))).otherwise(empty) for n in lengths] or [empty]
+    held = rows.select("__n", F.explode(F.array_distinct(F.concat(*each))).alias("__gram"))
+    held = kept(held.join(of_keys.select("__gram").distinct(), "__gram", "left_semi"))
+    counts = held.groupBy("__gram").agg(F.count("*").alias("__count"))
+    rarest = of_keys.join(counts, "__gram", "left").groupBy("__key").agg(F.min(F.struct("__count", "__gram")).alias("r"), F.count_if(F.col("__count").isNull()).alias("lost"))
+    chosen = rarest.filter("lost = 0").select("__key", F.col("r.__gram").alias("__gram"))
+    return rows, wanted, held.join(chosen, "__gram").select("__n", "__key")
 
 
 def chained(rows: DataFrame, steps: list[tuple[str, DataFrame, str]]) -> tuple[DataFrame, DataFrame]:

@@ -2,51 +2,47 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
-NUMBERED = re.compile(r"^\s*\[(\d{1,3})\]")
+NUMBERED = r"^\s*\[(\d{1,3})\]"
 YEAR = r"\b(?:19|20)\d{2}\b"
 AUTHOR_START = r"^[A-ZÀ-Þ][\p{L}'’-]+,\s*(?:[A-Z]\.[\s-]*)+"
 SHORTEST = 30
 FURTHEST_STEP = 5
 
 
-def _starts(lines: list[str]) -> list[int]:
-    """0 before the first reference, then its running number: a numbered line begins one if its number is one to five above the last."""
-    out, last, count = [], 0, 0
-    for line in lines:
-        m = NUMBERED.match(line)
-        n = int(m.group(1)) if m else 0
-        if m and (not count or last < n <= last + FURTHEST_STEP or (n == 1 and last > 100)):
-            last, count = n, count + 1
-        out.append(count)
-    return out
+def _reference_starts(lines: DataFrame) -> DataFrame:
+    """doc, at of the lines that begin a numbered reference: the first numbered line, then one whose number is one to FURTHEST_STEP
+    above that of the last beginning, or 1 after one over 100. A fold over a document's numbered lines in their order, in the JVM."""
+    number = F.nullif(F.regexp_extract(F.coalesce("line", F.lit("")), NUMBERED, 1), F.lit("")).cast("int")
+    held = lines.select("doc", "at", number.alias("n")).filter("n is not null")
+    ordered = held.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("held"))
+    place = lines.schema["at"].dataType
 
+    def step(s: Column, x: Column) -> Column:
+        begins = s["last"].isNull() | ((x["n"] > s["last"]) & (x["n"] <= s["last"] + FURTHEST_STEP)) | ((x["n"] == 1) & (s["last"] > 100))
+        return F.struct(F.when(begins, x["n"]).otherwise(s["last"]).alias("last"), F.when(begins, F.array_append(s["starts"], x["at"])).otherwise(s["starts"]).alias("starts"))
 
-def numbered_references(lines: DataFrame) -> DataFrame:
-    """doc, ref, raw from lines (doc, at, line). The running number depends on all lines before, so a document is one group."""
+    none = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast(T.ArrayType(place)).alias("starts"))
+    return ordered.select("doc", F.explode(F.aggregate("held", none, step)["starts"]).alias("at"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        stripped = pdf["line"].fillna("").str.strip()
-        ref = pd.Series(_starts(pdf["line"].fillna("").tolist()), index=pdf.index)
-        kept = (ref > 0) & (stripped != "") & ~stripped.str.isdigit()
-        raw = stripped[kept].groupby(ref[kept]).agg(" ".join)
-        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "ref": raw.index.astype("int32"), "raw": raw.to_numpy()})
 
-    kind = lines.schema["doc"].dataType.simpleString()
-    return _plausible(lines.select("doc", "at", "line").groupBy("doc").applyInPandas(run, f"doc {kind}, ref int, raw string"))
+def numbered_references(lines: DataFrame) -> DataFrame:
+    """doc, ref, raw from lines (doc, at, line; a place once a document): a reference is the text from one beginning to the next,
+    without lines of digits only. Lines before the first one don't count; running sums number the references."""
+    starts = _reference_starts(lines).withColumn("__start", F.lit(1))
+    text = lines.select("doc", "at", F.regexp_replace(F.coalesce("line", F.lit("")), r"(?U)^\s+|\s+$", "").alias("t")).join(starts, ["doc", "at"], "left")
+    order = Window.partitionBy("doc").orderBy("at")
+    numbered = text.withColumn("ref", F.coalesce(F.sum("__start").over(order), F.lit(0)).cast("int")).filter((F.col("ref") > 0) & (F.col("t") != "") & ~F.col("t").rlike(r"(?U)^\d+$"))
+    raw = F.array_join(F.array_sort(F.collect_list(F.struct("at", "t")))["t"], " ")
+    return _plausible(numbered.groupBy("doc", "ref").agg(raw.alias("raw")))
 
 
 def author_references(lines: DataFrame) -> DataFrame:
     """doc, ref, raw: a line that begins with a surname and initials begins a reference. Running sums, no Python."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc").orderBy("at")
     text = lines.withColumn("t", F.trim(F.coalesce("line", F.lit("")))).filter("t != ''")
     numbered = text.withColumn("ref", F.sum(F.col("line").rlike(AUTHOR_START).cast("int")).over(order).cast("int")).filter((F.col("ref") > 0) & ~F.col("t").rlike(r"^\d+$"))
@@ -114,13 +110,14 @@ def chunk_references(found: DataFrame) -> DataFrame:
 
 
 def rewritten_citekeys(texts: DataFrame, id_col: str, text: str, mapping: DataFrame) -> DataFrame:
-    """id, text, replaced: keys in citation brackets, one or several, exchanged by mapping (old, new); others stay."""
+    """id, text, replaced: keys in citation brackets, one or several, exchanged by mapping (old, new); others stay. A null text stays null."""
     bracket = r"\[[a-z][a-z0-9_;\s]+\]"
-    pieces = texts.select(F.col(id_col), F.posexplode(F.split(F.col(text), rf"(?={bracket})|(?<=\])")).alias("at", "piece"))
+    pieces = texts.select(F.col(id_col), F.posexplode_outer(F.split(F.col(text), rf"(?={bracket})|(?<=\])")).alias("at", "piece"))
     is_cited = F.col("piece").rlike(f"^{bracket}$")
     inner = F.when(is_cited, F.split(F.expr("substring(piece, 2, length(piece) - 2)"), ";"))
     words = pieces.select(id_col, "at", "piece", F.posexplode_outer(inner).alias("k", "key")).withColumn("key", F.trim("key"))
     joined = words.join(mapping.select(F.col("old").alias("key"), "new"), "key", "left")
     whole = joined.groupBy(id_col, "at").agg(F.first("piece").alias("piece"), F.sort_array(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", F.coalesce("new", "key").alias("w"))))).alias("ws"), F.count("new").alias("n"))
     shown = F.when(F.size("ws") > 0, F.concat(F.lit("["), F.array_join(F.transform("ws", lambda x: x["w"]), "; "), F.lit("]"))).otherwise(F.col("piece"))
-    return whole.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", shown.alias("s")))), lambda x: x["s"]), "").alias("text"), F.sum("n").alias("replaced"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", shown.alias("s")))), lambda x: x["s"]), "")
+    return whole.groupBy(id_col).agg(F.when(F.count("piece") > 0, joined).alias("text"), F.sum("n").alias("replaced"))

@@ -24,7 +24,10 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_once(df: DataFrame, path: str) -> bool:
-    """Append unless the register has events of the same phase and kind; True if it appended."""
+    """Append unless the register has events of the same phase and kind; True if it appended.
+
+    One writer at a time: the check and the append are two steps, so two writers at once may both find nothing and both append.
+    """
     spark = df.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
@@ -55,7 +58,8 @@ def without_last(state: DataFrame, order: str) -> DataFrame:
 
 
 def replaced(df: DataFrame, path: str) -> None:
-    """Write next to the path, then rename: readers see the old table or the new one."""
+    """Write next to the path, then rename: nobody sees a half-written table. One writer at a time, and a reader that comes between
+    the two renames finds no table and has to try again; on object stores a rename copies."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, fresh, old = hadoop.Path(path), hadoop.Path(f"{path}.new"), hadoop.Path(f"{path}.old")

@@ -20,7 +20,7 @@ def numbered(df: DataFrame, by: list[Column], name: str, first: int = 1) -> Data
         starts.append((p, before))
         before += n
     start = spark.createDataFrame(starts, f"{part} int, __start long")
-    return rows.join(F.broadcast(start), part).withColumn(name, (F.col("__start") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).select(*[c for c in df.columns if c != name], name)
+    return rows.join(F.broadcast(start), part).withColumn(name, (F.col("__start") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).select(*[c for c in df.columns if c != name], name)
 
 
 def ranked(order: DataFrame, by: list[Column], name: str = "rank", buckets: str | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def ranked(order: DataFrame, by: list[Column], name: str = "rank", buckets: str
     before = Window.partitionBy(F.lit(0)).orderBy(buckets).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(F.col(buckets).alias("__b"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
     own = F.row_number().over(Window.partitionBy(buckets).orderBy(*by))
-    return order.withColumn("__own", own).join(shifts, F.col(buckets).eqNullSafe(F.col("__b"))).withColumn(name, (F.col("__own") + F.col("__shift")).cast("int")).drop("__own", "__shift", "__b")
+    return order.withColumn("__own", own).join(shifts, F.col(buckets).eqNullSafe(F.col("__b"))).withColumn(name, (F.col("__own") + F.col("__shift")).cast("long")).drop("__own", "__shift", "__b")
 
 
 #: Ranks whose running sum is made in one task.
@@ -100,9 +100,10 @@ def ordered(df: DataFrame, strategy: str, row_idx: str, **columns) -> DataFrame:
 
 
 def renumbered(df: DataFrame, by: list[Column], prefix: str, width: int = 5, name: str = "ref_id") -> DataFrame:
-    """Ids like snow_00000 in the given order."""
-    out = numbered(df, by, "__n", 0)
-    return out.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("__n").cast("string"), width, "0"))).drop("__n")
+    """Ids like snow_00000 in the given order; numbers with more digits keep them all."""
+    out, digits = numbered(df, by, "__n", 0), F.col("__n").cast("string")
+    padded = F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+    return out.withColumn(name, F.concat(F.lit(prefix), padded)).drop("__n")
 
 
 def simple_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

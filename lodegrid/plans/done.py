@@ -135,8 +135,7 @@ def invariants(mode_passages: DataFrame, modes: DataFrame, gap_pairs: DataFrame,
     """The six invariants apart: passages a mode; gap pairs (row, column) both named in one text of the agenda (text); each
     criterion (phrase), threshold, boundary and survey, given as name to (texts, phrases), mentioned.
     """
-    both = gap_pairs.join(agenda.select(F.lower("text").alias("__t")), F.expr("contains(__t, lower(`row`)) and contains(__t, lower(`column`))"), "left_anti")
-    parts = [Q.at_least(mode_passages, "passages a mode", "mode", "passage", modes, least), Q.rows_failing(both.withColumn("pair", F.concat_ws(" x ", "row", "column")), "gap pair named", F.lit(True), "pair")]
+    parts = [Q.at_least(mode_passages, "passages a mode", "mode", "passage", modes, least), Q.mentioned_together(agenda, "gap pair named", "text", gap_pairs, "row", "column")]
     parts += [Q.mentions(texts, name, "text", phrases, "phrase") for name, (texts, phrases) in {"criterion": (agenda, criteria), **statements}.items()]
     return Q.violations(*parts)
 

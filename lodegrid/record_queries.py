@@ -17,6 +17,7 @@ from lodegrid.operators import checks as Q
 from lodegrid.operators import clustering as L
 from lodegrid.operators import embedding as E
 from lodegrid.operators import joins as J
+from lodegrid.operators import overlap as V
 from lodegrid.operators import references as R
 from lodegrid.operators import state as S
 from lodegrid.operators import windows as W
@@ -208,17 +209,6 @@ def batch_requests(spark, sf_dir):
     return r.select("r.custom_id", "r.method", "r.body.model", F.col("r.body.messages")[0]["content"].alias("system"), F.col("r.body.messages")[1]["content"].alias("user"))
 
 
-def _fetched(offset: int, rows: int) -> tuple[list[tuple[int, str]], int]:
-    """A service with 230 rows, a page at a time."""
-    return [(k, f"row {k}") for k in range(offset, min(230, offset + rows))], 230
-
-
-@query("SELECT range AS k, 'row ' || range AS name FROM range(230)")
-def paged_source(spark, sf_dir):
-    spark.dataSource.register(I.paged_source(_fetched, "k long, name string", 25))
-    return spark.read.format("paged").load()
-
-
 # -- registers --------------------------------------------------------------------------------------------------------------
 @query("""SELECT phase, kind, subject, count(*) AS n FROM (SELECT '3' AS phase, 'gap' AS kind, n_name AS subject FROM nation UNION ALL SELECT '3', 'gap', n_name FROM nation WHERE n_regionkey = 0 UNION ALL SELECT '4', 'cluster', r_name FROM region) GROUP BY ALL""")
 def register_events(spark, sf_dir):
@@ -319,17 +309,78 @@ def file_names(spark, sf_dir):
 
 
 _ENTRY: Columns = {
-    "id": "'e' || CAST(s_suppkey AS STRING)", "doi": "CASE WHEN s_suppkey % 3 = 0 THEN '10.1/' || CAST(s_suppkey AS STRING) ELSE '' END", "arxiv": "CASE WHEN s_suppkey % 3 = 1 THEN '2401.' || CAST(10000 + s_suppkey AS STRING) ELSE '' END",
-    "year": "CAST(2000 + s_nationkey AS STRING)", "surname": "'smith'", "title": "'A study of ' || s_name",
+    "id": "'e' || CAST(s_suppkey AS STRING)", "doi": "CASE WHEN s_suppkey % 5 = 0 THEN '10.1/' || CAST(s_suppkey AS STRING) ELSE '' END", "arxiv": "CASE WHEN s_suppkey % 5 = 1 THEN '2401.' || CAST(10000 + s_suppkey AS STRING) ELSE '' END",
+    "year": "CAST(2000 + s_nationkey AS STRING)", "surname": "'smith' || CAST(s_suppkey % 9 AS STRING)", "title": "'A Study of: ' || s_name || CASE s_suppkey % 5 WHEN 2 THEN ' xyz' WHEN 3 THEN ' vwxyz vwxyz vwxyz vwxyz' ELSE '' END",
 }
-_KNOWN = {**_ENTRY, "id": "'k' || CAST(s_suppkey AS STRING)", "row_idx": "s_suppkey", "doi": "CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN '10.1/' || CAST(s_suppkey AS STRING) ELSE '' END", "title": "'Quite another text'"}
+_KNOWN = {**_ENTRY, "id": "'k' || CAST(s_suppkey AS STRING)", "row_idx": "s_suppkey", "doi": "CASE WHEN s_suppkey % 10 = 0 THEN '10.1/' || CAST(s_suppkey AS STRING) ELSE '' END", "arxiv": "''", "title": "CASE WHEN s_suppkey % 5 IN (2, 3) THEN 'a study of ' || s_name ELSE 'Quite another text' END"}
 
 
-@query(f"""SELECT e.id, CASE WHEN d.id IS NOT NULL THEN d.id ELSE a.id END AS "match", CASE WHEN d.id IS NOT NULL THEN 'doi' WHEN a.id IS NOT NULL THEN 'arxiv' ELSE 'none' END AS method
-    FROM {sql_of('supplier', _ENTRY)} e LEFT JOIN {sql_of('supplier', _KNOWN)} d ON e.doi <> '' AND e.doi = d.doi LEFT JOIN {sql_of('supplier', _KNOWN)} a ON e.arxiv <> '' AND e.arxiv = a.arxiv""")
+@query(f"""SELECT e.id, CASE WHEN d.id IS NOT NULL THEN d.id WHEN s_suppkey % 5 = 2 THEN 'k' || s_suppkey END AS "match", CASE WHEN d.id IS NOT NULL THEN 'doi' WHEN s_suppkey % 5 = 2 THEN 'title' ELSE 'none' END AS method
+    FROM supplier JOIN {sql_of('supplier', _ENTRY)} e ON e.id = 'e' || s_suppkey LEFT JOIN {sql_of('supplier', _KNOWN)} d ON e.doi <> '' AND e.doi = d.doi""")
 def bibliography_match(spark, sf_dir):
-    """By DOI, else by preprint number, else by year, surname and an alike title: none is here."""
-    return J.bibliography_matches(made(spark, sf_dir, "supplier", _ENTRY), made(spark, sf_dir, "supplier", _KNOWN)).select("id", "match", "method")
+    """By DOI, else by preprint number, else by year, surname and an alike title: one with a word more is, one with four words more isn't alike enough."""
+    # Names of few suppliers are alike too, so each has a surname of its own.
+    own = lambda columns: {**columns, "surname": "'smith' || CAST(s_suppkey AS STRING)"}
+    return J.bibliography_matches(made(spark, sf_dir, "supplier", own(_ENTRY)), made(spark, sf_dir, "supplier", own(_KNOWN))).select("id", "match", "method")
+
+
+@query("""SELECT 'e' || s_suppkey AS entry, 'k' || s_suppkey AS known, round(2 * n / (2 * n + CASE s_suppkey % 5 WHEN 2 THEN 4 ELSE 24 END), 9) AS ratio FROM (SELECT s_suppkey, length('a study of ' || replace(s_name, '#', '')) AS n FROM supplier) WHERE s_suppkey % 5 IN (2, 3)""")
+def alike_titles(spark, sf_dir):
+    """Ratios between 0 and 1 of titles of one year and surname: the shorter one begins the longer one."""
+    own = lambda columns: {**columns, "surname": "'smith' || CAST(s_suppkey AS STRING)"}
+    out = J.alike_titles(made(spark, sf_dir, "supplier", own(_ENTRY)), made(spark, sf_dir, "supplier", own(_KNOWN)), 0.7)
+    return out.select("entry", "known", F.round("ratio", 9).alias("ratio"))
+
+
+_PAPER: Columns = {
+    "row_idx": "c_custkey", "issn": "CASE c_custkey % 5 WHEN 0 THEN '0000-0000 ' || CAST(1000 + c_nationkey AS STRING) || '-000x' WHEN 1 THEN 'N/A' ELSE '' END",
+    "source": "CASE c_custkey % 5 WHEN 0 THEN 'anything' WHEN 1 THEN 'Proceedings of the  Conference on Topic ' || CAST(c_nationkey AS STRING) WHEN 2 THEN 'Talks at NAT' || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) || ' 2020' WHEN 3 THEN 'JOURNAL of nation_' || CAST(c_nationkey AS STRING) ELSE 'nowhere' END",
+}
+
+
+@query("""WITH p AS (SELECT c_custkey AS row_idx, c_custkey % 5 AS k, c_nationkey AS n FROM customer)
+    SELECT row_idx, CASE WHEN k IN (0, 3) AND n % 4 > 0 THEN 'A' WHEN k IN (1, 2) AND n % 3 > 0 THEN 'B' ELSE 'Not found' END AS venue_rank, CASE WHEN k IN (0, 3) AND n % 4 > 0 THEN 'Journal' WHEN k IN (1, 2) AND n % 3 > 0 THEN 'Conference' ELSE 'Not found' END AS venue_type,
+        CASE WHEN k = 0 AND n % 4 > 0 THEN 'issn' WHEN (k = 1 AND n % 3 > 0) OR (k = 3 AND n % 4 > 0) THEN 'name' WHEN k = 2 AND n % 3 > 0 THEN 'acronym' ELSE 'none' END AS method FROM p""")
+def venue_ranks(spark, sf_dir):
+    """Ranks by any ISSN, by the venue's name, by an acronym in it; venues without a rank don't count."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    journals = n.select(key.alias("row_idx"), F.concat((key + 1000).cast("string"), F.lit("000X")).alias("issn"), F.concat(F.lit("Journal of "), "n_name").alias("name"), F.lit("").alias("acronym"), F.when(key % 4 > 0, "A").otherwise("").alias("rank"))
+    letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), key + 1, F.lit(1))
+    conferences = n.select(key.alias("row_idx"), F.concat(F.lit("Conference on Topic "), key.cast("string")).alias("name"), F.concat(F.lit("NAT"), letter).alias("acronym"), F.when(key % 3 > 0, "B").otherwise("nan").alias("rank"))
+    return J.venue_ranks(made(spark, sf_dir, "customer", _PAPER), journals, conferences).select("row_idx", "venue_rank", "venue_type", "method")
+
+
+@query("""WITH b AS (SELECT p_partkey, 'roe' || (1990 + p_size % 3) || split_part(p_name, ' ', 1) AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM b)
+    SELECT p_partkey, base || CASE WHEN n = 1 THEN '' WHEN n <= 27 THEN substr('abcdefghijklmnopqrstuvwxyz', n::INT - 1, 1) ELSE '_' || n END AS citekey FROM n""")
+def unique_citekeys(spark, sf_dir):
+    """Keys of surname, year and first word: far more than 27 rows of each base, and none twice."""
+    p = table(spark, sf_dir, "part")
+    return O.citekeys(p, F.lit("Roe"), (F.col("p_size") % 3 + 1990).cast("string"), F.col("p_name"), [F.col("p_partkey")]).select("p_partkey", "citekey")
+
+
+@query(r"""WITH g AS (SELECT item_id, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] AS ngram, w[k] AS word, lines FROM (SELECT item_id, string_split(lower(text), chr(10)) AS lines, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w, unnest(range(1, len(w) - 2)) AS k FROM benchmark))
+    SELECT DISTINCT item_id AS target_id, ngram, list_position(list_transform(lines, lambda x: contains(x, word)), true)::INT AS line FROM g WHERE ngram IN (SELECT ngram FROM g WHERE item_id % 2 = 0) AND item_id % 2 = 1""")
+def overlap_lines(spark, sf_dir):
+    """Where the n-grams that odd items share with even ones stand in their texts."""
+    b = table(spark, sf_dir, "benchmark")
+    odd = b.filter("item_id % 2 = 1")
+    found = V.shared_ngrams(odd, "item_id", "text", b.filter("item_id % 2 = 0"), "item_id", "text", 4)
+    return V.overlap_lines(found, odd, "item_id", "text").select("target_id", "ngram", "line")
+
+
+@query("""SELECT s_suppkey AS ref_id, CASE WHEN s_suppkey % 3 < 2 THEN '10.1/b' || s_suppkey END AS doi, round(CASE s_suppkey % 3 WHEN 0 THEN 1.03 WHEN 1 THEN 4 / sqrt(20.0) + 0.0 ELSE 2 / sqrt(12.0) + 0.03 END, 3) AS score FROM supplier""")
+def best_candidates(spark, sf_dir):
+    """Of three candidates the one with the most alike title; an equal year adds a little, too little a likeness gives none."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ref_id"), (F.col("s_suppkey") % 3).alias("k"))
+    refs = s.select("ref_id", F.lit("one two three four").alias("title"), F.lit("2020").alias("year"))
+    best = F.when(F.col("k") == 0, "four three two one").when(F.col("k") == 1, "one two three four five").otherwise("one two nine")
+    rows = F.array(
+        F.struct(F.lit(0).alias("at"), F.lit("eight nine").alias("title"), F.lit("2020").alias("year"), F.lit("10.1/a").alias("doi")),
+        F.struct(F.lit(1).alias("at"), best.alias("title"), F.when(F.col("k") == 1, "1999").otherwise("2020").alias("year"), F.concat(F.lit("https://doi.org/10.1/b"), F.col("ref_id").cast("string")).alias("doi")),
+        F.struct(F.lit(2).alias("at"), F.lit("seven").alias("title"), F.lit("").alias("year"), F.lit("10.1/c").alias("doi")),
+    )
+    return V.best_candidates(refs, s.select("ref_id", F.inline(rows)))
 
 
 @query("""SELECT c_custkey, o_orderkey, coalesce(CAST(o_totalprice AS STRING), '-') <> '-' AS has_order FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1) ON c_custkey = o_custkey""")
@@ -454,7 +505,7 @@ _RAW: Columns = {
     "authors": "'Smith, ' || c_mktsegment || ' and van Roe, B and Lee ' || CAST(c_nationkey AS STRING)",
     "single": "CASE WHEN c_custkey % 2 = 0 THEN 'Doe, Jane and Roe, B' ELSE 'Jane Q Public and Roe, B' END",
     "keywords": "c_mktsegment || ', ' || ',testing , ' || CAST(c_nationkey AS STRING)",
-    "url": "CASE c_custkey % 3 WHEN 0 THEN 'https://doi-org.proxy.edu/10.1145/' || CAST(c_custkey AS STRING) || '.99?x=1' WHEN 1 THEN 'see arXiv:2401.' || CAST(10000 + c_custkey AS STRING) ELSE 'none' END",
+    "url": "CASE c_custkey % 3 WHEN 0 THEN '(https://doi-org.proxy.edu/10.1145/Ab' || CAST(c_custkey AS STRING) || '.99.), x=1' WHEN 1 THEN 'see arXiv:2401.' || CAST(10000 + c_custkey AS STRING) ELSE 'none' END",
     "kind": "CASE c_custkey % 5 WHEN 0 THEN 'inproceedings' WHEN 1 THEN 'article' WHEN 2 THEN 'phdthesis' WHEN 3 THEN 'inbook' ELSE 'online' END",
     "venue": "CASE c_custkey % 7 WHEN 0 THEN 'Journal of Book Proceedings' WHEN 1 THEN 'Workshop' WHEN 2 THEN 'Bookish' WHEN 3 THEN 'arXiv' WHEN 4 THEN 'PhD Thesis' WHEN 5 THEN '' ELSE 'Conference' END",
     "seed": "CASE c_custkey % 6 WHEN 0 THEN 'Wang et al. - 2025 - LLM-based Agents in Software.pdf' WHEN 1 THEN 'Li et al. - 2024 - A survey of low-code tools.pdf' WHEN 2 THEN 'Roe - 2023 - Agents for software.pdf' WHEN 3 THEN 'Kim - 2022 - Other.pdf' WHEN 4 THEN 'some file-name of ' || c_name || ' and more words.pdf' ELSE 'Doe et al. - 2021 - Agentic programming.pdf' END",
@@ -465,7 +516,7 @@ _RAW: Columns = {
         CASE WHEN lower(trim(acronym)) NOT IN ('', 'nan', 'none', 'n/a') THEN trim(acronym) WHEN trim(name) <> '' THEN left(trim(name), 30) ELSE '(no acronym)' END AS shown,
         trim(regexp_replace(replace(replace(title, '{{', ''), '}}', ''), '\s+', ' ', 'g')) AS title, regexp_replace(authors, ' and ', '; ', 'g') AS authors, CASE WHEN id % 2 = 0 THEN 'doe' ELSE 'public' END AS surname,
         replace(split_part(keywords, ',', 1) || '; testing; ' || trim(split_part(keywords, ',', 4)), ',', '') AS keywords,
-        CASE WHEN id % 3 = 0 THEN '10.1145/' || id || '.99' END AS doi, CASE WHEN id % 3 = 1 THEN '2401.' || (10000 + id) ELSE '' END AS arxiv,
+        CASE WHEN id % 3 = 0 THEN '10.1145/Ab' || id || '.99' END AS doi, CASE WHEN id % 3 = 1 THEN '2401.' || (10000 + id) ELSE '' END AS arxiv,
         CASE kind WHEN 'inproceedings' THEN 'p/Conference Paper' WHEN 'article' THEN 'j/Article' WHEN 'phdthesis' THEN 'j/Thesis' WHEN 'inbook' THEN 'p/Book Chapter' ELSE 'p/Other' END AS entry,
         CASE id % 7 WHEN 0 THEN '@article/journal' WHEN 1 THEN '@inproceedings/booktitle' WHEN 2 THEN '@inbook/booktitle' WHEN 3 THEN '@misc/howpublished' WHEN 4 THEN '@phdthesis/school' WHEN 5 THEN '@misc/howpublished' ELSE '@inproceedings/booktitle' END AS venue,
         CASE id % 6 WHEN 0 THEN 'WangLLMAgents2025' WHEN 1 THEN 'LiLCNC2024' WHEN 2 THEN 'RoeAgentsSE2023' WHEN 3 THEN 'Kim2022' WHEN 4 THEN left(regexp_replace(replace(seed, '.pdf', ''), '[^A-Za-z0-9]+', '', 'g'), 30) ELSE 'DoeAgenticProg2021' END AS seed,
@@ -483,16 +534,16 @@ def names_and_kinds(spark, sf_dir):
 
 _PEOPLE: Columns = {
     "id": "s_suppkey",
-    "ours": "CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Roe, A; Doe, B' WHEN 2 THEN 'Roe, A' WHEN 3 THEN '' ELSE 'Müller, J; Roe, A' END",
-    "theirs": "CASE s_suppkey % 5 WHEN 0 THEN ' ; ' WHEN 1 THEN 'B Doe; A Roe' WHEN 2 THEN 'Poe, A' WHEN 3 THEN 'Roe, A' ELSE '' END",
+    "ours": "CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Roe, A; Doe, B' WHEN 2 THEN 'O''Neil, P; Smith-Jones, A' WHEN 3 THEN '' ELSE 'Müller, J; Roe, A' END",
+    "theirs": "CASE s_suppkey % 5 WHEN 0 THEN ' ; ' WHEN 1 THEN 'B Doe; A Roe' WHEN 2 THEN 'Neil, P O; Jones, A Smith' WHEN 3 THEN 'Roe, A' ELSE '' END",
     "given": "CASE WHEN s_suppkey % 3 = 0 THEN 'J.' END",
     "family": "CASE WHEN s_suppkey % 3 < 2 THEN s_name END",
     "whole": "CASE WHEN s_suppkey % 2 = 0 THEN 'The ' || s_name ELSE ' ' END",
 }
 
 
-@query(f"""SELECT id, CASE id % 5 WHEN 0 THEN 'both_empty' WHEN 1 THEN 'same' WHEN 2 THEN 'different' WHEN 3 THEN 'ours_empty' ELSE 'theirs_empty' END AS delta,
-        CASE id % 5 WHEN 1 THEN 'a roe' WHEN 2 THEN 'a roe' WHEN 4 THEN 'j muller' ELSE '' END AS first_key, CASE WHEN id % 5 IN (0, 3) THEN '' WHEN id % 5 = 1 THEN 'Roe, A and Doe, B' WHEN id % 5 = 2 THEN 'Roe, A' ELSE 'Müller, J and Roe, A' END AS bibtex,
+@query(f"""SELECT id, CASE id % 5 WHEN 0 THEN 'still_blank' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'updated' WHEN 3 THEN 'blank_filled' ELSE 'no_change' END AS delta,
+        CASE id % 5 WHEN 1 THEN 'a roe' WHEN 2 THEN 'oneil p' WHEN 4 THEN 'j muller' ELSE '' END AS first_key, CASE WHEN id % 5 IN (0, 3) THEN '' WHEN id % 5 = 1 THEN 'Roe, A and Doe, B' WHEN id % 5 = 2 THEN 'O''Neil, P and Smith-Jones, A' ELSE 'Müller, J and Roe, A' END AS bibtex,
         CASE WHEN family IS NOT NULL THEN concat_ws(', ', family, given) WHEN given IS NOT NULL THEN given WHEN trim(whole) <> '' THEN whole ELSE 'D ' || id END AS person FROM {sql_of('supplier', _PEOPLE)}""")
 def people(spark, sf_dir):
     """Author lists: which of five ways they differ, keys, formats, names from services' objects."""
@@ -549,11 +600,11 @@ def line_of_word(spark, sf_dir):
     return b.select("item_id", T.first_line_with(F.concat("text", F.lit("\n"), "text"), word).alias("line"))
 
 
-@query(r"""SELECT conv_id, turn, 'see [' || CASE WHEN turn % 2 = 0 THEN 'new' || (conv_id % 5) ELSE 'k' || (conv_id % 5 + 5) END || '; other] and [Fig 1]' AS text, (turn % 2 = 0)::BIGINT AS replaced FROM conversations""")
+@query(r"""SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 3 THEN NULL ELSE 'see [' || CASE WHEN turn % 2 = 0 THEN 'new' || (conv_id % 5) ELSE 'k' || (conv_id % 5 + 5) END || '; other] and [Fig 1]' END AS text, (turn % 2 = 0 AND (conv_id + turn) % 7 <> 3)::BIGINT AS replaced FROM conversations""")
 def citekeys_rewritten(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     key = F.when(F.col("turn") % 2 == 0, F.col("conv_id") % 5).otherwise(F.col("conv_id") % 5 + 5).cast("string")
-    texts = c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.concat(F.lit("see [k"), key, F.lit("; other] and [Fig 1]")).alias("text"))
+    texts = c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.when((F.col("conv_id") + F.col("turn")) % 7 != 3, F.concat(F.lit("see [k"), key, F.lit("; other] and [Fig 1]"))).alias("text"))
     mapping = spark.createDataFrame([(f"k{k}", f"new{k}") for k in range(5)], "old string, new string")
     out = R.rewritten_citekeys(texts, "id", "text", mapping)
     return out.select(F.split_part("id", F.lit("/"), F.lit(1)).cast("long").alias("conv_id"), F.split_part("id", F.lit("/"), F.lit(2)).cast("long").alias("turn"), "text", "replaced")
@@ -570,12 +621,21 @@ def author_references(spark, sf_dir):
     return R.author_references(lines.select("doc", "x.at", "x.line"))
 
 
-@query(r"""WITH l AS (SELECT doc_id AS doc, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, unnest(string_split(text, chr(10))) AS line FROM documents)
-    SELECT doc, k::INT AS ref, trim('[' || k || '] 2001 ' || line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS raw FROM l WHERE k <= 999 AND length(trim('[' || k || '] 2001 ' || line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 30""")
+#: The number at each line: rising by 1 to 6, sometimes back by some, and 1 again after 60 lines.
+_NUMBER = "(CASE WHEN k % 60 = 0 THEN 1 ELSE (k % 60) * 3 + (k * k) % 7 - 3 * (k % 11 = 5)::INT * 9 + doc % 3 END)"
+
+
+@query(rf"""WITH l AS (SELECT doc_id AS doc, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, unnest(string_split(text, chr(10))) AS line FROM documents),
+    n AS (SELECT doc, k, greatest(1, {_NUMBER})::INT AS n, line FROM l),
+    folded AS (SELECT doc, list_reduce(list_prepend({{'k': 0::BIGINT, 'n': 0, 'last': NULL::INT, 'starts': []::BIGINT[]}}, list({{'k': k, 'n': n, 'last': NULL::INT, 'starts': []::BIGINT[]}} ORDER BY k)), lambda s, x:
+        CASE WHEN s.last IS NULL OR (x.n > s.last AND x.n <= s.last + 5) OR (x.n = 1 AND s.last > 100) THEN {{'k': x.k, 'n': x.n, 'last': x.n, 'starts': list_append(s.starts, x.k)}} ELSE {{'k': x.k, 'n': x.n, 'last': s.last, 'starts': s.starts}} END).starts AS starts FROM n GROUP BY doc),
+    r AS (SELECT doc, k, len(list_filter(starts, lambda x: x <= k)) AS ref, trim('[' || n || '] 2001 ' || line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM n JOIN folded USING (doc))
+    SELECT doc, ref::INT AS ref, string_agg(t, ' ' ORDER BY k) AS raw FROM r WHERE ref > 0 GROUP BY ALL HAVING length(string_agg(t, ' ' ORDER BY k)) > 30""")
 def numbered_lines(spark, sf_dir):
-    """Numbers that rise one by one: each line is a reference; short ones are dropped."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "l"))
-    return R.numbered_references(lines.select("doc", "at", F.concat(F.lit("["), (F.col("at") + 1).cast("string"), F.lit("] 2001 "), F.col("l")).alias("line")))
+    """Numbers that jump, fall back and begin again: a line begins a reference only one to five above the last, or at 1 after a hundred."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "l")).withColumn("k", F.col("at") + 1)
+    number = F.greatest(F.lit(1), F.expr(_NUMBER)).cast("int")
+    return R.numbered_references(lines.select("doc", "at", F.concat(F.lit("["), number.cast("string"), F.lit("] 2001 "), F.col("l")).alias("line")))
 
 
 @query("""WITH n AS (SELECT n_nationkey AS doc, n_nationkey AS numbered, (n_nationkey * 7) % 30 AS author, 5 AS manual FROM nation)
@@ -827,23 +887,17 @@ def done_trust(spark, sf_dir):
     return Z.trust(passages, n.select(F.col("n_name").alias("mode")), texts, phrases).withColumn("item", F.translate("item", "<>", ""))
 
 
-@query("""SELECT 'adds up' AS rule, 'three' AS item, '' AS detail UNION ALL SELECT 'follows', 'two', ''""")
-def done_funnel(spark, sf_dir):
-    stages = spark.createDataFrame([("one", 1, 10, 3, 7), ("two", 2, 8, 2, 6), ("three", 3, 6, 1, 4)], "stage string, at int, n_in int, removed int, n_out int")
-    return Z.funnel(stages)
-
-
 @query("""SELECT 'columns' AS rule, 'abstract' AS item, 'missing column' AS detail UNION ALL SELECT 'columns', 'doi', 'missing column'""")
 def done_search_output(spark, sf_dir):
     return Z.search_output(table(spark, sf_dir, "nation").withColumnRenamed("n_name", "title"), ["title", "abstract", "doi"])
 
 
-@query("""SELECT 'b.pdf' AS item, '20' AS detail UNION ALL SELECT 'c.pdf', '12000'""")
+@query("""SELECT url AS item, CAST(octet_length(encode(html)) AS STRING) AS detail FROM pages WHERE octet_length(encode(html)) < 4000 OR left(html, 5) <> '<html'""")
 def valid_files(spark, sf_dir):
-    """Files of 10 kB at least that begin with the format's mark."""
-    head = lambda name, text: F.struct(F.lit(name).alias("path"), F.length(text).cast("long").alias("length"), F.encode(text, "UTF-8").alias("content"))
-    files = spark.range(1).select(F.inline(F.array(head("a.pdf", F.rpad(F.lit("%PDF-1.7"), 12_000, "x")), head("b.pdf", F.rpad(F.lit("%PDF"), 20, "x")), head("c.pdf", F.rpad(F.lit("<html>"), 12_000, "x")))))
-    return Q.file_is_valid(files, "valid").select("item", "detail")
+    """Pages as files: of 4 kB at least, and beginning with the format's mark."""
+    content = F.encode("html", "UTF-8")
+    files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    return Q.file_is_valid(files, "valid", b"<html", 4000).select("item", "detail")
 
 
 # -- reports ----------------------------------------------------------------------------------------------------------------
@@ -891,12 +945,16 @@ def done_invariants(spark, sf_dir):
     return found.withColumn("item", F.translate("item", "<>", ""))
 
 
-@query("""SELECT 'skeleton' AS rule, 'LICENSE' AS item, 'missing' AS detail UNION ALL SELECT 'skeleton', 'code/run.py', '0' UNION ALL SELECT 'placeholder', 'two', '{years}' UNION ALL SELECT 'brackets', 'two', ''""")
+@query("""SELECT 'skeleton' AS rule, n_name AS item, 'missing' AS detail FROM nation UNION ALL SELECT 'skeleton', url, CAST(max(length(html)) AS STRING) FROM (SELECT url, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS html FROM pages) GROUP BY url HAVING max(length(html)) < 1
+    UNION ALL SELECT 'placeholder', CAST(item_id AS STRING), '{years}' FROM benchmark WHERE item_id % 2 = 1
+    UNION ALL SELECT 'brackets', CAST(item_id AS STRING), '' FROM benchmark WHERE len(text) - len(replace(text, '(', '')) + (item_id % 2 = 0)::INT <> len(text) - len(replace(text, ')', ''))""")
 def done_skeleton(spark, sf_dir):
-    files = spark.createDataFrame([("README.md", 10), ("code/run.py", 0)], "name string, length long")
-    wanted = spark.createDataFrame([("README.md",), ("code/run.py",), ("LICENSE",)], "name string")
-    queries = spark.createDataFrame([("one", "TITLE({terms}) AND ({years})"), ("two", "TITLE({terms}")], "name string, text string")
-    return Z.skeleton(files, wanted).unionByName(Z.query_template(queries, ["{terms}", "{years}"]))
+    """Pages as the files of a skeleton, some of them empty and others missing; item texts as query templates without a placeholder, or with a bracket too many."""
+    pages, items = table(spark, sf_dir, "pages"), table(spark, sf_dir, "benchmark")
+    files = pages.select(F.col("url").alias("name"), F.when(F.col("page_id") % 3 == 0, 0).otherwise(F.length("html")).cast("long").alias("length"))
+    wanted = pages.select(F.col("url").alias("name")).unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+    template = F.concat("text", F.when(F.col("item_id") % 2 == 0, " {terms} {years})").otherwise(" {terms}"))
+    return Z.skeleton(files, wanted).unionByName(Z.query_template(items.select(F.col("item_id").cast("string").alias("name"), template.alias("text")), ["{terms}", "{years}"]))
 
 
 @query(f"""WITH {'{evidence}'}, t AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.5) AS b FROM cells WHERE n > 0)
@@ -923,12 +981,14 @@ def seed_tables(spark, sf_dir):
     return I.seed_tables(spark, folder, ["title", "year"])
 
 
-@query("""SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 1.0::DOUBLE WHEN n_nationkey = 1 THEN NULL ELSE 0.0::DOUBLE END AS ratio FROM nation WHERE n_nationkey <> 1""")
+@query("""WITH p AS (SELECT p_partkey AS k, length(p_name) AS n FROM part) SELECT k, round(CASE k % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 2 * n / (2 * n + 4) ELSE 2 * n / (2 * n + 2) END, 9) AS ratio FROM p""")
 def title_ratio(spark, sf_dir):
-    """The gestalt ratio of equal and of wholly different titles; case and marks don't count."""
-    n = table(spark, sf_dir, "nation").filter("n_nationkey != 1")
-    a, b = F.concat(F.lit("A: "), "n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("a "), F.translate(F.lower("n_name"), "_", "-"))).otherwise("zzzz")
-    return n.select(F.col("n_nationkey").alias("k"), T.sequence_ratio(a, b).alias("ratio"))
+    """The gestalt ratio of titles that are equal but for case and marks, wholly different, longer at the end, and parted by a number in the middle."""
+    p, name = table(spark, sf_dir, "part"), F.col("p_name")
+    k = F.col("p_partkey") % 4
+    parted = F.concat(F.substring(name, 1, 2), F.lit("99"), F.expr("substring(p_name, 3)"))
+    other = F.when(k == 0, F.concat(F.lit("'"), F.upper(name), F.lit("!"))).when(k == 1, "0123456789").when(k == 2, F.concat(name, F.lit(" 777"))).otherwise(parted)
+    return p.select(F.col("p_partkey").alias("k"), F.round(T.sequence_ratio(name, other), 9).alias("ratio"))
 
 
 @query("""WITH e AS (SELECT ts, event_type FROM events) SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM e GROUP BY ALL""")
