@@ -97,6 +97,19 @@ def sweep(spark: SparkSession, name: str = "") -> None:
     _delete(spark, _folder(spark, name))
 
 
+def numbered_rows(df: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row (from 0, without gaps) in a total order: a sort in ranges, stored once; a range's places follow those before it."""
+    rows = stored(df.orderBy(*by).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33).cast("int")
+    starts, before = [], 0
+    for r in sorted(rows.groupBy(part.alias("part")).count().collect()):  # a number a partition
+        starts.append({"part": r["part"], "start": before})
+        before += r["count"]
+    start = F.broadcast(small_table(df.sparkSession, starts, "part: int, start: bigint"))
+    out = rows.withColumn("__part", part).join(start, F.col("__part") == F.col("part"))
+    return out.select(*df.columns, (F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("start")).alias(name))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with as many underscores as it takes to be no column's name in any case."""
     taken = {c.lower() for c in df.columns}

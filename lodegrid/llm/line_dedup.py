@@ -15,6 +15,7 @@ one, all members are aligned.
 
 from __future__ import annotations
 
+import logging
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -26,13 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import keyed_documents, lookup, stored
+from lodegrid.llm.common import keyed_documents, lookup, numbered_rows, stored
 
 #: Links of one document that are aligned in one task; more are spread.
 LINKS_A_TASK = 200
 
 #: A line with more holders is frequent: its holders are dealt with by classes.
 RARE = 64
+log = logging.getLogger(__name__)
 
 #: Rows of a batch that are unpacked at once.
 UNPACKED = 256
@@ -231,30 +233,71 @@ def _classes(sequences: DataFrame, frequent: DataFrame) -> DataFrame:
     return sequences.join(held, "key").select("key", "high", "low", "held").mapInArrow(run, "key long, c_high long, c_low long")
 
 
-def _further_links(sequences: DataFrame, lines: DataFrame, holders: DataFrame, shared: DataFrame, left: DataFrame, rare: int) -> DataFrame:
-    """first, key: what the documents of ``left`` (key, high, low, n: lines that are shared and still there) are to be aligned with."""
+def _near_links(sequences: DataFrame, lines: DataFrame, shared: DataFrame, open_: DataFrame, rare: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first, key: what documents with open lines are to be aligned with besides the first holders: the first one of their copies, or all
+    holders of their rare lines; the same for rare lines only; first, key: all copies). open_ has key, high, low, n."""
     line = ["high", "low"]
     equal = stored(sequences.groupBy("all_high", "all_low").agg(F.min("key").alias("first"), F.count("*").alias("n")))
-    open_keys = stored(left.select("key").distinct())
+    open_keys = stored(open_.select("key").distinct())
     whole = lookup(sequences.select("key", "all_high", "all_low"), equal, ["all_high", "all_low"], "n", max(1, sequences.count()))
     copies = stored(whole.filter("first < key").select("first", "key"))
     of_copies = copies.join(open_keys, "key", "left_semi").select("first", "key")
     open_keys = stored(open_keys.join(copies, "key", "left_anti"))
-    left = stored(left.join(open_keys, "key", "left_semi"))
-    lines = stored(lines.join(copies, "key", "left_anti"))
     wanted = shared.filter(F.col("n") <= rare).join(open_keys, "key", "left_semi").select("key", *line)
-    partners = stored(wanted.join(lines.withColumnRenamed("key", "first"), line).filter("first < key").select("first", "key").distinct())
+    holders = lines.join(copies, "key", "left_anti").withColumnRenamed("key", "first")
+    partners = stored(wanted.join(holders, line).filter("first < key").select("first", "key").distinct())
+    return of_copies.unionByName(partners).distinct(), partners, copies
+
+
+def _numbered_firsts(firsts_of_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(high, low, place, first: the class firsts of each line in their order, from 0; high, low, most: how many a line has).
+
+    A sort in ranges numbers all of them, so the firsts of one line, maybe as many as documents, are never in one task.
+    """
+    rows = numbered_rows(firsts_of_lines, [F.col("high"), F.col("low"), F.col("first")], "__at")
+    starts = stored(rows.groupBy("high", "low").agg(F.min("__at").alias("start"), F.count("*").alias("most")))
+    known = lookup(rows, starts, ["high", "low"], "most", max(1, rows.count()))
+    return stored(known.select("high", "low", (F.col("__at") - F.col("start")).alias("place"), "first")), starts.select("high", "low", "most")
+
+
+#: Class firsts that an open line is tried with in the first round; each further one takes twice as many.
+FIRST_TRIES = 2
+
+
+def _found_by_classes(sequences: DataFrame, lines: DataFrame, holders: DataFrame, open_: DataFrame, partners: DataFrame, copies: DataFrame, done: DataFrame, matched: DataFrame, rare: int) -> list[DataFrame]:
+    """key, line, first, in rounds: open frequent lines are tried with one document a class of equal surroundings, the earliest first.
+
+    A round aligns a few candidates a line; lines that are matched are tried no more. So the links are in proportion to the lines as
+    long as some of the first candidates match, however many classes there are; a line that none of them matches is tried with all.
+    """
+    line = ["high", "low"]
+    lines = stored(lines.join(copies, "key", "left_anti"))
     frequent = stored(lookup(lines, holders.filter(F.col("n") > rare), line, "n", max(1, lines.count())).select("key", *line))
     classes = stored(_classes(sequences, frequent))
     firsts = stored(classes.groupBy("c_high", "c_low").agg(F.min("key").alias("first")))
-    by_line = frequent.join(firsts, F.col("key") == F.col("first"), "left_semi").groupBy(*line).agg(F.collect_set("key").alias("firsts"))
-    uses = left.filter(F.col("n") > rare).select("key", *line)
-    by_line = stored(by_line.join(uses.groupBy(*line).agg(F.count("*").alias("n")), line))
-    by_class = stored(lookup(uses, by_line, line, "n", max(1, uses.count())).select("key", F.explode("firsts").alias("first")).filter("first < key").select("first", "key").distinct())
-    # A partner doesn't stand for its class: all members are aligned.
-    doubtful = by_class.join(partners, ["first", "key"], "left_semi").join(firsts, "first").select("key", "c_high", "c_low")
-    members = doubtful.join(classes.withColumnRenamed("key", "first"), ["c_high", "c_low"]).filter("first < key").select("first", "key")
-    return of_copies.unionByName(partners).unionByName(by_class).unionByName(members).distinct()
+    placed, most = _numbered_firsts(stored(frequent.join(firsts, F.col("key") == F.col("first"), "left_semi").select(*line, F.col("key").alias("first"))))
+    uses = stored(open_.filter(F.col("n") > rare).join(copies, "key", "left_anti").join(most, line).select("key", *line, "most"))
+    found, tried, from_, tries = [], done, 0, FIRST_TRIES
+    while not uses.isEmpty():
+        wanted = stored(uses.withColumn("place", F.explode(F.sequence(F.lit(from_).cast("long"), F.least(F.lit(from_ + tries).cast("long"), F.col("most")) - 1))).select("key", *line, "place"))
+        counts = placed.join(wanted.groupBy(*line, "place").agg(F.count("*").alias("n")), [*line, "place"])
+        now = stored(lookup(wanted, stored(counts), [*line, "place"], "n", max(1, wanted.count())).filter("first < key").select("key", *line, "first"))
+        by_class = now.select("first", "key").distinct()
+        # A partner doesn't stand for its class: all members are aligned.
+        doubtful = by_class.join(partners, ["first", "key"], "left_semi").join(firsts, "first").select("key", "c_high", "c_low")
+        members = doubtful.join(classes.withColumnRenamed("key", "first"), ["c_high", "c_low"]).filter("first < key").select("first", "key")
+        links = stored(by_class.unionByName(members).distinct().join(tried, ["first", "key"], "left_anti"))
+        log.info("line dedup: %d links with class firsts %d to %d", links.count(), from_, from_ + tries - 1)
+        found.append(stored(_aligned(links, sequences)))
+        matched = matched.unionByName(found[-1].select("key", "line"))
+        tried = stored(tried.unionByName(links))
+        from_, tries = from_ + tries, 2 * tries
+        # A line goes on where it stands unmatched somewhere in its document, and earlier firsts are left.
+        spots = sequences.join(uses.select("key").distinct(), "key", "left_semi").select("key", F.posexplode(F.arrays_zip("high", "low")).alias("line", "at")).select("key", "line", "at.high", "at.low")
+        still = spots.join(matched, ["key", "line"], "left_anti").select("key", *line).distinct()
+        earlier = now.groupBy("key", *line).agg(F.count("*").alias("n"))
+        uses = stored(uses.join(still, ["key", *line], "left_semi").join(earlier, ["key", *line]).filter((F.col("n") == tries // 2) & (F.col("most") > from_)).select("key", *line, "most"))
+    return found
 
 
 def find_repeated_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
@@ -265,13 +308,23 @@ def find_repeated_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     shared = stored(lookup(lines, holders, ["high", "low"], "n", max(1, lines.count())).filter("first < key"))
     links = stored(shared.select("first", "key").distinct())
     found = stored(_aligned(links, sequences))
-    spots = sequences.join(links.select("key"), "key", "left_semi").select("key", F.posexplode(F.arrays_zip("high", "low")).alias("line", "at")).select("key", "line", "at.high", "at.low")
-    left = spots.join(found, ["key", "line"], "left_anti").join(shared.select("key", "high", "low", "n"), ["key", "high", "low"])
-    left = stored(left.select("key", "high", "low", "n").distinct())
-    if left.isEmpty():
+    spots = stored(sequences.join(links.select("key"), "key", "left_semi").select("key", F.posexplode(F.arrays_zip("high", "low")).alias("line", "at")).select("key", "line", "at.high", "at.low"))
+
+    def open_lines(found: DataFrame) -> DataFrame:
+        left = spots.join(found, ["key", "line"], "left_anti").join(shared.select("key", "high", "low", "n"), ["key", "high", "low"])
+        return stored(left.select("key", "high", "low", "n").distinct())
+
+    open_ = open_lines(found)
+    if open_.isEmpty():
         return found
-    further = stored(_further_links(sequences, lines, holders, shared, left, rare).join(links, ["first", "key"], "left_anti"))
-    more = _aligned(further, sequences).join(found, ["key", "line"], "left_anti").groupBy("key", "line").agg(F.min("first").alias("first"))
+    near, partners, copies = _near_links(sequences, lines, shared, open_, rare)
+    near = stored(near.join(links, ["first", "key"], "left_anti"))
+    more = stored(_aligned(near, sequences).join(found, ["key", "line"], "left_anti"))
+    matched = stored(found.select("key", "line").unionByName(more.select("key", "line")).distinct())
+    parts = [more, *_found_by_classes(sequences, lines, holders, open_lines(matched), partners, copies, stored(links.unionByName(near)), matched, rare)]
+    for part in parts[1:]:
+        more = more.unionByName(part)
+    more = more.join(found, ["key", "line"], "left_anti").groupBy("key", "line").agg(F.min("first").alias("first"))
     return found.unionByName(more)
 
 

@@ -195,6 +195,30 @@ def boilerplate(seed, n=120):
     return rows
 
 
+def menus(n, seed=3):
+    """The same twelve lines in another order in each document: each is a class of its own."""
+    rng, lines = random.Random(seed), [f"menu {k}" for k in range(12)]
+    return [(k, "\n".join(rng.sample(lines, 12) + [f"own {k}"])) for k in range(n)]
+
+
+def test_links_of_shuffled_lines_are_in_proportion(spark, monkeypatch):
+    links, aligned = [], line_dedup._aligned
+
+    def counted(found, sequences):
+        links[-1] += found.count()
+        return aligned(found, sequences)
+
+    monkeypatch.setattr(line_dedup, "_aligned", counted)
+    monkeypatch.setattr(line_dedup, "FIRST_TRIES", 4)
+    for n in (60, 120):
+        links.append(0)
+        gone = {i: set() for i in range(n)}
+        for r in line_dedup.find_repeated_lines(spark.createDataFrame(menus(n), "key long, text string"), 20).collect():
+            gone[r["key"]].add(r["line"])
+        assert n > 60 or {i: sorted(x) for i, x in gone.items()} == brute_lines_of_all_pairs(menus(n))
+    assert links[1] < 2.6 * links[0] and links[1] < 0.5 * 120 * 119 / 2
+
+
 @pytest.mark.parametrize("rare", [3, 20, 1000])
 @pytest.mark.parametrize("rows", [[(1, "p\nq\nr"), (2, "r\nq\np"), (3, "r\nq\np")], boilerplate(1), boilerplate(2), corpus(4)], ids=["copy", "boilerplate 1", "boilerplate 2", "corpus"])
 def test_lines_of_all_pairs(spark, rows, rare):
