@@ -8,12 +8,14 @@ import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrid.functions.keys import na_to_null, trimmed
+from lodegrid.session import scratch
 
 
 def csv(spark: SparkSession, path: str, columns: list[str] | None = None, blanks: bool = False, missing_tokens: bool = False, required: list[str] = ()) -> DataFrame:
@@ -186,21 +188,97 @@ def bibtex_entries(text: str) -> list[dict]:
     return out
 
 
+#: Bytes of a block. A file of more is cut into blocks, and parsed by as many tasks as there are safe places to part it.
+BLOCK_BYTES = 1 << 20
+
+
+def _blocks(files: DataFrame, path: str) -> DataFrame:
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / BLOCK_BYTES).cast("int")), lambda k: F.substring(F.col("content"), k * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES)))
+    files.select("path", F.posexplode(cut).alias("block", "bytes")).write.parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
+def _depths(blocks: DataFrame) -> DataFrame:
+    """path, block, base (how deep in braces the block begins) and least (the lowest depth before it): sums over the blocks before."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            depths = [_running(b) for b in pdf["bytes"]]
+            yield pd.DataFrame({"path": pdf["path"], "block": pdf["block"], "total": [int(d[-1]) for d in depths], "low": [int(d.min()) for d in depths]})
+
+    own = blocks.mapInPandas(run, "path string, block int, total long, low long")
+    order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    based = own.withColumn("base", F.coalesce(F.sum("total").over(order), F.lit(0)))
+    return based.select("path", "block", "base", F.least(F.lit(0), F.coalesce(F.min(F.col("base") + F.col("low")).over(order), F.lit(0))).alias("least"))
+
+
+def _running(content: bytes) -> np.ndarray:
+    """Depth in braces before each byte and at the end, from 0."""
+    b = np.frombuffer(content, dtype=np.uint8)
+    return np.concatenate([[0], np.cumsum((b == 123).astype(np.int64) - (b == 125))])
+
+
+def bibtex_segments(files: DataFrame) -> DataFrame:
+    """path, segment, content: files (path, content) parted where no entry goes on, each segment from such a place to the next.
+
+    An entry lasts until the depth in braces falls back to what it was before. Where the depth is as low as it has ever been in
+    the file, no entry is open, whatever stray braces stand between entries; and before an @ no head of an entry is cut. The first such
+    place of each block parts the file. Depths are running sums over blocks, so blocks are looked at side by side.
+    """
+    blocks = _blocks(files, scratch(files.sparkSession))
+
+    def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for content, base, least in zip(pdf["bytes"], pdf["base"], pdf["least"], strict=True):
+                depth = _running(content)[:-1] + base
+                lowest = np.minimum(np.minimum.accumulate(depth), least)
+                at = np.flatnonzero((depth == lowest) & (np.frombuffer(content, dtype=np.uint8) == 64))
+                found.append(int(at[0]) if len(at) else -1)
+            yield pd.DataFrame({"path": pdf["path"], "block": pdf["block"], "cut": found})
+
+    path = scratch(files.sparkSession)
+    blocks.join(_depths(blocks), ["path", "block"]).mapInPandas(cuts, "path string, block int, cut int").write.parquet(path)
+    starts = F.sum((F.col("cut") >= 0).cast("int")).over(Window.partitionBy("path").orderBy("block"))
+    placed = files.sparkSession.read.parquet(path).withColumn("segment", starts)  # no bytes: a row a block
+    both = blocks.join(placed, ["path", "block"])
+    cut = F.col("cut")
+    head = F.struct((F.col("segment") - (cut >= 0).cast("int")).alias("segment"), F.when(cut >= 0, F.expr("substring(bytes, 1, cut)")).otherwise(F.col("bytes")).alias("bytes"))
+    tail = F.struct(F.col("segment"), F.when(cut >= 0, F.expr("substring(bytes, cut + 1)")).alias("bytes"))
+    pieces = both.select("path", "block", F.posexplode(F.array(head, tail)).alias("part", "x")).select("path", "block", "part", "x.*").filter("bytes is not null")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part", "bytes"))), lambda x: x["bytes"].cast("string")), "")
+    return pieces.groupBy("path", "segment").agg(whole.cast("binary").alias("content"))
+
+
 def parsed_bibtex(files: DataFrame) -> DataFrame:
-    """Entries of files (path, content), UTF-8 or else Latin-1. Balanced braces aren't regular, so files are parsed in Python, one by one."""
+    """Entries of files (path, content), UTF-8 or else Latin-1, numbered in each file. Balanced braces aren't regular, so
+    segments of files are parsed in Python: a file of up to BLOCK_BYTES is one, a larger one many."""
+    files = files.select("path", "content").filter("content is not null")
+    small = files.filter(F.length("content") <= BLOCK_BYTES).select("path", F.lit(0).cast("long").alias("segment"), "content", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    large = files.filter(F.length("content") > BLOCK_BYTES)
+    segments = small
+    if not large.isEmpty():
+        path = scratch(files.sparkSession)
+        bibtex_segments(large).withColumn("valid", F.is_valid_utf8(F.col("content").cast("string"))).write.parquet(path)
+        parts = files.sparkSession.read.parquet(path)
+        kinds = parts.groupBy("path").agg(F.min("valid").alias("utf8"))  # a file is of one kind throughout
+        segments = small.unionByName(parts.join(kinds, "path").select("path", "segment", "content", "utf8").repartition("path", "segment"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    text = bytes(content).decode()
-                except UnicodeDecodeError:
-                    text = bytes(content).decode("latin-1")
-                rows += [{"file": name.rsplit("/", 1)[-1], "at": k, **e} for k, e in enumerate(bibtex_entries(text))]
-            yield pd.DataFrame(rows, columns=["file", "at", "type", "citekey", "raw", "fields"])
-
-    return files.select("path", "content").mapInPandas(run, BIBTEX_SCHEMA)
+            for name, segment, content, utf8 in zip(pdf["path"], pdf["segment"], pdf["content"], pdf["utf8"], strict=True):
+                text = bytes(content).decode("utf-8" if utf8 else "latin-1")
+                rows += [{"path": name, "segment": segment, "k": k, **e} for k, e in enumerate(bibtex_entries(text))]
+            yield pd.DataFrame(rows, columns=["path", "segment", "k", "type", "citekey", "raw", "fields"])
+
+    path = scratch(files.sparkSession)
+    segments.mapInPandas(run, "path string, segment long, k int, type string, citekey string, raw string, fields map<string, string>").write.parquet(path)
+    entries = files.sparkSession.read.parquet(path)
+    before = Window.partitionBy("path").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    first = entries.groupBy("path", "segment").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row a segment
+    out = entries.join(first.select("path", "segment", "first"), ["path", "segment"])
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("first") + F.col("k")).cast("int").alias("at"), "type", "citekey", "raw", "fields")
 
 
 def bibtex(spark: SparkSession, path: str) -> DataFrame:
