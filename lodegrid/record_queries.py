@@ -700,17 +700,30 @@ def forced_exclusions(spark, sf_dir):
 # -- codes, clusters, modes -------------------------------------------------------------------------------------------------
 @query("""SELECT DISTINCT p_name || ' ' || p_type AS code, 256 AS dims, 1.0::DOUBLE AS norm, true AS cached FROM part""")
 def embedded_codes(spark, sf_dir):
-    """Made once; asked again for the same texts they come from where they were kept; another text makes them anew."""
+    """Made once a text; asked again, with other texts or without, those that were made come from where they were kept."""
     path = scratch(spark)
     codes = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("c"))
     first = E.embedded(codes.filter("c > 'm'"), "c", path)
     again = E.embedded(codes, "c", path)
-    if not first.filter("cached").isEmpty() or not again.filter("cached").isEmpty():
-        raise ValueError("taken from another input's embeddings")
+    if not first.filter("cached").isEmpty() or again.filter("cached").count() != first.count():
+        raise ValueError("not taken from the cache text by text")
     out = E.embedded(codes, "c", path)
     return out.select("code", F.size("embedding").alias("dims"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), "cached")
 
 
+@query("""SELECT lang, count(*) AS n, true AS told_apart FROM documents WHERE doc_id % 2 = 0 AND lang IS NOT NULL GROUP BY lang""")
+def learnt_embeddings(spark, sf_dir):
+    """Word vectors learnt from all documents; whether the nearest centre of the odd documents' languages is that of each language's even ones, for nine of ten."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").filter("lang is not null")
+    rows = E.text_vectors(docs, "text", E.word_vectors(docs, "text"))
+    sums = rows.filter("doc_id % 2 = 1").select("lang", F.posexplode("embedding").alias("k", "v")).groupBy("lang", "k").agg(F.avg("v").alias("v"))
+    means = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "v")))["v"].alias("centre"))
+    norm = F.sqrt(F.aggregate("centre", F.lit(0.0), lambda s, x: s + x * x))
+    centres = means.select("lang", F.transform("centre", lambda x: x / norm).alias("centre"))
+    told = E.nearest_labels(rows.filter("doc_id % 2 = 0"), "embedding", centres, "lang")
+    return told.groupBy("lang").agg(F.count("*").alias("n"), (F.avg((F.col("nearest") == F.col("lang")).cast("double")) >= 0.9).alias("told_apart"))
+
+
 @query("""SELECT p_type AS cluster, count(*) AS size, md5(string_agg(CAST(p_partkey AS STRING), ',' ORDER BY p_partkey)) AS items_md5, (SELECT string_agg(b, ',' ORDER BY k) FROM (SELECT p_brand AS b, min(p_partkey) AS k FROM part q WHERE q.p_type = part.p_type GROUP BY 1)) AS brands FROM part GROUP BY 1""")
 def cluster_contents(spark, sf_dir):
     """Members in order, and another column's distinct values in the order in which members have them."""
@@ -1013,6 +1026,22 @@ def streamed_register(spark, sf_dir):
     return spark.read.parquet(register).select("phase", "kind", "subject")
 
 
+@query(Y.ORACLE_SQL["saturation_users"])
+def streamed_saturation(spark, sf_dir):
+    """The curve of users and their keys from a stream over the events, in whatever order they come, run to its end."""
+    folder, found = scratch(spark), scratch(spark)
+    table(spark, sf_dir, "events").select("user_id", "ts", F.get_json_object("props", "$.k").alias("label")).repartition(3).write.parquet(folder)
+    before = spark.conf.get(streams.STATE_STORE[0])
+    spark.conf.set(*streams.STATE_STORE)
+    try:
+        stream = streams.events_stream(spark, folder, "user_id long, ts timestamp, label string")
+        rows = streams.first_labels(stream, "user_id", "ts", "label")
+        rows.writeStream.format("parquet").option("path", found).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(streams.STATE_STORE[0], before)
+    return streams.curve_of(spark, found, "entity long, first timestamp, label string")
+
+
 @query("""SELECT n_name AS name, CAST(n_regionkey AS STRING) AS region, NULL::VARCHAR AS note FROM nation UNION ALL SELECT r_name, CAST(r_regionkey AS STRING), 'a & <b>' FROM region""")
 def workbook_sheets(spark, sf_dir):
     """Two sheets of a workbook, written and read: columns by their names, blanks as nulls, marks escaped."""

@@ -1,10 +1,16 @@
-"""Streams: counts in event-time windows, first sightings of labels, appends to a register by batch."""
+"""Streams: counts in event-time windows, first sightings of labels, saturation curves, appends to a register by batch."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lodegrid.operators import windows as W
 from lodegrid.operators.state import REGISTER, REGISTER_SCHEMA
 
 
@@ -22,6 +28,74 @@ def first_sightings(labels: DataFrame, ts: str, label: str, horizon: str = "30 d
     return labels.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([label])
 
 
+#: Stateful processors keep their state there; set it before the stream is started.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class FirstLabels(StatefulProcessor):
+    """State of one entity: when it was first seen, and its labels. Hands on (entity, first, label) for each label that is new to
+    it, and (entity, first, null) when it is first seen, or seen to have begun earlier. With ``idle`` (milliseconds of event time) a timer
+    clears the state of an entity that hasn't been seen for so long; if it comes back, what is handed on again is merged by the sink."""
+
+    def __init__(self, idle: int | None = None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "at timestamp")
+        self.labels = handle.getMapState("labels", "label string", "seen boolean")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        known = self.first.get()[0] if self.first.exists() else None
+        lowest, latest, found = known, None, []
+        for pdf in rows:
+            lowest = min(x for x in (lowest, pdf["ts"].min().to_pydatetime()) if x is not None)
+            latest = max(x for x in (latest, pdf["ts"].max()) if x is not None)
+            for label in pdf["label"].dropna().unique():
+                if not self.labels.containsKey((label,)):
+                    self.labels.updateValue((label,), (True,))
+                    found.append(label)
+        if known is None or lowest < known:
+            self.first.update((lowest,))
+            out.append((key[0], lowest, None))
+        out += [(key[0], lowest, label) for label in found]
+        if self.idle is not None and latest is not None:
+            at = int(latest.timestamp() * 1000) + self.idle
+            was = self.timer.get()[0] if self.timer.exists() else None
+            if was is None or at > was:
+                if was is not None:
+                    self.handle.deleteTimer(was)
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+        yield pd.DataFrame(out, columns=["entity", "first", "label"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        for state in (self.first, self.labels, self.timer):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        return None
+
+
+def first_labels(events: DataFrame, entity: str, ts: str, label: str, late: str | None = None, idle: int | None = None) -> DataFrame:
+    """A stream of (entity, first, label), see ``FirstLabels``. Rows with a null entity or time don't count. ``idle`` needs ``late``, the watermark."""
+    kind = events.schema[entity].dataType.simpleString()
+    rows = events.select(F.col(entity).alias("entity"), F.col(ts).alias("ts"), F.col(label).cast("string").alias("label")).filter("entity is not null and ts is not null")
+    if late:
+        rows = rows.withWatermark("ts", late)
+    return rows.groupBy("entity").transformWithStateInPandas(FirstLabels(idle), f"entity {kind}, first timestamp, label string", "append", "none" if idle is None else "EventTime")
+
+
+def curve_of(spark: SparkSession, path: str, schema: str, window: float = 0.1) -> DataFrame:
+    """The saturation curve of what a stream of first labels has written up to now: entities in the order in which they were first seen."""
+    rows = spark.read.schema(schema).parquet(path)
+    order = W.ranked(rows.groupBy("entity").agg(F.min("first").alias("first")), [F.col("first"), F.col("entity")]).select("entity", "rank")
+    return W.saturation(rows.filter("label is not null").select("entity", "label").distinct(), order, "entity", "label", window)
+
+
 def append_new(register: str, key: list[str]):
     """A foreachBatch sink that appends only events whose key isn't in the register yet.
 
