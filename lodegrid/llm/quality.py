@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegrid.llm.common import give_back, short_batches, slices, stored
+from lodegrid.llm.common import give_back, short_batches, slices, smallest, stored
 
 #: Labelled rows that are learnt from, at most.
 MOST_LABELLED = 10_000
@@ -358,7 +358,7 @@ def featured(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
     order = F.xxhash64(F.lit(3), "doc_id")
     good = labels.filter("doc_id is not null and quality in (0, 1)").filter(training_part())
     one = good.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).filter("quality = most")
-    few = stored(one.orderBy(order, "doc_id").limit(most_labelled).select(F.col("doc_id").alias("__id"), "quality"))
+    few = stored(smallest(stored(one), order, most_labelled).select(F.col("doc_id").alias("__id"), "quality"))
     known = labels.select(F.col("doc_id").alias("__known")).filter("__known is not null").distinct()
     rows = _features(docs).join(F.broadcast(few), F.col("doc_id") == F.col("__id"), "left").join(known, F.col("doc_id") == F.col("__known"), "left")
     u = F.pmod(F.xxhash64(F.lit(4), "content", "meta"), F.lit(1 << 30)) / (1 << 30)

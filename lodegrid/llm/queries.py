@@ -49,7 +49,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law rows: the shuffle keeps nothing together, so shard counts are at most one apart."""
     text = F.coalesce("text", F.lit(""))
     slim = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    out = sharding.shuffle_into_shards(slim, "doc_id", N_SHARDS)
+    out = sharding.shuffle_into_shards(slim, N_SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

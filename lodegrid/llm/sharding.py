@@ -9,12 +9,13 @@ permutes what it got. Shard sizes are exact: they differ by one row at most.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegrid.llm.common import draw_without_replacement, stored
+from lodegrid.llm.common import draw_without_replacement, free_name, own_columns, stored
 
-#: Rows of a shard that are permuted in one task; larger shards are permuted in several pieces.
+#: Rows of a range of (shard, slot), about: larger shards are several ranges.
 PIECE_ROWS = 200_000
 
 
@@ -30,44 +31,70 @@ def communication_matrix(rows: list[int], n_shards: int, seed: int) -> np.ndarra
     return out
 
 
-def shuffle_into_shards(df: DataFrame, key: str, n_shards: int, seed: int = 17) -> DataFrame:
-    """All rows and columns of ``df`` (but clashing ones) plus shard (0 .. n_shards - 1) and slot (gapless from 0 in each shard).
+#: So many that also small permutations are even.
+ROUNDS = 12
 
-    ``key`` only seeds the permutations; nulls, ties and repeated keys are dealt like all rows.
-    An empty table gives an empty result. Input columns named shard or slot are replaced.
+
+def permuted(places: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Where a seeded permutation of 0 .. size - 1 sends each place: ROUNDS Feistel rounds over the smallest square of a power of two
+    that holds the size, again and again while a place is beyond it. Any place is found without making the permutation."""
+    known, which = np.unique(sizes, return_inverse=True)
+    half = np.array([(max(int(n) - 1, 1).bit_length() + 1) // 2 for n in known], dtype=np.uint64)[which]
+    low = (np.uint64(1) << half) - np.uint64(1)
+    out, open_ = places.astype(np.uint64), np.arange(len(places))
+    while len(open_):
+        x, h, m, s = out[open_], half[open_], low[open_], seeds[open_].astype(np.uint64)
+        left, right = x >> h, x & m
+        for r in range(ROUNDS):
+            left, right = right, left ^ (_mixed(right ^ _mixed(s ^ np.uint64(r << 32))) & m)
+        out[open_] = (left << h) | right
+        open_ = open_[out[open_] >= sizes[open_].astype(np.uint64)]
+    return out.astype(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
+    """All rows and columns of ``df`` (but clashing ones) plus shard (0 .. n_shards - 1) and slot (gapless from 0 in each shard), in the order of both.
+
+    Rows are numbered as they are stored, once. A row's place in its partition is permuted; the matrix says which shard that
+    place goes to and at which place of the shard it arrives, which is permuted again to its slot. Only these numbers are worked
+    on; the rows themselves go through the one exchange into ranges of (shard, slot). Nulls, ties and repeated rows are dealt like
+    all others. An empty table gives an empty result. Input columns named shard or slot, in any case, are replaced.
     """
     df = df.drop("shard", "slot")
-    payload = df.columns
-    rows = stored(df.withColumn("__pid", F.spark_partition_id()).withColumn("__rid", F.monotonically_increasing_id()))
-    counts = {r[0]: r[1] for r in rows.groupBy("__pid").count().collect()}  # a number per input partition
-    pids = sorted(counts)
-    matrix = communication_matrix([counts[p] for p in pids], n_shards, seed)
-    bounds = df.sparkSession.createDataFrame([(p, [int(x) for x in np.cumsum(matrix[k])]) for k, p in enumerate(pids)], "__pid int, __ends array<bigint>")
-    local = Window.partitionBy("__pid").orderBy(F.xxhash64(F.lit(seed), "__pid", F.col(key), "__rid"), "__rid")
-    dealt = (
-        rows.withColumn("__place", F.row_number().over(local).cast("long") - 1)
-        .join(bounds, "__pid")
-        .withColumn("shard", F.size(F.filter("__ends", lambda end: end <= F.col("__place"))))
-        .drop("__ends", "__place")
-    )
-    pieces = max(1, -(-sum(counts.values()) // n_shards // PIECE_ROWS))
-    dealt = stored(dealt.withColumn("__order", F.xxhash64(F.lit(seed + 1), F.col(key), "__rid")).withColumn("__piece", F.pmod("__order", F.lit(pieces))))
-    sizes = dealt.groupBy("shard", "__piece").count()
-    before = Window.partitionBy("shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("shard", "__piece").orderBy("__order", "__rid")
-    return (
-        dealt.withColumn("__k", F.row_number().over(within) - 1)
-        .join(starts, ["shard", "__piece"])
-        .select(*payload, "shard", (F.col("__start") + F.col("__k")).cast("long").alias("slot"))
-    )
-
-
-def write_shards(df: DataFrame, key: str, n_shards: int, path: str, seed: int = 17) -> None:
-    """Shard ``df`` and write one folder a shard, rows in the order of their slots within and across its files.
-
-    Rows are dealt out by ranges of (shard, slot), so a large shard is written by several tasks.
-    """
-    out = stored(shuffle_into_shards(df, key, n_shards, seed))
-    tasks = max(n_shards, -(-out.count() // PIECE_ROWS))
-    out.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    spark, pid, rid = df.sparkSession, free_name(df, "__pid"), free_name(df, "__rid")
+    rows = stored(df.withColumn(pid, F.spark_partition_id()).withColumn(rid, F.monotonically_increasing_id()))
+    counts = {r[0]: r[1] for r in rows.groupBy(pid).count().collect()}  # a number per input partition
+    pids = np.array(sorted(counts), dtype=np.int64)
+    matrix = communication_matrix([counts[p] for p in pids.tolist()], n_shards, seed)
+    ends, starts, totals = np.cumsum(matrix, axis=1), np.cumsum(matrix, axis=0) - matrix, matrix.sum(axis=0)
+    shared = spark.sparkContext.broadcast((pids, matrix, ends, starts, totals))  # n_shards numbers per input partition
+
+    @F.pandas_udf("shard int, slot long")
+    def place(of: pd.Series, row: pd.Series) -> pd.DataFrame:
+        pids, matrix, ends, starts, totals = shared.value
+        p = np.searchsorted(pids, of.to_numpy())
+        at = permuted(row.to_numpy() & ((1 << 33) - 1), ends[:, -1][p], _mixed(p.astype(np.uint64) * np.uint64(2) + np.uint64(seed)))
+        shard = np.zeros(len(p), dtype=np.int64)
+        for k in np.unique(p):
+            shard[p == k] = np.searchsorted(ends[k], at[p == k], side="right")
+        arrived = starts[p, shard] + at - (ends[p, shard] - matrix[p, shard])
+        slot = permuted(arrived, totals[shard], _mixed(shard.astype(np.uint64) * np.uint64(2) + np.uint64(seed + 1)))
+        return pd.DataFrame({"shard": shard.astype(np.int32), "slot": slot})
+
+    to = free_name(df, "__to")
+    dealt = rows.withColumn(to, place(pid, rid)).select(*own_columns(df), F.col(f"{to}.shard").alias("shard"), F.col(f"{to}.slot").alias("slot"))
+    tasks = max(n_shards, -(-sum(counts.values()) // PIECE_ROWS))
+    return dealt.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot")
+
+
+def write_shards(df: DataFrame, n_shards: int, path: str, seed: int = 17) -> None:
+    """Shard ``df`` and write one folder a shard, rows in the order of their slots within and across its files. A large shard is written by several tasks."""
+    shuffle_into_shards(df, n_shards, seed).write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegrid.llm.common import free_name, give_back, own_columns, short_batches, slices, stored, with_plain_names
+from lodegrid.llm.common import free_name, give_back, own_columns, short_batches, slices, smallest, stored, with_plain_names
 
 BUCKETS = 1 << 20
 #: Labelled rows that are learnt from, at most: those with the smallest hashes.
@@ -193,7 +193,7 @@ def _labelled(labels: DataFrame) -> DataFrame:
     """id, toxic (0 or 1), fold; at most MOST_LABELLED rows, one per id; contradictory and null labels don't count."""
     one = labels.filter("doc_id is not null and toxic in (0, 1)").filter(training_part()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
     part = F.xxhash64(F.lit(5), "doc_id")
-    return one.orderBy(part, "doc_id").limit(MOST_LABELLED).select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"), F.pmod(part, F.lit(2)).cast("int").alias("fold"))
+    return smallest(stored(one), part, MOST_LABELLED).select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"), F.pmod(part, F.lit(2)).cast("int").alias("fold"))
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             kinds = [("id", pa.int64()), ("toxic", pa.int32()), ("best", pa.float64()), ("total", pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
-    few = F.broadcast(sample.orderBy(F.xxhash64(F.lit(6), "__id"), "__id").limit(MOST_CALIBRATED))
+    few = F.broadcast(smallest(sample, F.xxhash64(F.lit(6), "__id"), MOST_CALIBRATED))
     chosen = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).select("text", "toxic", "fold", "__id")
     found = chosen.mapInArrow(run, "id long, toxic int, best double, total double")
     # Rows that share an id count once, so no more rows are collected than ids were chosen.

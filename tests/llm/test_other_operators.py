@@ -36,13 +36,13 @@ def check_shards(rows, n_rows, n_shards):
 def test_shards_are_exact(spark, n, monkeypatch):
     monkeypatch.setattr(sharding, "PIECE_ROWS", 7)
     df = frame(spark, [(k, "t", "s") for k in range(n)]).repartition(5)
-    out = sharding.shuffle_into_shards(df, "doc_id", 40).collect()
+    out = sharding.shuffle_into_shards(df, 40).collect()
     check_shards(out, n, 40)
     assert sorted(r["doc_id"] for r in out) == list(range(n))
 
 
 def test_shards_of_odd_rows(spark):
-    out = sharding.shuffle_into_shards(frame(spark, ODD), "doc_id", 4)
+    out = sharding.shuffle_into_shards(frame(spark, ODD), 4)
     assert out.columns == [c for c in frame(spark, ODD).columns if c not in ("shard", "slot")] + ["shard", "slot"]
     check_shards(out.collect(), len(ODD), 4)
 
@@ -59,11 +59,33 @@ def test_sharding_query_against_brute_force(spark):
 
 def test_shards_are_written(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(sharding, "PIECE_ROWS", 50)
-    sharding.write_shards(frame(spark, [(k, "t", "s") for k in range(403)]), "doc_id", 3, f"file://{tmp_path}/shards")
+    sharding.write_shards(frame(spark, [(k, "t", "s") for k in range(403)]), 3, f"file://{tmp_path}/shards")
     sizes = {r["shard"]: (r["n"], r["last"]) for r in spark.read.parquet(f"file://{tmp_path}/shards").groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()}
     assert sorted(sizes.values()) == [(134, 133), (134, 133), (135, 134)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
+def test_permutations_are_permutations(n):
+    at, sizes = np.arange(n), np.full(n, n)
+    one, other = (sharding.permuted(at, sizes, np.full(n, s, dtype=np.uint64)) for s in (1, 2))
+    assert sorted(one.tolist()) == sorted(other.tolist()) == list(range(n))
+    assert n < 16 or (one != other).any()
+
+
+def test_permutations_are_even():
+    """Each place goes to each slot about as often as to any other."""
+    counts = np.zeros((7, 7))
+    for s in range(2000):
+        counts[np.arange(7), sharding.permuted(np.arange(7), np.full(7, 7), sharding._mixed(np.full(7, s, dtype=np.uint64)))] += 1
+    assert np.abs(counts / 2000 - 1 / 7).max() < 0.04
+
+
+def test_rows_are_exchanged_once(spark):
+    df = frame(spark, [(k, "t", "s") for k in range(100)]).repartition(3)
+    plan = sharding.shuffle_into_shards(df, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+
+
 def test_matrix_margins_and_law():
     rows = [5, 0, 17, 30, 8]
     total = np.zeros((5, 4))
