@@ -208,9 +208,13 @@ def year_number(c: Column) -> Column:
     return F.regexp_extract(_blank(c), r"^\s*(\d{1,9})(\.\d*)?\s*$", 1).try_cast("int")
 
 
+def fallback_digest(title: Column, year: Column, authors: Column) -> Column:
+    """Key of a record without a DOI: MD5 of title, year (0 if unknown) and first surname. To be grouped by; ``fallback_key`` is what is shown of it."""
+    return F.md5(F.encode(F.concat_ws("||", title_key(title), F.coalesce(year_number(year), F.lit(0)).cast("string"), surname_of_list(authors)), "UTF-8"))
+
+
 def fallback_key(title: Column, year: Column, authors: Column) -> Column:
-    """Key of a record without a DOI: title, year (0 if unknown) and first surname."""
-    return short_md5(F.concat_ws("||", title_key(title), F.coalesce(year_number(year), F.lit(0)).cast("string"), surname_of_list(authors)))
+    return F.substring(fallback_digest(title, year, authors), 1, 12)
 
 
 def title_hash(title: Column) -> Column:

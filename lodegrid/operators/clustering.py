@@ -108,6 +108,9 @@ def tiled(rows: DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> tupl
     no pair of theirs can be near, and the tiles aren't compared. Nothing else is left out.
     """
     spark = rows.sparkSession
+    if rows.limit(tile_rows + 1).count() <= tile_rows:  # one tile has nothing to be ruled out
+        one = rows.withColumn("tile", F.lit(0).cast("long"))
+        return one, one.select("tile").distinct().withColumn("others", F.array(F.lit(0).cast("long")))
     reach = float(np.arccos(np.clip(1 - threshold, -1, 1))) + ANGLE_ROUNDING
     pivots = rows.filter(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64(F.lit(17), "item"), "item").limit(PIVOTS).collect()
     if not pivots:

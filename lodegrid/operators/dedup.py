@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters of a digest that names of groups show.
+SHOWN = 12
+
+
 def leaders(df: DataFrame, key: str, score: list[Column], row_idx: str, provenance: str | None = None, joiner: str = "+") -> DataFrame:
     """The best row of each key by the scores in turn, ties to the lowest row_idx; null keys are left out.
 
@@ -35,9 +39,13 @@ def record_score(abstract: str, pages: str, rank: str, source: str, preferred: s
 
 
 def deduplicated(df: DataFrame, key: Column, fallback: Column, score: list[Column], row_idx: str, provenance: str | None = None) -> DataFrame:
-    """Leaders by the key, and by the fallback key where there is none; dedup_group names the key that was used."""
-    keyed = df.withColumn("dedup_group", F.coalesce(F.concat(F.lit("doi:"), key), F.concat(F.lit("fallback:"), fallback)))
-    return leaders(keyed, "dedup_group", score, row_idx, provenance)
+    """Leaders by the key, and by the fallback key where there is none; dedup_group names the key that was used.
+
+    Rows are grouped by the whole fallback key, a digest; only its first SHOWN characters are shown, so two groups may look alike.
+    """
+    group = lambda shown: F.coalesce(F.concat(F.lit("doi:"), key), F.concat(F.lit("fallback:"), shown))
+    keyed = df.withColumns({"dedup_group": group(F.substring(fallback, 1, SHOWN)), "__group": group(fallback)})
+    return leaders(keyed, "__group", score, row_idx, provenance).drop("__group")
 
 
 def first_wins(df: DataFrame, key: Column, row_idx: str) -> DataFrame:

@@ -113,7 +113,7 @@ def word_vectors(texts: DataFrame, text: str, vocabulary: int = VOCABULARY, dims
     mass = n_of.sum()
     spark = texts.sparkSession
     shares = spark.sparkContext.broadcast(np.maximum(n_of, 1.0))
-    tasks = max(1, min(200, len(words) // 50))
+    tasks = max(1, min(200, len(words) // 500))
 
     def informative(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

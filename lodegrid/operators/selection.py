@@ -19,15 +19,15 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def at_ranks(values: DataFrame, value: str, targets: DataFrame, by: list[str]) -> DataFrame:
+def at_ranks(values: DataFrame, value: str, targets: DataFrame, by: list[str], count: str | None = None) -> DataFrame:
     """targets plus ``found``: of each group (columns ``by``, maybe none) the value at place ``k`` (from 0) of its sorted ones.
 
     ``targets`` has the columns by, target (a name unique in its group) and k, 0 <= k < values of the group. Null values
-    don't count. A round brackets each open target by two quantiles of a sketch, counts exactly how many values lie below,
+    don't count; with ``count`` a row stands for so many. A round brackets each open target by two quantiles of a sketch, counts exactly how many values lie below,
     at and between them, and so either names the value or goes on with the values strictly between. No buffer holds more
     than a sketch or MOST_VALUES distinct values, whatever the size of a group.
     """
-    rows = values.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    rows = values.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg((F.sum(count) if count else F.count("*")).alias("n"))
     rows, keys = _kept(rows), [*by, "target"]
     kind = rows.schema["v"].dataType
     still = targets.select(*keys, F.col("k").cast("long").alias("k"), F.lit(None).cast(kind).alias("low"), F.lit(None).cast(kind).alias("high"))
@@ -76,10 +76,16 @@ def percentiles(df: DataFrame, value: Column, fractions: list[float], by: list[s
     """by, fraction, percentile: linearly interpolated, as ``percentile`` does, of the values that aren't null; groups without any are left out."""
     by = by or []
     values = df.select(*by, value.alias("value")).filter("value is not null")
-    counts = values.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 0")
+    distinct = _kept(values.groupBy(*by, "value").agg(F.count("*").alias("n")))
+    if distinct.limit(MOST_VALUES + 1).count() <= MOST_VALUES:  # few values in all: one aggregation of them
+        shares = [float(f) for f in fractions]
+        lists = distinct.groupBy(*by).agg(F.percentile("value", shares, F.col("n")).alias("ps"))
+        pairs = F.arrays_zip(F.array(*[F.lit(f) for f in shares]).alias("fraction"), F.col("ps").alias("percentile"))
+        return lists.filter("ps is not null").select(*by, F.explode(pairs).alias("x")).select(*by, F.col("x.fraction").alias("fraction"), F.col("x.percentile").alias("percentile"))
+    counts = distinct.groupBy(*by).agg(F.sum("n").alias("n"))
     at = F.col("fraction") * (F.col("n") - 1)
     wanted = counts.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("at", at)
     wanted = _kept(wanted.withColumn("k", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).withColumn("target", F.concat_ws(" ", F.col("fraction").cast("string"), F.col("k").cast("string"))))
-    found = at_ranks(values, "value", wanted, by).withColumn("found", F.col("found").cast("double"))
+    found = at_ranks(distinct, "value", wanted, by, "n").withColumn("found", F.col("found").cast("double"))
     share = F.when(F.floor("at") == F.ceil("at"), 1.0).when(F.col("k") == F.floor("at"), F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
     return found.groupBy(*by, "fraction").agg(F.sum(share * F.col("found")).alias("percentile"))

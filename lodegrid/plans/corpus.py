@@ -36,7 +36,7 @@ def enriched(df: DataFrame, works: DataFrame) -> DataFrame:
 def deduplicated(df: DataFrame) -> DataFrame:
     """One record per DOI, or per title, year and surname: see operators.dedup."""
     score = D.record_score("abstract", "pageRange", "rank", "search_path")
-    return D.deduplicated(df, K.doi_for_dedup(F.col("doi")), K.fallback_key(F.col("title"), F.col("year"), F.col("authors")), score, "row_idx", "search_path")
+    return D.deduplicated(df, K.doi_for_dedup(F.col("doi")), K.fallback_digest(F.col("title"), F.col("year"), F.col("authors")), score, "row_idx", "search_path")
 
 
 def page_filtered(df: DataFrame, least: int = 4) -> DataFrame:

@@ -239,7 +239,7 @@ def leader_dedup(spark, sf_dir):
     SELECT dedup_group, min(doc_id) AS doc_id, count(*) AS group_size FROM d GROUP BY 1""")
 def fallback_dedup(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("has")), "doc_id", "left")
-    rows = rows.select("doc_id", "has", K.short_md5(F.concat_ws("||", "text", "lang")).alias("digest"))
+    rows = rows.select("doc_id", "has", F.md5(F.encode(F.concat_ws("||", "text", "lang"), "UTF-8")).alias("digest"))
     return D.deduplicated(rows, F.when(F.col("has"), F.col("doc_id").cast("string")), F.col("digest"), [F.lit(0).alias("s")], "doc_id").select("dedup_group", "doc_id", "group_size")
 
 
@@ -392,7 +392,7 @@ _CURVE = """f AS (SELECT label, min(rank) AS rank FROM pairs JOIN ord USING (ent
            rank >= ceil((1.0::DOUBLE - 0.1::DOUBLE) * (SELECT count(*) FROM ord)) + 1 AS in_final_window FROM ord LEFT JOIN n USING (rank)"""
 
 
-@query(f"WITH pairs AS (SELECT doc_id AS entity, label FROM ({_TOKENS})), ord AS (SELECT doc_id AS entity, row_number() OVER (ORDER BY doc_id)::INT AS rank FROM documents), {_CURVE}")
+@query(f"WITH pairs AS (SELECT doc_id AS entity, label FROM ({_TOKENS})), ord AS (SELECT doc_id AS entity, row_number() OVER (ORDER BY doc_id)::BIGINT AS rank FROM documents), {_CURVE}")
 def saturation(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     pairs = docs.select(F.col("doc_id").alias("entity"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("label"))
@@ -400,7 +400,7 @@ def saturation(spark, sf_dir):
     return W.saturation(pairs, order, "entity", "label")
 
 
-_USERS = "pairs AS (SELECT DISTINCT user_id AS entity, json_extract(props, '$.k')::INT AS label FROM events), ord AS (SELECT user_id AS entity, row_number() OVER (ORDER BY min(ts), user_id)::INT AS rank FROM events GROUP BY 1)"
+_USERS = "pairs AS (SELECT DISTINCT user_id AS entity, json_extract(props, '$.k')::INT AS label FROM events), ord AS (SELECT user_id AS entity, row_number() OVER (ORDER BY min(ts), user_id)::BIGINT AS rank FROM events GROUP BY 1)"
 
 
 def _user_curve(spark, sf_dir):
@@ -421,7 +421,7 @@ def saturation_verdict(spark, sf_dir):
     return W.saturation_verdict(_user_curve(spark, sf_dir)).withColumn("per_entity", F.round("per_entity", 6))
 
 
-@query("""SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END, n_chars DESC, doc_id)::INT AS by_lang FROM documents""")
+@query("""SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END, n_chars DESC, doc_id)::BIGINT AS by_lang FROM documents""")
 def rank_orders(spark, sf_dir):
     level = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).when(F.col("lang") == "fr", 2).otherwise(3)
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", level.alias("level"))

@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegrid.functions import citations as C
 from lodegrid.functions import keys as K
 from lodegrid.functions import text as T
 from lodegrid.operators import aggregates as A
@@ -359,13 +360,13 @@ def unique_citekeys(spark, sf_dir):
     return O.citekeys(p, F.lit("Roe"), (F.col("p_size") % 3 + 1990).cast("string"), F.col("p_name"), [F.col("p_partkey")]).select("p_partkey", "citekey")
 
 
-@query(r"""WITH g AS (SELECT item_id, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3] AS ngram, w[k] AS word, lines FROM (SELECT item_id, string_split(lower(text), chr(10)) AS lines, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w, unnest(range(1, len(w) - 2)) AS k FROM benchmark))
+@query(r"""WITH g AS (SELECT item_id, w[k] || ' ' || w[k + 1] AS ngram, w[k] AS word, lines FROM (SELECT item_id, string_split(lower(text), chr(10)) AS lines, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w, unnest(range(1, len(w))) AS k FROM benchmark))
     SELECT DISTINCT item_id AS target_id, ngram, list_position(list_transform(lines, lambda x: contains(x, word)), true)::INT AS line FROM g WHERE ngram IN (SELECT ngram FROM g WHERE item_id % 2 = 0) AND item_id % 2 = 1""")
 def overlap_lines(spark, sf_dir):
     """Where the n-grams that odd items share with even ones stand in their texts."""
     b = table(spark, sf_dir, "benchmark")
     odd = b.filter("item_id % 2 = 1")
-    found = V.shared_ngrams(odd, "item_id", "text", b.filter("item_id % 2 = 0"), "item_id", "text", 4)
+    found = V.shared_ngrams(odd, "item_id", "text", b.filter("item_id % 2 = 0"), "item_id", "text", 2)
     return V.overlap_lines(found, odd, "item_id", "text").select("target_id", "ngram", "line")
 
 
@@ -383,6 +384,19 @@ def best_candidates(spark, sf_dir):
     return V.best_candidates(refs, s.select("ref_id", F.inline(rows)))
 
 
+_CITED = """CASE s_suppkey % 5 WHEN 0 THEN '[' || s_suppkey || '] J. Roe, A. Doe, "A Study of ' || s_name || '," in Proc. of X, 2019. doi:10.1/' || s_suppkey WHEN 1 THEN s_suppkey || '. Roe, J., Doe, A.: Ways of ' || s_name || '. In: Proceedings of X, pp. 1-2 (2020)'
+    WHEN 2 THEN 'Roe, J. (2018). Notes on ' || s_name || '. Journal of X, 3.' WHEN 3 THEN '2021, The page of ' || s_name || '. https://x.org/' || s_suppkey ELSE 'Roe J without a year or marks, ' || s_name END"""
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'J. Roe, A. Doe' WHEN 1 THEN 'Roe, J., Doe, A.' WHEN 2 THEN 'Roe, J' WHEN 3 THEN '' ELSE 'Roe J without a year or marks, ' || s_name END AS authors,
+    CASE s_suppkey % 5 WHEN 0 THEN 'A Study of ' || s_name WHEN 1 THEN 'Ways of ' || s_name WHEN 2 THEN 'Notes on ' || s_name WHEN 3 THEN 'The page of ' || s_name ELSE '' END AS title,
+    CASE s_suppkey % 5 WHEN 0 THEN '2019' WHEN 1 THEN '2020' WHEN 2 THEN '2018' WHEN 3 THEN '2021' ELSE '' END AS year, CASE WHEN s_suppkey % 5 = 0 THEN '10.1/' || s_suppkey ELSE '' END AS doi FROM supplier""".replace("'10.1/'", "'10.1000/'"))
+def citation_layouts(spark, sf_dir):
+    """References as they are laid out: a title in quotes, a colon after the authors, a year in the middle, a page without authors, and none of these."""
+    raw = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_CITED.replace("doi:10.1/", "doi:10.1000/")).alias("raw"))
+    return C.with_citation(raw, "raw", "c").select("s_suppkey", "c.*")
+
+
 @query("""SELECT c_custkey, o_orderkey, coalesce(CAST(o_totalprice AS STRING), '-') <> '-' AS has_order FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1) ON c_custkey = o_custkey""")
 def first_order(spark, sf_dir):
     """A left join with the first row of each key of the other side, and a default where there is none."""
@@ -477,7 +491,7 @@ def order_strategies(spark, sf_dir):
     return P.united([W.ranked(rows, W.order_keys(s, "row_idx"), "place").select(F.lit(s).alias("strategy"), "id", "place") for s in W.ORDERS])
 
 
-@query("""SELECT label, n, row_number() OVER (ORDER BY n DESC, label)::INT AS place FROM (SELECT p_name AS label, count(*) AS n FROM part GROUP BY 1)""")
+@query("""SELECT label, n, row_number() OVER (ORDER BY n DESC, label)::BIGINT AS place FROM (SELECT p_name AS label, count(*) AS n FROM part GROUP BY 1)""")
 def by_size(spark, sf_dir):
     counts = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("label")).agg(F.count("*").alias("n"))
     return W.ranked(counts, [F.desc("n"), F.col("label")], "place")
@@ -715,7 +729,9 @@ def embedded_codes(spark, sf_dir):
 def learnt_embeddings(spark, sf_dir):
     """Word vectors learnt from all documents; whether the nearest centre of the odd documents' languages is that of each language's even ones, for nine of ten."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").filter("lang is not null")
-    rows = E.text_vectors(docs, "text", E.word_vectors(docs, "text"))
+    path = scratch(spark)
+    E.text_vectors(docs, "text", E.word_vectors(docs, "text", vocabulary=4000, dims=32)).drop("text").write.parquet(path)
+    rows = spark.read.parquet(path)
     sums = rows.filter("doc_id % 2 = 1").select("lang", F.posexplode("embedding").alias("k", "v")).groupBy("lang", "k").agg(F.avg("v").alias("v"))
     means = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "v")))["v"].alias("centre"))
     norm = F.sqrt(F.aggregate("centre", F.lit(0.0), lambda s, x: s + x * x))
@@ -905,12 +921,12 @@ def done_search_output(spark, sf_dir):
     return Z.search_output(table(spark, sf_dir, "nation").withColumnRenamed("n_name", "title"), ["title", "abstract", "doi"])
 
 
-@query("""SELECT url AS item, CAST(octet_length(encode(html)) AS STRING) AS detail FROM pages WHERE octet_length(encode(html)) < 4000 OR left(html, 5) <> '<html'""")
+@query("""SELECT url AS item, CAST(octet_length(encode(html)) AS STRING) AS detail FROM pages WHERE octet_length(encode(html)) < 1500 OR left(html, 23) <> '<!DOCTYPE html><html la'""")
 def valid_files(spark, sf_dir):
-    """Pages as files: of 4 kB at least, and beginning with the format's mark."""
+    """Pages as files: of 1500 bytes at least, and beginning with the format's mark."""
     content = F.encode("html", "UTF-8")
     files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
-    return Q.file_is_valid(files, "valid", b"<html", 4000).select("item", "detail")
+    return Q.file_is_valid(files, "valid", b"<!DOCTYPE html><html la", 1500).select("item", "detail")
 
 
 # -- reports ----------------------------------------------------------------------------------------------------------------

@@ -162,3 +162,12 @@ def test_doi_in_text(spark):
     cells = {"(see 10.1145/12.34).": "10.1145/12.34", "https://doi.org/10.1234567890/AbC?x=1": "10.1234567890/AbC?x=1", "10.1/x": None, "{10.5555/ab},": "10.5555/ab", "10.5555/a..": "10.5555/a"}
     df = spark.createDataFrame([(c,) for c in cells], "c string")
     assert {r["c"]: r["d"] for r in df.select("c", K.doi_in_url(F.col("c")).alias("d")).collect()} == cells
+
+
+def test_groups_of_the_whole_digest(spark):
+    """Digests that begin alike are groups of their own, though their names look alike."""
+    from lodegrid.operators import dedup as D
+
+    rows = spark.createDataFrame([(0, None, "abcdefabcdef1"), (1, None, "abcdefabcdef2"), (2, None, "abcdefabcdef1"), (3, "10.1/x", "abcdefabcdef1")], "i int, doi string, digest string")
+    out = D.deduplicated(rows, F.col("doi"), F.col("digest"), [F.lit(0).alias("s")], "i").collect()
+    assert sorted((r["i"], r["dedup_group"], r["group_size"]) for r in out) == [(0, "fallback:abcdefabcdef", 2), (1, "fallback:abcdefabcdef", 1), (3, "doi:10.1/x", 1)]
