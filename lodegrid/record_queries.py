@@ -333,7 +333,7 @@ def alike_titles(spark, sf_dir):
     return out.select("entry", "known", F.round("ratio", 9).alias("ratio"))
 
 
-_PAPER: Columns = {
+_AT_VENUE: Columns = {
     "row_idx": "c_custkey", "issn": "CASE c_custkey % 5 WHEN 0 THEN '0000-0000 ' || CAST(1000 + c_nationkey AS STRING) || '-000x' WHEN 1 THEN 'N/A' ELSE '' END",
     "source": "CASE c_custkey % 5 WHEN 0 THEN 'anything' WHEN 1 THEN 'Proceedings of the  Conference on Topic ' || CAST(c_nationkey AS STRING) WHEN 2 THEN 'Talks at NAT' || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) || ' 2020' WHEN 3 THEN 'JOURNAL of nation_' || CAST(c_nationkey AS STRING) ELSE 'nowhere' END",
 }
@@ -349,7 +349,7 @@ def venue_ranks(spark, sf_dir):
     journals = n.select(key.alias("row_idx"), F.concat((key + 1000).cast("string"), F.lit("000X")).alias("issn"), F.concat(F.lit("Journal of "), "n_name").alias("name"), F.lit("").alias("acronym"), F.when(key % 4 > 0, "A").otherwise("").alias("rank"))
     letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), key + 1, F.lit(1))
     conferences = n.select(key.alias("row_idx"), F.concat(F.lit("Conference on Topic "), key.cast("string")).alias("name"), F.concat(F.lit("NAT"), letter).alias("acronym"), F.when(key % 3 > 0, "B").otherwise("nan").alias("rank"))
-    return J.venue_ranks(made(spark, sf_dir, "customer", _PAPER), journals, conferences).select("row_idx", "venue_rank", "venue_type", "method")
+    return J.venue_ranks(made(spark, sf_dir, "customer", _AT_VENUE), journals, conferences).select("row_idx", "venue_rank", "venue_type", "method")
 
 
 @query("""WITH b AS (SELECT p_partkey, 'roe' || (1990 + p_size % 3) || split_part(p_name, ' ', 1) AS base FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM b)
