@@ -4,28 +4,30 @@ Tokens score by how much likelier a toxic passage makes them: a passage is a mix
 toxic words, whose log-odds have an informative Dirichlet prior (token frequencies over all documents)
 and are shrunk to the lower end of their confidence interval. A linear-time scan finds all maximal
 scoring segments of a document. Scores of segments in clean text follow an extreme-value law;
-its parameters turn the segments of a document into one evidence value, and a logistic curve fitted
-on held-apart folds of the labelled rows turns that into a probability.
+its two parameters, fitted on clean rows, turn the segments of a document into one evidence value, and a
+logistic curve fitted on held-apart folds of the labelled rows turns that into a probability.
+
+Tokens and stems are counted as they are, not by hash: first in the labelled rows, then, of all documents, those that
+toxic rows hold often enough to speak for anything.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrid.llm.common import free_name, give_back, own_columns, short_batches, slices, smallest, stored, with_plain_names
 
-BUCKETS = 1 << 20
 #: Labelled rows that are learnt from, at most: those with the smallest hashes.
 MOST_LABELLED = 200_000
 #: Rows of these on which the calibration is fitted, at most.
@@ -34,19 +36,43 @@ PRIOR_STRENGTH = 1000.0
 CONFIDENCE = 3.0
 TOXIC_SHARE = 0.2
 LEAST_COUNT = 5
-#: A segment is significant if chance gives less than so many like it in a document of clean text.
+#: A passage is reported if chance gives less than so many like it in a document of clean text.
 MOST_EXPECTED = 0.05
+#: A segment counts for its document's score if chance gives less than so many: of a thousand clean documents one.
+MOST_EXPECTED_SCORED = 0.001
 #: A token is a run of ASCII letters, digits and underscores, and of all characters beyond ASCII, in lower case and UTF-8.
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
 _APART = bytes(c if TOKEN.match(bytes([c])) else 32 for c in range(256))
 REMEMBERED = 300_000
+#: Lengths of stems, in characters.
 STEMS = (4, 5)
+#: The share of clean texts whose best segments the extreme-value law is fitted to, and how many these must be.
+TAIL = 0.05
+LEAST_TAIL = 20
+#: The rate of the law is between this and its inverse.
+MOST_RATE = 4.0
+#: Occurrences that are gathered before they are added to the counts of all features.
+HELD = 1 << 20
+
+
+def tokens_of(text: str | None) -> list[bytes]:
+    """The tokens of the whole text, in order."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_APART).split()
+
+
+def features_of(token: bytes) -> list[bytes]:
+    """The token and its stems, its first characters and a mark, so that inflected forms share what is learnt; a token no longer than a stem stands for it."""
+    if token.isascii():
+        return [token, *[token[:n] + b"*" if len(token) > n else token for n in STEMS]]
+    word = token.decode("utf-8", "surrogatepass")
+    return [token, *[word[:n].encode("utf-8", "surrogatepass") + b"*" if len(word) > n else token for n in STEMS]]
 
 
 class _Features:
-    """Token to a row of ``rows``: the buckets of the token and of its first STEMS bytes, so that inflected forms share what is learnt."""
+    """Token to a row of ``rows``: the places of its features in a vocabulary, 0 for those that aren't there."""
 
-    def __init__(self):
+    def __init__(self, vocabulary: dict[bytes, int]):
+        self.vocabulary = vocabulary
         self.row: dict[bytes, int] = {}
         self.rows = np.zeros((1024, 1 + len(STEMS)), dtype=np.int32)
 
@@ -54,20 +80,20 @@ class _Features:
         first = len(self.row)
         while first + len(tokens) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        bucket = lambda s: xxhash.xxh64_intdigest(s) & (BUCKETS - 1)
-        self.rows[first : first + len(tokens)] = [[bucket(t), *[bucket(t[:n] + b"*") if len(t) > n else bucket(t) for n in STEMS]] for t in tokens]
+        place = self.vocabulary.get
+        self.rows[first : first + len(tokens)] = [[place(f, 0) for f in features_of(t)] for t in tokens]
         self.row.update(zip(tokens, range(first, first + len(tokens)), strict=True))
 
 
-_features = _Features()
+_features = _Features({})
 
 
-def token_rows(text: str | None) -> np.ndarray:
+def token_rows(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
     """Rows of _features, one a token of the whole text. Between texts a bounded number of tokens is remembered."""
     global _features
-    if len(_features.row) > REMEMBERED:
-        _features = _Features()
-    tokens = (text or "").lower().encode("utf-8", "surrogatepass").translate(_APART).split()
+    if _features.vocabulary is not vocabulary or len(_features.row) > REMEMBERED:
+        _features = _Features(vocabulary)
+    tokens = tokens_of(text)
     at = np.fromiter(map(_features.row.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
     unknown = np.flatnonzero(at < 0).tolist()
     if unknown:
@@ -76,9 +102,9 @@ def token_rows(text: str | None) -> np.ndarray:
     return at
 
 
-def token_buckets(text: str | None) -> np.ndarray:
+def token_places(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
     """[token, feature]."""
-    at = token_rows(text)
+    at = token_rows(text, vocabulary)
     return _features.rows[at]
 
 
@@ -86,7 +112,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bounded part of a batch at a time; at the end the tokens of the task are forgotten."""
     global _features
     yield from slices(batches)
-    _features = _Features()
+    _features = _Features({})
     _row_scores.clear()
     give_back()
 
@@ -118,23 +144,31 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
+def best_segment(scores: np.ndarray) -> float:
+    """The highest score of any segment; 0 if none is positive."""
+    total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
+    return float((total - np.minimum.accumulate(total)).max())
+
+
 #: For a scorer's table: the table, the features that its row scores belong to, these scores, and how many are filled.
 _row_scores: dict[int, tuple[np.ndarray, _Features, np.ndarray, int]] = {}
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """Scores by bucket (of BUCKETS: a fixed size) and log K: in clean text, K n exp(-s) segments of a score over s are to be expected.
-
-    The rate is 1 since scores are logarithms of likelihood ratios.
+    """Scores by place in the vocabulary (0: all other features), and the extreme-value law: in clean text of n tokens,
+    K n exp(-rate s) segments of a score over s are to be expected. Without a fit K and the rate are 1, as for scores that
+    are logarithms of likelihood ratios.
     """
 
+    vocabulary: dict[bytes, int]
     scores: np.ndarray
     log_k: float = 0.0
+    rate: float = 1.0
 
     def of_text(self, text: str | None) -> np.ndarray:
         """A score a token: the highest of its features. Scores of remembered tokens are looked up once."""
-        at = token_rows(text)
+        at = token_rows(text, self.vocabulary)
         scores, features, known, filled = _row_scores.get(id(self.scores), (None, None, np.zeros(0, dtype=np.float32), 0))
         if scores is not self.scores or features is not _features or len(known) != len(_features.rows):
             known, filled = np.zeros(len(_features.rows), dtype=np.float32), 0
@@ -145,16 +179,20 @@ class Scorer:
         _row_scores[id(self.scores)] = (self.scores, _features, known, len(_features.row))
         return known[at]
 
+    def best(self, text: str | None) -> tuple[float, int]:
+        """The best segment's score and the number of tokens."""
+        scores = self.of_text(text)
+        return best_segment(scores), len(scores)
+
     def evidence(self, text: str | None) -> tuple[float, float]:
-        """The best segment's, and all significant segments', scores beyond what chance gives in a text this long."""
+        """log(1 + x) of the best segment's, and of all significant segments', scores x beyond what chance gives in a text this long."""
         scores = self.of_text(text)
         chance = self.log_k + math.log(max(1, len(scores)))
-        if scores[scores > 0].sum(dtype=np.float64) <= chance:
+        if self.rate * scores[scores > 0].sum(dtype=np.float64) <= chance:
             return 0.0, 0.0  # not even all positive scores together are beyond it, so no segment is
-        segments = maximal_segments(scores)
-        beyond = [s - chance for _, _, s in segments]
-        significant = [b for b in beyond if b > -math.log(MOST_EXPECTED)]
-        return max([0.0, *beyond]), math.log1p(sum(significant))
+        beyond = [self.rate * s - chance for _, _, s in maximal_segments(scores)]
+        significant = [b for b in beyond if b > -math.log(MOST_EXPECTED_SCORED)]
+        return math.log1p(max([0.0, *beyond])), math.log1p(sum(significant))
 
 
 @dataclass(frozen=True)
@@ -178,7 +216,7 @@ class Model:
         chance = self.scorer.log_k + math.log(max(1, len(spans)))
         out = []
         for a, b, s in maximal_segments(scores):
-            expected = math.exp(min(50.0, chance - s))
+            expected = math.exp(min(50.0, chance - self.scorer.rate * s))
             if expected < MOST_EXPECTED:
                 out.append((place(spans[a][0]), place(spans[b][1]), expected))
         return out
@@ -196,57 +234,99 @@ def _labelled(labels: DataFrame) -> DataFrame:
     return smallest(stored(one), part, MOST_LABELLED).select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"), F.pmod(part, F.lit(2)).cast("int").alias("fold"))
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """bucket, seen (over all documents), and counts in clean and toxic rows of each fold: c0, c1, t0, t1."""
-    names = ["seen", "c0", "c1", "t0", "t1"]
-    short_batches(docs.sparkSession)
+def _labelled_counts(labelled: DataFrame) -> DataFrame:
+    """feature, and its occurrences in clean and toxic rows of each fold: c0, c1, t0, t1."""
+    names = ["c0", "c1", "t0", "t1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((5, BUCKETS), dtype=np.int32)
-        found: list[list[np.ndarray]] = [[] for _ in names]
-        held = 0
-
-        def count() -> None:
-            for k, lists in enumerate(found):
-                if lists:
-                    counts[k] += np.bincount(np.concatenate(lists), minlength=BUCKETS).astype(np.int32)
-                    lists.clear()
+        found: list[Counter[bytes]] = [Counter() for _ in names]
+
+        def counts() -> pa.RecordBatch:
+            sums: dict[bytes, list[int]] = {}
+            for k, tokens in enumerate(found):
+                for token, n in tokens.items():
+                    for f in features_of(token):
+                        sums.setdefault(f, [0] * len(names))[k] += n
+                tokens.clear()
+            columns = zip(*sums.values(), strict=True) if sums else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(sums, type=pa.binary()), *[pa.array(c, type=pa.int64()) for c in columns]], ["feature", *names])
 
         for part in _slices(batches):
             for text, toxic, fold in zip(*part.columns, strict=True):
-                b = token_buckets(text.as_py()).ravel()
-                found[0].append(b)
-                if toxic.as_py() is not None:
-                    found[1 + 2 * toxic.as_py() + fold.as_py()].append(b)
-                held += len(b)
-            if held > BUCKETS:  # adding up costs a pass over all buckets
-                count()
-                held = 0
-        count()
-        bucket = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *[pa.array(counts[k][bucket]) for k in range(5)]], ["bucket", *names])
-
-    partial = docs.select("text", "toxic", "fold").mapInArrow(run, "bucket int, " + ", ".join(f"{n} int" for n in names))
-    return partial.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def _scorer(counts: DataFrame, toxic: str, clean: str) -> Scorer:
-    """From count columns (SQL expressions). Only buckets that speak for toxic text are gathered: BUCKETS at most."""
-    n = counts.agg(F.sum("seen"), F.sum(F.expr(toxic)), F.sum(F.expr(clean))).first()
-    seen, n_toxic, n_clean = (float(x or 0) for x in n)
-    scores = np.full(BUCKETS, math.log(1 - TOXIC_SHARE), dtype=np.float32)
+                found[2 * toxic.as_py() + fold.as_py()].update(tokens_of(text.as_py()))
+            if sum(map(len, found)) > REMEMBERED:
+                yield counts()
+        yield counts()
+
+    partial = labelled.select("text", "toxic", "fold").mapInArrow(run, "feature binary, " + ", ".join(f"{n} long" for n in names))
+    return partial.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _seen(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """How often each feature of the vocabulary occurs in all documents, by its place; at place 0 all others together."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = shared.value
+        counts = np.zeros(len(places) + 1, dtype=np.int64)
+        found: list[np.ndarray] = []
+        for part in _slices(batches):
+            for text in part.column(0):
+                found.append(token_places(text.as_py(), places).ravel())
+            if sum(map(len, found)) > HELD:  # adding up costs a pass over all counts
+                counts += np.bincount(np.concatenate(found), minlength=len(counts))
+                found.clear()
+        if found:
+            counts += np.bincount(np.concatenate(found), minlength=len(counts))
+        place = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(counts[place])], ["place", "n"])
+
+    seen = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    for r in docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        seen[r["place"]] = r["n"]
+    shared.destroy()
+    return seen
+
+
+def _scorer(vocabulary: dict[bytes, int], seen: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> Scorer:
+    """Log-odds of the features from their counts (by place) and the counts of all features together."""
+    scores = np.full(len(vocabulary) + 1, math.log(1 - TOXIC_SHARE), dtype=np.float32)
     if not n_toxic or not n_clean:
-        return Scorer(scores)
-    prior = F.col("seen") / seen * PRIOR_STRENGTH
-    t, c = F.expr(toxic) + prior, F.expr(clean) + prior
+        return Scorer(vocabulary, scores)
+    prior = seen / seen.sum() * PRIOR_STRENGTH
+    t, c = toxic + prior, clean + prior
     # The odds at the near ends of both counts' confidence intervals.
-    t, c = t - CONFIDENCE * F.sqrt(t), c + CONFIDENCE * F.sqrt(c)
-    odds = lambda x, total: F.log(x / (total + PRIOR_STRENGTH - x))
-    low = F.when(t > 0, odds(t, n_toxic) - odds(c, n_clean))
-    rows = counts.filter(F.expr(toxic) >= LEAST_COUNT).select("bucket", low.alias("low")).filter("low > 0").collect()
-    for r in rows:
-        scores[r["bucket"]] = math.log(1 - TOXIC_SHARE + TOXIC_SHARE * math.exp(min(r["low"], 20.0)))
-    return Scorer(scores)
+    t, c = t - CONFIDENCE * np.sqrt(t), c + CONFIDENCE * np.sqrt(c)
+    use = (toxic >= LEAST_COUNT) & (t > 0)
+    use[0] = False
+    odds = lambda x, total: np.log(x / (total + PRIOR_STRENGTH - x))
+    low = odds(t[use], n_toxic) - odds(c[use], n_clean)
+    scores[np.flatnonzero(use)[low > 0]] = np.log(1 - TOXIC_SHARE + TOXIC_SHARE * np.exp(np.minimum(low[low > 0], 20.0)))
+    return Scorer(vocabulary, scores)
+
+
+def extreme_value_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(log K, rate) from the best scores of clean texts of n tokens each.
+
+    Beyond a high threshold, scores less what their text's length gives fall as exp(-rate x): the rate is that of the median
+    excess, which few wrongly labelled texts don't move, K what makes the share beyond the threshold right. (0, 1) where
+    there is too little to fit.
+    """
+    some = best > 0
+    share = min(TAIL, some.sum() / (2 * max(1, len(best))))
+    rate, log_k = 1.0, 0.0
+    for _ in range(8):  # the length's part depends on the rate
+        x = np.sort(best[some] - np.log(np.maximum(1, n[some])) / rate)
+        most = int(share * len(best))
+        if most < LEAST_TAIL:
+            return 0.0, 1.0
+        threshold = float(x[-most - 1]) if most < len(x) else float(x[0])
+        middle = float(np.median(x[-most:])) - threshold
+        if middle <= 0:
+            return 0.0, 1.0
+        rate = min(MOST_RATE, max(1 / MOST_RATE, math.log(2) / middle))
+        log_k = rate * threshold + math.log(share)
+    return log_k, rate
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -254,32 +334,55 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Without toxic or without clean labels the score of every text is the share of toxic labels.
     """
+    short_batches(docs.sparkSession)
+    slim = docs.select("doc_id", "text")
     sample = stored(_labelled(labels))
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left")
-    counts = stored(_counts(joined))
-    whole = _scorer(counts, "t0 + t1", "c0 + c1")
-    by_fold = [_scorer(counts, "t1", "c1"), _scorer(counts, "t0", "c0")]  # a fold is scored by what the other one taught
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            rows = [(i.as_py(), y.as_py(), *by_fold[f.as_py()].evidence(t.as_py())) for t, y, f, i in zip(*part.columns, strict=True)]
-            kinds = [("id", pa.int64()), ("toxic", pa.int32()), ("best", pa.float64()), ("total", pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+    counts = stored(_labelled_counts(slim.join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))))
+    names = ["c0", "c1", "t0", "t1"]
+    totals = dict(zip(names, (float(x or 0) for x in counts.agg(*[F.sum(k) for k in names]).first()), strict=True))
+    # Of the labelled rows' features, those that can get a score: bounded by the sample, whatever the corpus.
+    known = counts.filter(F.col("t0") + F.col("t1") >= LEAST_COUNT).orderBy("feature").collect()
+    vocabulary = {bytes(r["feature"]): k for k, r in enumerate(known, 1)}
+    by = {k: np.array([0, *[r[k] for r in known]], dtype=np.float64) for k in names}
+    seen = _seen(slim, vocabulary)
+    whole = _scorer(vocabulary, seen, by["t0"] + by["t1"], by["c0"] + by["c1"], totals["t0"] + totals["t1"], totals["c0"] + totals["c1"])
+    # A fold is scored by what the other one taught.
+    by_fold = [_scorer(vocabulary, seen, by[t], by[c], totals[t], totals[c]) for t, c in (("t1", "c1"), ("t0", "c0"))]
 
     few = F.broadcast(smallest(sample, F.xxhash64(F.lit(6), "__id"), MOST_CALIBRATED))
-    chosen = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).select("text", "toxic", "fold", "__id")
-    found = chosen.mapInArrow(run, "id long, toxic int, best double, total double")
-    # Rows that share an id count once, so no more rows are collected than ids were chosen.
-    fitted = found.groupBy("id").agg(F.min(F.struct("toxic", "best", "total")).alias("row")).select("row.*").collect()
-    y, best, total = (np.array([r[k] for r in fitted], dtype=np.float64) for k in range(3))
+    chosen = stored(slim.join(few, F.col("doc_id") == F.col("__id")).select("text", "toxic", "fold", "__id"))
+
+    def of_each(what) -> tuple[np.ndarray, ...]:
+        """Label and two figures of each chosen row's text. Rows that share an id count once, so no more are collected than ids were chosen."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _slices(batches):
+                rows = [(i.as_py(), y.as_py(), *map(float, what(f.as_py(), t.as_py()))) for t, y, f, i in zip(*part.columns, strict=True)]
+                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.float64(), pa.float64()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=kind) for c, kind in columns], ["id", "toxic", "one", "two"])
+
+        found = chosen.mapInArrow(run, "id long, toxic int, one double, two double")
+        rows = found.groupBy("id").agg(F.min(F.struct("toxic", "one", "two")).alias("row")).orderBy("id").select("row.*").collect()
+        return tuple(np.array([r[k] for r in rows], dtype=np.float64) for k in range(3))
+
+    y, best, n = of_each(lambda fold, text: by_fold[fold].best(text))
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
         return Model(whole, (math.log(share / (1 - share)), 0.0, 0.0))
-    # Extreme-value fit: beyond its 95th percentile the best score of clean texts falls as K * exp(-x).
-    log_k = max(0.0, float(np.quantile(best[y == 0], 0.95)) + math.log(0.05))
-    shifted = np.maximum(0.0, best - log_k)
-    features = np.stack([np.ones(len(y)), shifted, np.where(shifted > -math.log(MOST_EXPECTED), total, 0.0)], axis=1)
-    return Model(Scorer(whole.scores, log_k), tuple(_logistic(features, y).tolist()))
+    log_k, rate = extreme_value_law(best[y == 0], n[y == 0])
+    fitted = [replace(s, log_k=log_k, rate=rate) for s in by_fold]
+    y, best, total = of_each(lambda fold, text: fitted[fold].evidence(text))
+    return Model(replace(whole, log_k=log_k, rate=rate), tuple(_rising_logistic(np.stack([np.ones(len(y)), best, total], axis=1), y).tolist()))
+
+
+def _rising_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of which none but the intercept (column 0) is negative: more evidence never lowers a score. Features that would have such are left out."""
+    w = _logistic(x, y)
+    use = np.append(True, w[1:] >= 0)
+    if not use.all():
+        w = np.zeros(len(w))
+        w[use] = _logistic(x[:, use], y)
+    return np.append(w[:1], np.maximum(w[1:], 0.0))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -301,7 +404,7 @@ def score_documents(docs: DataFrame, model: Model, score_col: str = "score") ->
     short_batches(docs.sparkSession)
     plain, at = with_plain_names(docs), docs.columns.index("text")
     names = plain.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS scores of 4 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features of the labelled sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):

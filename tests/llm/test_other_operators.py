@@ -226,13 +226,12 @@ def brute_toxicity(model, text):
     import math
     import re
 
-    import xxhash
-
     tokens = re.findall(rb"[0-9A-Za-z_\x80-\xff]+", (text or "").lower().encode())
-    best_of = lambda t: max(model.scorer.scores[xxhash.xxh64_intdigest(f) % toxicity.BUCKETS] for f in {t, *[t[:n] + b"*" for n in (4, 5) if len(t) > n]})
-    beyond = [s - model.scorer.log_k - math.log(max(1, len(tokens))) for _, _, s in brute_segments([float(best_of(t)) for t in tokens])]
-    total = math.log1p(sum(b for b in beyond if b > -math.log(0.05)))
-    z = model.weights[0] + model.weights[1] * max([0.0, *beyond]) + model.weights[2] * total
+    stems = lambda t: [t.decode()[:n].encode() + b"*" for n in (4, 5) if len(t.decode()) > n]
+    best_of = lambda t: max(model.scorer.scores[model.scorer.vocabulary.get(f, 0)] for f in {t, *stems(t)})
+    beyond = [model.scorer.rate * s - model.scorer.log_k - math.log(max(1, len(tokens))) for _, _, s in brute_segments([float(best_of(t)) for t in tokens])]
+    total = math.log1p(sum(b for b in beyond if b > -math.log(0.001)))
+    z = model.weights[0] + model.weights[1] * math.log1p(max([0.0, *beyond])) + model.weights[2] * total
     return 1 / (1 + math.exp(-z))
 
 
@@ -245,6 +244,48 @@ def test_toxicity_against_brute_force(spark):
         assert r["score"] == pytest.approx(brute_toxicity(model, texts[r["doc_id"]]), abs=1e-6)
 
 
+def test_tokens_are_counted_exactly(spark):
+    """Each feature's counts in the labelled rows and in all documents are those of a plain count; stems are cut by characters."""
+    docs, labels, _ = labelled(spark, 240)
+    docs = docs.unionByName(frame(spark, [(1000 + k, "мерзкий мерзость w1 w2 Ärgerlich 呪い文字列だ", None) for k in range(40)]))
+    labels = labels.unionByName(spark.createDataFrame([(1000 + k, 0, 1) for k in range(40)], labels.schema))
+    model, seen = toxicity.train(docs.select("doc_id", "text"), labels), {}
+    for r in docs.collect():
+        for t in toxicity.tokens_of(r["text"]):
+            word = t.decode()
+            for f in [t, *[word[:n].encode() + b"*" if len(word) > n else t for n in (4, 5)]]:
+                seen[f] = seen.get(f, 0) + 1
+    places = model.scorer.vocabulary
+    found = toxicity._seen(docs, places)
+    assert sorted(places.values()) == list(range(1, len(places) + 1))
+    assert all(found[k] == seen[f] for f, k in places.items()) and found.sum() == sum(seen.values())
+    assert {"мерз*".encode(), "мерзк*".encode(), "呪い文字*".encode(), "vile".encode()} <= set(places)
+    assert model.score("w3 w4 w5 мерзавец мерзкий мерзость w6") > model.score("w3 w4 w5 мед мер мел w6")
+
+
+def test_extreme_value_law_is_found():
+    """Best scores of n tokens drawn from a law with known parameters, a few of them wrongly labelled, and too few to fit."""
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 400, 20_000)
+    for rate, k in ((1.6, 0.3), (0.8, 0.05)):
+        best = np.maximum(0, (np.log(k * n) - np.log(-np.log(rng.random(len(n))))) / rate)
+        best[:20] = 50.0
+        log_k, found = toxicity.extreme_value_law(best, n)
+        assert found == pytest.approx(rate, rel=0.15) and log_k == pytest.approx(np.log(k), abs=0.8)
+    assert toxicity.extreme_value_law(np.zeros(1000), n[:1000]) == (0.0, 1.0)
+    assert toxicity.extreme_value_law(np.zeros(0), n[:0]) == (0.0, 1.0)
+    assert toxicity.extreme_value_law(np.full(1000, 2.0), np.full(1000, 5)) == (0.0, 1.0)
+
+
+def test_more_evidence_never_lowers_a_score():
+    rng = np.random.default_rng(5)
+    one = rng.random(2000) * 3
+    for two in (one + rng.random(2000) * 0.1, 3 - one, rng.random(2000)):
+        y = (one > 1.5).astype(float)
+        w = toxicity._rising_logistic(np.stack([np.ones(2000), one, two], axis=1), y)
+        assert w[1] >= 0 and w[2] >= 0 and w[1] + w[2] > 0
+
+
 def brute_quality(rows):
     """Co-training in memory with dense matrices: rows of (content, meta, quality or None, pooled, u), the labelled ones in their order."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
