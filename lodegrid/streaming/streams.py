@@ -32,6 +32,11 @@ def first_sightings(labels: DataFrame, ts: str, label: str, horizon: str = "30 d
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Labels of an entity that are held in one value, which is read and written once a batch. Those beyond are looked up one by one,
+#: so a batch never reads more than so many that it doesn't ask for.
+LISTED = 2000
+
+
 class FirstLabels(StatefulProcessor):
     """State of one entity: when it was first seen, and its labels. Hands on (entity, first, label) for each label that is new to
     it, and (entity, first, null) when it is first seen, or seen to have begun earlier. With ``idle`` (milliseconds of event time) a timer
@@ -42,23 +47,28 @@ class FirstLabels(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "at timestamp")
+        self.first = handle.getValueState("first", "at timestamp, listed array<string>")
         self.labels = handle.getMapState("labels", "label string", "seen boolean")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        known = self.first.get()[0] if self.first.exists() else None
-        lowest, latest, found = known, None, []
+        known, listed = self.first.get() if self.first.exists() else (None, [])
+        lowest, latest, labels = known, None, {}
         for pdf in rows:
             lowest = min(x for x in (lowest, pdf["ts"].min().to_pydatetime()) if x is not None)
             latest = max(x for x in (latest, pdf["ts"].max()) if x is not None)
-            for label in pdf["label"].dropna().unique():
-                if not self.labels.containsKey((label,)):
-                    self.labels.updateValue((label,), (True,))
-                    found.append(label)
+            labels |= dict.fromkeys(pdf["label"].dropna())
+        held = set(listed)
+        found = [label for label in labels if label not in held]
+        if len(listed) >= LISTED:
+            found = [label for label in found if not self.labels.containsKey((label,))]
+        room = LISTED - len(listed)
+        for label in found[room:]:
+            self.labels.updateValue((label,), (True,))
+        if known is None or lowest < known or room and found:
+            self.first.update((lowest, [*listed, *found[:room]]))
         if known is None or lowest < known:
-            self.first.update((lowest,))
             out.append((key[0], lowest, None))
         out += [(key[0], lowest, label) for label in found]
         if self.idle is not None and latest is not None:

@@ -2,11 +2,58 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodegrid.functions import keys as K
+from lodegrid.streaming import streams
 
 
 def test_preprint_numbers_keep_all_digits(spark):
     rows = spark.createDataFrame([("arXiv:2401.100013",), ("see arxiv/2401.1000131v2",), ("arXiv:2401.10013.",), ("arxiv/2401.1001",), ("arXiv:2401.100",)], "t string")
     assert [r[0] for r in rows.select(K.arxiv_id(F.col("t"))).collect()] == ["2401.100013", "2401.1000131", "2401.10013", "2401.1001", ""]
+
+
+class Counted:
+    """A handle's values and maps, and how often the store was asked."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def getValueState(self, name, _schema):  # noqa: N802
+        return self.part(name)
+
+    def getMapState(self, name, *_schemas):  # noqa: N802
+        return self.part(name)
+
+    def part(self, name):
+        store = self.held.setdefault(name, {})
+
+        def asks(f):
+            def run(*x):
+                self.asked += 1
+                return f(*x)
+
+            return staticmethod(run)
+
+        class Part:
+            exists, get, update = asks(lambda: None in store), asks(lambda: store[None]), asks(lambda v: store.__setitem__(None, v))
+            containsKey, updateValue = asks(lambda k: k in store), asks(store.__setitem__)  # noqa: N815
+
+        return Part
+
+
+def test_labels_of_a_batch_take_few_calls_of_the_store(monkeypatch):
+    monkeypatch.setattr(streams, "LISTED", 50)
+    p, store = streams.FirstLabels(), Counted()
+    p.init(store)
+    batch = lambda *labels: iter([pd.DataFrame({"ts": [pd.Timestamp(2024, 1, 1)] * len(labels), "label": labels})])
+    said = lambda *labels: [x for pdf in p.handleInputRows((1,), batch(*labels), None) for x in pdf["label"] if x is not None]
+    assert said(*[f"a{k}" for k in range(40)]) == [f"a{k}" for k in range(40)]
+    assert said(*[f"a{k}" for k in range(40)], "b") == ["b"]
+    assert store.asked <= 6
+    # Beyond what one value holds labels are kept and found one by one.
+    more = [f"c{k}" for k in range(30)]
+    assert said(*more, "b", "a7") == more
+    assert said(*more, "b", "a7", "d") == ["d"]
+    assert said("d", *more, "a39") == []
