@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -42,23 +42,31 @@ class FirstLabels(StatefulProcessor):
     it, and (entity, first, null) when it is first seen, or seen to have begun earlier. With ``idle`` (milliseconds of event time) a timer
     clears the state of an entity that hasn't been seen for so long; if it comes back, what is handed on again is merged by the sink."""
 
+    time = "timestamp"
+
     def __init__(self, idle: int | None = None):
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "at timestamp, listed array<string>")
+        self.first = handle.getValueState("first", f"at {self.time}, listed array<string>")
         self.labels = handle.getMapState("labels", "label string", "seen boolean")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        known, listed = self.first.get() if self.first.exists() else (None, [])
-        lowest, latest, labels = known, None, {}
+        latest, times, labels = None, [], {}
         for pdf in rows:
-            lowest = min(x for x in (lowest, pdf["ts"].min().to_pydatetime()) if x is not None)
+            times.append(pdf["ts"].min().to_pydatetime())
             latest = max(x for x in (latest, pdf["ts"].max()) if x is not None)
             labels |= dict.fromkeys(pdf["label"].dropna())
+        until = None if latest is None else int(latest.timestamp() * 1000)
+        yield pd.DataFrame(self.seen(key[0], min(times, default=None), until, labels), columns=["entity", "first", "label"])
+
+    def seen(self, entity: Any, earliest: Any, until: int | None, labels: dict[str, None]) -> list[tuple]:
+        """What is handed on when a batch has these labels of an entity. ``until``: the latest time, in milliseconds."""
+        out: list[tuple] = []
+        known, listed = self.first.get() if self.first.exists() else (None, [])
+        lowest = min((x for x in (known, earliest) if x is not None), default=None)
         held = set(listed)
         found = [label for label in labels if label not in held]
         if len(listed) >= LISTED:
@@ -69,17 +77,17 @@ class FirstLabels(StatefulProcessor):
         if known is None or lowest < known or room and found:
             self.first.update((lowest, [*listed, *found[:room]]))
         if known is None or lowest < known:
-            out.append((key[0], lowest, None))
-        out += [(key[0], lowest, label) for label in found]
-        if self.idle is not None and latest is not None:
-            at = int(latest.timestamp() * 1000) + self.idle
+            out.append((entity, lowest, None))
+        out += [(entity, lowest, label) for label in found]
+        if self.idle is not None and until is not None:
+            at = until + self.idle
             was = self.timer.get()[0] if self.timer.exists() else None
             if was is None or at > was:
                 if was is not None:
                     self.handle.deleteTimer(was)
                 self.handle.registerTimer(at)
                 self.timer.update((at,))
-        yield pd.DataFrame(out, columns=["entity", "first", "label"])
+        return out
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         for state in (self.first, self.labels, self.timer):
@@ -90,13 +98,32 @@ class FirstLabels(StatefulProcessor):
         return None
 
 
+class FirstLabelsOfRows(FirstLabels):
+    """The same from rows, with times in microseconds: an entity has a few rows a batch, for which a table of its own costs more than all the rest."""
+
+    time = "long"
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        earliest = latest = None
+        labels: dict[str, None] = {}
+        for row in rows:
+            at = row["at"]
+            earliest = at if earliest is None or at < earliest else earliest
+            latest = at if latest is None or at > latest else latest
+            if row["label"] is not None:
+                labels[row["label"]] = None
+        for entity, first, label in self.seen(key[0], earliest, None if latest is None else latest // 1000, labels):
+            yield Row(entity=entity, first=first, label=label)
+
+
 def first_labels(events: DataFrame, entity: str, ts: str, label: str, late: str | None = None, idle: int | None = None) -> DataFrame:
     """A stream of (entity, first, label), see ``FirstLabels``. Rows with a null entity or time don't count. ``idle`` needs ``late``, the watermark."""
     kind = events.schema[entity].dataType.simpleString()
     rows = events.select(F.col(entity).alias("entity"), F.col(ts).alias("ts"), F.col(label).cast("string").alias("label")).filter("entity is not null and ts is not null")
     if late:
         rows = rows.withWatermark("ts", late)
-    return rows.groupBy("entity").transformWithStateInPandas(FirstLabels(idle), f"entity {kind}, first timestamp, label string", "append", "none" if idle is None else "EventTime")
+    found = rows.withColumn("at", F.unix_micros("ts")).groupBy("entity").transformWithState(FirstLabelsOfRows(idle), f"entity {kind}, first long, label string", "append", "none" if idle is None else "EventTime")
+    return found.select("entity", F.timestamp_micros("first").alias("first"), "label")
 
 
 def curve_of(spark: SparkSession, path: str, schema: str, window: float = 0.1) -> DataFrame:
