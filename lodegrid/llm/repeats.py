@@ -250,6 +250,14 @@ class SuffixSorter:
         last = len(self.data) - 1
         return np.where(equal, or_equal, self.data[np.minimum(a + length, last)] < self.data[np.minimum(b + length, last)])
 
+    def shared(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Places, in their order, of the suffixes whose hash another one of their segment has: one of its own equals no other and needs no sort."""
+        h = (self.prefix[at + self.width] - self.prefix[at]) * self.down[at]
+        order = np.lexsort((h, segment))
+        h, segment = h[order], segment[order]
+        same = (h[1:] == h[:-1]) & (segment[1:] == segment[:-1])
+        return np.sort(order[np.append(same, False) | np.append(False, same)])
+
     def sort(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """A stable order of the suffixes ``at`` within segments that stand together: bottom-up merge sort, all merges of a level at once."""
         n = len(at)
@@ -314,6 +322,8 @@ def repeated_windows(rows: list[tuple[int, int, int, int, bytes]], width: int =
     row, window, segment = row[order], window[order], segment[order]
     at = begin[row] + window
     sorter = SuffixSorter(data, width)
+    some = sorter.shared(at, segment)
+    row, window, segment, at = row[some], window[some], segment[some], at[some]
     by_text = sorter.sort(at, segment)
     a, b = by_text[:-1], by_text[1:]
     near = np.flatnonzero(segment[a] == segment[b])

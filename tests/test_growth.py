@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from lodegrid.functions import keys as K
+from lodegrid.llm import common, repeats
 from lodegrid.streaming import streams
 
 
@@ -57,3 +59,21 @@ def test_labels_of_a_batch_take_few_calls_of_the_store(monkeypatch):
     assert said(*more, "b", "a7") == more
     assert said(*more, "b", "a7", "d") == ["d"]
     assert said("d", *more, "a39") == []
+
+
+def test_windows_that_equal_no_other_are_not_sorted():
+    rng = np.random.default_rng(3)
+    alone = rng.integers(0, 256, 4000, dtype=np.uint8)
+    data = np.concatenate([alone, alone[50:80]])
+    sorter = repeats.SuffixSorter(data, 10)
+    at = np.arange(len(data) - 9)
+    assert at[sorter.shared(at, np.zeros(len(at), dtype=np.int64))].tolist() == [*range(50, 71), *range(4000, 4021)]
+    assert not len(sorter.shared(at, at))
+
+
+def test_few_rows_are_looked_up_by_one_broadcast(spark):
+    rows, groups = spark.range(100).selectExpr("id", "id % 7 as k"), spark.range(5).selectExpr("id as k", "15L as n")
+    out = common.lookup(rows, groups, ["k"], "n", 100)
+    assert out.count() == 72 and out._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    many = common.lookup(rows, groups, ["k"], "n", common.FEW_ROWS + 1)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, out.collect()))
