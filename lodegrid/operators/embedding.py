@@ -15,11 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegrid.functions import text as T
-from lodegrid.session import scratch
+from lodegrid.session import scratch, short_batches
 
 #: As ``functions.text.tokens`` has them.
 TOKEN = re.compile("[a-z0-9]+")
@@ -28,6 +30,9 @@ VOCABULARY = 20_000
 DIMS = 64
 #: Words to each side that count as surroundings.
 AROUND = 4
+#: Tokens of texts whose pairs are made at once, and pairs with their counts that a task holds before it hands them on.
+TOKENS_AT_ONCE = 100_000
+HELD_PAIRS = 2_000_000
 #: Passes over the matrix, and directions beyond DIMS that make them converge.
 PASSES = 4
 SPARE = 16
@@ -79,21 +84,50 @@ def _surroundings(tokens: DataFrame, words: list[str]) -> DataFrame:
     """w, c, n: how often each word of the vocabulary has another one up to AROUND places away, both ways; each row of ``tokens`` is a text."""
     shared = tokens.sparkSession.sparkContext.broadcast(words)  # VOCABULARY bounds it
     size = len(words)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = {w: k for k, w in enumerate(shared.value)}
-        for pdf in batches:
-            keys = []
-            for text in pdf["tokens"]:
-                at = np.fromiter((place.get(w, -1) for w in text), dtype=np.int64, count=len(text))
+    short_batches(tokens.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = pa.array(shared.value, type=pa.string()), []
+        for batch in batches:
+            at, text = _placed(batch.column(0), known)
+            for k in range(0, len(at), TOKENS_AT_ONCE):
+                keys = []
                 for d in range(1, AROUND + 1):
-                    a, b = at[:-d], at[d:]
-                    both = (a >= 0) & (b >= 0)
+                    a, b = at[k : k + TOKENS_AT_ONCE], at[k + d : k + d + TOKENS_AT_ONCE]
+                    a = a[: len(b)]
+                    both = (a >= 0) & (b >= 0) & (text[k : k + len(a)] == text[k + d : k + d + len(b)])
                     keys += [a[both] * size + b[both], b[both] * size + a[both]]
-            key, n = np.unique(np.concatenate(keys or [np.zeros(0, dtype=np.int64)]), return_counts=True)
-            yield pd.DataFrame({"w": key // size, "c": key % size, "n": n})
+                held.append(np.unique(np.concatenate(keys), return_counts=True))
+                if sum(len(key) for key, _ in held) > HELD_PAIRS:
+                    key, n = _added(held)
+                    held = [(key, n)]
+                    if len(key) > HELD_PAIRS // 2:
+                        yield from _pairs(key, n, size)
+                        held = []
+        if held:
+            yield from _pairs(*_added(held), size)
+
+    return tokens.select("tokens").mapInArrow(run, "w long, c long, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
+
+
+def _placed(tokens: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of all tokens of a batch the place in the vocabulary, or -1, and the number of the text."""
+    bounds = tokens.offsets.to_numpy().astype(np.int64)
+    words = tokens.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0]))
+    at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return at, np.repeat(np.arange(len(tokens)), np.diff(bounds))
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    key, place = np.unique(np.concatenate([key for key, _ in held]), return_inverse=True)
+    return key, np.bincount(place, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
 
-    return tokens.mapInPandas(run, "w long, c long, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
+def _pairs(key: np.ndarray, n: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(key), TOKENS_AT_ONCE):
+        part = key[k : k + TOKENS_AT_ONCE]
+        yield pa.RecordBatch.from_arrays([pa.array(part // size), pa.array(part % size), pa.array(n[k : k + TOKENS_AT_ONCE])], ["w", "c", "n"])
 
 
 def word_vectors(texts: DataFrame, text: str, vocabulary: int = VOCABULARY, dims: int = DIMS, seed: int = 5) -> WordVectors:
@@ -183,6 +217,7 @@ MOST_CENTRES = 10_000
 
 def text_vectors(df: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray], out: str = "embedding") -> DataFrame:
     """df plus the vector of each text; null texts are empty."""
+    short_batches(df.sparkSession)
 
     @F.pandas_udf("array<double>")
     def vectors(t: pd.Series) -> pd.Series:

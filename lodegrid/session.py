@@ -16,6 +16,18 @@ def session(app: str = "lodegrid", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch, about: what a Python worker holds of its input at once, however long the rows are.
+BATCH_BYTES = 16 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of BATCH_BYTES at most, or of one row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    jvm = spark._jvm.org.apache.spark.network.util.JavaUtils
+    if not 0 < jvm.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _shared(spark: SparkSession) -> str:
     """Where this application's files go: below spark.checkpoint.dir; in single-JVM local mode without one a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
