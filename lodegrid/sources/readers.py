@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrid.functions.keys import na_to_null, trimmed
-from lodegrid.session import scratch
+from lodegrid.session import scratch, short_batches
 
 
 def csv(spark: SparkSession, path: str, columns: list[str] | None = None, blanks: bool = False, missing_tokens: bool = False, required: list[str] = ()) -> DataFrame:
@@ -166,7 +167,12 @@ def _closing(text: str, at: int) -> int:
 
 def bibtex_entries(text: str) -> list[dict]:
     """type, citekey, raw and fields of the entries of a file: values in braces of any depth, quotes, or bare."""
-    out, at = [], 0
+    return list(each_entry(text))
+
+
+def each_entry(text: str) -> Iterator[dict]:
+    """The same one by one."""
+    at = 0
     while m := _ENTRY.search(text, at):
         end = _closing(text, text.index("{", m.start()))
         fields, k = {}, m.end()
@@ -183,14 +189,16 @@ def bibtex_entries(text: str) -> list[dict]:
                 value = text[f.end() : stop]
             fields[f.group(1).lower()] = value.strip()
             k = stop + 1
-        out.append({"type": m.group(1).lower(), "citekey": m.group(2), "raw": text[m.start() : end + 1], "fields": fields})
+        yield {"type": m.group(1).lower(), "citekey": m.group(2), "raw": text[m.start() : end + 1], "fields": fields}
         at = max(end + 1, m.end())
-    return out
 
 
 #: Bytes of a block. A file of more is cut into blocks, and parsed by as many tasks as there are safe places to part it.
 BLOCK_BYTES = 1 << 20
 
+#: Entries that a task hands on at once.
+ENTRIES_AT_ONCE = 2000
+
 
 def _blocks(files: DataFrame, path: str) -> DataFrame:
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / BLOCK_BYTES).cast("int")), lambda k: F.substring(F.col("content"), k * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES)))
@@ -203,8 +211,8 @@ def _depths(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            depths = [_running(b) for b in pdf["bytes"]]
-            yield pd.DataFrame({"path": pdf["path"], "block": pdf["block"], "total": [int(d[-1]) for d in depths], "low": [int(d.min()) for d in depths]})
+            depths = [(int(d[-1]), int(d.min())) for d in map(_running, pdf["bytes"])]  # one block's at a time
+            yield pd.DataFrame({"path": pdf["path"], "block": pdf["block"], "total": [t for t, _ in depths], "low": [low for _, low in depths]})
 
     own = blocks.mapInPandas(run, "path string, block int, total long, low long")
     order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -215,7 +223,7 @@ def _depths(blocks: DataFrame) -> DataFrame:
 def _running(content: bytes) -> np.ndarray:
     """Depth in braces before each byte and at the end, from 0."""
     b = np.frombuffer(content, dtype=np.uint8)
-    return np.concatenate([[0], np.cumsum((b == 123).astype(np.int64) - (b == 125))])
+    return np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum((b == 123).astype(np.int8) - (b == 125), dtype=np.int64)])
 
 
 def bibtex_segments(files: DataFrame) -> DataFrame:
@@ -253,6 +261,7 @@ def bibtex_segments(files: DataFrame) -> DataFrame:
 def parsed_bibtex(files: DataFrame) -> DataFrame:
     """Entries of files (path, content), UTF-8 or else Latin-1, numbered in each file. Balanced braces aren't regular, so
     segments of files are parsed in Python: a file of up to BLOCK_BYTES is one, a larger one many."""
+    short_batches(files.sparkSession)
     files = files.select("path", "content").filter("content is not null")
     small = files.filter(F.length("content") <= BLOCK_BYTES).select("path", F.lit(0).cast("long").alias("segment"), "content", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
     large = files.filter(F.length("content") > BLOCK_BYTES)
@@ -266,11 +275,11 @@ def parsed_bibtex(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for name, segment, content, utf8 in zip(pdf["path"], pdf["segment"], pdf["content"], pdf["utf8"], strict=True):
                 text = bytes(content).decode("utf-8" if utf8 else "latin-1")
-                rows += [{"path": name, "segment": segment, "k": k, **e} for k, e in enumerate(bibtex_entries(text))]
-            yield pd.DataFrame(rows, columns=["path", "segment", "k", "type", "citekey", "raw", "fields"])
+                entries = enumerate(each_entry(text))
+                while rows := [{"path": name, "segment": segment, "k": k, **e} for k, e in islice(entries, ENTRIES_AT_ONCE)]:
+                    yield pd.DataFrame(rows, columns=["path", "segment", "k", "type", "citekey", "raw", "fields"])
 
     path = scratch(files.sparkSession)
     segments.mapInPandas(run, "path string, segment long, k int, type string, citekey string, raw string, fields map<string, string>").write.parquet(path)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from lodegrid.functions import keys as K
 from lodegrid.llm import common, repeats
+from lodegrid import session
+from lodegrid.operators import embedding
+from lodegrid.sources import readers
 from lodegrid.streaming import streams
 
 
@@ -77,3 +82,30 @@ def test_few_rows_are_looked_up_by_one_broadcast(spark):
     assert out.count() == 72 and out._jdf.queryExecution().executedPlan().toString().count("Join") == 1
     many = common.lookup(rows, groups, ["k"], "n", common.FEW_ROWS + 1)
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, out.collect()))
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_surroundings_come_in_batches_of_few_bytes(spark):
+    spark.conf.set(BATCH_BYTES, str(1 << 40))
+    texts = [["a", "b", "x", "a"], [], ["b"], ["c", "c", "a", "b", "c", "x", "x", "a"]]
+    rows = spark.createDataFrame([(t,) for t in texts], "tokens array<string>").coalesce(1)
+    words, expected = ["a", "b", "c"], Counter()
+    for t in texts:
+        for i, w in enumerate(t):
+            for j in range(max(0, i - embedding.AROUND), min(len(t), i + embedding.AROUND + 1)):
+                if i != j and w in words and t[j] in words:
+                    expected[words.index(w), words.index(t[j])] += 1
+    found = {(r["w"], r["c"]): r["n"] for r in embedding._surroundings(rows, words).collect()}
+    assert found == dict(expected)
+    assert int(spark.conf.get(BATCH_BYTES)) <= session.BATCH_BYTES
+
+
+def test_blocks_of_bibtex_come_in_batches_of_few_bytes(spark):
+    spark.conf.set(BATCH_BYTES, str(1 << 40))
+    text = "".join(f"@article{{k{k}, title = {{T {k}}}}}\n" for k in range(readers.ENTRIES_AT_ONCE + 5))
+    rows = spark.createDataFrame([("x/a.bib", bytearray(text.encode()))], "path string, content binary")
+    assert [r["citekey"] for r in readers.parsed_bibtex(rows).orderBy("at").collect()] == [f"k{k}" for k in range(readers.ENTRIES_AT_ONCE + 5)]
+    assert int(spark.conf.get(BATCH_BYTES)) <= session.BATCH_BYTES
+    assert next(readers.each_entry(text))["citekey"] == "k0"
