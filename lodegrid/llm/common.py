@@ -22,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key with at least 1/HOT_SHARE of all rows is hot; so there are HOT_SHARE hot keys at most.
 HOT_SHARE = 1000
 
+#: So few rows in all have so few keys that one broadcast of them serves: on little input a shuffle costs the driver more than the tasks.
+FEW_ROWS = 20_000
+
 #: Rows of an Arrow batch that the JVM hands over, and rows and bytes of the slices in which they are worked on.
 BATCH_ROWS = 2000
 SLICE_ROWS = 256
@@ -173,8 +176,10 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     ``size`` is the column of ``groups`` with the number of rows of a key, ``total`` the sum of all.
     Keys with total / HOT_SHARE rows or more are broadcast: HOT_SHARE at most, whatever the input.
     The rest is shuffled; no key of it has more than total / HOT_SHARE rows. Both inputs are read
-    twice, so hand over stored tables.
+    twice, so hand over stored tables. FEW_ROWS or less are not parted: all their keys are broadcast.
     """
+    if total <= FEW_ROWS:
+        return rows.join(F.broadcast(groups), keys)
     limit = max(total / HOT_SHARE, 1.0)
     hot = F.broadcast(groups.filter(F.col(size) >= limit))
     cold = groups.filter(F.col(size) < limit)
