@@ -88,7 +88,7 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def test_surroundings_come_in_batches_of_few_bytes(spark):
-    spark.conf.set(BATCH_BYTES, str(1 << 40))
+    spark.conf.set(BATCH_BYTES, str(1 << 30))
     texts = [["a", "b", "x", "a"], [], ["b"], ["c", "c", "a", "b", "c", "x", "x", "a"]]
     rows = spark.createDataFrame([(t,) for t in texts], "tokens array<string>").coalesce(1)
     words, expected = ["a", "b", "c"], Counter()
@@ -103,7 +103,7 @@ def test_surroundings_come_in_batches_of_few_bytes(spark):
 
 
 def test_blocks_of_bibtex_come_in_batches_of_few_bytes(spark):
-    spark.conf.set(BATCH_BYTES, str(1 << 40))
+    spark.conf.set(BATCH_BYTES, str(1 << 30))
     text = "".join(f"@article{{k{k}, title = {{T {k}}}}}\n" for k in range(readers.ENTRIES_AT_ONCE + 5))
     rows = spark.createDataFrame([("x/a.bib", bytearray(text.encode()))], "path string, content binary")
     assert [r["citekey"] for r in readers.parsed_bibtex(rows).orderBy("at").collect()] == [f"k{k}" for k in range(readers.ENTRIES_AT_ONCE + 5)]
