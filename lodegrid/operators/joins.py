@@ -163,35 +163,60 @@ def reconciled(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 #: Characters of the substrings that keys are looked up by.
 GRAM = 8
+#: Rows of one key that a task joins, about: names, and rows of keys. A key with more is dealt out over both.
+NAMES_AT_ONCE, KEYS_AT_ONCE = 20_000, 1_000
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def contained_keys(names: DataFrame, name: str, keys: DataFrame, key: str) -> DataFrame:
     """Pairs where the key is a substring of the name, with the columns of both; blank and null keys are in none.
 
     No nested loop: a key is looked up by that of its substrings of GRAM characters (or by itself, if it is shorter) that the
-    fewest names hold. A key with a substring that no name holds is dropped at once; what meets is tested as a whole.
+    fewest names hold. A key with a substring that no name holds is dropped at once; what meets is tested as a whole. Equal names
+    and equal keys are looked up once.
     """
-    rows, wanted, candidates = _gram_candidates(names, name, keys, key)
-    return rows.join(candidates, "__n").join(wanted, F.col("__key") == F.col(key)).filter(F.col(name).contains(F.col(key))).select(*names.columns, *keys.columns)
+    texts, wanted = names.select(F.col(name).alias("__name")).filter("__name is not null").distinct(), keys.filter(F.col(key) != "")
+    rows, _, candidates = _gram_candidates(texts, "__name", wanted, key)
+    found = _written(rows.join(candidates, "__n").filter(F.col("__name").contains(F.col("__key"))).select("__name", "__key"))
+    met = _written(names.join(found, F.col(name) == F.col("__name")).drop("__name").withColumn("__at", F.monotonically_increasing_id()))
+    left, right = _dealt_pairs(met, wanted.withColumn("__key", F.col(key)).join(found.select("__key").distinct(), "__key", "left_semi"))
+    return left.join(right.hint("merge"), ["__key", "__a", "__b"]).select(*names.columns, *keys.columns)
 
 
-def _gram_candidates(names: DataFrame, name: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(names with their number __n, keys that aren't blank, __n and __key of what is to be tested)."""
+def _dealt_pairs(met: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides (with __key) with __a, __b: cells of a key's rows times its names, in which every pair of them meets once.
+
+    Pairs can be as many as one side's rows times the other's, so no cell has more than NAMES_AT_ONCE times KEYS_AT_ONCE, about.
+    """
+    wanted = _written(wanted.withColumn("__of", F.monotonically_increasing_id()))
+    sizes = met.groupBy("__key").agg(F.ceil(F.count("*") / NAMES_AT_ONCE).alias("__as")).join(wanted.groupBy("__key").agg(F.ceil(F.count("*") / KEYS_AT_ONCE).alias("__bs")), "__key")
+    sizes = _written(sizes)
+    cells = sizes.agg(F.sum(F.col("__as") * F.col("__bs"))).first()[0] or 1
+    hot = sizes.filter("__as * __bs > 1")
+    parts = lambda df: df.join(hot, "__key", "left").na.fill(1, ["__as", "__bs"])
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = parts(met).withColumn("__a", F.pmod("__at", "__as")).withColumn("__b", each("__bs")).drop("__at", "__as", "__bs")
+    right = parts(wanted).withColumn("__b", F.pmod("__of", "__bs")).withColumn("__a", each("__as")).drop("__of", "__as", "__bs")
+    spread = lambda df: df.repartition(max(1, min(5000, cells)), "__key", "__a", "__b")
+    return spread(left), spread(right)
 
-    def kept(df: DataFrame) -> DataFrame:
-        path = scratch(df.sparkSession)
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    rows, wanted = kept(names.withColumn("__n", F.monotonically_increasing_id())), keys.filter(F.col(key) != "")
+def _gram_candidates(names: DataFrame, name: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names with their number __n, keys that aren't blank, __n and __key of what is to be tested)."""
+    rows, wanted = _written(names.withColumn("__n", F.monotonically_increasing_id())), keys.filter(F.col(key) != "")
     parts = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))
     of_keys = wanted.select(F.col(key).alias("__key")).distinct()
-    of_keys = kept(of_keys.select("__key", F.explode(F.array_distinct(parts(F.col("__key"), F.least(F.length("__key"), F.lit(GRAM))))).alias("__gram")))
+    of_keys = _written(of_keys.select("__key", F.explode(F.array_distinct(parts(F.col("__key"), F.least(F.length("__key"), F.lit(GRAM))))).alias("__gram")))
     lengths = sorted(r[0] for r in of_keys.select(F.length("__gram")).distinct().collect())  # GRAM at most
     empty = F.array().cast("array<string>")
     each = [F.when(F.length(name) >= n, parts(F.col(name), F.lit(n))).otherwise(empty) for n in lengths] or [empty]
     held = rows.select("__n", F.explode(F.array_distinct(F.concat(*each))).alias("__gram"))
-    held = kept(held.join(of_keys.select("__gram").distinct(), "__gram", "left_semi"))
+    held = _written(held.join(of_keys.select("__gram").distinct(), "__gram", "left_semi"))
     counts = held.groupBy("__gram").agg(F.count("*").alias("__count"))
     rarest = of_keys.join(counts, "__gram", "left").groupBy("__key").agg(F.min(F.struct("__count", "__gram")).alias("r"), F.count_if(F.col("__count").isNull()).alias("lost"))
     chosen = rarest.filter("lost = 0").select("__key", F.col("r.__gram").alias("__gram"))

@@ -12,6 +12,7 @@ from lodegrid.functions import keys as K
 from lodegrid.llm import common, repeats
 from lodegrid import session
 from lodegrid.operators import embedding
+from lodegrid.operators import joins as J
 from lodegrid.sources import readers
 from lodegrid.streaming import streams
 
@@ -109,3 +110,17 @@ def test_blocks_of_bibtex_come_in_batches_of_few_bytes(spark):
     assert [r["citekey"] for r in readers.parsed_bibtex(rows).orderBy("at").collect()] == [f"k{k}" for k in range(readers.ENTRIES_AT_ONCE + 5)]
     assert int(spark.conf.get(BATCH_BYTES)) <= session.BATCH_BYTES
     assert next(readers.each_entry(text))["citekey"] == "k0"
+
+
+def test_pairs_of_one_key_are_dealt_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "NAMES_AT_ONCE", 10)
+    monkeypatch.setattr(J, "KEYS_AT_ONCE", 4)
+    names = spark.createDataFrame([(k, f"x Brand#{k % 2}.pdf") for k in range(90)] + [(90, "x Brand#1.pdf"), (91, None)], "n int, name string").coalesce(1)
+    keys = spark.createDataFrame([(k, "Brand#1.") for k in range(10)] + [(10, "Brand#0."), (11, "Brand#7."), (12, ""), (13, None)], "k int, key string").coalesce(1)
+    out = J.contained_keys(names, "name", keys, "key")
+    want = [(n, k) for n in range(91) for k in range(11) if (n % 2 == 1 or n == 90) == (k < 10)]
+    assert sorted((r["n"], r["k"]) for r in out.select("n", "k").collect()) == want
+    sizes = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) > 5 and max(sizes) < len(want) / 2
+    held = J._gram_candidates(names.select("name").distinct(), "name", keys, "key")[2]
+    assert held.count() == 2
