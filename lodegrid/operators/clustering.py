@@ -176,17 +176,21 @@ def _near_tiles(df: DataFrame, item: str, vector: str, threshold: float, tile_ro
 
 
 def _close(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of the near pairs i < j of a pair of tiles, or of one tile, some rows at a time; never two rows of one of two tiles."""
+    """(i, j, distance) of the near pairs of a pair of tiles, or of one tile, some rows at a time; each pair once, and never two rows of one of two tiles."""
     unit = _unit(np.stack(pdf["v"].to_numpy()))
-    tile, both = pdf["tile"].to_numpy(), pdf["t0"].iloc[0] != pdf["t1"].iloc[0]
-    for k in range(0, len(unit), 512):
-        d = 1 - unit[k : k + 512] @ unit.T
-        i, j = np.nonzero(d < threshold)
-        keep = i + k < j
-        if both:
-            keep &= tile[i + k] != tile[j]
-        i, j = i[keep], j[keep]
-        yield i + k, j, d[i, j]
+    first = (pdf["tile"] == pdf["t0"]).to_numpy()
+    both = not first.all()
+    rows, others = (np.flatnonzero(first), np.flatnonzero(~first)) if both else (np.arange(len(unit)),) * 2
+    left, right = unit[rows], unit[others]
+    for k in range(0, len(left), 512):
+        start = 0 if both else k  # within one tile only what comes later
+        d = left[k : k + 512] @ right[start:].T
+        np.subtract(1, d, out=d)
+        i, j = np.divmod(np.flatnonzero(d.ravel() < threshold), d.shape[1])
+        if not both:
+            later = i < j
+            i, j = i[later], j[later]
+        yield rows[i + k], others[j + start], d[i, j]
 
 
 def near_links(df: DataFrame, item: str, vector: str, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodegrid.functions import keys as K
 from lodegrid.llm import common, repeats
 from lodegrid import session
+from lodegrid.operators import clustering as L
 from lodegrid.operators import embedding
 from lodegrid.operators import joins as J
 from lodegrid.sources import readers
@@ -124,3 +125,25 @@ def test_pairs_of_one_key_are_dealt_over_many_tasks(spark, monkeypatch):
     assert len(sizes) > 5 and max(sizes) < len(want) / 2
     held = J._gram_candidates(names.select("name").distinct(), "name", keys, "key")[2]
     assert held.count() == 2
+
+
+def test_tiles_are_compared_with_each_other_only(monkeypatch):
+    """Two tiles take one product of their rows, not four; one tile half of its square."""
+    seen = []
+
+    class Counting(np.ndarray):
+        def __matmul__(self, other):
+            seen.append(self.shape[0] * other.shape[1])
+            return np.asarray(self) @ np.asarray(other)
+
+    unit = L._unit
+    monkeypatch.setattr(L, "_unit", lambda v: unit(v).view(Counting))
+    v = np.random.default_rng(1).standard_normal((2000, 4))
+    pdf = lambda tiles: pd.DataFrame({"v": list(v), "tile": tiles, "t0": min(tiles), "t1": max(tiles)})
+    near = 1 - unit(v) @ unit(v).T < 0.2
+    for tiles, most in ([3, 5] * 1000, 1000 * 1000), ([3] * 2000, 0.7 * 2000 * 2000):
+        seen.clear()
+        found = [(min(i, j), max(i, j)) for x in L._close(pdf(tiles), 0.2) for i, j in zip(x[0].tolist(), x[1].tolist(), strict=True)]
+        assert sum(seen) <= most
+        want = {(i, j) for i, j in np.argwhere(near).tolist() if i < j and (tiles[i] != tiles[j] or most > 1000 * 1000)}
+        assert len(found) == len(want) and set(found) == want
