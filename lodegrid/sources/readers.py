@@ -7,10 +7,10 @@ import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,7 +196,7 @@ def each_entry(text: str) -> Iterator[dict]:
 #: Bytes of a block. A file of more is cut into blocks, and parsed by as many tasks as there are safe places to part it.
 BLOCK_BYTES = 1 << 20
 
-#: Entries that a task hands on at once.
+#: Entries that a task hands on at once, of however many files; or as many as have BLOCK_BYTES characters.
 ENTRIES_AT_ONCE = 2000
 
 
@@ -258,36 +258,54 @@ def bibtex_segments(files: DataFrame) -> DataFrame:
     return pieces.groupBy("path", "segment").agg(whole.cast("binary").alias("content"))
 
 
+_TEXT = pa.string()
+_ENTRIES = pa.schema([("path", _TEXT), ("segment", pa.int64()), ("large", pa.bool_()), ("k", pa.int32()), ("type", _TEXT), ("citekey", _TEXT), ("raw", _TEXT), ("fields", pa.map_(_TEXT, _TEXT))])
+
+
+def _entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of segments (path, segment, content, utf8, large). Those of many short ones go on together: a batch costs a millisecond, whatever it holds."""
+    rows, held = [], 0
+    for batch in batches:
+        for name, segment, content, utf8, large in zip(*(batch[c] for c in ("path", "segment", "content", "utf8", "large")), strict=True):
+            of = {"path": name.as_py(), "segment": segment.as_py(), "large": large.as_py()}
+            for k, e in enumerate(each_entry(content.as_py().decode("utf-8" if utf8.as_py() else "latin-1"))):
+                rows.append({**of, "k": k, **e, "fields": list(e["fields"].items())})
+                held += len(e["raw"])
+                if len(rows) >= ENTRIES_AT_ONCE or held >= BLOCK_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, _ENTRIES)
+                    rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _ENTRIES)
+
+
 def parsed_bibtex(files: DataFrame) -> DataFrame:
     """Entries of files (path, content), UTF-8 or else Latin-1, numbered in each file. Balanced braces aren't regular, so
     segments of files are parsed in Python: a file of up to BLOCK_BYTES is one, a larger one many."""
     short_batches(files.sparkSession)
     files = files.select("path", "content").filter("content is not null")
-    small = files.filter(F.length("content") <= BLOCK_BYTES).select("path", F.lit(0).cast("long").alias("segment"), "content", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    small = files.filter(F.length("content") <= BLOCK_BYTES).select("path", F.lit(0).cast("long").alias("segment"), "content", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"), F.lit(False).alias("large"))
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if small.rdd.getNumPartitions() < cores:  # short texts of a table may all be in one part of its file
+        small = small.repartition(cores)
     large = files.filter(F.length("content") > BLOCK_BYTES)
-    segments = small
-    if not large.isEmpty():
+    segments, any_large = small, not large.isEmpty()
+    if any_large:
         path = scratch(files.sparkSession)
         bibtex_segments(large).withColumn("valid", F.is_valid_utf8(F.col("content").cast("string"))).write.parquet(path)
         parts = files.sparkSession.read.parquet(path)
         kinds = parts.groupBy("path").agg(F.min("valid").alias("utf8"))  # a file is of one kind throughout
-        segments = small.unionByName(parts.join(kinds, "path").select("path", "segment", "content", "utf8").repartition("path", "segment"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, segment, content, utf8 in zip(pdf["path"], pdf["segment"], pdf["content"], pdf["utf8"], strict=True):
-                text = bytes(content).decode("utf-8" if utf8 else "latin-1")
-                entries = enumerate(each_entry(text))
-                while rows := [{"path": name, "segment": segment, "k": k, **e} for k, e in islice(entries, ENTRIES_AT_ONCE)]:
-                    yield pd.DataFrame(rows, columns=["path", "segment", "k", "type", "citekey", "raw", "fields"])
+        segments = small.unionByName(parts.join(kinds, "path").select("path", "segment", "content", "utf8", F.lit(True).alias("large")).repartition("path", "segment"))
 
     path = scratch(files.sparkSession)
-    segments.mapInPandas(run, "path string, segment long, k int, type string, citekey string, raw string, fields map<string, string>").write.parquet(path)
+    segments.mapInArrow(_entries_of, "path string, segment long, large boolean, k int, type string, citekey string, raw string, fields map<string, string>").write.parquet(path)
     entries = files.sparkSession.read.parquet(path)
-    before = Window.partitionBy("path").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    first = entries.groupBy("path", "segment").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row a segment
-    out = entries.join(first.select("path", "segment", "first"), ["path", "segment"])
-    return out.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("first") + F.col("k")).cast("int").alias("at"), "type", "citekey", "raw", "fields")
+    first = F.lit(0)  # a file that is one segment has nothing to count
+    if any_large:
+        before = Window.partitionBy("path").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+        firsts = entries.filter("large").groupBy("path", "segment").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row a segment
+        entries = entries.filter("large").join(firsts.select("path", "segment", "first"), ["path", "segment"]).unionByName(entries.filter("not large").withColumn("first", F.lit(0).cast("long")))
+        first = F.col("first")
+    return entries.select(F.element_at(F.split("path", "/"), -1).alias("file"), (first + F.col("k")).cast("int").alias("at"), "type", "citekey", "raw", "fields")
 
 
 def bibtex(spark: SparkSession, path: str) -> DataFrame:

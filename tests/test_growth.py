@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodegrid.functions import keys as K
@@ -113,6 +114,17 @@ def test_blocks_of_bibtex_come_in_batches_of_few_bytes(spark):
     assert next(readers.each_entry(text))["citekey"] == "k0"
 
 
+def test_short_bibtex_texts_are_parsed_together_and_by_many_tasks(spark):
+    texts = [f"@article{{k{k}, title = {{T {k}}}}}\n".encode() for k in range(2 * readers.ENTRIES_AT_ONCE + 5)] + [b"@misc{long, note = {" + b"x" * readers.BLOCK_BYTES + b"}}", b"@misc{last, note = {\xe9}}"]
+    given = pa.RecordBatch.from_pylist([{"path": "x.bib", "segment": 0, "content": t, "utf8": k < len(texts) - 1, "large": False} for k, t in enumerate(texts)])
+    assert [b.num_rows for b in readers._entries_of(iter([given.slice(0, 10), given.slice(10)]))] == [2000, 2000, 6, 1]
+    rows = spark.createDataFrame([("x.bib", bytearray(t)) for t in texts], "path string, content binary").coalesce(1)
+    out = readers.parsed_bibtex(rows)
+    assert len(out.inputFiles()) >= spark.sparkContext.defaultParallelism
+    notes = {r["citekey"]: r["fields"] for r in out.collect()}
+    assert len(notes) == len(texts) and notes["k7"] == {"title": "T 7"} and notes["last"] == {"note": "é"} and len(notes["long"]["note"]) == readers.BLOCK_BYTES
+
+
 def test_pairs_of_one_key_are_dealt_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(J, "NAMES_AT_ONCE", 10)
     monkeypatch.setattr(J, "KEYS_AT_ONCE", 4)
