@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegrid.session import scratch
+from lodegrid.operators.state import dropped
+from lodegrid.session import scratch, short_batches
 
 log = logging.getLogger(__name__)
 
@@ -53,10 +55,20 @@ def complete_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
 MOST_BLOCK = 15_000
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Removes what a query has shuffled once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _kept(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Written and read again; what was shuffled for it goes at once and not when the driver next collects garbage."""
+    spark, path = df.sparkSession, path or scratch(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clusters(df: DataFrame, block: str, item: str, vector: str, threshold: float = 0.35) -> DataFrame:
@@ -76,6 +88,9 @@ def clusters(df: DataFrame, block: str, item: str, vector: str, threshold: float
 
 #: Rows of a tile, about: two of them are compared by one matrix product.
 TILE_ROWS = 4096
+#: Neighbouring tiles go to tasks in groups, as each row is sent once for each group it is compared with. So many groups are enough for
+#: many tasks; a group has GROUP_BYTES of vectors and MOST_TILES (bits of a long) at most.
+GROUPS, GROUP_BYTES, MOST_TILES = 24, 16 << 20, 60
 #: Vectors whose angles to all others tell which tiles can hold near pairs. Their number doesn't grow with the rows.
 PIVOTS = 24
 #: Angles come from arccosines, which near 0 are this exact.
@@ -127,8 +142,8 @@ def tiled(rows: DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> tupl
                 near = to.argmin(axis=1)
                 yield pdf.assign(cell=np.where(zero, -1, near), near=np.where(zero, 0.0, to[np.arange(len(v)), near]), to=list(to))
 
-    kind = rows.schema["item"].dataType.simpleString()
-    placed = _kept(rows.mapInPandas(angles, f"item {kind}, v array<double>, cell int, near double, to array<double>"))
+    kind, vectors = (rows.schema[c].dataType.simpleString() for c in ("item", "v"))
+    placed = _kept(rows.mapInPandas(angles, f"item {kind}, v {vectors}, cell int, near double, to array<double>"))
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     most = max(1, -(-max(sizes.values(), default=1) // tile_rows))
     cuts = placed.groupBy("cell").agg(F.percentile_approx("near", [float(k + 1) / most for k in range(most)], 100 * most).alias("cuts"), F.count("*").alias("n"))
@@ -139,7 +154,8 @@ def tiled(rows: DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> tupl
     # Equal angles can't be cut: a range that is too large is dealt out by hash.
     parts = ranged.groupBy("cell", "range").agg(F.ceil(F.count("*") / (2 * tile_rows)).alias("parts"))
     dealt = ranged.join(F.broadcast(parts), ["cell", "range"]).withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")))
-    dealt = _kept(dealt.withColumn("tile", F.xxhash64("cell", "range", "part")))
+    # The order of tiles is that of cells and ranges: neighbours have names next to each other.
+    dealt = _kept(dealt.withColumn("tile", F.shiftleft((F.col("cell") + 1).cast("long"), 56) + F.shiftleft(F.col("range").cast("long"), 28) + F.col("part")))
     low, high = ([f(F.col("to")[k]) for k in range(len(pivots))] for f in (F.min, F.max))
     bounds = _kept(dealt.groupBy("tile").agg(F.max(F.col("cell") < 0).alias("free"), F.array(*low).alias("low"), F.array(*high).alias("high")))
     facts = bounds.collect()  # PIVOTS intervals for each TILE_ROWS vectors
@@ -162,65 +178,151 @@ def tiled(rows: DataFrame, threshold: float, tile_rows: int = TILE_ROWS) -> tupl
     return dealt.select("item", "v", "tile"), bounds.select("tile").mapInPandas(partners, "tile long, others array<long>")
 
 
+def _vectors(df: DataFrame, item: str, vector: str) -> DataFrame:
+    """item, v of rows with a vector; single precision stays so until it is compared, as that halves what is sent."""
+    kind = df.schema[vector].dataType.simpleString()
+    v = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
+    return df.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), v.alias("v"))
+
+
 def _near_tiles(df: DataFrame, item: str, vector: str, threshold: float, tile_rows: int) -> tuple[DataFrame, str]:
-    """(item, v, t0, t1: each row once for each pair of tiles it is compared in; the type of items)."""
-    rows = df.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    """(item, v, tile (its group), at (its tile in the group), near (bits: the tiles of the other group that it is compared with), t0, t1: each row once for each pair of groups; the type of items)."""
+    rows = _vectors(df, item, vector)
+    short_batches(rows.sparkSession)
     placed, others = tiled(rows, threshold, tile_rows)
     others = _kept(others)
-    n_tiles, n_ends = others.agg(F.count("*"), F.coalesce(F.sum(F.size("others")), F.lit(0))).first()
-    compared = (n_ends + n_tiles) // 2
-    log.info("complete linkage compares %d of %d pairs of tiles", compared, n_tiles * (n_tiles + 1) // 2)
-    dealt = placed.join(others, "tile").withColumn("other", F.explode("others"))
-    pairs = dealt.select("item", "v", "tile", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"))
-    return pairs.repartition(max(1, min(5000, compared)), "t0", "t1"), rows.schema["item"].dataType.simpleString()
+    tiles = sorted(r["tile"] for r in others.select("tile").collect())
+    dims = placed.agg(F.max(F.size("v"))).first()[0] or 1
+    each = max(1, min(-(-len(tiles) // GROUPS), MOST_TILES, GROUP_BYTES // (8 * dims * tile_rows)))
+    groups = rows.sparkSession.createDataFrame([(t, k // each, k % each) for k, t in enumerate(tiles)], "tile long, group int, at int")  # a row a tile
+    other = groups.select(F.col("tile").alias("other"), F.col("group").alias("with"), F.expr("shiftleft(1L, at)").alias("bit"))
+    ends = others.withColumn("other", F.explode("others")).join(other, "other").groupBy("tile", "with").agg(F.bit_or("bit").alias("near"))
+    ends = _kept(ends.join(groups, "tile"))
+    n_ends, n_pairs = ends.agg(F.coalesce(F.sum(F.bit_count("near")), F.lit(0)), F.count_if(F.col("group") <= F.col("with"))).first()
+    log.info("complete linkage compares %d of %d pairs of tiles", (n_ends + len(tiles)) // 2, len(tiles) * (len(tiles) + 1) // 2)
+    pairs = placed.join(ends, "tile").select("item", "v", F.col("group").alias("tile"), "at", "near", F.least("group", "with").alias("t0"), F.greatest("group", "with").alias("t1"))
+    return pairs.repartition(max(1, min(5000, n_pairs)), "t0", "t1").sortWithinPartitions("t0", "t1"), rows.schema["item"].dataType.simpleString()
+
+
+def _by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pd.DataFrame]]:
+    """(items, rows as ``_close`` takes them) of each pair of groups, from batches in order of pairs."""
+    parts, key = [], None
+    for batch in batches:
+        t0, t1 = batch["t0"].to_numpy(), batch["t1"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1])]) if len(t0) else []
+        for start, end in zip(starts, [*starts[1:], len(t0)], strict=True):
+            if parts and key != (t0[start], t1[start]):
+                yield _joined(parts)
+                parts = []
+            key = t0[start], t1[start]
+            parts.append(batch.slice(start, end - start))
+    if parts:
+        yield _joined(parts)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> tuple[pa.Array, pd.DataFrame]:
+    v = [x for b in parts for x in b["v"].to_numpy(zero_copy_only=False)]
+    return pa.concat_arrays([b["item"] for b in parts]), pd.DataFrame({"v": v, **{c: np.concatenate([b[c].to_numpy() for b in parts]) for c in ("tile", "at", "near", "t0", "t1")}})
 
 
 def _close(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of the near pairs of a pair of tiles, or of one tile, some rows at a time; each pair once, and never two rows of one of two tiles."""
-    unit = _unit(np.stack(pdf["v"].to_numpy()))
+    """(i, j, distance) of the near pairs of a pair of tiles, or of one tile, some rows at a time; each pair once, and never two rows of one of two tiles.
+
+    With ``at`` and ``near`` (``_near_tiles``) the same of two groups of tiles, or of one: only tiles that ``near`` names are compared.
+    """
+    unit = _unit(np.stack(pdf["v"].to_numpy()).astype(float))
     first = (pdf["tile"] == pdf["t0"]).to_numpy()
     both = not first.all()
     rows, others = (np.flatnonzero(first), np.flatnonzero(~first)) if both else (np.arange(len(unit)),) * 2
-    left, right = unit[rows], unit[others]
-    for k in range(0, len(left), 512):
-        start = 0 if both else k  # within one tile only what comes later
-        d = left[k : k + 512] @ right[start:].T
-        np.subtract(1, d, out=d)
-        i, j = np.divmod(np.flatnonzero(d.ravel() < threshold), d.shape[1])
-        if not both:
-            later = i < j
-            i, j = i[later], j[later]
-        yield rows[i + k], others[j + start], d[i, j]
+    at, near = (pdf[c].to_numpy() if c in pdf else np.full(len(pdf), x) for c, x in (("at", 0), ("near", 1)))
+    for p in np.unique(at[rows]):
+        mine = rows[at[rows] == p]
+        left = unit[mine]
+        for q in np.unique(at[others]):
+            if not int(near[mine[0]]) >> int(q) & 1 or not both and q < p:
+                continue
+            theirs = others[at[others] == q]
+            right, one = unit[theirs], not both and p == q
+            for k in range(0, len(left), 512):
+                start = k if one else 0  # within one tile only what comes later
+                d = left[k : k + 512] @ right[start:].T
+                np.subtract(1, d, out=d)
+                i, j = np.divmod(np.flatnonzero(d.ravel() < threshold), d.shape[1])
+                if one:
+                    later = i < j
+                    i, j = i[later], j[later]
+                yield mine[i + k], theirs[j + start], d[i, j]
+
+
+#: Pairs that a task holds or hands on at once, about.
+PAIRS_AT_ONCE = 250_000
+
+
+def _some(found: Iterator[tuple[np.ndarray, ...]], most: int) -> Iterator[list[np.ndarray]]:
+    """Arrays joined until they have so many entries."""
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x[0])
+        if n >= most:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def near_links(df: DataFrame, item: str, vector: str, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """a, b: links whose components are those of all pairs with a cosine distance below the threshold.
 
-    Pairs of tiles that can hold such a pair (``tiled``) are compared as a whole. No task holds more than two tiles, and a pair of
-    tiles returns a link a row at most.
+    Pairs of tiles that can hold such a pair (``tiled``) are compared as a whole. No task holds more than two groups of tiles, and
+    a pair of groups returns a link a row at most.
     """
     pairs, kind = _near_tiles(df, item, vector, threshold, tile_rows)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(_close(pdf, threshold))
-        label = _forest(np.concatenate([i for i, _, _ in found]), np.concatenate([j for _, j, _ in found]), len(pdf))
-        tied = label != np.arange(len(pdf))
-        items = pdf["item"].to_numpy()
-        return pd.DataFrame({"a": items[tied], "b": items[label[tied]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for items, pdf in _by_pair(batches):
+            label = rows = np.arange(len(pdf))
+            for i, j, _ in _some(_close(pdf, threshold), 16 * PAIRS_AT_ONCE):
+                tied = np.flatnonzero(label != rows)
+                label = _forest(np.concatenate([i, tied]), np.concatenate([j, label[tied]]), len(pdf))
+            tied = np.flatnonzero(label != rows)
+            yield pa.RecordBatch.from_arrays([items.take(pa.array(tied)), items.take(pa.array(label[tied]))], ["a", "b"])
 
-    return pairs.groupBy("t0", "t1").applyInPandas(run, f"a {kind}, b {kind}")
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_pairs(df: DataFrame, item: str, vector: str, threshold: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """a < b, distance: all pairs with a cosine distance below the threshold."""
     pairs, kind = _near_tiles(df, item, vector, threshold, tile_rows)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf["item"].to_numpy()
-        i, j, d = (np.concatenate(x) for x in zip(*_close(pdf, threshold), strict=True))
-        return pd.DataFrame({"a": np.minimum(items[i], items[j]), "b": np.maximum(items[i], items[j]), "distance": d})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for items, pdf in _by_pair(batches):
+            names = items.to_numpy(zero_copy_only=False)
+            for i, j, d in _some(_close(pdf, threshold), PAIRS_AT_ONCE):
+                low, high = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
+                yield pa.RecordBatch.from_arrays([pa.array(low, items.type), pa.array(high, items.type), pa.array(d)], ["a", "b", "distance"])
+
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}, distance double")
+
 
-    return pairs.groupBy("t0", "t1").applyInPandas(run, f"a {kind}, b {kind}, distance double")
+#: Rows whose near rows are counted to tell how many pairs there will be, and pairs a row up to which all pairs are stored at once.
+COUNTED, PAIRS_A_ROW = 256, 500
+
+
+def expected_pairs(rows: DataFrame, threshold: float) -> float:
+    """About how many pairs of rows (item, v) are nearer than the threshold, from COUNTED rows against all. It chooses a way, no result depends on it."""
+    some = rows.orderBy(F.xxhash64(F.lit(19), "item"), "item").limit(COUNTED).collect()
+    if not some:
+        return 0.0
+    given = rows.sparkSession.sparkContext.broadcast(_unit(np.array([r["v"] for r in some], dtype=float)))  # COUNTED vectors
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"rows": [len(pdf)], "near": [int((1 - _unit(np.stack(pdf["v"].to_numpy()).astype(float)) @ given.value.T < threshold).sum())]})
+
+    n, near = rows.select("v").mapInPandas(run, "rows long, near long").agg(F.sum("rows"), F.sum("near")).first()
+    return max(0, near - len(some)) * n / (2 * len(some))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -238,49 +340,128 @@ def connected(links: DataFrame) -> DataFrame:
             return label
 
 
+#: Pairs of clusters from which on one task does the rest, with about 100 bytes a pair.
+EDGES_IN_ONE = 1_000_000
+#: Merges of a round up to which their names are broadcast.
+MOST_MERGES = 1_000_000
+
+
+def _first_links(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the place of its least (d, a, b); nodes without an edge have none."""
+    order = np.lexsort((b, a, d))
+    rank = np.empty(len(a), dtype=np.int64)
+    rank[order] = np.arange(len(a))
+    best = np.full(n, len(a))
+    np.minimum.at(best, a, rank)
+    np.minimum.at(best, b, rank)
+    return np.append(order, -1)[best]
+
+
+def _merged(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes its cluster, its least node: the rounds of ``linked_by_rounds`` over edges that one task holds."""
+    cluster = np.arange(n)
+    while len(a):
+        best = _first_links(a, b, d, n)
+        at = np.arange(len(a))
+        mutual = (best[a] == at) & (best[b] == at)
+        into, parts = np.arange(n), np.ones(n, dtype=np.int64)
+        into[b[mutual]], parts[a[mutual]] = a[mutual], 2
+        cluster = into[cluster]
+        a, b, d = into[a[~mutual]], into[b[~mutual]], d[~mutual]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((d, b, a))
+        a, b, d = a[order], b[order], d[order]
+        last = np.flatnonzero(np.append((a[1:] != a[:-1]) | (b[1:] != b[:-1]), True)) if len(a) else np.zeros(0, dtype=np.int64)  # the largest distance
+        whole = np.diff(last, prepend=-1) == parts[a[last]] * parts[b[last]]
+        a, b, d = a[last][whole], b[last][whole], d[last][whole]
+    return cluster
+
+
+def _numbered(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """names in order, and the edges a, b, d of batches with places among them."""
+    a, b, d = (np.concatenate([x[c].to_numpy(zero_copy_only=False) for x in batches]) for c in ("a", "b", "d"))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return names, at[: len(a)], at[len(a) :], d
+
+
 def linked_by_rounds(pairs: DataFrame) -> DataFrame:
     """item, cluster (its least item) by complete linkage from all pairs below the threshold (a < b, distance), for any number of rows.
 
     In each round all pairs of clusters that are each other's nearest (ties to the least names) are merged: complete linkage is
     reducible, so no merge can bring two others nearer, and the rounds end where one merge after the other would. The distance of
-    merged clusters is the largest of their parts'; a pair of clusters stays a pair only if all of its parts have one.
+    merged clusters is the largest of their parts'; a pair of clusters stays a pair only if all of its parts have one. Only pairs
+    of clusters that a round has merged are shuffled, and what a round has written goes when the next one is. The last
+    EDGES_IN_ONE pairs are merged in one task, by the same rounds.
     """
-    edges = _kept(pairs.select("a", "b", F.col("distance").alias("d")))
-    label = _kept(edges.select(F.explode(F.array("a", "b")).alias("item")).distinct().withColumn("cluster", F.col("item")))
-    while not edges.isEmpty():
-        link = F.struct("d", "a", "b").alias("link")
-        nearest = edges.select(F.explode(F.array("a", "b")).alias("node"), link).groupBy("node").agg(F.min("link").alias("link"))
-        merged = _kept(nearest.groupBy("link").agg(F.count("*").alias("ends")).filter("ends = 2").select("link.a", "link.b"))
-        into, heads = merged.select(F.col("b").alias("old"), F.col("a").alias("new")), merged.select(F.col("a").alias("head"))
+    spark, kind = pairs.sparkSession, pairs.schema["a"].dataType.simpleString()
+    short_batches(spark)
+    paths = [scratch(spark), scratch(spark)]
+    edges = _kept(pairs.select("a", "b", F.col("distance").alias("d")), paths[0])
+    label = _kept(edges.select(F.explode(F.array("a", "b")).alias("item")).distinct().withColumn("cluster", F.col("item")), paths[1])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest of each node among the edges of a batch."""
+        for batch in batches:
+            if batch.num_rows:
+                names, a, b, d = _numbered([batch])
+                best = _first_links(a, b, d, len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(names, batch["a"].type), *(batch[c].take(pa.array(best)) for c in ("d", "a", "b"))], ["node", "d", "a", "b"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            names, a, b, d = _numbered(held)
+            cluster = _merged(a, b, d, len(names))
+            gone = np.flatnonzero(cluster != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[x], held[0]["a"].type) for x in (gone, cluster[gone])], ["old", "new"])
+
+    def renamed(label: DataFrame, into: DataFrame) -> DataFrame:
+        return label.join(into, F.col("cluster") == F.col("old"), "left").select("item", F.coalesce("new", "cluster").alias("cluster"))
+
+    while edges.count() > EDGES_IN_ONE:
+        link = F.struct("d", "a", "b")
+        first = edges.mapInArrow(nearest, f"node {kind}, d double, a {kind}, b {kind}").groupBy("node").agg(F.min(link).alias("link"))
+        held = [scratch(spark) for _ in range(4)]
+        merged = _kept(first.groupBy("link").agg(F.count("*").alias("ends")).filter("ends = 2").select("link.a", "link.b"), held[0])
+        few = merged.count() <= MOST_MERGES
+        fate = merged.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("name"))
         moved = edges
         for end in ("a", "b"):
-            moved = moved.join(into, F.col(end) == F.col("old"), "left").withColumn(end, F.coalesce("new", end)).drop("old", "new")
-        moved = moved.filter("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"))
-        for end in ("a", "b"):
-            moved = moved.join(heads.withColumnRenamed("head", f"head_{end}"), F.col(end) == F.col(f"head_{end}"), "left")
-        parts = (1 + F.col("head_a").isNotNull().cast("int")) * (1 + F.col("head_b").isNotNull().cast("int"))
-        edges = _kept(moved.filter(F.col("n") == parts).select("a", "b", "d"))
-        label = _kept(label.join(into, F.col("cluster") == F.col("old"), "left").select("item", F.coalesce("new", "cluster").alias("cluster")))
-    return label
+            to = fate.select(F.col("node").alias(f"{end}_node"), F.col("name").alias(f"{end}_name"))
+            moved = moved.join(F.broadcast(to) if few else to, F.col(end) == F.col(f"{end}_node"), "left").drop(f"{end}_node")
+        moved = moved if few else _kept(moved, held[1])
+        still = F.col("a_name").isNull() & F.col("b_name").isNull()
+        x, y = F.coalesce("a_name", "a"), F.coalesce("b_name", "b")
+        parts = (1 + F.col("a_name").isNotNull().cast("int")) * (1 + F.col("b_name").isNotNull().cast("int"))
+        touched = moved.filter(~still).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "d", parts.alias("parts")).filter("a != b")
+        touched = touched.groupBy("a", "b").agg(F.max("d").alias("d"), F.count("*").alias("n"), F.max("parts").alias("parts")).filter("n = parts")
+        edges = _kept(moved.filter(still).select("a", "b", "d").unionByName(touched.select("a", "b", "d")), held[2])
+        label = _kept(renamed(label, merged.select(F.col("b").alias("old"), F.col("a").alias("new"))), held[3])
+        for path in (*paths, *held[:2]):
+            dropped(spark, path)
+        paths = held[2:]
+    return renamed(label, edges.coalesce(1).mapInArrow(rest, f"old {kind}, new {kind}"))
 
 
 def clusters_of_all(df: DataFrame, item: str, vector: str, threshold: float = 0.35, tile_rows: int = TILE_ROWS) -> DataFrame:
     """item, cluster (its least item) by complete linkage over all rows with a vector; items are unique.
 
-    Equal vectors are one, whose cluster all share. No cluster reaches over two components of the pairs below the threshold, so
-    each component is clustered apart, exactly: one of up to MOST_BLOCK rows in one task, a larger one by rounds over all executors.
+    Equal vectors are one, whose cluster all share. Where few pairs are below the threshold (``expected_pairs``), they are found
+    and stored once, and merged by rounds. Else no cluster reaches over two components of these pairs, so each component is
+    clustered apart, exactly: one of up to MOST_BLOCK rows in one task, a larger one by rounds over all executors.
     """
-    all_ = df.filter(F.col(vector).isNotNull()).select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"))
+    all_ = _vectors(df, item, vector)
     same = _kept(all_.groupBy("v").agg(F.min("item").alias("first"), F.count("*").alias("n")))
     rows = same.select(F.col("first").alias("item"), "v")
-    component = _kept(connected(near_links(rows, "item", "v", threshold, tile_rows)))
-    sizes = component.groupBy("component").agg(F.count("*").alias("n"))
-    large = _kept(sizes.filter(F.col("n") > MOST_BLOCK).select("component"))
-    found = clusters(rows.join(component.join(large, "component", "left_anti"), "item"), "component", "item", "v", threshold).select("item", "cluster")
-    if not large.isEmpty():
-        held = rows.join(component.join(large, "component"), "item").select("item", "v")
-        by_rounds = linked_by_rounds(near_pairs(held, "item", "v", threshold, tile_rows))
-        found = found.unionByName(by_rounds)
+    if expected_pairs(rows, threshold) <= PAIRS_A_ROW * rows.count():
+        found = linked_by_rounds(near_pairs(rows, "item", "v", threshold, tile_rows))
+    else:
+        component = _kept(connected(near_links(rows, "item", "v", threshold, tile_rows)))
+        sizes = component.groupBy("component").agg(F.count("*").alias("n"))
+        large = _kept(sizes.filter(F.col("n") > MOST_BLOCK).select("component"))
+        found = clusters(rows.join(component.join(large, "component", "left_anti"), "item"), "component", "item", "v", threshold).select("item", "cluster")
+        if not large.isEmpty():
+            held = rows.join(component.join(large, "component"), "item").select("item", "v")
+            found = found.unionByName(linked_by_rounds(near_pairs(held, "item", "v", threshold, tile_rows)))
     out = rows.select("item").join(found, "item", "left").select("item", F.coalesce("cluster", "item").alias("cluster"))
     repeated = all_.join(same.filter("n > 1"), "v").filter(F.col("item") != F.col("first")).select("item", "first")
     return out.unionByName(repeated.join(out.withColumnRenamed("item", "first"), "first").select("item", "cluster"))

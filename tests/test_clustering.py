@@ -1,8 +1,11 @@
 """Complete linkage at any size: pruned tiles, rounds of reciprocal neighbours, equal vectors."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
+from lodegrid import session
 from lodegrid.operators import clustering as L
 
 
@@ -70,3 +73,37 @@ def test_far_tiles_are_not_compared(spark):
     i, j = (np.array(x) for x in zip(*all_links(vectors, 0.02), strict=True))
     want = L._forest(i, j, len(label))
     assert got == {k: int(want[k]) for k in range(len(want)) if k in got} and set(np.flatnonzero(want != label)) <= set(got)
+
+
+@pytest.mark.parametrize(("edges_in_one", "pairs_a_row", "most_merges"), [(0, 500, 10), (40, 500, 10**6), (10**6, 500, 0), (0, -1, 0)])
+def test_all_ways_give_one_result(spark, monkeypatch, edges_in_one, pairs_a_row, most_merges):
+    """Pairs at once or components first, rounds over all executors or in one task, merges broadcast or not."""
+    rng = np.random.default_rng(11)
+    vectors = around(rng, 5, 12, width=0.25)
+    want = L.complete_linkage(vectors, 0.4)
+    for name, value in (("EDGES_IN_ONE", edges_in_one), ("PAIRS_A_ROW", pairs_a_row), ("MOST_MERGES", most_merges), ("MOST_BLOCK", 8)):
+        monkeypatch.setattr(L, name, value, raising=False)
+    out = clusters_of(L.clusters_of_all(frame(spark, vectors), "id", "v", 0.4, tile_rows=16))
+    assert out == sorted(sorted(np.flatnonzero(want == k).tolist()) for k in set(want.tolist())) and 1 < max(map(len, out))
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_a_row_is_sent_once_for_each_group_of_tiles(spark, kind):
+    """Copies of a row don't grow with the number of tiles, and no pair is lost or found twice."""
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([rng.standard_normal((300, 5)), around(rng, 10, 10, dims=5)]).astype("f4").astype(float)
+    df = frame(spark, vectors).selectExpr("id", f"cast(v as array<{kind}>) as v")
+    sent, _ = L._near_tiles(df, "id", "v", 0.9, 7)
+    assert sent.count() <= 26 * len(vectors) and dict(sent.dtypes)["v"] == f"array<{kind}>"
+    got = [(r["a"], r["b"]) for r in L.near_pairs(df, "id", "v", 0.3, tile_rows=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == all_links(vectors, 0.3)
+
+
+def test_rounds_delete_what_they_wrote(spark, monkeypatch):
+    monkeypatch.setattr(L, "EDGES_IN_ONE", 0, raising=False)
+    folder = Path(session._shared(spark).removeprefix("file://"))
+    pairs = spark.createDataFrame([(k, k + 1, 0.1 + k / 1000) for k in range(6)], "a long, b long, distance double")
+    before = len(list(folder.iterdir())) if folder.exists() else 0
+    out = L.linked_by_rounds(pairs)
+    assert len(list(folder.iterdir())) - before <= 2
+    assert clusters_of(out) == [[0, 1], [2, 3], [4, 5], [6]]
