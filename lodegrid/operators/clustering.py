@@ -342,6 +342,8 @@ def connected(links: DataFrame) -> DataFrame:
 
 #: Pairs of clusters from which on one task does the rest, with about 100 bytes a pair.
 EDGES_IN_ONE = 1_000_000
+#: Pairs of clusters that a task holds at once to find each one's nearest among them.
+EDGES_AT_ONCE = 500_000
 #: Merges of a round up to which their names are broadcast.
 MOST_MERGES = 1_000_000
 
@@ -377,6 +379,20 @@ def _merged(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return cluster
 
 
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together until they have so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _numbered(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """names in order, and the edges a, b, d of batches with places among them."""
     a, b, d = (np.concatenate([x[c].to_numpy(zero_copy_only=False) for x in batches]) for c in ("a", "b", "d"))
@@ -397,15 +413,17 @@ def linked_by_rounds(pairs: DataFrame) -> DataFrame:
     short_batches(spark)
     paths = [scratch(spark), scratch(spark)]
     edges = _kept(pairs.select("a", "b", F.col("distance").alias("d")), paths[0])
-    label = _kept(edges.select(F.explode(F.array("a", "b")).alias("item")).distinct().withColumn("cluster", F.col("item")), paths[1])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest of each node among the edges of a batch."""
-        for batch in batches:
-            if batch.num_rows:
-                names, a, b, d = _numbered([batch])
-                best = _first_links(a, b, d, len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(names, batch["a"].type), *(batch[c].take(pa.array(best)) for c in ("d", "a", "b"))], ["node", "d", "a", "b"])
+        """The nearest of each node among the edges that a task holds at once."""
+        for held in _held(batches, EDGES_AT_ONCE):
+            names, a, b, d = _numbered(held)
+            best, kind = _first_links(a, b, d, len(names)), held[0]["a"].type
+            yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(d[best]), pa.array(names[a[best]], kind), pa.array(names[b[best]], kind)], ["node", "d", "a", "b"])
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches, EDGES_AT_ONCE):
+            yield pa.RecordBatch.from_arrays([pa.array(_numbered(held)[0], held[0]["a"].type)], ["item"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held := [b for b in batches if b.num_rows]:
@@ -417,6 +435,7 @@ def linked_by_rounds(pairs: DataFrame) -> DataFrame:
     def renamed(label: DataFrame, into: DataFrame) -> DataFrame:
         return label.join(into, F.col("cluster") == F.col("old"), "left").select("item", F.coalesce("new", "cluster").alias("cluster"))
 
+    label = _kept(edges.mapInArrow(nodes, f"item {kind}").distinct().withColumn("cluster", F.col("item")), paths[1])
     while edges.count() > EDGES_IN_ONE:
         link = F.struct("d", "a", "b")
         first = edges.mapInArrow(nearest, f"node {kind}, d double, a {kind}, b {kind}").groupBy("node").agg(F.min(link).alias("link"))
